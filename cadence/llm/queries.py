@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat, mixing, quality_rules, token_files, url_filters, warc
-from cadence.llm.common import table
+from cadence.llm import chat, language_id, mixing, quality_model, quality_rules, token_files, url_filters, warc
+from cadence.llm.common import crc_mod, table
 from cadence.session import work_path
 
 #: host, path, verdict
@@ -24,6 +24,13 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_model.fit(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1))
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    return quality_model.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -33,6 +40,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, paths).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
+    return language_id.predict(docs, model).withColumn("held_out", language_id.held_out(F.col("doc_id")))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -53,8 +66,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_filters": op2_url_filters,
+    "op3_quality_model": op3_quality_model,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
+    "op6_language_id": op6_language_id,
     "op7_chat": op7_chat,
     "op8_mixing": op8_mixing,
     "op10_token_files": op10_token_files,
