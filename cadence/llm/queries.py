@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat, language_id, mixing, quality_model, quality_rules, token_files, url_filters, warc
+from cadence.llm import chat, decontaminate, language_id, mixing, quality_model, quality_rules, token_files, url_filters, warc
 from cadence.llm.common import crc_mod, table
 from cadence.session import work_path
 
@@ -58,6 +58,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.where("copy = 0").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
@@ -72,6 +76,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_chat": op7_chat,
     "op8_mixing": op8_mixing,
+    "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
 }
 
