@@ -23,8 +23,9 @@ from cadence.llm.common import Published, mapped, open_store, partitions
 
 #: Stands for a null id in .doc files; it sorts first, as null does.
 NULL_ID = -(2**63)
-#: Pieces whose tokens a task keeps at most; beyond, it starts anew.
-KEPT_PIECES = 400_000
+#: Pieces whose tokens a worker process keeps; later ones are encoded each time they are met.
+KEPT_PIECES = 800_000
+_ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
 class PieceEncoder:
@@ -40,16 +41,22 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.kept: dict[bytes, bytes] = {}
 
+    @classmethod
+    def of(cls, tokenizer_path: str) -> "PieceEncoder":
+        """The worker process's encoder, which lives on from task to task."""
+        if tokenizer_path not in _ENCODERS:
+            _ENCODERS[tokenizer_path] = cls(tokenizer_path)
+        return _ENCODERS[tokenizer_path]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
-        if len(self.kept) > KEPT_PIECES:
-            self.kept = {}
         new = list({p for pieces in split for p in pieces} - self.kept.keys())
+        known = self.kept if len(self.kept) + len(new) <= KEPT_PIECES else dict(self.kept)
         for i in range(0, len(new), 8192):
             part = new[i : i + 8192]
-            for piece, enc in zip(part, self.tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self.kept[piece] = np.array(enc.ids, self.dtype).tobytes()
-        get = self.kept.__getitem__
+            for piece, enc in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
+                known[piece] = np.array(enc.ids, self.dtype).tobytes()
+        get = known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
 
@@ -76,7 +83,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first(), "text").sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    rows = rows.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def write(batches):
         from pyspark import TaskContext
@@ -88,7 +95,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             every = batch.column(0).to_pylist()
             for texts in _in_parts(batch.column(1).to_pylist()):
                 if encoder is None:
-                    encoder = PieceEncoder(tokenizer_path)
+                    encoder = PieceEncoder.of(tokenizer_path)
                     end = np.array([end_id], encoder.dtype).tobytes()
                     files = Published(f"{folder}/shard-{shard:05d}.tok")
                 for data in encoder(texts):
