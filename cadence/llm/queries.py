@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat, decontaminate, language_id, mixing, quality_model, quality_rules, token_files, url_filters, warc
+from cadence.llm import chat, decontaminate, language_id, mixing, near_dup, quality_model, quality_rules, token_files, url_filters, warc
 from cadence.llm.common import crc_mod, table
 from cadence.session import work_path
 
@@ -19,6 +19,10 @@ URL_RULES = [
 ]
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_filters.RULE_SCHEMA)
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -69,6 +73,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dup": op1_near_dup,
     "op2_url_filters": op2_url_filters,
     "op3_quality_model": op3_quality_model,
     "op4_quality_rules": op4_quality_rules,
