@@ -98,28 +98,25 @@ def smoothed(counts: DataFrame, part: str, at: str, value: str, sigma: float, sp
     return spread.groupBy(part, at).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
 
 
-def gap_filled(df: DataFrame, part: str, time: str, w: WindowSpec) -> DataFrame:
+def gap_filled(df: DataFrame, part: str, time: str, seq: str) -> DataFrame:
     """Null times placed evenly between the timed rows around them, cut to whole milliseconds.
 
     Of k untimed rows between two timed ones the i-th lies at i / (k + 1) of the way. Before the first timed row the
     way starts at 0; after the last one rows take its time.
     """
+    w = ordered(part, seq)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     t = F.col(time)
     group = F.count(t).over(before)
     rows = df.withColumn("_lo", F.coalesce(F.last(t, ignorenulls=True).over(before), F.lit(0))).withColumn("_hi", F.first(t, ignorenulls=True).over(after))
     rows = rows.withColumn("_g", group).withColumn("_open", t.isNull().cast("int"))
     gap = Window.partitionBy(part, "_g")
-    rows = rows.withColumn("_k", F.sum("_open").over(gap)).withColumn("_i", F.sum("_open").over(gap.orderBy(*_order(w, df)).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_k", F.sum("_open").over(gap)).withColumn("_i", F.sum("_open").over(gap.orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)))
     hi = F.coalesce("_hi", "_lo")
     filled = (F.col("_lo") + (hi - F.col("_lo")) * F.col("_i") / (F.col("_k") + 1)).cast("long")
     return rows.withColumn(time, F.coalesce(t, filled)).drop("_lo", "_hi", "_g", "_open", "_k", "_i")
 
 
-def _order(w: WindowSpec, df: DataFrame) -> list[str]:
-    return ["seq"] if "seq" in df.columns else [df.columns[0]]
-
-
 def boundary_groups(events: DataFrame, part: str, seq: str, is_head: Column, heads_first: bool) -> DataFrame:
     """`events` with group: rows up to and including a head row (heads last), or from one to before the next.
 

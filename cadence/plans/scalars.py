@@ -1 +1,221 @@
+"""Queries over scalar functions and the event vocabulary."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cadence.functions import scalars as s
+from cadence.functions import tokens
+from cadence.plans.joins import E, events
+from cadence.plans.registry import query, table
+
+#: (seq, type, lo, hi): the events' own types with made-up value ranges.
+RANGES = [(0, "click", 0, 99), (1, "error", -10, 9), (2, "purchase", 0, 499), (3, "signup", 5, 5), (4, "view", 0, 59)]
+_R = "r(seq, type, lo, hi) AS (VALUES (0, 'click', 0, 99), (1, 'error', -10, 9), (2, 'purchase', 0, 499), (3, 'signup', 5, 5), (4, 'view', 0, 59))"
+_V = f"{_R}, v AS (SELECT type, lo, hi, 3 + sum(hi - lo + 1) OVER (ORDER BY seq) - (hi - lo + 1) AS tok_start, 3 + sum(hi - lo + 1) OVER (ORDER BY seq) AS tok_end FROM r)"
+
+
+def vocabulary(spark):
+    return tokens.layout(spark.createDataFrame(RANGES, "seq int, type string, lo int, hi int"), offset=3)
+
+
+@query(f"WITH {_V} SELECT type, lo, hi, tok_start::BIGINT AS tok_start, tok_end::BIGINT AS tok_end FROM v")
+def vocab_layout(spark, d):
+    return vocabulary(spark)
+
+
+_ENC = f"WITH {_V}, t AS (SELECT event_id, event_type, trunc(value)::INT AS value FROM events), c AS (SELECT event_id, event_type, value, CASE WHEN value BETWEEN lo AND hi THEN tok_start + value - lo END::BIGINT AS token FROM t LEFT JOIN v ON event_type = type)"
+
+
+@query(f"{_ENC} SELECT event_id, coalesce(token, -1) AS token FROM c")
+def token_encode(spark, d):
+    rows = table(spark, d, "events").select("event_id", "event_type", F.col("value").cast("int").alias("value"))
+    return tokens.encode(rows, vocabulary(spark), "event_type", "value").select("event_id", F.coalesce("token", F.lit(-1)).alias("token"))
+
+
+@query(f"WITH {_V}, t AS (SELECT event_id, event_id % 690 AS token FROM events) SELECT event_id, token, coalesce(type, '-') AS type, coalesce((token - tok_start + lo)::BIGINT, -100) AS value FROM t LEFT JOIN v ON token >= tok_start AND token < tok_end")
+def token_decode(spark, d):
+    rows = table(spark, d, "events").select("event_id", (F.col("event_id") % 690).alias("token"))
+    rows = tokens.decode(rows, vocabulary(spark), "token")
+    return rows.select("event_id", "token", F.coalesce("type", F.lit("-")).alias("type"), F.coalesce("value", F.lit(-100)).alias("value"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, (l_quantity::INT & 14) >> 1 AS snd, 1 + (l_partkey % 3) AS a, 1 + (l_suppkey % 3) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, (snd + 8 * (a - 1) + 24 * (b - 1))::BIGINT AS code, (snd * 2)::INT AS sound, a::INT AS sample_set, b::INT AS addition_set FROM p""")
+def pack_unpack(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", s.pack_hitsound(F.col("l_quantity").cast("int"), F.col("l_partkey") % 3 + 1, F.col("l_suppkey") % 3 + 1).alias("code")
+    )
+    u = s.unpack_hitsound(F.col("code"))
+    return rows.select("l_orderkey", "l_linenumber", "code", u["sound"].cast("int").alias("sound"), u["sample_set"].alias("sample_set"), u["addition_set"].alias("addition_set"))
+
+
+@query("""WITH p AS (SELECT event_id, trunc(least(greatest((value * 3 - 300) / 4, -64), 192))::INT AS cx, trunc(least(greatest((event_id % 700 - 300) / 4.0, -64), 160))::INT AS cy FROM events)
+SELECT event_id, ((cx + 64) + (cy + 64) * 257)::INT AS code, cx * 4 + 2 AS x, cy * 4 + 2 AS y FROM p""")
+def position_pack_unpack(spark, d):
+    low, high = (-256, -256), (768, 640)
+    code = s.pack_position(F.col("value") * 3 - 300, (F.col("event_id") % 700 - 300).cast("double"), 4, low, high)
+    rows = table(spark, d, "events").select("event_id", code.alias("code"))
+    at = s.unpack_position(F.col("code"), 4, low, high)
+    return rows.select("event_id", "code", at["x"].alias("x"), at["y"].alias("y"))
+
+
+@query("WITH c AS (SELECT event_id, least(greatest(trunc(value / 512 * 7)::INT, 0), 6) AS col FROM events) SELECT event_id, col AS column_no, trunc((col + 0.5) * 512 / 7)::INT AS x FROM c")
+def column_positions(spark, d):
+    rows = table(spark, d, "events").select("event_id", s.column_of(F.col("value"), 7).alias("column_no"))
+    return rows.select("event_id", "column_no", s.column_middle(F.col("column_no"), 7).alias("x"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, least(greatest(trunc(l_quantity * 24 / 50)::INT, 0), 23) AS difficulty, least(greatest(trunc(l_quantity * 22 / 50)::INT, 0), 22) AS with_unknown,
+CASE WHEN l_discount <= 0 THEN -1 WHEN l_discount * 10 >= 1 THEN 101 ELSE round_even(l_discount * 10 * 100, 0)::INT END AS ratio, least(greatest(floor(l_extendedprice / 10000)::INT, 0), 60) AS length,
+round_even(least(greatest(l_tax * 50, 0.4), 3.6) * 100, 0)::INT AS speed FROM lineitem""")
+def bucketize(spark, d):
+    q = F.col("l_quantity")
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", s.bucket(q, 24, 50).alias("difficulty"), s.bucket_with_unknown(q, 24, 50).alias("with_unknown"),
+        s.ratio_step(F.col("l_discount") * 10, 100).alias("ratio"), s.length_bucket(F.col("l_extendedprice")).alias("length"), s.speed_bucket(F.col("l_tax") * 50).alias("speed"),
+    )
+
+
+@query(f"""WITH {E}, b AS (SELECT event_id, (ms % 5000) / 500.0 AS beats FROM e), d AS (SELECT event_id, min(i) AS i FROM b, unnest(range(1, 17)) AS r(i) WHERE abs(beats - round_even(beats * i, 0) / i) * 500 < 2 GROUP BY 1)
+SELECT event_id, coalesce(i, 0)::INT AS divisor FROM b LEFT JOIN d USING (event_id)""")
+def snap_divisor(spark, d):
+    beats = (F.col("ms") % 5000) / F.lit(500.0)
+    return events(spark, d).select("event_id", s.snap_divisor(beats, F.lit(500.0)).alias("divisor"))
+
+
+@query(f"""WITH {E}, q AS (SELECT event_id, (ms % 100000)::DOUBLE AS t FROM e), k AS (SELECT event_id, t, unnest(range(-1, 3)) AS k FROM q),
+fine AS (SELECT event_id, t, trunc(t - ((t - 137.0) % 125 + 125) % 125 + 125 * k)::BIGINT AS tick FROM k), coarse AS (SELECT event_id, trunc(t - ((t - 137.0) % 250 + 250) % 250 + 250 * k)::BIGINT AS tick FROM k),
+rest AS (SELECT event_id, t, tick FROM fine f WHERE NOT EXISTS (SELECT 1 FROM coarse c WHERE c.event_id = f.event_id AND c.tick = f.tick))
+SELECT event_id, arg_min(tick, abs(tick - t) * 10000000 + tick) AS ms FROM rest GROUP BY 1""")
+def resnap(spark, d):
+    t = (F.col("ms") % 100_000).cast("double")
+    none = F.lit(None).cast("double")
+    return events(spark, d).select("event_id", s.resnapped(t, F.lit(137.0), F.lit(500.0), none, F.lit(4)).alias("ms"))
+
+
+@query("""WITH p AS (SELECT event_id, 300 + value * 5 AS p FROM events), c AS (SELECT event_id, p, unnest([1, 2, 10, 100, 1000]) AS k FROM p), t AS (SELECT event_id, p, k, 60000 / (round_even(60000 / p * k, 0) / k) AS c FROM c)
+SELECT p.event_id, round(coalesce(arg_min(c, k) FILTER (abs(c - t.p) * 16 <= 10), any_value(p.p)), 6) AS period FROM p LEFT JOIN t USING (event_id) GROUP BY 1""")
+def human_tempo(spark, d):
+    period = F.lit(300) + F.col("value") * 5
+    return table(spark, d, "events").select("event_id", F.round(s.human_period(period, lambda x: F.abs(x - period) * 16 <= 10), 6).alias("period"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 100 / 400 * 500 / 1.4 AS speed, 0.5 + l_discount * 10 AS last FROM lineitem WHERE l_linenumber = 1),
+y AS (SELECT *, round_even(speed * 20, 0) / 20 AS coarse FROM x), z AS (SELECT *, CASE WHEN coarse < 0.1 THEN round_even(speed * 100, 0) / 100 ELSE coarse END AS r FROM y),
+f AS (SELECT l_orderkey, CASE WHEN abs(speed - last) / last <= 0.15 THEN last WHEN r > 1e-5 THEN r ELSE speed END AS sv FROM z)
+SELECT l_orderkey, round(sv, 6) AS sv, round(sv * 400 * 100 / 500 * 1.4, 4) AS length FROM f""")
+def slider_speed(spark, d):
+    sv = s.human_speed(F.col("l_extendedprice"), F.lit(400.0), F.lit(500.0), F.lit(1.4), 0.5 + F.col("l_discount") * 10, F.lit(False))
+    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", sv.alias("sv"))
+    return rows.select("l_orderkey", F.round("sv", 6).alias("sv"), F.round(s.slider_length(F.col("sv"), F.lit(400.0), F.lit(500.0), F.lit(1.4)), 4).alias("length"))
+
+
+@query("""WITH e AS (SELECT event_id, value FROM events WHERE event_id < 500), i AS (SELECT unnest(range(4)) AS i), x AS (SELECT event_id, i, value * exp(-ln(10000) * i / 4.0) AS a FROM e, i)
+SELECT event_id, i AS k, round(cos(a), 6) AS x FROM x UNION ALL SELECT event_id, i + 4, round(sin(a), 6) FROM x""")
+def sinusoids(spark, d):
+    rows = table(spark, d, "events").where("event_id < 500").select("event_id", F.posexplode(s.sinusoids(F.col("value"), 8)).alias("k", "x"))
+    return rows.select("event_id", F.col("k").cast("long").alias("k"), F.round("x", 6).alias("x"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 4 THEN l_linenumber - 1 WHEN l_linenumber % 2 = 0 THEN 3 ELSE 4 END AS repeat_class,
+array_to_string(list_transform(range(5), lambda i: (i = CASE WHEN l_linenumber < 4 THEN l_linenumber - 1 WHEN l_linenumber % 2 = 0 THEN 3 ELSE 4 END)::INT), '') AS one_hot FROM lineitem""")
+def repeat_classes(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s.repeat_class(F.col("l_linenumber")).alias("repeat_class"))
+    return rows.withColumn("one_hot", F.array_join(s.one_hot(F.col("repeat_class"), 5).cast("array<string>"), ""))
+
+
+@query("""WITH c AS (SELECT user_id, list(DISTINCT ascii(event_type) % 8) AS codes FROM events WHERE event_id % 10 = 0 GROUP BY 1)
+SELECT user_id, array_to_string(list_transform(range(8), lambda i: list_contains(codes, i)::INT), '') AS hot FROM c""")
+def multi_hot(spark, d):
+    codes = table(spark, d, "events").where("event_id % 10 = 0").groupBy("user_id").agg(F.collect_set(F.ascii("event_type") % 8).alias("codes"))
+    return codes.select("user_id", F.array_join(s.multi_hot(F.col("codes"), 8).cast("array<string>"), "").alias("hot"))
+
+
+@query("""WITH t AS (SELECT user_id, list(trunc(value)::INT ORDER BY event_id) AS v FROM events GROUP BY 1)
+SELECT user_id, array_to_string(list_resize(v[1:64], 64, 0), ',') AS tokens, array_to_string(list_resize(v[2:65], 64, -100), ',') AS labels FROM t""")
+def pad_and_shift(spark, d):
+    listed = F.sort_array(F.collect_list(F.struct("event_id", F.col("value").cast("int").alias("v"))))
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.transform(listed, lambda x: x["v"]).alias("v"))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return rows.select("user_id", text(s.padded_tokens(F.col("v"), 64, 0)).alias("tokens"), text(s.shifted_labels(F.col("v"), 64)).alias("labels"))
+
+
+@query("""WITH f AS (SELECT vec_id, list_concat(embedding::DOUBLE[], list_resize([]::DOUBLE[], 24 - 64 % 24, 0.0::DOUBLE)) AS x FROM embeddings), k AS (SELECT unnest(range(3)) AS k)
+SELECT vec_id, k AS frame, round(list_sum(x[k * 24 + 1:k * 24 + 24]), 6) AS total FROM f, k""")
+def audio_frames(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(s.frames(F.col("embedding").cast("array<double>"), 24)).alias("frame", "x"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return rows.select("vec_id", F.col("frame").cast("long").alias("frame"), F.round(total, 6).alias("total"))
+
+
+@query("SELECT vec_id, round(max(abs(x::DOUBLE)), 6) AS peak, round(max(x::DOUBLE / m), 6) AS top FROM (SELECT vec_id, unnest(embedding) AS x, list_max(list_transform(embedding, lambda v: abs(v)))::DOUBLE AS m FROM embeddings) GROUP BY 1")
+def peak_normalized(spark, d):
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, d, "embeddings").select("vec_id", x.alias("x"), F.array_max(F.transform(x, lambda v: F.abs(v))).alias("m"))
+    return rows.select("vec_id", F.round("m", 6).alias("peak"), F.round(F.array_max(F.transform("x", lambda v: v / F.col("m"))), 6).alias("top"))
+
+
+@query(f"WITH {E}, r AS (SELECT event_id, trunc((ms - 86400000) / 10)::BIGINT AS raw FROM e) SELECT event_id, least(greatest(raw, -512), 10000000)::BIGINT AS step, raw <> least(greatest(raw, -512), 10000000) AS clipped FROM r")
+def relative_steps(spark, d):
+    rows = events(spark, d).select("event_id", s.relative_step(F.col("ms"), F.lit(86_400_000), -512, 10_000_000).alias("r"))
+    return rows.select("event_id", F.col("r.step").cast("long").alias("step"), "r.clipped")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding[1:7]::DOUBLE[] AS v, least(greatest((0.4 + vec_id % 18 / 10.0 - 0.5) / 0.25, 0), 6) AS x FROM embeddings), i AS (SELECT *, least(floor(x)::INT, 5) AS i FROM e)
+SELECT vec_id, round(v[i + 1] + (v[i + 2] - v[i + 1]) * (x - i), 6) AS y FROM i""")
+def interpolated_ratings(spark, d):
+    speed = 0.4 + F.col("vec_id") % 18 / F.lit(10.0)
+    y = s.interpolated(speed, 0.5, 0.25, F.slice(F.col("embedding").cast("array<double>"), 1, 7))
+    return table(spark, d, "embeddings").select("vec_id", F.round(y, 6).alias("y"))
+
+
+@query("""SELECT o_orderkey, lpad(o_custkey::VARCHAR, 7, '0') AS padded, CASE WHEN o_totalprice / 60000 < 2.5 THEN 'Easy' WHEN o_totalprice / 60000 < 3.5 THEN 'Normal' WHEN o_totalprice / 60000 < 4.5 THEN 'Hard' WHEN o_totalprice / 60000 < 5.5 THEN 'Insane' ELSE 'Expert' END AS label,
+year(o_orderdate)::INT AS year, regexp_replace(trim(regexp_replace(o_orderpriority || ' :  ' || o_orderstatus || '?', '[<>:"/\\\\|?*]', '', 'g')), '\\s{2,}', ' ', 'g') AS slug, '"' || o_orderpriority || '"' AS quoted FROM orders""")
+def text_functions(spark, d):
+    return table(spark, d, "orders").select(
+        "o_orderkey", s.padded(F.col("o_custkey"), 7).alias("padded"), s.difficulty_label(F.col("o_totalprice") / 60000).alias("label"), F.year("o_orderdate").alias("year"),
+        F.trim(s.slug(F.concat("o_orderpriority", F.lit(" :  "), "o_orderstatus", F.lit("?")))).alias("slug"), s.quoted(F.col("o_orderpriority")).alias("quoted"),
+    )
+
+
+@query("SELECT event_id, coalesce(try_cast(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT), -1) AS k FROM events")
+def header_number(spark, d):
+    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(-1)).alias("k"))
+
+
+@query("WITH f AS (SELECT doc_id, instr(text, 'nd')::INT AS found_at, text FROM documents) SELECT doc_id, found_at, substr(text, found_at + 2, 5) AS tail FROM f WHERE found_at > 0")
+def after_marker(spark, d):
+    at = F.instr("text", "nd")
+    return table(spark, d, "documents").where(at > 0).select("doc_id", at.alias("found_at"), F.substring(F.col("text"), at + 2, F.lit(5)).alias("tail"))
+
+
+@query("""WITH s(size, start, n) AS (VALUES (34, 0, 5), (33, 34, 10), (33, 67, 1)), k AS (SELECT *, unnest(range(n)) AS k FROM s)
+SELECT (start + round_even(k * CASE WHEN n > 1 THEN (size - 1) / (n - 1)::DOUBLE ELSE 1 END, 0))::INT AS step FROM k""")
+def section_steps(spark, d):
+    return spark.range(1).select(F.explode(s.section_steps(100, [5, 10, 1])).alias("step"))
+
+
+@query("""WITH c AS (SELECT event_id, unnest(range(24)) AS i, value AS x, (event_id % 384)::DOUBLE AS y FROM events WHERE event_id < 800), p AS (SELECT event_id, x + 90 * cos(2 * pi() * i / 23) AS px, y + 90 * sin(2 * pi() * i / 23) AS py FROM c)
+SELECT event_id, count(*) AS n, round(avg(px), 4) AS mean_x FROM p WHERE px BETWEEN 0 AND 512 AND py BETWEEN 0 AND 384 GROUP BY 1""")
+def circle_candidates(spark, d):
+    points = s.circle_candidates(F.col("value"), (F.col("event_id") % 384).cast("double"), F.lit(90.0), 24)
+    rows = table(spark, d, "events").where("event_id < 800").select("event_id", F.inline(points))
+    return rows.groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean_x"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 4 <> 0 THEN l_partkey % 4 ELSE 2 END::INT AS sample_set, CASE WHEN l_suppkey % 4 <> 0 THEN l_suppkey % 4 WHEN l_partkey % 4 <> 0 THEN l_partkey % 4 ELSE 2 END::INT AS addition_set, least(l_quantity::INT * 3, 100) AS volume FROM lineitem")
+def sample_fields(spark, d):
+    part = lambda c: (F.col(c) % 4).cast("string")
+    field = F.concat_ws(":", part("l_partkey"), part("l_suppkey"), F.lit("0"), (F.col("l_quantity").cast("int") * 3).cast("string"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s.sample_field(field, F.lit(0), F.lit(70)).alias("f"))
+    return rows.select("l_orderkey", "l_linenumber", "f.*")
+
+
+@query()
+def jitter_and_flip(spark, d):
+    rows = table(spark, d, "events").select("event_id", "value")
+    moved = F.col("value") + F.round((s.uniform(1, "event_id") - 0.5) * 4, 3)
+    return rows.select("event_id", F.when(s.uniform(2, "event_id") < 0.5, 512 - moved).otherwise(moved).alias("x"))
+
 

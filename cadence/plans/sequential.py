@@ -1 +1,89 @@
+"""Queries whose operators walk ordered groups; tests hold them against small worked cases."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from cadence.functions import curves
+from cadence.operators import sequential as seq
+from cadence.plans.joins import events
+from cadence.plans.registry import query, table
+
+
+def _points(spark, d):
+    rows = events(spark, d).where("event_type IN ('purchase', 'signup')")
+    red = F.col("event_type") == "purchase"
+    return rows.select(
+        F.col("user_id").alias("track"), F.expr("ms div 1000").alias("offset_ms"), F.when(red, F.lit(300.0)).otherwise(F.lit(-100.0)).alias("value"),
+        F.lit(4).alias("meter"), F.lit(2).alias("sample_type"), F.lit(0).alias("sample_set"), F.lit(100).alias("volume"), F.lit(False).alias("kiai"), red.alias("is_red"),
+    )
+
+
+@query()
+def timing_edits(spark, d):
+    rows = events(spark, d).where("event_type = 'error'")
+    no = F.lit(False)
+    changes = rows.select(
+        F.col("user_id").alias("track"), F.expr("ms div 1000").alias("offset_ms"), F.col("event_id").alias("seq"), F.lit(-50.0).alias("value"), F.lit(3).alias("meter"),
+        F.lit(1).alias("sample_type"), F.lit(0).alias("sample_set"), (F.col("event_id") % 100).cast("int").alias("volume"), F.lit(True).alias("kiai"),
+        (F.col("event_id") % 3 == 0).alias("is_red"), (F.col("event_id") % 2 == 0).alias("set_value"), no.alias("set_meter"), no.alias("set_sample_type"),
+        no.alias("set_sample_set"), F.lit(True).alias("set_volume"), no.alias("set_kiai"),
+    )
+    return seq.timing_edits(_points(spark, d), changes)
+
+
+@query()
+def proximity_snap(spark, d):
+    rows = events(spark, d).select(
+        F.col("user_id").alias("chart"), F.col("event_id").alias("seq"), F.expr("ms div 36000").alias("time_ms"), F.round("value", 0).alias("x"), (F.col("event_id") % 7).cast("double").alias("y")
+    )
+    return seq.snapped_overlaps(rows)
+
+
+def _signal(spark, d):
+    rows = events(spark, d).where("event_type IN ('click', 'view')").groupBy(F.col("user_id").alias("track"), F.expr("ms div 3600000").alias("place"))
+    return rows.agg(F.sum("value").alias("value"))
+
+
+@query()
+def signal_peaks(spark, d):
+    return seq.find_peaks(_signal(spark, d), distance=3, prominence=1.0, reach=12).withColumn("prominence", F.round("prominence", 6))
+
+
+@query()
+def beat_walk(spark, d):
+    peaks = seq.find_peaks(_signal(spark, d), distance=3, prominence=1.0, reach=12)
+    peaks = peaks.select("track", "place", "prominence", F.lit(12.0).alias("period_ms"), F.lit(True).alias("sure"), F.lit(720.0).alias("length_ms"))
+    return seq.beat_walk(peaks, near=0.05, doubtful=0.2, margin=4)
+
+
+@query()
+def measure_votes(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ms", "event_id")
+    rows = events(spark, d).select(F.col("user_id").alias("track"), (F.row_number().over(w) - 1).cast("long").alias("seq"), F.col("value").alias("score"), (F.col("event_type") == "purchase").alias("is_red"))
+    return seq.measure_votes(rows, 4)
+
+
+@query()
+def tempo_sections(spark, d):
+    rows = events(spark, d).select(F.col("user_id").alias("track"), F.expr("ms div 10000").alias("time_ms"), (F.col("event_type") == "signup").alias("is_red"))
+    return seq.tempo_sections(rows).withColumn("ms_per_beat", F.round("ms_per_beat", 6))
+
+
+@query()
+def curve_lengths(spark, d):
+    x, y = F.slice("embedding", 1, 4).cast("array<double>"), F.slice("embedding", 5, 4).cast("array<double>")
+    kind = F.element_at(F.array(*map(F.lit, "BCL")), (F.col("vec_id") % 3 + 1).cast("int"))
+    total = F.element_at(curves.cumulative_length(kind, x, y), -1)
+    near = curves.progress_of(kind, x, y, F.lit(0.0), F.lit(0.0))
+    return table(spark, d, "embeddings").select("vec_id", F.round(total, 6).alias("length"), F.round(near, 6).alias("progress"))
+
+
+@query()
+def paired_spans(spark, d):
+    """Spinners and holds: each end with the last start before it that no other end has taken."""
+    w = Window.partitionBy("user_id").orderBy("ms", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = events(spark, d).where("event_type IN ('signup', 'error')").withColumn("is_end", F.col("event_type") == "error")
+    rows = rows.withColumn("last", F.last(F.struct("ms", "is_end")).over(w))
+    return rows.where("is_end AND NOT last.is_end").select("user_id", F.col("last.ms").alias("start"), F.col("ms").alias("end"))

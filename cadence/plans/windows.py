@@ -114,7 +114,7 @@ SELECT user_id, seq, coalesce(t, trunc(lo + (coalesce(hi, lo) - lo) * i / (k + 1
 def interp_gaps(spark, d):
     timed = F.when(F.col("event_type").isin("click", "view"), F.col("ms"))
     rows = numbered(spark, d).select("seq", "user_id", timed.alias("ms"))
-    return win.gap_filled(rows, "user_id", "ms", win.ordered("user_id", "seq"))
+    return win.gap_filled(rows, "user_id", "ms", "seq")
 
 
 @query(f"""WITH {_N}, g AS (SELECT *, coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS raw, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id) AS total FROM n)
