@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from cadence.operators import joins
 from cadence.plans.registry import query, table
 
-MS = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 1000")
+MS = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 1000"
 E = "e AS (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000 AS ms FROM events)"
 
 
 def events(spark, d):
-    return table(spark, d, "events").withColumn("ms", MS)
+    return table(spark, d, "events").withColumn("ms", F.expr(MS))
 
 
 @query("""WITH t AS (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS tags FROM orders GROUP BY 1)

@@ -10,16 +10,19 @@ from cadence.operators import windows as win
 from cadence.plans.joins import E, events
 from cadence.plans.registry import query, table
 
-W = win.ordered("user_id", "ms", "event_id")
 _W = "(PARTITION BY user_id ORDER BY ms, event_id)"
 
 
+def order():
+    return win.ordered("user_id", "ms", "event_id")
+
+
 def stream(spark, d):
     return events(spark, d).select("event_id", "user_id", "event_type", "value", "ms")
 
 
 def numbered(spark, d):
-    return stream(spark, d).withColumn("seq", F.row_number().over(W) - 1)
+    return stream(spark, d).withColumn("seq", F.row_number().over(order()) - 1)
 
 
 _N = f"{E}, n AS (SELECT event_id, user_id, event_type, value, ms, row_number() OVER {_W} - 1 AS seq FROM e)"
@@ -27,19 +30,19 @@ _N = f"{E}, n AS (SELECT event_id, user_id, event_type, value, ms, row_number()
 
 @query(f"WITH {E} SELECT event_id, round(sqrt((value - coalesce(lag(value) OVER {_W}, 256)) ^ 2 + (ms % 384 - coalesce(lag(ms % 384) OVER {_W}, 192)) ^ 2), 6) AS distance FROM e")
 def step_distance(spark, d):
-    far = win.step_distance(F.col("value"), (F.col("ms") % 384).cast("double"), W)
+    far = win.step_distance(F.col("value"), (F.col("ms") % 384).cast("double"), order())
     return stream(spark, d).select("event_id", F.round(far, 6).alias("distance"))
 
 
 @query(f"WITH {E}, c AS (SELECT event_id, event_type, coalesce(lag(event_type) OVER {_W}, 'view') AS before FROM e) SELECT event_id, event_type FROM c WHERE event_type <> before")
 def state_changes(spark, d):
-    return win.changes(stream(spark, d), "event_type", W, initial="view").select("event_id", "event_type")
+    return win.changes(stream(spark, d), "event_type", order(), initial="view").select("event_id", "event_type")
 
 
 @query(f"WITH {E} SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100) AS carried FROM e")
 def carry_forward(spark, d):
     value = F.when(F.col("event_type") == "purchase", F.col("value"))
-    return stream(spark, d).select("event_id", win.carried(value, W, 100.0).alias("carried"))
+    return stream(spark, d).select("event_id", win.carried(value, order(), 100.0).alias("carried"))
 
 
 @query(f"""WITH {E}, p AS (SELECT event_id, user_id, ms // 3600000 AS hour, event_type = 'purchase' AS red, CASE WHEN event_type = 'purchase' THEN 100 + event_id % 400 ELSE -50 - event_id % 100 END::DOUBLE AS v FROM e WHERE event_type IN ('purchase', 'signup')),
@@ -67,7 +70,7 @@ def beat_grid(spark, d):
 @query(f"""WITH {_N} SELECT a.event_id, string_agg(b.event_type, ',' ORDER BY b.seq) FILTER (b.seq < a.seq - 1) AS history, max(b.event_type) FILTER (b.seq = a.seq - 1) AS label
 FROM n a JOIN n b ON a.user_id = b.user_id AND b.seq BETWEEN a.seq - 5 AND a.seq - 1 WHERE a.event_type = 'purchase' AND a.seq > 4 GROUP BY 1""")
 def history_windows(spark, d):
-    rows = win.histories(stream(spark, d), W, "event_type", 4, F.col("event_type") == "purchase")
+    rows = win.histories(stream(spark, d), order(), "event_type", 4, F.col("event_type") == "purchase")
     return rows.select("event_id", F.array_join("history", ",").alias("history"), "label")
 
 
@@ -96,7 +99,7 @@ def tumbling_windows(spark, d):
 
 @query(f"WITH {E} SELECT event_id, round(sum(value) OVER {_W}, 4) AS length FROM e")
 def path_length(spark, d):
-    return stream(spark, d).select("event_id", F.round(win.path_length(F.col("value"), W), 4).alias("length"))
+    return stream(spark, d).select("event_id", F.round(win.path_length(F.col("value"), order()), 4).alias("length"))
 
 
 @query(f"""WITH {E}, c AS (SELECT user_id, ms // 3600000 AS h, count(*)::DOUBLE AS n FROM e WHERE event_type = 'click' GROUP BY ALL), k AS (SELECT i, exp(-0.5 * (i / 2.0) ^ 2) AS w FROM unnest(range(-8, 9)) AS r(i)),
@@ -146,13 +149,13 @@ def beats_between(spark, d):
 
 @query(f"WITH {E} SELECT event_id, coalesce(least(greatest(round_even((ms - lag(ms) OVER {_W} - 1000) * 0.00001, 0)::BIGINT, 0), 500), -1)::INT AS step FROM e")
 def delta_steps(spark, d):
-    step = win.delta_step(F.col("ms"), W, 1000, 0.00001, 500)
+    step = win.delta_step(F.col("ms"), order(), 1000, 0.00001, 500)
     return stream(spark, d).select("event_id", F.coalesce(step, F.lit(-1)).alias("step"))
 
 
 @query(f"WITH {E}, g AS (SELECT event_id, (ms - lag(ms) OVER {_W}) // 1000000 AS period FROM e WHERE event_type = 'click') SELECT event_id, period FROM g WHERE period > 20 AND period < 100")
 def beat_periods(spark, d):
-    rows = stream(spark, d).where("event_type = 'click'").withColumn("_d", F.col("ms") - F.lag("ms").over(W))
+    rows = stream(spark, d).where("event_type = 'click'").withColumn("_d", F.col("ms") - F.lag("ms").over(order()))
     return rows.select("event_id", F.expr("_d div 1000000").alias("period")).where("period > 20 AND period < 100")
 
 
@@ -162,7 +165,7 @@ def nearest_fill(spark, d):
     rows = stream(spark, d)
     rows = rows.join(F.broadcast(rows.agg(F.percentile("value", 0.5).alias("m"))))
     known = F.when(F.col("event_type") == "purchase", F.col("value"))
-    return rows.select("event_id", F.round(win.filled_forward_back(known, W, F.col("m")), 6).alias("filled"))
+    return rows.select("event_id", F.round(win.filled_forward_back(known, order(), F.col("m")), 6).alias("filled"))
 
 
 @query("""WITH t AS (SELECT event_id, value + 1 AS v FROM events), a AS (SELECT event_id, v / ceil(v / (120 * 1.5)) AS x FROM t) SELECT event_id, round(x * ceil((120 / 1.5) / x), 6) AS tempo FROM a""")

@@ -58,7 +58,7 @@ def numbered_files(spark: SparkSession, pattern: str, start: int, end: int) -> D
 
 def metric_log(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """(file, line, metric, value): lines `name: number` of log files, in file order."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     pattern = "^\\s*(" + "|".join(names) + r"):\s*(-?\d+(?:\.\d+)?)"
     found = lines.where(F.col("text").rlike(pattern))
     return found.select("file", "line", F.regexp_extract("text", pattern, 1).alias("metric"), F.regexp_extract("text", pattern, 2).cast("double").alias("value"))
@@ -73,5 +73,5 @@ def after_marker(lines: DataFrame, text: str, marker: str, width: int) -> DataFr
 def header_field(spark: SparkSession, path: str, field: str) -> DataFrame:
     """(file, value) of the first `field: value` line of each file."""
     pattern = rf"(?m)^{field}:\s*(.*?)\s*$"
-    rows = spark.read.option("wholetext", True).text(path)
-    return rows.select(F.input_file_name().alias("file"), F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).alias("value"))
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.input_file_name().alias("file"), F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).alias("found")).withColumnRenamed("found", "value")

@@ -15,7 +15,7 @@ CIRCLE, SLIDER, NEW_COMBO, SPINNER, HOLD = 1, 2, 4, 8, 128
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, section, text) of non-empty lines that are not comments; lines before any section have none."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     head = F.nullif(F.regexp_extract("text", r"^\[(\w+)\]\s*$", 1), F.lit(""))
     order = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("head", head).withColumn("section", F.last("head", ignorenulls=True).over(order))
