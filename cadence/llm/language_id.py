@@ -43,7 +43,7 @@ BITS = 16
 #: A language is a candidate in a script that has at least this share of its letters.
 LEAST_SHARE = 0.01
 _RUNS = re.compile(r"[^\W\d_]+")
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 _CELLS = 600_000
 
 
@@ -217,7 +217,7 @@ def predict(
     def label(batches):
         labeller = Labeller(shared.value, penalty)
         langs = shared.value.languages
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
             while at < len(texts):

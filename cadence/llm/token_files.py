@@ -24,7 +24,7 @@ from cadence.llm.common import Published, mapped, open_store, partitions
 #: Stands for a null id in .doc files; it sorts first, as null does.
 NULL_ID = -(2**63)
 #: Pieces whose tokens a worker process keeps; later ones are encoded each time they are met.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 300_000
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
@@ -91,19 +91,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         shard = TaskContext.get().partitionId()
         encoder, files, total, offsets, ids = None, None, 0, [0], []
         for batch in batches:
-            at = 0
-            every = batch.column(0).to_pylist()
-            for texts in _in_parts(batch.column(1).to_pylist()):
-                if encoder is None:
-                    encoder = PieceEncoder.of(tokenizer_path)
-                    end = np.array([end_id], encoder.dtype).tobytes()
-                    files = Published(f"{folder}/shard-{shard:05d}.tok")
-                for data in encoder(texts):
-                    total += len(data) // encoder.dtype.itemsize + 1
-                    offsets.append(total)
-                    files.write(data + end)
-                ids += [NULL_ID if x is None else x for x in every[at : at + len(texts)]]
-                at += len(texts)
+            for row in range(0, batch.num_rows, 1024):
+                part = batch.slice(row, 1024)
+                ids += [NULL_ID if x is None else x for x in part.column(0).to_pylist()]
+                for texts in _in_parts(part.column(1).to_pylist()):
+                    if encoder is None:
+                        encoder = PieceEncoder.of(tokenizer_path)
+                        end = np.array([end_id], encoder.dtype).tobytes()
+                        files = Published(f"{folder}/shard-{shard:05d}.tok")
+                    for data in encoder(texts):
+                        total += len(data) // encoder.dtype.itemsize + 1
+                        offsets.append(total)
+                        files.write(data + end)
         if files is not None:
             files.close()
             for name, values in (("off", offsets), ("doc", ids)):
