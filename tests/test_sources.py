@@ -101,3 +101,19 @@ def test_render_and_names(spark):
     names = spark.createDataFrame([("a.txt", 1), ("a.txt", 2), ("b", 3)], "name string, n long")
     assert sorted(r.name for r in sinks.unique_names(names, "name", "n").collect()) == ["a (1).txt", "a.txt", "b"]
     assert sinks.html_rows(spark.createDataFrame([("<x>", 1)], "a string, b long"), ["a", "b"]).first().value == "<tr><td>&lt;x></td><td>1</td></tr>"
+
+
+def test_assembly(spark):
+    from cadence.operators import assembly
+
+    g = lambda seq, kind, time, x=None, y=None, combo=False: (1, seq, kind, time, x, y, combo, 0, None, None)
+    rows = [
+        g(0, "circle", 10, 5.0, 6.0, True), g(1, "hold", 20, 64.0), g(2, "hold_end", 40), g(3, "hold_end", 50), g(4, "spinner", 60), g(5, "spinner_end", 90),
+        g(6, "slider_head", 100, 10.0, 20.0), g(7, "perfect_anchor", 100, 30.0, 40.0), g(8, "red_anchor", 110, 1.0, 2.0), g(9, "last_anchor", 200, 50.0, 60.0),
+        g(10, "slider_end", 300, 50.0, 60.0), g(11, "slider_head", 400, 1.0, 1.0), g(12, "slider_end", 500),
+    ]
+    schema = "chart long, seq long, type string, time long, x double, y double, new_combo boolean, hitsound int, sample_set int, addition int"
+    got = [r.text for r in assembly.hit_object_lines(spark.createDataFrame(rows, schema)).orderBy("seq").collect()]
+    assert got == [
+        "5,6,10,5,0,0:0:0:0:", "64,192,20,128,0,40:0:0:0:0:", "256,192,60,12,0,90,0:0:0:0:", "10,20,100,2,0,P|30:40|1:2|1:2|50:60,2,100,0:0:0:0:"
+    ]
