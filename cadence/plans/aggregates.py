@@ -149,14 +149,14 @@ def acc_by_complexity(spark, d):
     return rows.groupBy("bin").agg(F.round(F.avg((F.col("pred") == F.col("label")).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {_PRED}, c AS (SELECT user_id, bool_or(event_type = 'error') AS e, bool_or(event_type = 'purchase') AS b, bool_or(event_type = 'signup') AS s FROM p WHERE event_id % 20 = 0 GROUP BY 1)
-SELECT t AS template, count(*) AS n, round(avg(value), 6) AS mean FROM p JOIN c USING (user_id), (VALUES ('error', true, false, false), ('error,purchase', true, true, false), ('error,purchase,signup', true, true, true)) AS x(t, xe, xb, xs)
+@query(f"""WITH {_PRED}, q AS (SELECT p.*, ms // 86400000 AS day FROM p JOIN e USING (event_id)), c AS (SELECT user_id, day, bool_or(event_type = 'error') AS e, bool_or(event_type = 'purchase') AS b, bool_or(event_type = 'signup') AS s FROM q GROUP BY ALL)
+SELECT t AS template, count(*) AS n, round(avg(value), 6) AS mean FROM q JOIN c USING (user_id, day), (VALUES ('error', true, false, false), ('error,purchase', true, true, false), ('error,purchase,signup', true, true, true)) AS x(t, xe, xb, xs)
 WHERE e = xe AND b = xb AND s = xs GROUP BY 1""")
 def context_groups(spark, d):
-    rows = predictions(spark, d)
+    rows = events(spark, d).select("user_id", F.expr("ms div 86400000").alias("day"), "event_type", "value")
     of = ["error", "purchase", "signup"]
-    contexts = rows.where("event_id % 20 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("c"))
-    rows = rows.join(contexts, "user_id")
+    contexts = rows.groupBy("user_id", "day").agg(F.collect_set("event_type").alias("c"))
+    rows = rows.join(contexts, ["user_id", "day"])
     templates = [["error"], ["error", "purchase"], ["error", "purchase", "signup"]]
     named = F.array_compact(F.array(*(F.when(agg.exactly(F.col("c"), t, of), F.lit(",".join(t))) for t in templates)))
     return rows.select("value", F.explode(named).alias("template")).groupBy("template").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
@@ -175,10 +175,10 @@ def distinct_rhythm(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
-SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b USING (vec_id) WHERE a.i <= b.i AND b.i < 8 GROUP BY ALL""")
+SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b USING (vec_id) WHERE a.i <= b.i GROUP BY ALL""")
 def mean_cov(spark, d):
     _, _, cov = agg.moments(table(spark, d, "embeddings"), "embedding", 64)
-    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 6)) for i in range(8) for j in range(i, 8)], "i long, j long, cov double")
+    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 6)) for i in range(64) for j in range(i, 64)], "i long, j long, cov double")
 
 
 @query()

@@ -11,11 +11,11 @@ from cadence.session import work_path
 from cadence.sources import catalogue, charts, sinks
 
 
-@query(f"""WITH {E} SELECT user_id, ms // 1000 AS time_ms, (event_id % 512)::DOUBLE AS x, (event_id % 384)::DOUBLE AS y, 'circle' AS kind, false AS new_combo FROM e WHERE event_type = 'click' AND user_id < 40
-UNION ALL SELECT user_id, ms // 1000, 256, 192, 'spinner', true FROM e WHERE event_type = 'signup' AND user_id < 40""")
+@query(f"""WITH {E} SELECT user_id, ms // 1000 AS time_ms, (event_id % 512)::DOUBLE AS x, (event_id % 384)::DOUBLE AS y, 'circle' AS kind, false AS new_combo FROM e WHERE event_type = 'click'
+UNION ALL SELECT user_id, ms // 1000, 256, 192, 'spinner', true FROM e WHERE event_type = 'signup'""")
 def chart_round_trip(spark, d):
     """Charts rendered as text files, one per user, and parsed again: circles from clicks, spinners from signups."""
-    rows = events(spark, d).where("user_id < 40 AND event_type IN ('click', 'signup')")
+    rows = events(spark, d).where("event_type IN ('click', 'signup')")
     at = F.expr("ms div 1000")
     none = F.lit(None)
     click = F.col("event_type") == "click"

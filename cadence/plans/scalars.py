@@ -101,20 +101,20 @@ def human_tempo(spark, d):
     return table(spark, d, "events").select("event_id", F.round(s.human_period(period, lambda x: F.abs(x - period) * 16 <= 10), 6).alias("period"))
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 100 / 400 * 500 / 1.4 AS speed, 0.5 + l_discount * 10 AS last FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 100 / 400 * 500 / 1.4 AS speed, 0.5 + l_discount * 10 AS last, l_linenumber FROM lineitem),
 y AS (SELECT *, round_even(speed * 20, 0) / 20 AS coarse FROM x), z AS (SELECT *, CASE WHEN coarse < 0.1 THEN round_even(speed * 100, 0) / 100 ELSE coarse END AS r FROM y),
-f AS (SELECT l_orderkey, CASE WHEN abs(speed - last) / last <= 0.15 THEN last WHEN r > 1e-5 THEN r ELSE speed END AS sv FROM z)
-SELECT l_orderkey, round(sv, 6) AS sv, round(sv * 400 * 100 / 500 * 1.4, 4) AS length FROM f""")
+f AS (SELECT l_orderkey, l_linenumber, CASE WHEN abs(speed - last) / last <= 0.15 THEN last WHEN r > 1e-5 THEN r ELSE speed END AS sv FROM z)
+SELECT l_orderkey, l_linenumber, round(sv, 6) AS sv, round(sv * 400 * 100 / 500 * 1.4, 4) AS length FROM f""")
 def slider_speed(spark, d):
     sv = s.human_speed(F.col("l_extendedprice"), F.lit(400.0), F.lit(500.0), F.lit(1.4), 0.5 + F.col("l_discount") * 10, F.lit(False))
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", sv.alias("sv"))
-    return rows.select("l_orderkey", F.round("sv", 6).alias("sv"), F.round(s.slider_length(F.col("sv"), F.lit(400.0), F.lit(500.0), F.lit(1.4)), 4).alias("length"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", sv.alias("sv"))
+    return rows.select("l_orderkey", "l_linenumber", F.round("sv", 6).alias("sv"), F.round(s.slider_length(F.col("sv"), F.lit(400.0), F.lit(500.0), F.lit(1.4)), 4).alias("length"))
 
 
-@query("""WITH e AS (SELECT event_id, value FROM events WHERE event_id < 500), i AS (SELECT unnest(range(4)) AS i), x AS (SELECT event_id, i, value * exp(-ln(10000) * i / 4.0) AS a FROM e, i)
+@query("""WITH e AS (SELECT event_id, value FROM events), i AS (SELECT unnest(range(4)) AS i), x AS (SELECT event_id, i, value * exp(-ln(10000) * i / 4.0) AS a FROM e, i)
 SELECT event_id, i AS k, round(cos(a), 6) AS x FROM x UNION ALL SELECT event_id, i + 4, round(sin(a), 6) FROM x""")
 def sinusoids(spark, d):
-    rows = table(spark, d, "events").where("event_id < 500").select("event_id", F.posexplode(s.sinusoids(F.col("value"), 8)).alias("k", "x"))
+    rows = table(spark, d, "events").select("event_id", F.posexplode(s.sinusoids(F.col("value"), 8)).alias("k", "x"))
     return rows.select("event_id", F.col("k").cast("long").alias("k"), F.round("x", 6).alias("x"))
 
 
@@ -125,11 +125,11 @@ def repeat_classes(spark, d):
     return rows.withColumn("one_hot", F.array_join(s.one_hot(F.col("repeat_class"), 5).cast("array<string>"), ""))
 
 
-@query("""WITH c AS (SELECT user_id, list(DISTINCT ascii(event_type) % 8) AS codes FROM events WHERE event_id % 10 = 0 GROUP BY 1)
-SELECT user_id, array_to_string(list_transform(range(8), lambda i: list_contains(codes, i)::INT), '') AS hot FROM c""")
+@query("""WITH c AS (SELECT user_id, ts::DATE AS day, list(DISTINCT ascii(event_type) % 8) AS codes FROM events GROUP BY ALL)
+SELECT user_id, day::VARCHAR AS day, array_to_string(list_transform(range(8), lambda i: list_contains(codes, i)::INT), '') AS hot FROM c""")
 def multi_hot(spark, d):
-    codes = table(spark, d, "events").where("event_id % 10 = 0").groupBy("user_id").agg(F.collect_set(F.ascii("event_type") % 8).alias("codes"))
-    return codes.select("user_id", F.array_join(s.multi_hot(F.col("codes"), 8).cast("array<string>"), "").alias("hot"))
+    codes = table(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.collect_set(F.ascii("event_type") % 8).alias("codes"))
+    return codes.select("user_id", "day", F.array_join(s.multi_hot(F.col("codes"), 8).cast("array<string>"), "").alias("hot"))
 
 
 @query("""WITH t AS (SELECT user_id, list(trunc(value)::INT ORDER BY event_id) AS v FROM events GROUP BY 1)
@@ -196,11 +196,11 @@ def section_steps(spark, d):
     return spark.range(1).select(F.explode(s.section_steps(100, [5, 10, 1])).alias("step"))
 
 
-@query("""WITH c AS (SELECT event_id, unnest(range(24)) AS i, value AS x, (event_id % 384)::DOUBLE AS y FROM events WHERE event_id < 800), p AS (SELECT event_id, x + 90 * cos(2 * pi() * i / 23) AS px, y + 90 * sin(2 * pi() * i / 23) AS py FROM c)
+@query("""WITH c AS (SELECT event_id, unnest(range(24)) AS i, value AS x, (event_id % 384)::DOUBLE AS y FROM events), p AS (SELECT event_id, x + 90 * cos(2 * pi() * i / 23) AS px, y + 90 * sin(2 * pi() * i / 23) AS py FROM c)
 SELECT event_id, count(*) AS n, round(avg(px), 4) AS mean_x FROM p WHERE px BETWEEN 0 AND 512 AND py BETWEEN 0 AND 384 GROUP BY 1""")
 def circle_candidates(spark, d):
     points = s.circle_candidates(F.col("value"), (F.col("event_id") % 384).cast("double"), F.lit(90.0), 24)
-    rows = table(spark, d, "events").where("event_id < 800").select("event_id", F.inline(points))
+    rows = table(spark, d, "events").select("event_id", F.inline(points))
     return rows.groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean_x"))
 
 

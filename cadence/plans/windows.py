@@ -174,9 +174,9 @@ def octave_normalized(spark, d):
     return table(spark, d, "events").select("event_id", F.round(tempo, 6).alias("tempo"))
 
 
-@query(f"WITH {_N} SELECT a.user_id, a.seq AS i, b.seq AS j FROM n a JOIN n b ON a.user_id = b.user_id AND abs(a.seq - b.seq) <= 2 WHERE a.user_id < 20")
+@query(f"WITH {_N} SELECT a.user_id, a.seq AS i, b.seq AS j FROM n a JOIN n b ON a.user_id = b.user_id AND abs(a.seq - b.seq) <= 2")
 def banded_neighbourhood(spark, d):
-    return win.neighbourhood(numbered(spark, d).where("user_id < 20").select("user_id", F.col("seq").cast("long").alias("seq")), "user_id", "seq", 2)
+    return win.neighbourhood(numbered(spark, d).select("user_id", F.col("seq").cast("long").alias("seq")), "user_id", "seq", 2)
 
 
 @query("SELECT doc_id, s AS start, least(s + 1000, n_chars) AS stop FROM documents, unnest(range(0, n_chars - 200, 800)) AS r(s) WHERE n_chars > 200")
@@ -185,10 +185,10 @@ def part_schedule(spark, d):
     return rows.select("doc_id", F.col("p.start").alias("start"), F.col("p.end").alias("stop"))
 
 
-@query("WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS round FROM orders) SELECT o_orderkey, o_orderpriority, round FROM r WHERE round <= 50")
+@query("WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS round FROM orders) SELECT o_orderkey, o_orderpriority, round FROM r")
 def interleave(spark, d):
     rows = win.interleaved(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey")
-    return rows.where("round <= 50").orderBy("round", "o_orderpriority")
+    return rows.orderBy("round", "o_orderpriority")
 
 
 @query(f"WITH {E}, h AS (SELECT event_id, user_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM e) SELECT event_id, user_id FROM h WHERE high IS NULL OR value >= high")
@@ -246,14 +246,14 @@ def red_before_green(spark, d):
     return rows.select("event_id", F.row_number().over(order).alias("place"))
 
 
-@query("""WITH c AS (SELECT user_id, list(DISTINCT event_type) AS has FROM events WHERE event_id % 15 = 0 GROUP BY 1), t(k, need) AS (VALUES (0, ['view']), (1, ['error', 'view']), (2, ['click', 'purchase', 'view']))
-SELECT user_id, arg_max(k, len(need) * 10 - k) AS template FROM c, t WHERE list_has_all(has, need) GROUP BY 1""")
+@query("""WITH c AS (SELECT user_id, ts::DATE::VARCHAR AS day, list(DISTINCT event_type) AS has FROM events GROUP BY ALL), t(k, need) AS (VALUES (0, ['view']), (1, ['error', 'view']), (2, ['click', 'purchase', 'view']))
+SELECT user_id, day, arg_max(k, len(need) * 10 - k) AS template FROM c, t WHERE list_has_all(has, need) GROUP BY ALL""")
 def best_template(spark, d):
-    has = table(spark, d, "events").where("event_id % 15 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("has"))
+    has = table(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.collect_set("event_type").alias("has"))
     needs = [["view"], ["error", "view"], ["click", "purchase", "view"]]
     fits = [F.when(F.forall(F.array(*map(F.lit, n)), lambda x: F.array_contains("has", x)), F.struct(F.lit(len(n)).alias("n"), F.lit(-k).alias("k"))) for k, n in enumerate(needs)]
     best = F.array_max(F.array_compact(F.array(*fits)))
-    return has.select("user_id", best.alias("b")).where("b IS NOT NULL").select("user_id", (-F.col("b.k")).alias("template"))
+    return has.select("user_id", "day", best.alias("b")).where("b IS NOT NULL").select("user_id", "day", (-F.col("b.k")).alias("template"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, event_type FROM events WHERE value > 50")
