@@ -24,7 +24,7 @@ from cadence.llm.common import Published, mapped, open_store, partitions
 #: Stands for a null id in .doc files; it sorts first, as null does.
 NULL_ID = -(2**63)
 #: Pieces whose tokens a worker process keeps; later ones are encoded each time they are met.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 500_000
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
@@ -40,6 +40,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.kept: dict[bytes, bytes] = {}
+        # a special token cuts a text before anything else happens, so it can stand between pieces encoded in one go
+        plain = ((i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word))
+        self.cut_id, cut = next(plain, (None, None))
+        self.cut = cut.content if cut else None
 
     @classmethod
     def of(cls, tokenizer_path: str) -> "PieceEncoder":
@@ -50,14 +54,40 @@ class PieceEncoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
-        new = list({p for pieces in split for p in pieces} - self.kept.keys())
-        known = self.kept if len(self.kept) + len(new) <= KEPT_PIECES else dict(self.kept)
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for piece, enc in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                known[piece] = np.array(enc.ids, self.dtype).tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        found = [list(map(self.kept.get, pieces)) for pieces in split]
+        new = list({p for pieces, ids in zip(split, found, strict=True) for p, i in zip(pieces, ids, strict=True) if i is None})
+        known = self._encoded(new)
+        for pieces, ids in zip(split, found, strict=True):
+            if None in ids:
+                ids[:] = [known[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+        if len(self.kept) + len(new) <= KEPT_PIECES:
+            self.kept |= known
+        return [b"".join(ids) for ids in found]
+
+    def _encoded(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Each piece's tokens; many pieces go to the library as one text where none of them holds the cutting token."""
+        step = 256 if self.cut else 1
+        groups = [pieces[i : i + step] for i in range(0, len(pieces), step)]
+        out: dict[bytes, bytes] = {}
+        for i in range(0, len(groups), 64):
+            texts, owners = [], []
+            for group in groups[i : i + 64]:
+                own = [p.decode() for p in group]
+                joined = (self.cut or "").join(own)
+                if self.cut and joined.count(self.cut) == len(own) - 1:
+                    texts.append(joined)
+                    owners.append(group)
+                else:
+                    texts += own
+                    owners += [[p] for p in group]
+            for owner, enc in zip(owners, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(enc.ids, self.dtype)
+                cuts = np.flatnonzero(ids == self.cut_id).tolist() if len(owner) > 1 else []
+                data, size = ids.tobytes(), self.dtype.itemsize
+                starts, ends = [0, *(size * (c + 1) for c in cuts)], [*(size * c for c in cuts), len(data)]
+                for piece, a, b in zip(owner, starts, ends, strict=True):
+                    out[piece] = data[a:b]
+        return out
 
 
 def _in_parts(texts, most_chars: int = 4_000_000):
