@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that this driver has made in the shared folder.
+_MADE: list[str] = []
+
 
 def build_session(name: str = "cadence", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the operators assume (UTC, AQE); `conf` overrides them."""
@@ -44,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,3 +58,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Remove what written() and work_path() have made in this session; results read from there must be saved before."""
+    jvm = spark.sparkContext._jvm
+    for path in _MADE:
+        to = jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+    _MADE.clear()

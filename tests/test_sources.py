@@ -117,3 +117,14 @@ def test_assembly(spark):
     assert got == [
         "5,6,10,5,0,0:0:0:0:", "64,192,20,128,0,40:0:0:0:0:", "256,192,60,12,0,90,0:0:0:0:", "10,20,100,2,0,P|30:40|1:2|1:2|50:60,2,100,0:0:0:0:"
     ]
+
+
+def test_work_is_dropped(spark):
+    from cadence import session
+
+    df = session.written(spark.range(3).toDF("id"), "here")
+    path = session._MADE[-1]
+    assert df.count() == 3
+    session.drop_work(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
