@@ -55,12 +55,12 @@ class PieceEncoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
         found = [list(map(self.kept.get, pieces)) for pieces in split]
-        new = list({p for pieces, ids in zip(split, found, strict=True) for p, i in zip(pieces, ids, strict=True) if i is None})
-        known = self._encoded(new)
-        for pieces, ids in zip(split, found, strict=True):
-            if None in ids:
-                ids[:] = [known[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
-        if len(self.kept) + len(new) <= KEPT_PIECES:
+        missing = [[j for j, i in enumerate(ids) if i is None] for ids in found]
+        known = self._encoded(list({pieces[j] for pieces, at in zip(split, missing, strict=True) for j in at}))
+        for pieces, ids, at in zip(split, found, missing, strict=True):
+            for j in at:
+                ids[j] = known[pieces[j]]
+        if len(self.kept) + len(known) <= KEPT_PIECES:
             self.kept |= known
         return [b"".join(ids) for ids in found]
 
