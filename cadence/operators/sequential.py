@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 POINT_FIELDS = ["sample_type", "sample_set", "volume", "kiai"]
+POINT_SCHEMA = pa.schema([
+    ("track", pa.int64()), ("offset_ms", pa.int64()), ("value", pa.float64()), ("meter", pa.int32()), ("sample_type", pa.int32()), ("sample_set", pa.int32()),
+    ("volume", pa.int32()), ("kiai", pa.bool_()), ("is_red", pa.bool_()),
+])
 POINTS = "track long, offset_ms long, value double, meter int, sample_type int, sample_set int, volume int, kiai boolean, is_red boolean"
 
 
@@ -54,13 +59,29 @@ def timing_edits(points: DataFrame, changes: DataFrame, all_after: bool = False,
                     spread(p, c)
         return sorted(own, key=lambda p: (p["offset_ms"], not p["is_red"]))
 
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = left.sort_values(["offset_ms", "is_red"], ascending=[True, False], kind="stable").to_dict("records")
-        for c in right.sort_values(["offset_ms", "seq"], kind="stable").to_dict("records"):
+    def fold(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = sorted(left.to_pylist(), key=lambda p: (p["offset_ms"], not p["is_red"]))
+        for c in sorted(right.to_pylist(), key=lambda c: (c["offset_ms"], c["seq"])):
             own = edit(own, c)
-        return pd.DataFrame(own, columns=[f.split()[0] for f in POINTS.split(", ")])
+        return pa.Table.from_pylist(own, POINT_SCHEMA)
 
-    return points.groupBy("track").cogroup(changes.groupBy("track")).applyInPandas(fold, POINTS)
+    return points.groupBy("track").cogroup(changes.groupBy("track")).applyInArrow(fold, POINTS)
+
+
+def nearest_by_loss(queries: DataFrame, peaks_: DataFrame) -> DataFrame:
+    """(track, id, place): for each query (track, id, time_ms) the peak (track, place, prominence) with the least distance
+    over prominence, the earliest of equal ones. Queries are held against their track's peaks in blocks; no pair leaves
+    the task. Queries of tracks without peaks go."""
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, height = right["place"].to_numpy(), right["prominence"].to_numpy()
+        order = np.argsort(at, kind="stable")
+        at, height, t = at[order], height[order], left["time_ms"].to_numpy()
+        best = [at[(np.abs(at[None, :] - t[i : i + 256, None]) / height).argmin(axis=1)] for i in range(0, len(t) if len(at) else 0, 256)]
+        left = left if len(at) else left.slice(0, 0)
+        return pa.table({"track": left["track"], "id": left["id"], "place": pa.array(np.concatenate(best) if best else [], pa.int64())})
+
+    return queries.select("track", "id", "time_ms").groupBy("track").cogroup(peaks_.select("track", "place", "prominence").groupBy("track")).applyInArrow(search, "track long, id long, place long")
 
 
 def snapped_overlaps(objects: DataFrame, within_px: float = 3.8, within_ms: int = 1000) -> DataFrame:
@@ -208,26 +229,29 @@ def tempo_sections(markers: DataFrame, leniency_ms: float = 20.0) -> DataFrame:
     period fits if every marker of the section lies within `leniency_ms` of its beat.
     """
 
-    def infer(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time_ms", "is_red"]).drop_duplicates("time_ms", keep="last")
-        t, red = rows["time_ms"].to_numpy(float), rows["is_red"].to_numpy(bool)
+    def infer(rows: pa.Table) -> pa.Table:
+        seen: dict[int, bool] = {}
+        for t, red in zip(rows["time_ms"].to_pylist(), rows["is_red"].to_pylist(), strict=True):
+            seen[t] = seen.get(t, False) or red
+        times = sorted(seen)
+        red, t = [seen[x] for x in times], np.array(times, float)
         out, start = [], 0
         while start < len(t):
             end, period = start + 1, 1000.0
             while end < len(t):
-                k = np.arange(1, end - start + 1)
-                fits = lambda p, k=k, s=start, e=end: bool((np.abs(t[s + 1 : e + 1] - t[s] - p * k) <= leniency_ms).all())
-                candidate = round_period(t[end] - t[start], end - start, fits)
+                beats, gaps = np.arange(1, end - start + 1), t[start + 1 : end + 1] - t[start]
+                fits = lambda p, b=beats, g=gaps: bool((np.abs(g - p * b) <= leniency_ms).all())
+                candidate = round_period(gaps[-1], len(beats), fits)
                 if end > start + 1 and not fits(candidate):
                     break
                 period = candidate
                 end += 1
                 if red[end - 1]:
                     break
-            out.append((rows["track"].iloc[0], int(t[start]), period, end - 1 - start))
+            out.append({"track": rows["track"][0].as_py(), "offset_ms": times[start], "ms_per_beat": period, "beats": end - 1 - start})
             start = max(end - 1, start + 1)
             if start == len(t) - 1 and not red[start]:
                 break
-        return pd.DataFrame(out, columns=["track", "offset_ms", "ms_per_beat", "beats"])
+        return pa.Table.from_pylist(out, pa.schema([("track", pa.int64()), ("offset_ms", pa.int64()), ("ms_per_beat", pa.float64()), ("beats", pa.int64())]))
 
-    return markers.groupBy("track").applyInPandas(infer, "track long, offset_ms long, ms_per_beat double, beats long")
+    return markers.select("track", "time_ms", "is_red").groupBy("track").applyInArrow(infer, "track long, offset_ms long, ms_per_beat double, beats long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -84,18 +86,13 @@ def path_length(distance: Column, w: WindowSpec) -> Column:
     return F.sum(distance).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def smoothed(counts: DataFrame, part: str, at: str, value: str, sigma: float, spark) -> DataFrame:
-    """Sparse counts spread by a normalized Gaussian cut at 4 sigma, at every place they reach (no reflection at ends).
-
-    The kernel is 8 sigma + 1 rows, a number given by the caller, and is broadcast.
-    """
-    import math
-
+def smoothed(counts: DataFrame, part: str, at: str, value: str, sigma: float) -> DataFrame:
+    """Sparse counts spread by a normalized Gaussian cut at 4 sigma, at every place they reach (no reflection at ends)."""
     reach = int(4 * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
-    kernel = spark.createDataFrame([(k, x / sum(raw)) for k, x in zip(range(-reach, reach + 1), raw, strict=True)], "_k int, _w double")
-    spread = counts.join(F.broadcast(kernel)).withColumn(at, F.col(at) + F.col("_k"))
-    return spread.groupBy(part, at).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
+    kernel = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x / sum(raw)).alias("w")) for k, x in zip(range(-reach, reach + 1), raw, strict=True)))
+    spread = counts.withColumn("_k", F.explode(kernel)).withColumn(at, F.col(at) + F.col("_k.k"))
+    return spread.groupBy(part, at).agg(F.sum(F.col(value) * F.col("_k.w")).alias(value))
 
 
 def gap_filled(df: DataFrame, part: str, time: str, seq: str) -> DataFrame:

@@ -60,11 +60,12 @@ def other_charts_in_set(spark, d):
 
 def rhythm_scores(real, made, key: str, time: str, width: int):
     """True and false positives and false negatives by a band join, then precision, recall and F1 (0 where 0 / 0)."""
-    tp = joins.band_matched(real, made, key, time, width).agg(F.count_if("matched").alias("tp"), F.count_if(~F.col("matched")).alias("fn"))
-    fp = joins.band_matched(made, real, key, time, width).agg(F.count_if(~F.col("matched")).alias("fp"))
+    zero = F.lit(0).cast("long")
+    hits = joins.band_matched(real, made, key, time, width).agg(F.count_if("matched").alias("tp"), zero.alias("fp"), F.count_if(~F.col("matched")).alias("fn"))
+    extra = joins.band_matched(made, real, key, time, width).agg(zero.alias("tp"), F.count_if(~F.col("matched")).alias("fp"), zero.alias("fn"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     c = F.col
-    scored = tp.crossJoin(fp)  # one row each
+    scored = hits.unionByName(extra).agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn")))
     scored = scored.withColumn("precision", ratio(c("tp"), c("tp") + c("fp"))).withColumn("recall", ratio(c("tp"), c("tp") + c("fn")))
     f1 = ratio(2 * c("precision") * c("recall"), c("precision") + c("recall"))
     return scored.select("tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f1, 6).alias("f1"))
@@ -194,7 +195,9 @@ def interval_containment(spark, d):
 @query(f"""WITH {E}, q AS (SELECT event_id, user_id, ms FROM e WHERE event_type = 'error'), p AS (SELECT user_id, ms, value FROM e WHERE event_type = 'purchase' AND value > 0)
 SELECT q.event_id, arg_min(p.ms, abs(p.ms - q.ms) / p.value) AS nearest FROM q JOIN p ON q.user_id = p.user_id GROUP BY 1""")
 def nearest_weighted(spark, d):
-    rows = events(spark, d).select("event_id", "user_id", "ms", "event_type", "value")
-    peaks = rows.where("event_type = 'purchase' AND value > 0").select("user_id", F.col("ms").alias("peak"), "value")
-    pairs = rows.where("event_type = 'error'").select("event_id", "user_id", "ms").join(peaks, "user_id")
-    return pairs.groupBy("event_id").agg(F.min_by("peak", F.struct(F.abs(F.col("peak") - F.col("ms")) / F.col("value"), "peak")).alias("nearest"))
+    from cadence.operators.sequential import nearest_by_loss
+
+    rows = events(spark, d).select("event_id", F.col("user_id").alias("track"), "ms", "event_type", "value")
+    peaks = rows.where("event_type = 'purchase' AND value > 0").select("track", F.col("ms").alias("place"), F.col("value").alias("prominence"))
+    queries = rows.where("event_type = 'error'").select("track", F.col("event_id").alias("id"), F.col("ms").alias("time_ms"))
+    return nearest_by_loss(queries, peaks).select(F.col("id").alias("event_id"), F.col("place").alias("nearest"))

@@ -106,7 +106,7 @@ def path_length(spark, d):
 g AS (SELECT i, w / (SELECT sum(w) FROM k) AS w FROM k) SELECT user_id, h + i AS hour, round(sum(n * w), 6) AS density FROM c, g GROUP BY ALL""")
 def gaussian_smoothing(spark, d):
     counts = stream(spark, d).where("event_type = 'click'").groupBy("user_id", F.expr("ms div 3600000").alias("hour")).agg(F.count("*").cast("double").alias("density"))
-    return win.smoothed(counts, "user_id", "hour", "density", 2.0, spark).withColumn("density", F.round("density", 6))
+    return win.smoothed(counts, "user_id", "hour", "density", 2.0).withColumn("density", F.round("density", 6))
 
 
 @query(f"""WITH {_N}, t AS (SELECT user_id, seq, CASE WHEN event_type IN ('click', 'view') THEN ms END AS t FROM n),
