@@ -22,7 +22,8 @@ from cadence.session import written
 
 #: Weights by the source's place in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
-BUCKETS = 1024
+#: Hexadecimal digits of the hash that name a bucket: 4,096 buckets.
+BUCKET_DIGITS = 3
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -92,9 +93,9 @@ def curriculum(
     names = ("_id", "_source", *(f"_keep{i}" for i in range(len(keep))))
     rows = docs.select(
         *(F.col(c).alias(n) for c, n in zip((id_col, source_col, *keep), names, strict=True)), size.alias("_size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))).alias("_hash"),
     )
-    rows = rows.withColumn("_bucket", F.shiftrightunsigned("_hash", 54).cast("int"))
+    rows = rows.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     sizes = written(rows.select("_id", "_source", "_size", "_hash", "_bucket"), "sizes")
     rows = rows if keep else sizes
     targets = source_targets(sizes.select(F.col("_source").alias("source"), F.col("_size").alias("size")), weights, budget, max_epochs)

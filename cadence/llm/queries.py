@@ -63,7 +63,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    judged = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +94,18 @@ _URLS = r"""
 """
 
 ORACLES = {
+    "op1_near_dup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, list_aggregate(ws[i:i + 4], 'string_agg', ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS r(i) WHERE len(ws) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 75 * (a.n + b.n - common)
+), reach(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.node = l.x
+), c AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+""",
     "op2_url_filters": f"""
 WITH u AS ({_URLS}), rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 fits AS (
@@ -140,5 +153,32 @@ WITH c AS (
   FROM c GROUP BY conv_id
 )
 SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+""",
+    "op8_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(concat_ws(':', '17', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))) AS h FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY 1
+), w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][k % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap FROM s
+), o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, k) AS r, (SELECT sum(source_size) * 1.5::DOUBLE FROM w) - coalesce(sum(cap) OVER b, 0) AS rest, (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER b, 0) AS free
+  FROM w WINDOW b AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (SELECT *, cap * free <= rest * weight AS capped FROM o
+), t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE weight * (SELECT arg_min(rest, r) FROM f WHERE NOT capped) / (SELECT arg_min(free, r) FROM f WHERE NOT capped) END AS target FROM f
+), p AS (SELECT d.*, source_size, target, least(round(target)::BIGINT, source_size * 2) AS wanted,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (greatest(least(wanted - first, size), 0) + greatest(least(wanted - first - source_size, size), 0))::BIGINT AS taken FROM p
+""",
+    "op9_decontaminate": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS dw FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS iw FROM benchmark),
+dg AS (SELECT doc_id, k, dw[k + 1] || ' ' || dw[k + 2] || ' ' || dw[k + 3] AS g FROM d, unnest(range(0, len(dw) - 2)) AS r(k)),
+ig AS (SELECT item_id, k, iw[k + 1] || ' ' || iw[k + 2] || ' ' || iw[k + 3] AS g FROM i, unnest(range(0, len(iw) - 2)) AS r(k)),
+c AS (SELECT DISTINCT doc_id, item_id, dg.k - ig.k AS shift FROM dg JOIN ig USING (g)),
+m AS (SELECT doc_id, item_id, least(13, len(iw)) AS width, CASE WHEN len(iw) < 8 THEN 0 WHEN len(iw) < 13 THEN len(iw) // 5 ELSE 2 END AS allowed,
+  list_transform(range(greatest(0, -shift), least(len(iw), len(dw) - shift)), lambda j: (dw[j + shift + 1] <> iw[j + 1])::INT) AS x
+  FROM c JOIN d USING (doc_id) JOIN i USING (item_id) WHERE len(iw) >= 4),
+h AS (SELECT DISTINCT doc_id, item_id FROM m WHERE len(list_filter(range(1, len(x) - width + 2), lambda s: list_sum(x[s:s + width - 1]) <= allowed)) > 0),
+g AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM h GROUP BY 1)
+SELECT doc_id, n IS NULL AS kept, coalesce(n, 0)::INT AS n_items, coalesce(ids, '') AS item_ids FROM d LEFT JOIN g USING (doc_id)
 """,
 }
