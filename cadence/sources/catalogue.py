@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Field names and types of the files that are read.
 CHARTS = """BeatmapSetId long, Id long, BeatmapIdx int, BeatmapSetFolder string, AudioFile string, BeatmapFile string, ModeInt int,
 RankedDate timestamp_ntz, SubmittedDate timestamp_ntz, DifficultyRating double, StarRating array<double>, UserId long, OmdbTags array<string>"""
 TRACK = """BeatmapSetId long, Artist string, Title string, Creator string, Source string, Tags string,
