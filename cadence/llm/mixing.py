@@ -95,19 +95,21 @@ def curriculum(
         *(F.col(c).alias(n) for c, n in zip((id_col, source_col, *keep), names, strict=True)), size.alias("_size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))).alias("_hash"),
     )
-    rows = rows.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
-    sizes = written(rows.select("_id", "_source", "_size", "_hash", "_bucket"), "sizes")
+    # a key without nulls: joins and windows then agree on how rows are dealt out
+    rows = rows.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS)).withColumn("_key", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")))
+    sizes = written(rows.select("_id", "_source", "_key", "_size", "_hash", "_bucket"), "sizes")
     rows = rows if keep else sizes
     targets = source_targets(sizes.select(F.col("_source").alias("source"), F.col("_size").alias("size")), weights, budget, max_epochs)
-    buckets = sizes.groupBy("_source", "_bucket").agg(F.sum("_size").alias("bucket_size"))
-    base = F.sum("bucket_size").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    targets = targets.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    buckets = sizes.groupBy("_key", "_bucket").agg(F.sum("_size").alias("bucket_size"))
+    base = F.sum("bucket_size").over(Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     buckets = (
         buckets.withColumn("_base", F.coalesce(base, F.lit(0)))
-        .join(targets, F.col("_source").eqNullSafe(F.col("source")))
-        .select(F.col("_source").alias("b_source"), F.col("_bucket").alias("b_bucket"), "_base", "rank", "source_size", "target")
+        .join(targets, "_key")
+        .select("_key", "_bucket", "_base", "rank", "source_size", "target")
     )
-    rows = rows.join(buckets, F.col("_source").eqNullSafe(F.col("b_source")) & (F.col("_bucket") == F.col("b_bucket")))
-    within = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(buckets, ["_key", "_bucket"])
+    within = Window.partitionBy("_key", "_bucket").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_base") + F.coalesce(F.sum("_size").over(within), F.lit(0))
     wanted = F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs)
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("rank") % len(slopes) + 1).cast("int"))
