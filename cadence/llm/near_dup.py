@@ -33,7 +33,8 @@ REGION_ROWS = 4096
 HUBS = 4
 CONSENSUS = 48
 HUB_ROUNDS = 4
-#: Strays (members of larger regions that no hub took) up to which no further hubs are looked for.
+#: Strays (members of larger regions that no hub took) up to which no further hubs are looked for; all are held against
+#: all members of their regions, however many.
 FEW = 64
 STRAY_PAIRS = 20_000_000
 BLOCK = 256
@@ -385,7 +386,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs, crowded = _candidates(classes)
     groups = components(pairs)
     sets = _sets(docs, groups)
-    found, open_pairs, left = None, pairs, groups
+    found, strays, open_pairs, left = None, None, pairs, groups
     for _ in range(HUB_ROUNDS):
         hubs = written(_hubs(left, classes), "hubs")
         first = hubs.where("place = 1").select("root", F.col("hub").alias("a"))
@@ -397,6 +398,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         others = _confirmed(others.select("a", F.col("node").alias("b")), sets, percent)
         both = new.unionByName(others)
         found = both if found is None else found.unionByName(both)
+        if strays is None:  # further rounds find their families but not their links to members that are taken already
+            held = both.select(F.col("a").alias("node")).unionByName(both.select(F.col("b").alias("node")))
+            strays = written(crowded.select("node").distinct().join(held, "node", "left_anti"), "strays")
         # members of larger regions that no hub has taken: they may be a family of their own, with its own hub
         rest = rest.join(others.select(F.col("b").alias("node")), "node", "left_anti").select("node")
         rest = written(rest.join(crowded.select("node"), "node", "left_semi"), "rest")
@@ -412,7 +416,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where(F.coalesce("na", "a") != F.coalesce("nb", "b"))
         .select("a", "b")
     )
-    strays = _stray_links(rest, crowded, names, classes, sets, percent)
+    strays = _stray_links(strays, crowded, names, classes, sets, percent)
     rest = _confirmed(written(named, "open"), sets, percent).unionByName(strays)
     linked_nodes = components(found.unionByName(rest))
     member = classes.select("print", "node", "copies").join(linked_nodes, "node", "left").where("copies > 1 OR root IS NOT NULL")

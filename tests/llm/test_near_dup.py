@@ -92,3 +92,29 @@ def test_families_in_one_region(spark):
     rng.shuffle(rows)
     rows = list(enumerate(rows))
     assert found(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_force(rows)
+
+
+def replaced(words, places, name):
+    return [f"{name}x{k}" if k in places else w for k, w in enumerate(words)]
+
+
+def star_with_strays(vocabulary, rng, name, members=90, strays=10):
+    """Near copies of one text, and strays that link to one copy each, at 0.76, and neither to the text (0.71) nor to one another."""
+    base, slots = rng.choices(vocabulary, k=200), range(8, 190, 8)
+    copies = [(place := rng.choice(slots), replaced(base, [place], f"{name}c{i}")) for i in range(members)]
+    far = [replaced(copy, [1, *rng.sample([s for s in slots if s != place], 5)], f"{name}s{i}") for i, (place, copy) in enumerate(copies[:strays])]
+    return [" ".join(x) for x in (base, *(copy for _, copy in copies), *far)]
+
+
+def numbered(spark, rows, rng):
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_strays_do_not_depend_on_their_count(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "FEW", 0)
+    monkeypatch.setattr(near_dup, "NEIGHBOURS", 1)
+    rng = random.Random(23)
+    rows, df = numbered(spark, star_with_strays([f"w{i}" for i in range(3000)], rng, "a"), rng)
+    assert found(near_dup.near_duplicates(df)) == brute_force(rows)
