@@ -3,8 +3,7 @@
 Documents with equal shingle sets form a class, which is compared once. Each class has a MinHash signature; each tree
 of the forest sorts signatures by its own order of the values. Classes whose first `DEPTH` values agree in a tree are a
 region. In a small region all members are candidates of one another (the bound makes that a fixed number each); in a
-larger one, candidates are the nearest in sorted order, those with the longest common prefixes, and regions over
-`REGION_ROWS` are sorted within deeper prefixes. Candidates chain to groups; in each group, the members that agree
+larger one, candidates are the nearest in sorted order, those with the longest common prefixes. Candidates chain to groups; in each group, the members that agree
 best with the most frequent value at each place of the signature (the text that copies were made from) are its hubs.
 
 Links are confirmed on full shingle sets: first every member against its hub, then members that this left out against
@@ -29,15 +28,15 @@ TREES, DEPTH, DEEPER = 24, 4, 8
 VALUES = TREES * DEPTH
 SMALL = 32
 NEIGHBOURS = 3
-REGION_ROWS = 4096
 HUBS = 4
 CONSENSUS = 48
 HUB_ROUNDS = 4
 #: Strays (members of larger regions that no hub took) up to which no further hubs are looked for; all are held against
 #: all members of their regions, however many.
 FEW = 64
-STRAY_PAIRS = 20_000_000
 BLOCK = 256
+#: Rows of either side of a large region that one task holds against one another.
+REGION_ROWS = 4096
 #: Share of agreeing values below which a pair is no candidate; 0.75 lies four standard deviations above.
 LEAST_ALIKE = 0.57
 #: Contracted graphs of at most so many edges, a fixed number, are finished by one task.
@@ -155,7 +154,7 @@ def _tree_rows(classes: DataFrame, deep: bool = False) -> DataFrame:
 
 
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b), a < b, of classes; and the members (region, node, deep, tree) of larger regions."""
+    """Candidate pairs (a, b), a < b, of classes; and the members (region, tree, node, deep) of larger regions."""
     regions = written(_tree_rows(classes).select("key").groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "regions")
     members = written(_tree_rows(classes).join(regions.hint("merge"), "key"), "members")
     small = members.where(F.col("size") <= SMALL).select("key", "node")
@@ -163,58 +162,94 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     # only classes of larger regions need the values that follow
     crowded = members.where(F.col("size") > SMALL).select("node").distinct()
     large = _tree_rows(classes.join(crowded, "node", "left_semi"), deep=True).join(regions.where(F.col("size") > SMALL), "key")
-    region = F.when(F.col("size") <= REGION_ROWS, F.col("key")).otherwise(F.xxhash64("key", "deep"))
-    large = written(large.select(region.alias("region"), "node", "deep", "tree"), "crowded")
-    order = Window.partitionBy("region").orderBy("deep", "node")
-    near = F.array(*(F.lead("node", k).over(order) for k in range(1, NEIGHBOURS + 1)))
-    next_to = large.select(F.col("node").alias("a"), near.alias("near"))
-    next_to = next_to.select("a", F.explode("near").alias("b")).where("b IS NOT NULL AND a <> b")
-    pairs = all_pairs.unionByName(next_to.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return written(pairs.distinct(), "pairs"), large
-
-
-def _stray_links(strays: DataFrame, crowded: DataFrame, names: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b), a < b, between strays and members of their larger regions that go by another name.
-
-    Strays and members meet as blocks of BLOCK signatures (16 bits of each value) and sets. Within a task a pair is
-    compared if this is the first tree that it shares a region in, at least LEAST_ALIKE of the signatures' values agree,
-    and then on its full sets; what leaves the task is links. A region where strays times members are over STRAY_PAIRS is
-    held apart by one more value of its members' signatures at a time.
-    """
+    large = written(large.select(F.col("key").alias("region"), "tree", "node", "deep"), "crowded")
+    return written(all_pairs.unionByName(_next_to(large)).distinct(), "pairs"), large
 
-    def shorten(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in part.column(1).to_pylist()], pa.binary())], ["node", "sig"])
 
-    info = classes.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "sig").mapInArrow(shorten, "node long, sig binary")
-    info = info.join(sets, "node").join(names.select(F.col("n").alias("node"), "name"), "node", "left").select("node", "sig", "set", F.coalesce("name", "node").alias("name"))
-    info = written(info, "short")
+def _next_to(large: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of members that are at most NEIGHBOURS apart in their region's order.
+
+    Regions lie in ranges of the order of all of them, so a large one is spread over many; what is next to one another
+    across the end of a range is found among the first and last rows of the ranges.
+    """
 
-    def blocks(rows: DataFrame, count: str, items: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / F.lit(BLOCK)))
-        listed = F.collect_list(F.struct("node", "name", "sig", "set"))
-        return rows.join(info, "node").groupBy("region", "tree", block.alias("block")).agg(listed.alias(items)).select("region", "tree", items)
+    def lead(batches):
+        from pyspark import TaskContext
+
+        part, rows = TaskContext.get().partitionId(), 0
+        last: list[tuple[int, int]] = []
+        for batch in batches:
+            now = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            joined = last + now
+            out = [(r, x, y, None) for k in range(1, NEIGHBOURS + 1) for (q, x), (r, y) in zip(joined, joined[k:], strict=False) if q == r and x != y]
+            out += [(r, x, None, part * 2) for r, x in now[: max(0, NEIGHBOURS - rows)]]
+            rows += len(now)
+            last = joined[-NEIGHBOURS:]
+            yield as_batch(out)
+        yield as_batch([(r, x, None, part * 2 + 1) for r, x in last])
+
+    def as_batch(out):
+        kinds = [pa.int64()] * 4
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["region", "a", "b", "end"])
+
+    order = ["region", "deep", "node"]
+    near = large.repartitionByRange(*order).sortWithinPartitions(*order).select("region", "node").mapInArrow(lead, "region long, a long, b long, end long")
+    near = written(near, "near")
+    ends = near.where("b IS NULL").select("region", "a", "end")
+    firsts = ends.where("end % 2 = 0").select("region", (F.col("end") - 1).alias("end"), F.col("a").alias("b"))
+    across = ends.where("end % 2 = 1").join(firsts, ["region", "end"]).where("a <> b").select("a", "b")
+    pairs = near.where("b IS NOT NULL").select("a", "b").unionByName(across)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _stray_links(members: DataFrame, names: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), a < b, of the strays among members (region, tree, node, stray) with members of another name.
+
+    Strays and members meet as blocks of BLOCK signatures and sets. Within a task a pair is compared if this is the first
+    tree that it shares a region in, at least LEAST_ALIKE of the signatures' values agree, and then on its full sets; what
+    leaves the task is links. Blocks of large regions meet in the cells of a grid, so every pair of blocks meets once, and
+    a task has at most REGION_ROWS strays and members or so of a region.
+    """
+    sizes = members.groupBy("region").agg(F.sum(F.col("stray").cast("long")).alias("n"), F.count("*").alias("m")).where("n > 0")
+    rows = written(members.join(written(sizes, "stray_regions"), "region"), "met")
+    info = classes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "sig").join(sets, "node")
+    info = info.join(names.select(F.col("n").alias("node"), "name"), "node", "left").select("node", "sig", "set", F.coalesce("name", "node").alias("name"))
+    info = written(info, "info")
+
+    def blocks(rows: DataFrame, own: str, other: str, items: str, cells: tuple[str, str]) -> DataFrame:
+        side = max(1, REGION_ROWS // BLOCK)
+        count = lambda c: F.ceil(F.col(c) / F.lit(BLOCK))
+        grid = lambda c: F.ceil(count(c) / F.lit(side))
+        block = F.pmod(F.xxhash64("node"), count(own))
+        listed = F.collect_list(F.struct("node", "name", "stray", "sig", "set"))
+        rows = rows.join(info, "node").groupBy("region", "tree", own, other, block.alias("block")).agg(listed.alias(items))
+        rows = rows.withColumn(cells[0], F.pmod(F.col("block"), grid(own)))
+        return rows.select("region", "tree", items, cells[0], F.explode(F.sequence(F.lit(0).cast("long"), grid(other) - 1)).alias(cells[1]))
 
     def side(column):
+        import pyarrow.compute as pc
+
         flat = column.flatten()
-        node, name = (flat.field(k).to_numpy() for k in range(2))
-        return node, name, np.frombuffer(b"".join(flat.field(2).to_pylist()), "<u2").reshape(-1, VALUES), flat.field(3)
+        node, name, stray = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        return node, name, stray, np.frombuffer(b"".join(flat.field(3).to_pylist()), "<u4").reshape(-1, VALUES), flat.field(4), pc.binary_length(flat.field(4)).to_numpy().astype("i8")
 
-    def compare(batches, once: bool):
+    def compare(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 tree = batch.column(0)[i].as_py()
-                (x, x_name, x_sig, x_set), (y, y_name, y_sig, y_set) = side(batch.column(1).slice(i, 1)), side(batch.column(2).slice(i, 1))
+                x, x_name, _, x_sig, x_set, x_size = side(batch.column(1).slice(i, 1))
+                y, y_name, y_stray, y_sig, y_set, y_size = side(batch.column(2).slice(i, 1))
                 y_sets: dict[int, np.ndarray] = {}
                 found = set()
                 for k in range(len(x)):
-                    same = y_sig == x_sig[k]
-                    near = (same.sum(axis=1) >= LEAST_ALIKE * VALUES) & (y_name != x_name[k])
-                    if once and near.any():
-                        near &= same.reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == tree
-                    at = np.flatnonzero(near).tolist()
+                    # two strays meet twice
+                    may = (y_name != x_name[k]) & (~y_stray | (y > x[k])) & (np.minimum(y_size, x_size[k]) * 100 >= percent * np.maximum(y_size, x_size[k]))
+                    may = np.flatnonzero(may)
+                    same = y_sig[may] == x_sig[k]
+                    # in eights of bytes, as no byte's sum passes VALUES / 8
+                    agree = same.view("u8").sum(axis=1).view("u1").reshape(-1, 8).sum(axis=1)
+                    near = np.flatnonzero(agree >= LEAST_ALIKE * VALUES)
+                    at = may[near[same[near].reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == tree]].tolist()
                     own = unpack(x_set[k].as_py()) if at else None
                     for j in at:
                         if j not in y_sets:
@@ -224,22 +259,9 @@ def _stray_links(strays: DataFrame, crowded: DataFrame, names: DataFrame, classe
                 pairs = np.array(sorted(found), "i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    rows, out = crowded.select("region", "tree", "node", "deep"), None
-    once = True
-    for depth in range(DEEPER + 1):
-        here = rows.join(strays.select("node"), "node", "left_semi")
-        sizes = here.groupBy("region").agg(F.count("*").alias("n")).join(rows.groupBy("region").agg(F.count("*").alias("m")), "region")
-        sizes = written(sizes.withColumn("small", (F.col("n") * F.col("m") <= STRAY_PAIRS) | F.lit(depth == DEEPER)), "stray_regions")
-        fit, last = sizes.where("small").select("region", "n", "m"), sizes.where("NOT small").isEmpty()
-        once = once and last
-        met = blocks(here.join(fit, "region"), "n", "strays").join(blocks(rows.join(fit, "region"), "m", "members").drop("tree"), "region")
-        pairs = met.select("tree", "strays", "members").mapInArrow(lambda batches, once=once: compare(batches, once), "a long, b long")
-        out = pairs if out is None else out.unionByName(pairs)
-        if last:
-            break
-        value = F.substring(F.col("deep"), 4 * depth + 1, 4)
-        rows = rows.join(sizes.where("NOT small").select("region"), "region", "left_semi").withColumn("region", F.xxhash64("region", value))
-    return written(out.distinct(), "stray_links")
+    left, right = blocks(rows.where("stray"), "n", "m", "strays", ("u", "v")), blocks(rows, "m", "n", "members", ("v", "u")).drop("tree")
+    met = left.join(right, ["region", "u", "v"]).select("tree", "strays", "members")
+    return written(met.mapInArrow(compare, "a long, b long").distinct(), "stray_links")
 
 
 def _union_find(edges_a: np.ndarray, edges_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -416,8 +438,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where(F.coalesce("na", "a") != F.coalesce("nb", "b"))
         .select("a", "b")
     )
-    strays = _stray_links(strays, crowded, names, classes, sets, percent)
-    rest = _confirmed(written(named, "open"), sets, percent).unionByName(strays)
+    held = crowded.join(strays.withColumn("stray", F.lit(True)), "node", "left").select("region", "tree", "node", F.coalesce("stray", F.lit(False)).alias("stray"))
+    rest = _confirmed(written(named, "open"), sets, percent).unionByName(_stray_links(held, names, classes, sets, percent))
     linked_nodes = components(found.unionByName(rest))
     member = classes.select("print", "node", "copies").join(linked_nodes, "node", "left").where("copies > 1 OR root IS NOT NULL")
     member = written(member.select("print", "node", F.coalesce("root", "node").alias("root")), "member")

@@ -118,3 +118,13 @@ def test_strays_do_not_depend_on_their_count(spark, monkeypatch):
     rng = random.Random(23)
     rows, df = numbered(spark, star_with_strays([f"w{i}" for i in range(3000)], rng, "a"), rng)
     assert found(near_dup.near_duplicates(df)) == brute_force(rows)
+
+
+def test_regions_of_any_size_are_whole(spark, monkeypatch):
+    """Strays of a family meet all of it, also where a region is over the rows that one task holds."""
+    monkeypatch.setattr(near_dup, "REGION_ROWS", 40)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "NEIGHBOURS", 1)
+    rng = random.Random(29)
+    rows, df = numbered(spark, star_with_strays([f"w{i}" for i in range(3000)], rng, "a", members=140, strays=25), rng)
+    assert found(near_dup.near_duplicates(df)) == brute_force(rows)
