@@ -7,9 +7,10 @@ larger one, candidates are the nearest in sorted order, those with the longest c
 best with the most frequent value at each place of the signature (the text that copies were made from) are its hubs.
 
 Links are confirmed on full shingle sets: first every member against its hub, then members that this left out against
-further hubs, in rounds, and, last, every candidate pair whose ends are not yet together. Strays, the members of larger
-regions that no hub took, are held against all other members of their regions whose signatures agree well enough. So a
-large group of near copies costs a number of comparisons in proportion to its size.
+further hubs, in rounds, and, last, every candidate pair whose ends are not yet together. What these links bring together
+goes by one name. In each larger region, strays, the members of all names but the most frequent, are held against the
+members of other names whose signatures agree well enough. So a large group of near copies costs a number of comparisons
+in proportion to its size.
 
 At a similarity of 0.75 a pair shares a region in one of 24 trees with probability 1 - (1 - 0.75^4)^24 > 0.9998.
 """
@@ -31,8 +32,7 @@ NEIGHBOURS = 3
 HUBS = 4
 CONSENSUS = 48
 HUB_ROUNDS = 4
-#: Strays (members of larger regions that no hub took) up to which no further hubs are looked for; all are held against
-#: all members of their regions, however many.
+#: Members of larger regions that no hub took, up to which no further hubs are looked for.
 FEW = 64
 BLOCK = 256
 #: Rows of either side of a large region that one task holds against one another.
@@ -202,6 +202,14 @@ def _next_to(large: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _strays(crowded: DataFrame, names: DataFrame) -> DataFrame:
+    """(region, tree, node, stray) of the larger regions that hold several names; all but the most frequent are strays."""
+    rows = crowded.select("region", "tree", "node").join(names.select(F.col("n").alias("node"), "name"), "node", "left").withColumn("name", F.coalesce("name", "node"))
+    rows = written(rows, "region_names")
+    main = rows.groupBy("region", "name").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("name", F.struct("k", "name")).alias("main"), F.count("*").alias("several"))
+    return rows.join(main.where("several > 1"), "region").select("region", "tree", "node", (F.col("name") != F.col("main")).alias("stray"))
+
+
 def _stray_links(members: DataFrame, names: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b), a < b, of the strays among members (region, tree, node, stray) with members of another name.
 
@@ -408,7 +416,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs, crowded = _candidates(classes)
     groups = components(pairs)
     sets = _sets(docs, groups)
-    found, strays, open_pairs, left = None, None, pairs, groups
+    found, open_pairs, left = None, pairs, groups
     for _ in range(HUB_ROUNDS):
         hubs = written(_hubs(left, classes), "hubs")
         first = hubs.where("place = 1").select("root", F.col("hub").alias("a"))
@@ -420,9 +428,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         others = _confirmed(others.select("a", F.col("node").alias("b")), sets, percent)
         both = new.unionByName(others)
         found = both if found is None else found.unionByName(both)
-        if strays is None:  # further rounds find their families but not their links to members that are taken already
-            held = both.select(F.col("a").alias("node")).unionByName(both.select(F.col("b").alias("node")))
-            strays = written(crowded.select("node").distinct().join(held, "node", "left_anti"), "strays")
         # members of larger regions that no hub has taken: they may be a family of their own, with its own hub
         rest = rest.join(others.select(F.col("b").alias("node")), "node", "left_anti").select("node")
         rest = written(rest.join(crowded.select("node"), "node", "left_semi"), "rest")
@@ -431,15 +436,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_pairs = open_pairs.join(rest.select(F.col("node").alias("a")), "a", "left_semi").join(rest.select(F.col("node").alias("b")), "b", "left_semi")
         open_pairs = written(open_pairs, "open")
         left = components(open_pairs)
-    names = found.select(F.col("b").alias("n"), F.col("a").alias("name")).groupBy("n").agg(F.min("name").alias("name"))
+    names = written(components(found).select(F.col("node").alias("n"), F.col("root").alias("name")), "names")
     named = (
         pairs.join(names.select(F.col("n").alias("a"), F.col("name").alias("na")), "a", "left")
         .join(names.select(F.col("n").alias("b"), F.col("name").alias("nb")), "b", "left")
         .where(F.coalesce("na", "a") != F.coalesce("nb", "b"))
         .select("a", "b")
     )
-    held = crowded.join(strays.withColumn("stray", F.lit(True)), "node", "left").select("region", "tree", "node", F.coalesce("stray", F.lit(False)).alias("stray"))
-    rest = _confirmed(written(named, "open"), sets, percent).unionByName(_stray_links(held, names, classes, sets, percent))
+    strays = _stray_links(_strays(crowded, names), names, classes, sets, percent)
+    rest = _confirmed(written(named, "open"), sets, percent).unionByName(strays)
     linked_nodes = components(found.unionByName(rest))
     member = classes.select("print", "node", "copies").join(linked_nodes, "node", "left").where("copies > 1 OR root IS NOT NULL")
     member = written(member.select("print", "node", F.coalesce("root", "node").alias("root")), "member")

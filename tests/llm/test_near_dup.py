@@ -128,3 +128,18 @@ def test_regions_of_any_size_are_whole(spark, monkeypatch):
     rng = random.Random(29)
     rows, df = numbered(spark, star_with_strays([f"w{i}" for i in range(3000)], rng, "a", members=140, strays=25), rng)
     assert found(near_dup.near_duplicates(df)) == brute_force(rows)
+
+
+def test_bridges_between_families(spark, monkeypatch):
+    """Pairs of families whose texts are at 0.69, and each at most at 0.742 from the other's member of the one link, at 0.758."""
+    monkeypatch.setattr(near_dup, "NEIGHBOURS", 1)
+    monkeypatch.setattr(near_dup, "HUBS", 64)  # hubs of both families in the first round
+    rng, rows, slots = random.Random(31), [], range(8, 190, 8)
+    for f in range(3):
+        one, spots = rng.choices([f"w{i}" for i in range(3000)], k=200), rng.sample(slots, 6)
+        a, b, two = (replaced(one, part, f"t{f}") for part in ([198], [198, 1, *spots[:5]], [198, 1, *spots]))
+        rows += [" ".join(x) for x in (one, a, b, two)]
+        for base in (one, two):
+            rows += [" ".join(replaced(base, [rng.choice(slots)], f"m{f}n{len(rows)}x{i}")) for i in range(45)]
+    rows, df = numbered(spark, rows, rng)
+    assert found(near_dup.near_duplicates(df)) == brute_force(rows)
