@@ -6,7 +6,8 @@ are joined; a hit gives an item and a shift, and the item is laid over the docum
 contaminated if, in some window of `window` tokens of the overlap, at most `max_substitutions` differ.
 
 The two masks were chosen by trying all pairs: in every 13 tokens with any 2 of them replaced, one mask fits somewhere
-without meeting a replaced token, so a window that the check would accept is never missed by the seeds.
+without meeting a replaced token, so a window that the check would accept is never missed by the seeds. Items of 8 to 12
+tokens have masks of their own, chosen in the same way.
 
 Everything is DataFrame work. The benchmark's hashes are broadcast while their counted number is under a bound and
 joined by shuffle beyond it; so are the few documents with hits, whose texts are read again for the check.
@@ -22,6 +23,11 @@ from cadence.session import written
 #: Positions that each mask looks at.
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
 SPAN = 8
+#: Masks for items of 8 to 12 tokens, by trying all replacements of a fifth of the tokens: one mask always fits.
+SHORT_MASKS = {
+    8: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5)), 9: ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 5, 6)), 10: ((0, 1, 2, 3), (0, 1, 2, 4)),
+    11: ((0, 1, 2, 3, 5), (0, 1, 4, 7, 8)), 12: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5)),
+}
 #: Rows of a join's side up to which it is broadcast (24 bytes or so each).
 BROADCAST_ROWS = 1_000_000
 #: Items with fewer tokens are not looked for.
@@ -71,10 +77,14 @@ def contamination(
     """
     items = benchmark.select(F.col(item_col).alias("item"), tokens_of(F.col(item_text_col)).alias("item_tokens")).where(F.size("item_tokens") >= LEAST_TOKENS)
     items = written(items, "items")
-    short = [tuple(range(r.n)) for r in items.where(F.size("item_tokens") < SPAN).select(F.size("item_tokens").alias("n")).distinct().collect()]
-    masks = [*MASKS, *short]
+    lengths = [r.n for r in items.where(F.size("item_tokens") <= max(SHORT_MASKS)).select(F.size("item_tokens").alias("n")).distinct().collect()]
+    masks = [*MASKS, *(tuple(range(n)) for n in lengths if n < SPAN)]
+    own = {n: SHORT_MASKS[n] for n in sorted(lengths) if n in SHORT_MASKS}
     hashed = items.withColumn("hashes", F.transform("item_tokens", lambda t: F.xxhash64(t)))
     seeds = hashed.select("item", F.size("hashes").alias("n"), F.inline(_seeds(F.col("hashes"), masks)))
+    for n, more in own.items():
+        seeds = seeds.unionByName(hashed.where(F.size("hashes") == n).select("item", F.size("hashes").alias("n"), F.inline(_seeds(F.col("hashes"), list(more)))))
+    masks = list(dict.fromkeys([*masks, *(m for more in own.values() for m in more)]))
     seeds = written(seeds.select("item", F.col("at").alias("item_at"), "seed").distinct(), "seeds")
     n_seeds = seeds.count()
 

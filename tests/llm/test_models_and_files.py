@@ -190,3 +190,14 @@ def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     assert sorted(str(r.doc_id) for r in got.where("NOT kept").collect()) == ["1", "1", "7", "None"]
     assert decontaminate.decontaminate(no_docs, bench).count() == 0
     assert decontaminate.decontaminate(odd_docs, bench.limit(0)).where("NOT kept").count() == 0
+
+
+def test_short_items_with_every_substitution(spark):
+    from itertools import combinations
+
+    items = {n: [f"t{n}x{k}" for k in range(n)] for n in range(8, 13)}
+    docs = [["before", *("other" if k in c else t for k, t in enumerate(item)), "after"] for n, item in items.items() for m in (n // 5, n // 5 + 1) for c in combinations(range(n), m)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {r.doc_id: list(r.item_ids) for r in decontaminate.decontaminate(df, bench).collect()}
+    assert got == {i: [n for n, item in items.items() if windows_of(w, item)] for i, w in enumerate(docs)}
