@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadence.session import written
+
+#: Queries that are broadcast at a time, or about so many.
+QUERY_BLOCK = 10_000
+
 
 def band_matched(left: DataFrame, right: DataFrame, key: str, time: str, width: int) -> DataFrame:
     """`left` with a column `matched`: whether a right row of the same key lies within `width`, both ends included.
@@ -107,11 +112,22 @@ def distance(a: Column, b: Column) -> Column:
 def neighbours(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, nearest: bool = True) -> DataFrame:
     """(query, id, distance): the k nearest (or farthest) rows of each query, ties by id, itself left out.
 
-    `queries` is a stated set of at most 10,000 vectors, checked; it is held against all rows in blocks, and each block
-    keeps its own k best per query, so what is shuffled is k rows per query and block.
+    Queries are held against all rows in blocks, and each block of rows keeps its own k best per query, so what is
+    shuffled is k rows per query and block. More than QUERY_BLOCK queries go by hash, about so many at a time, and each
+    time's result is written.
     """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("at most 10,000 queries at a time")
+    count = queries.count()
+    if count <= QUERY_BLOCK:
+        return _neighbours(queries, rows, id_col, vector, k, nearest)
+    blocks, out = -(-count // QUERY_BLOCK), None
+    for n in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == n)
+        found = written(_neighbours(some, rows, id_col, vector, k, nearest), "neighbours")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _neighbours(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, nearest: bool) -> DataFrame:
     q = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("_q"))
     pairs = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), F.spark_partition_id().alias("_block")).join(F.broadcast(q), F.col("query") != F.col("id"))
     pairs = pairs.select("query", "id", "_block", distance(F.col("_q"), F.col("_v")).alias("distance"))

@@ -163,3 +163,12 @@ def test_curves():
     corner = curves.flatten("B", np.array([[0.0, 0], [5, 0], [5, 0], [5, 5]]), 2)
     assert [5.0, 0.0] in corner.tolist()
     assert curves.catmull(line, 5)[-1].tolist() == [10, 0]
+
+
+def test_neighbours_of_more_queries_than_a_block(spark):
+    queries = spark.range(10_001).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    rows = spark.createDataFrame([(20_000, [-1.0]), (20_001, [20_000.0])], "id long, v array<double>")
+    for nearest in (True, False):
+        got = joins.neighbours(queries, rows, "id", "v", 1, nearest).collect()
+        far = {q: abs(q + 1) > abs(20_000 - q) for q in range(10_001)}
+        assert sorted((r.query, r.id) for r in got) == [(q, 20_000 + int(far[q] == nearest)) for q in far]
