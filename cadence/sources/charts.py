@@ -55,7 +55,7 @@ def hit_objects(rows: DataFrame) -> DataFrame:
     objects = rows.where("section = 'HitObjects'")
     return objects.select(
         "file", F.col("line").alias("seq"), number(0).alias("x"), number(1).alias("y"), number(2).cast("long").alias("time_ms"), kind.alias("kind"),
-        (kind_bits.bitwiseAND(NEW_COMBO) > 0).alias("new_combo"), number(4).cast("int").alias("hitsound"), F.slice(parts, 6, 100).alias("params"),
+        (kind_bits.bitwiseAND(NEW_COMBO) > 0).alias("new_combo"), number(4).cast("int").alias("hitsound"), F.slice(parts, 6, F.greatest(F.size(parts), F.lit(1))).alias("params"),
     )
 
 
@@ -88,8 +88,9 @@ def events(objects: DataFrame, points: DataFrame) -> DataFrame:
     rows = rows.withColumn("stop", stop)
     event = lambda kind, value, at: F.struct(F.lit(kind).alias("type"), value.cast("long").alias("value"), at.alias("time_ms"))
     t, one = F.col("time_ms"), F.lit(1)
+    curve = F.split(F.get("params", F.lit(0)), r"\|")
     anchors = F.transform(
-        F.slice(F.split(F.get("params", F.lit(0)), r"\|"), 2, 1000), lambda a: F.struct(F.lit("anchor").alias("type"), F.split(a, ":")[0].cast("long").alias("value"), t.alias("time_ms"))
+        F.slice(curve, 2, F.greatest(F.size(curve), F.lit(1))), lambda a: F.struct(F.lit("anchor").alias("type"), F.split(a, ":")[0].cast("long").alias("value"), t.alias("time_ms"))
     )
     run = F.array_compact(
         F.array(

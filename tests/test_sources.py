@@ -128,3 +128,11 @@ def test_work_is_dropped(spark):
     session.drop_work(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_slider_keeps_all_anchors(spark):
+    curve = "|".join(["B", *(f"{i}:0" for i in range(1500))])
+    lines = [("f", 1, "TimingPoints", "0,500,4,1,0,50,1,0"), ("f", 2, "HitObjects", f"100,100,0,2,0,{curve},1,140")]
+    rows = spark.createDataFrame(lines, "file string, line long, section string, text string")
+    found = charts.events(charts.hit_objects(rows), charts.timing_points(rows)).where("type = 'anchor'").orderBy("step").collect()
+    assert [e.value for e in found] == list(range(1500))
