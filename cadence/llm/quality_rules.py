@@ -13,14 +13,19 @@ from cadence.llm.common import WORD, WORD_GAPS, let, words_of
 SYMBOLS = "#*$%&|<>"
 #: A line of prose has one of these somewhere.
 SENTENCE_MARKS = r"[.!?:;…。！？؟।]"
-#: Three or more of these between words: a menu or a breadcrumb.
-NAVIGATION = r"(?:[|»›•·>][^|»›•·>]*){3,}"
+#: Three or more of these in a line: a menu or a breadcrumb.
+SEPARATORS = "|»›•·>"
 BOILERPLATE = (
     r"(?i)\b(?:all rights reserved|privacy policy|cookie policy|terms of (?:use|service)|we use cookies|accept cookies|enable javascript"
     r"|click here to|subscribe to our|sign in to|log in to|skip to (?:main )?content|copyright \d{4}|lorem ipsum)\b"
 )
 
 
+def count_of(text: Column, chars: str) -> Column:
+    """How many characters of the text are among `chars`."""
+    return F.length(text) - F.length(F.translate(text, chars, ""))
+
+
 def _repeat_words(words: Column, n: int) -> Column:
     """Words inside n-word windows that occur twice or more; windows are compared by 64-bit hashes of hashed words."""
 
@@ -68,19 +73,18 @@ def judge_documents(
     are removed. base_failed: fewer than `min_words` words, or over `max_repeat_percent` of words in repeated windows.
     kept: not base_failed, and removed lines hold at most `max_lost_percent` of the characters of lines with a word.
 
-    Null and empty texts have no words: counts are 0, base_failed is true. Repeated rows are judged each; null ids
+    Lines may have any length and any number of separators. Null and empty texts have no words: counts are 0, base_failed is true. Repeated rows are judged each; null ids
     stay null. Further columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
-    symbols = F.length("text") - F.length(F.translate("text", SYMBOLS, ""))
 
     def fails(line: Column) -> Column:
-        n_symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
+        # counted, not matched: a repeated group in a Java pattern recurses once a repetition and overflows the stack
         return (
-            ~line.rlike(SENTENCE_MARKS) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
-            | (n_symbols * 100 > F.length(line) * max_symbol_percent)
+            ~line.rlike(SENTENCE_MARKS) | (count_of(line, SEPARATORS) >= 3) | line.rlike(BOILERPLATE)
+            | (count_of(line, SYMBOLS) * 100 > F.length(line) * max_symbol_percent)
         )
 
     def chars(array: Column) -> Column:
@@ -101,7 +105,7 @@ def judge_documents(
         ),
     )
     out = base.select(
-        "id", "text", figures.alias("w"), line_figures.alias("l"), symbols.cast("long").alias("n_symbols"),
+        "id", "text", figures.alias("w"), line_figures.alias("l"), count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         F.length(F.translate("text", WORD_GAPS, "")).cast("long").alias("word_chars"),
     )
     failed = (F.col("w.n_words") < min_words) | (F.col("w.n_repeat_words") * 100 > F.col("w.n_words") * max_repeat_percent)

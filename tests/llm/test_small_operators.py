@@ -76,6 +76,16 @@ def test_quality_rules_lines(spark):
     assert not second.kept
 
 
+def test_quality_rules_very_long_lines(spark):
+    """Lines of 10^6 separators or symbols, 10^6 words, and 10 MB without a gap."""
+    texts = ["a | " * 1_000_000, "#>" * 500_000, "> " * 1_000_000 + "end.", "word " * 1_000_000 + "end.", "x" * 10_000_000, "l.\n" * 300_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r for r in quality_rules.judge_documents(df).collect()}
+    assert [got[i].n_words for i in range(6)] == [len(t.split()) for t in texts]
+    assert [got[i].n_symbols for i in range(6)] == [sum(t.count(c) for c in "#*$%&|<>") for t in texts]
+    assert [got[i].n_failed_lines for i in range(6)] == [1, 1, 1, 0, 1, 0] and got[5].n_dup_lines == 299_999
+
+
 hostile = st.text(alphabet="<|\\im_startend>\n aé", max_size=40)
 
 
