@@ -42,7 +42,8 @@ LEAST_ALIKE = 0.57
 #: Contracted graphs of at most so many edges, a fixed number, are finished by one task.
 FINISH_EDGES = 20_000
 BROADCAST_ROWS = 200_000
-SET_BYTES = 5
+#: Pairs of one hub that one task compares.
+HUB_PAIRS = 256
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -89,16 +90,12 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def pack(hashes: np.ndarray) -> bytes:
-    """The lower 40 bits of each hash, sorted."""
-    low = np.unique(hashes & np.uint64((1 << 8 * SET_BYTES) - 1))
-    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes()
+    """Sorted distinct hashes as little-endian bytes."""
+    return hashes.astype("<u8").tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :SET_BYTES] = raw
-    return full.view("<u8").ravel()
+    return np.frombuffer(data, "<u8")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -110,24 +107,30 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def _print(hashes: np.ndarray) -> bytes | None:
+    """128-bit fingerprint of a set; none for the empty one."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+
+
 def _sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, print, sig) of (doc_id, text): set size, 128-bit fingerprint of the set and signature."""
+    """(doc_id, key, n, print, sig) of (doc_id, key, text): set size, fingerprint of the set and signature."""
 
     def sign(batches):
-        import xxhash
-
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 n, prints, sigs = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     s = shingles(text)
                     n.append(len(s))
-                    prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    prints.append(_print(s))
                     sigs.append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "print", "sig"])
+                columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "print", "sig"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, print binary, sig binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(sign, "doc_id long, key long, n long, print binary, sig binary")
 
 
 def _tree_rows(classes: DataFrame, deep: bool = False) -> DataFrame:
@@ -363,24 +366,33 @@ def _hubs(grouped: DataFrame, classes: DataFrame) -> DataFrame:
     return some.withColumn("place", F.row_number().over(final)).where(F.col("place") <= HUBS).select("root", "place", F.col("node").alias("hub"))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set) of the texts of `nodes`, packed."""
-    side = nodes.select("node").distinct()
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, set) of the classes among `nodes`, from the text of a class's first document."""
+    side = classes.join(nodes.select("node").distinct(), "node", "left_semi").select("node", F.col("head.doc_id").alias("first_id"), "print")
     side = written(side, "nodes")
-    side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    wanted = side.count()
+    side = F.broadcast(side) if wanted <= BROADCAST_ROWS else side
 
     def build(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(shingles(t)) for t in part.column(1).to_pylist()], pa.binary())], ["node", "set"])
+                sets = [shingles(t) for t in part.column(2).to_pylist()]
+                # another document of that id has another set
+                own = pa.array([_print(s) == p for s, p in zip(sets, part.column(1).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(pack, sets), pa.binary())], ["node", "set"]).filter(own)
 
-    picked = docs.join(side, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    return written(picked.mapInArrow(build, "node long, set binary"), "sets")
+    picked = docs.join(side, F.col("doc_id") == F.col("first_id")).select("node", "print", "text")
+    sets = written(picked.mapInArrow(build, "node long, set binary"), "sets")
+    return sets if sets.count() == wanted else written(sets.dropDuplicates(["node"]), "sets")  # repeated rows
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; `a` should be the side with fewer different values."""
+    """The pairs (a, b) whose full sets are similar enough; `a` should be the side with fewer different values.
+
+    A value of `a` in more than HUB_PAIRS pairs has a copy of its set for every HUB_PAIRS of them, so its pairs are
+    spread over tasks.
+    """
 
     def check(batches):
         for batch in batches:
@@ -390,32 +402,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    left = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    hubs = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(HUB_PAIRS)).alias("k")), "hub_pairs")
+    copies = sets.join(hubs.withColumnRenamed("a", "node"), "node").select(
+        F.col("node").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"), F.col("set").alias("sa")
+    )
+    busy = hubs.where("k > 1")
+    busy = F.broadcast(busy) if busy.count() <= BROADCAST_ROWS else busy
+    salted = pairs.join(busy, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1).cast("long"))).alias("salt"))
     right = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    rows = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "sa", "sb")
+    rows = salted.join(right.hint("merge"), "b").join(copies.hint("merge"), ["a", "salt"]).select("a", "b", "sa", "sb")
     return written(rows.mapInArrow(check, "a long, b long").distinct(), "confirmed")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, row_keys: bool = False) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept; with `row_keys` also row_key and first.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; shingles are 5 words (all words, if fewer).
     Two documents are linked if 100 * |common shingles| >= percent * |all their shingles|. component_id is the smallest
     id that links reach; kept says whether that is the document's own.
 
+    row_key is xxhash64 of the id and the text. first is true for the component's smallest (id, row_key), so of a
+    component one row is first, but for rows that are alike in id and text, which all are.
+
     Null texts and texts without words have no shingles and no links. Rows with a null id are linked with nothing, have
     a null component_id and are kept. Rows that share an id are each judged by their text. An empty table gives an
-    empty result. Further columns are not read. Sets are compared by 40-bit hashes of shingles in the confirming
-    step, which can misjudge a pair at the very threshold about once in 10^8 pairs.
+    empty result. Further columns are not read. Sets are compared by 64-bit hashes of shingles.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     signed = written(_sign(docs), "signed")
     usable = signed.where("print IS NOT NULL AND doc_id IS NOT NULL")
-    classes = usable.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    classes = written(classes, "classes")
+    classes = usable.groupBy("print").agg(F.min(F.struct("doc_id", "key")).alias("head"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    # written once, so a class keeps its number
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     pairs, crowded = _candidates(classes)
     groups = components(pairs)
-    sets = _sets(docs, groups)
+    sets = _sets(docs, classes, groups)
     found, open_pairs, left = None, pairs, groups
     for _ in range(HUB_ROUNDS):
         hubs = written(_hubs(left, classes), "hubs")
@@ -446,13 +467,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     strays = _stray_links(_strays(crowded, names), names, classes, sets, percent)
     rest = _confirmed(written(named, "open"), sets, percent).unionByName(strays)
     linked_nodes = components(found.unionByName(rest))
-    member = classes.select("print", "node", "copies").join(linked_nodes, "node", "left").where("copies > 1 OR root IS NOT NULL")
-    member = written(member.select("print", "node", F.coalesce("root", "node").alias("root")), "member")
-    smallest = member.groupBy("root").agg(F.min("node").alias("component"))
+    member = classes.select("print", "head", "node", "copies").join(linked_nodes, "node", "left").where("copies > 1 OR root IS NOT NULL")
+    member = written(member.select("print", "head", F.coalesce("root", "node").alias("root")), "member")
+    smallest = member.groupBy("root").agg(F.min("head").alias("component"))
     final = written(member.join(smallest, "root").select("print", "component"), "final")
-    out = signed.select("doc_id", "n", "print").join(final, "print", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = signed.select("doc_id", "key", "n", "print").join(final, "print", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component.doc_id", "doc_id"))
+    more = [F.col("key").alias("row_key"), (F.col("component").isNull() | F.col("doc_id").isNull() | (F.struct("doc_id", "key") == F.col("component"))).alias("first")] if row_keys else []
     return out.select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *more,
     )

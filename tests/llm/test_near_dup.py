@@ -143,3 +143,34 @@ def test_bridges_between_families(spark, monkeypatch):
             rows += [" ".join(replaced(base, [rng.choice(slots)], f"m{f}n{len(rows)}x{i}")) for i in range(45)]
     rows, df = numbered(spark, rows, rng)
     assert found(near_dup.near_duplicates(df)) == brute_force(rows)
+
+
+def test_one_link_between_two_families(spark, monkeypatch):
+    """Cores at 0.66, copies around each, and one pair at 0.753 whose ends are at 0.88 to their own core and under 0.73 to the other."""
+    monkeypatch.setattr(near_dup, "NEIGHBOURS", 1)
+    monkeypatch.setattr(near_dup, "HUB_PAIRS", 16)  # also deals a hub's pairs out
+    rng = random.Random(1)
+    one, slots = rng.choices([f"w{i}" for i in range(3000)], k=500), rng.sample(range(8, 490, 8), 29)
+    apart = slots[:20]
+    two = replaced(one, apart, "two")
+    x = replaced([two[k] if k in apart[:5] else w for k, w in enumerate(one)], slots[20:21], "x")
+    y = replaced([one[k] if k in apart[5:9] else w for k, w in enumerate(two)], slots[21:23], "y")
+    rows = [" ".join(t) for t in (one, two, x, y)]
+    for name, base in (("a", one), ("b", two)):
+        rows += [" ".join(replaced(base, [rng.choice(slots[23:])], f"{name}{i}")) for i in range(100)]
+    rows, df = numbered(spark, rows, rng)
+    want = brute_force(rows)
+    assert len({c for _, _, c in want}) == 1
+    assert found(near_dup.near_duplicates(df)) == want
+
+
+def test_texts_that_share_an_id(spark):
+    """Two texts have the smallest id 5; only one of them has a near copy."""
+    rng = random.Random(37)
+    a, b = (rng.choices([f"w{i}" for i in range(500)], k=100) for _ in range(2))
+    rows = [(5, " ".join(a)), (7, " ".join(a)), (5, " ".join(b)), (9, " ".join(b)), (2, edited(b, 1, rng)), (5, " ".join(a)), (None, " ".join(a))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(near_dup.near_duplicates(df)) == brute_force(rows)
+    keyed = near_dup.near_duplicates(df, row_keys=True)
+    assert sorted(r.doc_id for r in keyed.where("first AND doc_id IS NOT NULL").collect()) == [2, 5, 5]
+    assert keyed.where("first").select("row_key").distinct().count() == 3
