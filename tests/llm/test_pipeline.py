@@ -51,3 +51,32 @@ def test_stages_on_their_own_inputs(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_near_dedup_judges_rows(spark):
+    a, b, c = ("a b c d e f g h", "i j k l m n o p", "q r s t u v w x")
+    rows = [(0, b), (1, a), (1, b), (5, c), (5, c), (6, None), (6, None), (7, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs.withColumn("row_key", F.lit(1)).withColumn("first", F.lit(1)), SF)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert rows_of(got) == sorted([(0, b), (1, a), (5, c), (6, None), (6, None), (7, ""), (None, a), (None, a)], key=str)
+
+
+def test_stages_with_odd_rows(spark, odd_docs):
+    """Nulls, empty and very long texts, repeated ids and further columns; each stage keeps whole rows of what it gets."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, SF)
+        if name == "tokens":
+            assert out.count() == odd_docs.count()
+        else:
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+            assert set(rows_of(out)) <= set(rows_of(odd_docs))
+
+
+def test_stages_without_rows(spark, no_docs):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, SF).count() == 0
