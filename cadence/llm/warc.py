@@ -15,6 +15,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,10 @@ from cadence.llm.common import Published, open_store
 from cadence.session import written
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Repeated payloads (28 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
 _RECORD = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, complete boolean, payload binary"
-_SEGMENT = "origin string, number long, total long, headers string, block binary"
+_PIECE = f"origin string, number long, total long, headers string, block binary, alone struct<{_RECORD.replace(' ', ':').replace(',:', ',')}>"
 _BATCH_BYTES = 8_000_000
 
 
@@ -40,12 +43,15 @@ def _chunked(body: bytes, size: int) -> bytes:
 
 
 def _dechunked(body: bytes) -> bytes:
+    """The body without chunked framing; ValueError if a chunk is cut short or its size is no number."""
     out, at = [], 0
     while True:
         eol = body.index(b"\r\n", at)
         n = int(body[at:eol].split(b";")[0], 16)
         if n == 0:
             return b"".join(out)
+        if n < 0 or body[eol + 2 + n : eol + 4 + n] != b"\r\n":
+            raise ValueError("chunk cut short")
         out.append(body[eol + 2 : eol + 2 + n])
         at = eol + 2 + n + 2
 
@@ -109,7 +115,10 @@ def write_warc(
         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("sha1", F.unhex(F.sha1("payload")))
     same = rows.groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 AND last IS NOT NULL").select("sha1", "last")
-    rows = rows.join(written(same, "same"), "sha1", "left").select(
+    same = written(same, "same")
+    # beyond the bound, adaptive execution splits a payload that many rows have
+    same = F.broadcast(same) if same.count() <= BROADCAST_ROWS else same
+    rows = rows.join(same, "sha1", "left").select(
         "id", "url", "payload", "sha1", F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to")
     )
 
@@ -136,17 +145,28 @@ def write_warc(
 
 
 def _stream(path: str):
-    """(headers, block) of each record of an archive."""
+    """(headers, block) of each record of an archive; the block is None if the record is damaged.
+
+    What follows a damaged gzip member can't be read and is passed over.
+    """
     store, name = open_store(path)
     with store.open_input_stream(name, compression=None, buffer_size=1 << 20) as raw, gzip.GzipFile(fileobj=raw) as f:
-        while line := f.readline():
-            if not line.startswith(b"WARC/"):
-                continue
-            headers = {}
-            while (line := f.readline().rstrip(b"\r\n")) != b"":
-                key, _, value = line.partition(b":")
-                headers[key.decode().lower()] = value.strip().decode()
-            yield headers, f.read(int(headers["content-length"]))
+        headers: dict[str, str] | None = None
+        try:
+            while line := f.readline():
+                if not line.startswith(b"WARC/"):
+                    continue
+                headers = {}
+                while (line := f.readline().rstrip(b"\r\n")) != b"":
+                    key, _, value = line.partition(b":")
+                    headers[key.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+                size = headers.get("content-length", "")
+                block = f.read(int(size)) if size.isdigit() else None
+                yield headers, block if block is None or len(block) == int(size) else None
+                headers = None
+        except (EOFError, OSError, zlib.error):
+            if headers:
+                yield headers, None
 
 
 def _page(uri: str | None) -> int | None:
@@ -154,19 +174,24 @@ def _page(uri: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def _decoded(headers: dict, block: bytes, complete: bool) -> dict:
-    head, _, body = block.partition(b"\r\n\r\n")
-    http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
-    row = {"page_id": _page(headers["warc-record-id"]), "record_type": headers["warc-type"], "refers_to": _page(headers.get("warc-refers-to"))}
-    if headers["warc-type"] == "revisit":
-        digest = headers["warc-payload-digest"].removeprefix("sha1:")
-        return row | {"payload_digest": digest, "payload_bytes": int(http[b"content-length"]), "complete": True, "payload": None}
-    if not complete:
-        return row | {"payload_digest": None, "payload_bytes": None, "complete": False, "payload": None}
-    if http.get(b"transfer-encoding") == b"chunked":
-        body = _dechunked(body)
-    digest = payload_digest(body)
-    ok = headers.get("warc-payload-digest", f"sha1:{digest}") == f"sha1:{digest}" and int(http.get(b"content-length", len(body))) == len(body)
+def _decoded(headers: dict, block: bytes | None, complete: bool) -> dict:
+    """A record's row. `complete` is false for a block that is damaged or can't be decoded."""
+    row = {"page_id": _page(headers.get("warc-record-id")), "record_type": headers.get("warc-type"), "refers_to": _page(headers.get("warc-refers-to"))}
+    broken = row | {"payload_digest": None, "payload_bytes": None, "complete": False, "payload": None}
+    if block is None or not complete:
+        return broken
+    try:
+        head, _, body = block.partition(b"\r\n\r\n")
+        http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+        if headers["warc-type"] == "revisit":
+            digest = headers["warc-payload-digest"].removeprefix("sha1:")
+            return row | {"payload_digest": digest, "payload_bytes": int(http[b"content-length"]), "complete": True, "payload": None}
+        if http.get(b"transfer-encoding") == b"chunked":
+            body = _dechunked(body)
+        digest = payload_digest(body)
+        ok = headers.get("warc-payload-digest", f"sha1:{digest}") == f"sha1:{digest}" and int(http.get(b"content-length", len(body))) == len(body)
+    except (ValueError, KeyError):
+        return broken
     return row | {"payload_digest": digest, "payload_bytes": len(body), "complete": ok, "payload": body}
 
 
@@ -185,62 +210,62 @@ def _batches(rows, schema: pa.Schema, weight):
 def read_warc(spark: SparkSession, paths: list[str], with_payload: bool = False) -> DataFrame:
     """Pages of archives: page_id, record_type, refers_to, payload_digest, payload_bytes, complete (and payload).
 
-    complete is false if segments are missing, don't add up to the total length, or the payload doesn't fit its
-    digest or length. Revisits have the digest and length that their headers give, and no payload.
+    complete is false if segments are missing or repeated, don't add up to the total length, if the payload doesn't fit
+    its digest or length, or if a record has no length, is cut short or has broken framing; its digest and length are
+    null where they can't be told. Revisits have the digest and length that their headers give, and no payload.
+    Segments whose first one is missing name no page and give no row. Each archive is read once.
     """
     import json
 
     fields = [("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()),
               ("payload_bytes", pa.int64()), ("complete", pa.bool_()), ("payload", pa.binary())]
     record_schema = pa.schema(fields)
-    segment_schema = pa.schema([("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("headers", pa.string()), ("block", pa.binary())])
+    piece_schema = pa.schema([("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("headers", pa.string()), ("block", pa.binary()), ("alone", pa.struct(fields))])
 
     def slim(row: dict) -> dict:
         return row if with_payload else row | {"payload": None}
 
-    def archives(batches):
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                yield from _stream(paths[k])
-
-    def alone(batches):
-        rows = (slim(_decoded(h, b, True)) for h, b in archives(batches) if h["warc-type"] in ("response", "revisit") and "warc-segment-number" not in h)
-        yield from _batches(rows, record_schema, lambda r: len(r["payload"] or b""))
-
-    def segments(batches):
-        rows = (
-            {
-                "origin": h.get("warc-segment-origin-id", h["warc-record-id"]), "number": int(h["warc-segment-number"]),
-                "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
-                "headers": json.dumps(h) if "warc-segment-origin-id" not in h else None, "block": b,
-            }
-            for h, b in archives(batches)
-            if "warc-segment-number" in h
-        )
-        yield from _batches(rows, segment_schema, lambda r: len(r["block"]))
+    def number(headers: dict, name: str) -> int | None:
+        return int(headers[name]) if headers.get(name, "").isdigit() else None
+
+    def piece(place: str, h: dict, block: bytes | None) -> dict | None:
+        """A whole record, decoded, under its place in the archives, or a segment under the id of its first one."""
+        record = h.get("warc-record-id", place)
+        n = number(h, "warc-segment-number")
+        if n is None:
+            return {"origin": place, "alone": slim(_decoded(h, block, True))} if h.get("warc-type") in ("response", "revisit") else None
+        first = "warc-segment-origin-id" not in h
+        return {"origin": record if first else h["warc-segment-origin-id"], "number": n, "total": number(h, "warc-segment-total-length"),
+                "headers": json.dumps(h) if first else None, "block": block}
+
+    def pieces(batches):
+        rows = (p for batch in batches for k in batch.column(0).to_pylist() for i, (h, b) in enumerate(_stream(paths[k])) if (p := piece(f"{k}:{i}", h, b)))
+        yield from _batches(rows, piece_schema, lambda r: len(r.get("block") or b"") + len((r.get("alone") or {}).get("payload") or b""))
 
     def reassembled(batches):
         def rows():
             for batch in batches:
                 for i in range(batch.num_rows):
-                    headers, total, parts = (c[i].as_py() for c in batch.columns)
-                    if headers is None:  # its first record is missing: there is nothing to name it by
+                    headers, total, parts, alone = (c[i].as_py() for c in batch.columns)
+                    yield from alone
+                    if headers is None:
                         continue
-                    block = b"".join(p["block"] for p in parts)
-                    numbers = [p["number"] for p in parts]
-                    yield slim(_decoded(json.loads(headers), block, total == len(block) and numbers == list(range(1, len(parts) + 1))))
+                    whole = [p["number"] for p in parts] == list(range(1, len(parts) + 1)) and all(p["block"] is not None for p in parts)
+                    block = b"".join(p["block"] for p in parts) if whole else None
+                    yield slim(_decoded(json.loads(headers), block, whole and total == len(block)))
 
         yield from _batches(rows(), record_schema, lambda r: len(r["payload"] or b""))
 
     files = spark.range(0, len(paths), 1, max(1, len(paths)))
     grouped = (
-        files.mapInArrow(segments, _SEGMENT)
+        files.mapInArrow(pieces, _PIECE)
         .groupBy("origin")
         .agg(
             F.max("headers").alias("headers"), F.max("total").alias("total"),
-            F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"),
+            F.sort_array(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "block")))).alias("parts"),
+            F.collect_list("alone").alias("alone"),
         )
-        .select("headers", "total", "parts")
+        .select("headers", "total", "parts", "alone")
     )
-    out = files.mapInArrow(alone, _RECORD).unionByName(grouped.mapInArrow(reassembled, _RECORD))
+    out = grouped.mapInArrow(reassembled, _RECORD)
     return out if with_payload else out.drop("payload")
