@@ -134,6 +134,7 @@ class Labeller:
 
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty = model, np.float32(penalty)
+        self.label = np.min_scalar_type(max(len(model.languages) - 1, 0))  # of a language's number
         self.clear()
 
     def clear(self):
@@ -163,7 +164,7 @@ class Labeller:
     def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language number of each word of each text."""
         lens = np.array([len(t) for t in texts])
-        out: list[np.ndarray] = [np.empty(0, "u1")] * len(texts)
+        out: list[np.ndarray] = [np.empty(0, self.label)] * len(texts)
         order = np.argsort(-lens, kind="stable")
         order = order[lens[order] > 0]
         at = 0
@@ -182,15 +183,15 @@ class Labeller:
     def _viterbi(self, index: np.ndarray) -> np.ndarray:
         steps, n = index.shape
         k = self.scores.shape[1]
-        back = np.empty((steps, n, k), "u1")
-        own, each = np.arange(k, dtype="u1")[None, :], np.arange(n)
+        back = np.empty((steps, n, k), self.label)
+        own, each = np.arange(k, dtype=self.label)[None, :], np.arange(n)
         v = self.scores[index[0]]
         for t in range(1, steps):
             best = v.argmax(axis=1)
             switch = v[each, best][:, None] - self.penalty
             back[t] = np.where(v >= switch, own, best[:, None])
             v = np.maximum(v, switch) + self.scores[index[t]]
-        labels = np.empty((steps, n), "u1")
+        labels = np.empty((steps, n), self.label)
         state = v.argmax(axis=1)
         for t in range(steps - 1, -1, -1):
             labels[t] = state
@@ -232,7 +233,7 @@ def predict(
                 for i in range(0, len(new), 20_000):
                     labeller.learn(new[i : i + 20_000])
                 preds, scores, spans = [], [], []
-                paths = labeller.paths(words) if langs else [np.empty(0, "u1")] * len(part)
+                paths = labeller.paths(words) if langs else [np.empty(0, labeller.label)] * len(part)
                 for text, own, path in zip(part, words, paths, strict=True):
                     which = np.fromiter((labeller.place[w] for w in own), "i8", len(own)) if langs else np.empty(0, "i8")
                     letters = labeller.letters[which]
