@@ -69,13 +69,32 @@ class Published:
         self.store.move(self.tmp, self.path)
 
 
+class _Ranges:
+    """Slices of a flat file in a store that can't be mapped; each is read as it is asked for."""
+
+    def __init__(self, store, path: str, dtype):
+        import numpy as np
+
+        self.dtype = np.dtype(dtype)
+        self.file = store.open_input_file(path)
+        self.size = self.file.size() // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice):
+        import numpy as np
+
+        start, stop, _ = part.indices(self.size)
+        return np.frombuffer(self.file.read_at((stop - start) * self.dtype.itemsize, start * self.dtype.itemsize), self.dtype)
+
+
 def mapped(uri: str, dtype):
-    """A file as a numpy array: memory-mapped where the store is a local or mounted folder, else read."""
+    """A flat file as something to slice: memory-mapped where the store is a local or mounted folder, else read by range."""
     import numpy as np
     from pyarrow import fs
 
     store, path = open_store(uri)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.readall(), dtype=dtype)
+    if not isinstance(store, fs.LocalFileSystem):
+        return _Ranges(store, path, dtype)
+    return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)

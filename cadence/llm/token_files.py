@@ -5,13 +5,15 @@ Documents are range-sorted by id; each partition writes one shard of three files
 A shard's base, the tokens of all shards before it, is a prefix sum over the shards' totals, which are as many rows
 as there are partitions.
 
-The tokenizer treats the pieces of a text between ASCII white space apart from each other (its pre-tokenizer drops
-white space), so tokens of a piece are kept and reused; pieces not yet seen go to the library in batches.
+If the tokenizer treats the pieces of a text between ASCII white space apart from each other, because its
+pre-tokenizer drops white space, tokens of a piece are kept and reused; pieces not yet seen go to the library in
+batches. With any other tokenizer whole texts go to the library.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -25,11 +27,48 @@ from cadence.llm.common import Published, mapped, open_store, partitions
 NULL_ID = -(2**63)
 #: Pieces whose tokens a worker process keeps; later ones are encoded each time they are met.
 KEPT_PIECES = 500_000
+#: Characters of a text by which rows of one id are dealt to shards; a text's order begins with theirs.
+RANGE_CHARS = 16
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
+#: Normalizers that change no character over white space, and pre-tokenizers that drop white space.
+_LOCAL_NORMALIZERS = {"NFC", "NFD", "Lowercase"}
+_DROPPING = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+
+
+def drops_white_space(spec: dict) -> bool:
+    """Whether a tokenizer, by its JSON, surely encodes texts as their pieces between ASCII white space one by one.
+
+    False is always right: whole texts are then encoded.
+    """
+
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        return [] if part is None else [x for p in part[inner] for x in steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+    def probe(step: dict) -> bool:
+        """A pattern split that keeps matches alone, none of which can hold white space."""
+        pattern = step.get("pattern", {}).get("Regex")
+        if step["type"] != "Split" or step.get("behavior") != "Removed" or not step.get("invert") or pattern is None or re.search(r"\(\?[=!<]", pattern):
+            return False
+        from tokenizers import Regex, pre_tokenizers
+
+        split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        return not any(ws in piece for ws in "\t\n\x0b\x0c\r " for text in (f"a{ws}b", f"a {ws}{ws}b", f".{ws}.", f"{ws}1{ws}", f"a{ws}'s") for piece, _ in split.pre_tokenize_str(text))
+
+    local = all(
+        n["type"] in _LOCAL_NORMALIZERS or (n["type"] == "Replace" and n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " ")
+        for n in steps(spec.get("normalizer"), "normalizers")
+    )
+    first = next(iter(steps(spec.get("pre_tokenizer"), "pretokenizers")), None)
+    prefixed = any(p.get("add_prefix_space") for p in steps(spec.get("pre_tokenizer"), "pretokenizers"))
+    added = spec.get("added_tokens") or []
+    plain = not any(t["lstrip"] or t["rstrip"] or set(t["content"]) & set(" \t\n\x0b\x0c\r") for t in added)
+    return local and first is not None and (first["type"] in _DROPPING or probe(first)) and not prefixed and plain
+
+
 class PieceEncoder:
-    """Texts to bytes of token ids, through tokens kept by piece."""
+    """Texts to bytes of token ids, through tokens kept by piece where that gives the same."""
 
     def __init__(self, tokenizer_path: str):
         import os
@@ -38,6 +77,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_piece = drops_white_space(json.loads(self.tokenizer.to_str()))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.kept: dict[bytes, bytes] = {}
         # a special token cuts a text before anything else happens, so it can stand between pieces encoded in one go
@@ -53,6 +95,9 @@ class PieceEncoder:
         return _ENCODERS[tokenizer_path]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_piece:
+            encoded = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
         split = [(t or "").encode().split() for t in texts]
         found = [list(map(self.kept.get, pieces)) for pieces in split]
         missing = [[j for j, i in enumerate(ids) if i is None] for ids in found]
@@ -108,12 +153,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     `folder` is a URI that driver and executors share; `tokenizer_path` is a file on each of them. Null texts are
     empty (the end id alone). Rows with equal ids are ordered by text; null ids come first. An empty table gives no
-    shard. Files appear whole under names fixed by the partition, so repeated tasks do no harm. Further columns are
-    not read.
+    shard. Files appear whole under names fixed by the partition, so repeated tasks do no harm. Rows of one id are
+    spread over shards by the start of the text. Further columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    ranges = (F.col("id").asc_nulls_first(), F.substring("text", 1, RANGE_CHARS).asc_nulls_first())
+    rows = rows.repartitionByRange(partitions(spark), *ranges).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def write(batches):
         from pyspark import TaskContext
@@ -164,7 +210,7 @@ def read_manifest(folder: str) -> dict:
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False, id_col: str = "doc_id") -> DataFrame:
     """Documents of a written folder: id, start (tokens before it), n_tokens, ids_crc32, and the ids if `with_ids`.
 
-    One task a shard, over memory-mapped files. ids_crc32 is the unsigned crc32 of the ids as little-endian uint32.
+    One task a shard, over memory-mapped files, or ranges of files in a store that can't be mapped. ids_crc32 is the unsigned crc32 of the ids as little-endian uint32.
     """
     shards = read_manifest(folder)["shards"]
     schema = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
@@ -177,11 +223,13 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False, id_col
                 tok, off, doc = mapped(f"{name}.tok", s["dtype"]), mapped(f"{name}.off", "<i8"), mapped(f"{name}.doc", "<i8")
                 for a in range(0, len(doc), 4096):
                     b = min(a + 4096, len(doc))
-                    ids = [tok[off[i] : off[i + 1]].astype("<u4") for i in range(a, b)]
+                    at, names = np.asarray(off[a : b + 1]), np.asarray(doc[a:b])
+                    block = tok[at[0] : at[-1]].astype("<u4")
+                    ids = [block[x:y] for x, y in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)]
                     out = {
-                        id_col: pa.array(doc[a:b], pa.int64(), mask=np.asarray(doc[a:b] == NULL_ID)),
-                        "start": pa.array(off[a:b] + s["base"]),
-                        "n_tokens": pa.array(off[a + 1 : b + 1] - off[a:b]),
+                        id_col: pa.array(names, pa.int64(), mask=names == NULL_ID),
+                        "start": pa.array(at[:-1] + s["base"]),
+                        "n_tokens": pa.array(np.diff(at)),
                         "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                     }
                     if with_ids:

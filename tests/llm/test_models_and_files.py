@@ -52,6 +52,39 @@ def test_warc_missing_segment(spark):
     assert warc.read_warc(spark, []).count() == 0
 
 
+def archive_of(spark, *members):
+    from cadence.llm.common import Published
+
+    path = work_path(spark, "broken") + "/a.warc.gz"
+    out = Published(path)
+    out.write(b"".join(members))
+    out.close()
+    return path
+
+
+def test_warc_broken_records(spark):
+    """Whole records stay whole beside a missing length, a chunk cut short, a size that is no number, and a cut archive."""
+    import gzip
+
+    payload = b"x" * 3000
+    whole = list(warc.page_records(1, "u", payload, digest("x" * 3000), None, "0", "2024-01-01T00:00:00Z", 1 << 20, 2048))[0]
+    plain = gzip.decompress(whole)
+    named = lambda n, data: gzip.compress(data.replace(b"x-page:1#", b"x-page:%d#" % n))
+    no_length = plain.replace(b"\r\nContent-Length: ", b"\r\nX-Length: ", 1)
+    short = warc._record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x-page:3#0>")], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"800\r\nxyz\r\n0\r\n\r\n")
+    no_number = warc._record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x-page:4#0>")], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"zz\r\nxyz\r\n0\r\n\r\n")
+    path = archive_of(spark, named(2, no_length), short, no_number, whole, named(5, plain)[:-60])
+    got = {r.page_id: (r.complete, r.payload_bytes) for r in warc.read_warc(spark, [path]).collect()}
+    assert got == {1: (True, 3000), 2: (False, None), 3: (False, None), 4: (False, None), 5: (False, None)}
+
+
+def test_warc_very_long_payloads_and_clashing_names(spark):
+    rows = [(1, "u", "é" * 6_000_000), (2, None, "é" * 6_000_000), (3, "u", "z" * 5_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("id", F.lit(1)).withColumn("sha1", F.lit("x")).withColumn("n", F.lit(1))
+    got = {r.page_id: (r.record_type, r.payload_bytes, r.complete) for r in warc.read_warc(spark, warc.write_warc(df, work_path(spark, "long"))).collect()}
+    assert got == {1: ("revisit", 12_000_000, True), 2: ("response", 12_000_000, True), 3: ("response", 5_000_000, True)}
+
+
 def test_warc_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "u", "a"), (1, "u", "a")], "page_id long, url string, html string")
     assert warc.write_warc(df.limit(0), work_path(spark, "none")) == []
@@ -81,6 +114,39 @@ def test_token_files(spark, odd_docs, no_docs):
     assert token_files.write_tokens(no_docs, empty, TOKENIZER)["tokens"] == 0 and token_files.read_tokens(spark, empty).count() == 0
 
 
+def test_token_files_with_tokenizers_that_keep_white_space(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a a b", "  two  spaces\n\nlines ", "", "it's <|endoftext|> x", "word " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    folder = work_path(spark, "tokens")
+    token_files.write_tokens(docs, folder, path)
+    own = Tokenizer.from_file(path)
+    got = {r.doc_id: list(r.ids) for r in token_files.read_tokens(spark, folder, with_ids=True).collect()}
+    assert got == {i: [*own.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert token_files.PieceEncoder(TOKENIZER).by_piece and not token_files.PieceEncoder(path).by_piece
+
+
+def test_white_space_rules():
+    base = {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "Whitespace"}}
+    assert token_files.drops_white_space(base)
+    split = {"type": "Split", "pattern": {"Regex": r" ?\w+|\s+"}, "behavior": "Removed", "invert": True}
+    for other in ({"normalizer": {"type": "Prepend", "prepend": "_"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "Metaspace"}}, {"pre_tokenizer": split},
+                  {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}):
+        assert not token_files.drops_white_space(base | other)
+
+
+def test_ranges_of_unmapped_files(tmp_path):
+    from pyarrow import fs
+
+    from cadence.llm.common import _Ranges
+
+    np.arange(100, dtype="<i8").tofile(tmp_path / "f")
+    part = _Ranges(fs.LocalFileSystem(), str(tmp_path / "f"), "<i8")
+    assert len(part) == 100 and part[3:7].tolist() == [3, 4, 5, 6] and part[5:5].tolist() == []
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
@@ -111,6 +177,14 @@ def test_language_viterbi():
         assert value(text, path.tolist()) == pytest.approx(best, abs=1e-4)
 
 
+def test_language_numbers_over_255():
+    k = 300
+    labeller = language_id.Labeller(language_id.Model([f"l{i:03d}" for i in range(k)], np.zeros((1, k), "f4"), np.ones((13, k), bool)), 1.0)
+    labeller.scores = np.vstack([np.zeros((1, k), "f4"), np.eye(k, dtype="f4")[[299, 7]] * 9])
+    labeller.place = {"x": 1, "y": 2}
+    assert labeller.paths([["x", "x", "y"]])[0].tolist() == [299, 299, 7]
+
+
 def test_language_odd_rows(spark, odd_docs, no_docs):
     model = language_id.fit(odd_docs)
     got = language_id.predict(odd_docs, model)
