@@ -12,19 +12,22 @@ from cadence.session import written
 def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """`df` with each row's 0-based place in the order of `order` (which should be unique; nulls first).
 
-    Rows are range-partitioned and written once; a partition's base is the prefix sum of the counts before it, so no
-    task sees more than its range. An empty table gives an empty result.
+    Rows are range-partitioned, sorted and written once; a row's place is its number within its range, which the write
+    keeps, and the count of all ranges before, so rows are shuffled once and no task sees more than its range. An empty
+    table gives an empty result.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the upper bits of this id are the partition, the lower 33 the row's number in it
+    ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
     bases = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = bases.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_part").orderBy(*order)
     return (
         ranged.join(F.broadcast(bases), "_part")  # one row a partition
-        .withColumn(name, (F.row_number().over(within) - 1 + F.col("_base")).cast("long"))
-        .drop("_part", "_base")
+        .withColumn(name, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_base"))
+        .drop("_part", "_base", "_at")
     )
 
 
