@@ -8,7 +8,7 @@ is trained at the t at which the cumulative demand is c, the inverse of that int
 over ranges gives the training order.
 
 Prefix sums within a source go in two steps, hash buckets first and then rows of a bucket, so that a source with a
-third of all rows is spread over all buckets. Per-source figures are as many rows as there are sources.
+third of all rows is spread over all buckets. Sources are ranked over ranges, so there may be many.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadence.llm.common import WORD
+from cadence.operators.ranking import with_position
 from cadence.session import written
 
 #: Weights by the source's place in code point order, repeating.
@@ -29,31 +30,33 @@ BUCKET_DIGITS = 3
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
     """From (source, size) rows: source, rank, weight, source_size, target.
 
-    Sharing by weight with what is over the cap shared again, until none is over, has this closed form: in ascending
-    order of cap / weight, sources are capped while cap / weight <= rest / (weights not yet capped).
+    Budget is shared by weight; what is over a source's cap, `max_epochs` times its size, is shared again until none
+    is over. Each round is one aggregate over the sources, of which there may be many.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("rank", F.row_number().over(place) - 1)
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_last", F.col("source").isNull())
+    per = with_position(per, ["_last", "source"], "rank").drop("_last")
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    before = Window.orderBy((F.col("cap") / F.col("weight")).asc(), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy((F.col("cap") / F.col("weight")).asc(), "rank").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    per = (
-        per.withColumn("wanted", F.sum("source_size").over(everything) * F.lit(float(budget)))
-        .withColumn("rest", F.col("wanted") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("capped", F.col("cap") * F.col("open") <= F.col("rest") * F.col("weight"))
-    )
-    level = F.min(F.when(~F.col("capped"), F.struct("rank_by", "rest", "open"))).over(everything)
-    per = per.withColumn("rank_by", F.row_number().over(Window.orderBy((F.col("cap") / F.col("weight")).asc(), "rank")))
-    per = per.withColumn("level", level)
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("level.rest") / F.col("level.open"))
+    per = written(per.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))), "sources")
+    # a share of weight / open of the rest is over the cap once cap / weight is at most rest / open
+    level, fixed = None, -1
+    while True:
+        over = F.lit(False) if level is None else F.col("cap") * F.lit(level[1]) <= F.col("weight") * F.lit(level[0])
+        total, capped, free, n = per.agg(
+            F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)),
+            F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)), F.coalesce(F.sum(over.cast("long")), F.lit(0)),
+        ).first()
+        if n == fixed or free == 0:
+            break
+        level, fixed = (total * budget - capped, free), n
+    target = F.when(over, F.col("cap")) if level is None or free == 0 else F.when(over, F.col("cap")).otherwise(F.col("weight") * F.lit(level[0]) / F.lit(level[1]))
     return per.select("source", "rank", "weight", "source_size", target.alias("target"))
 
 
+def _demand(target: Column, slope: Column, t: Column) -> Column:
+    """Words of a source wanted up to time t: the integral of target * (1 + slope * (2t - 1))."""
+    return target * ((F.lit(1.0) - slope) * t + slope * t * t)
+
+
 def _position(start: Column, target: Column, slope: Column) -> Column:
     """The t in [0, 1] with target * ((1 - slope) t + slope t^2) = start."""
     share = F.least(start / target, F.lit(1.0))
@@ -78,8 +81,8 @@ def curriculum(
     """Copies of documents at training positions, range-sorted by position.
 
     Returns one row per copy and at least one per document: id, size, source_size, target, taken (all words of the
-    document that the mix takes), copy (0 first), words (of this copy), position (null if nothing is taken), then the
-    columns in `keep`. `slopes` in [-1, 1] say how a source's rate changes over time, repeating as weights do.
+    document that the mix takes), copy (0 first), words (of this copy), position (null if nothing is taken), last_position
+    (of the document's last copy), then the columns in `keep`. `slopes` in [-1, 1] say how a source's rate changes over time, repeating as weights do.
 
     A source's last copy is cut to the words still wanted; with `whole` it is taken whole if at least half is wanted.
     No document is taken more than `max_epochs` times.
@@ -111,8 +114,8 @@ def curriculum(
     rows = rows.join(buckets, ["_key", "_bucket"])
     within = Window.partitionBy("_key", "_bucket").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_base") + F.coalesce(F.sum("_size").over(within), F.lit(0))
-    wanted = F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs)
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("rank") % len(slopes) + 1).cast("int"))
+    wanted = F.least(F.round(_demand(F.col("target"), slope, F.lit(1.0))).cast("long"), F.col("source_size") * max_epochs)
     rows = rows.withColumn("_first", first).withColumn("_wanted", wanted).withColumn("_slope", slope)
 
     def part(copy: Column) -> Column:
@@ -133,6 +136,7 @@ def curriculum(
     out = rows.select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"),
         F.col("_c.copy").alias("copy"), F.col("_c.words").alias("words"), F.col("_c.position").alias("position"),
+        F.array_max("_copies.position").alias("last_position"),
         *(F.col(n).alias(c) for c, n in zip(keep, names[2:], strict=True)),
     )
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col(id_col)).sortWithinPartitions(

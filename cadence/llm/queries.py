@@ -58,8 +58,9 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = mixing.curriculum(table(spark, sf_dir, "documents"))
-    return copies.where("copy = 0").select("doc_id", "size", "source_size", "target", "taken")
+    """A row per document, with the positions of its first and its last copy in the schedule."""
+    copies = mixing.curriculum(table(spark, sf_dir, "documents")).where("copy = 0")
+    return copies.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), F.round("last_position", 9).alias("last_position"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,10 +164,12 @@ WITH d AS (
 ), o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, k) AS r, (SELECT sum(source_size) * 1.5::DOUBLE FROM w) - coalesce(sum(cap) OVER b, 0) AS rest, (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER b, 0) AS free
   FROM w WINDOW b AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), f AS (SELECT *, cap * free <= rest * weight AS capped FROM o
-), t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE weight * (SELECT arg_min(rest, r) FROM f WHERE NOT capped) / (SELECT arg_min(free, r) FROM f WHERE NOT capped) END AS target FROM f
-), p AS (SELECT d.*, source_size, target, least(round(target)::BIGINT, source_size * 2) AS wanted,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(least(wanted - first, size), 0) + greatest(least(wanted - first - source_size, size), 0))::BIGINT AS taken FROM p
+), t AS (SELECT source, source_size, k, CASE WHEN capped THEN cap ELSE weight * (SELECT arg_min(rest, r) FROM f WHERE NOT capped) / (SELECT arg_min(free, r) FROM f WHERE NOT capped) END AS target FROM f
+), p AS (SELECT d.*, source_size, target, k, least(round(target)::BIGINT, source_size * 2) AS wanted, [0.5::DOUBLE, 0.0, -0.5][k % 3 + 1] AS slope,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, greatest(least(wanted - first, size), 0) AS once, greatest(least(wanted - first - source_size, size), 0) AS twice, least(first / target, 1.0::DOUBLE) AS u, least((first + source_size) / target, 1.0::DOUBLE) AS v, 1 - slope AS b FROM p)
+SELECT doc_id, size, source_size, target, (once + twice)::BIGINT AS taken, CASE WHEN once > 0 THEN round(2 * u / (b + sqrt(b * b + 4 * slope * u)), 9) END AS position,
+  CASE WHEN twice > 0 THEN round(2 * v / (b + sqrt(b * b + 4 * slope * v)), 9) WHEN once > 0 THEN round(2 * u / (b + sqrt(b * b + 4 * slope * u)), 9) END AS last_position FROM c
 """,
     "op9_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS dw FROM documents),
