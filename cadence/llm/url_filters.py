@@ -7,8 +7,9 @@ stack of active rules; the last interval end before a url holds that stack. Amon
 starts the url's path, the longest wins.
 
 The sorted order is cut into blocks at sampled (key, url hash) points, so that one frequent host fills many blocks.
-Each block starts with the stack that is active at its cut, so blocks are swept on their own. Everything is DataFrame
-work; the cuts, a fixed number, are all that the driver sees, and they have no influence on results.
+Each block starts with the stack that is active at its cut, so blocks are swept on their own. There are a few blocks
+for each shuffle partition, which a session sets by the size of its data; a url's block is found by binary search.
+Everything is DataFrame work; the cuts are all that the driver sees, and they have no influence on results.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from cadence.llm.common import partitions
+
+#: Blocks for each shuffle partition, most cuts, and sampled points for each cut (more of them make blocks more alike).
+BLOCKS, MOST_CUTS, POINTS = 4, 16_384, 8
 RULE_SCHEMA = "host string, path string, verdict string"
 _RULE = "struct<size:int,host:string,path:string,rule:string,verdict:string>"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -58,7 +63,7 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     default: str = "allow",
-    cuts: int = 128,
+    cuts: int | None = None,
 ) -> DataFrame:
     """Judge every row of `pages` by `rules` (host, path, verdict).
 
@@ -68,9 +73,11 @@ def filter_urls(
 
     Null urls and urls without `://` have empty host and path and fit no rule. Repeated rows stay repeated. Only the
     two columns are read, so further columns cannot clash. Empty tables of pages or rules are fine; rules with a null
-    or empty host are ignored and a null path means every path.
+    or empty host are ignored and a null path means every path. `cuts`, if given, is the number of cuts between blocks.
+    Texts of any length are read whole; ids keep their type.
     """
     spark = pages.sparkSession
+    cuts = cuts or min(MOST_CUTS, BLOCKS * partitions(spark))
     entry = F.struct(
         (F.length("host") + F.length("path")).cast("int").alias("size"), "host", "path", F.concat("host", "path").alias("rule"), "verdict"
     ).cast(_RULE)
@@ -82,12 +89,11 @@ def filter_urls(
     urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).select(
         "*", host_key(F.col("host")).alias("key"), F.xxhash64("id", "host", "path").alias("tie")
     )
-    # a uniform sample of fixed size: the rows with the smallest hashes
-    picked = urls.select("key", "tie").orderBy(F.xxhash64("tie")).limit(cuts).collect()
-    points = sorted((r.key, r.tie) for r in picked)
+    # a uniform sample, the rows with the smallest hashes; every POINTS-th of them in order is a cut
+    picked = urls.select("key", "tie").orderBy(F.xxhash64("tie")).limit(cuts * POINTS).collect()
+    points = sorted({(r.key, r.tie) for r in picked})[POINTS - 1 :: POINTS]
     cut_type = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("tie", T.LongType())]))
-    cut_list = F.from_json(F.lit(_json(points)), cut_type)
-    block = F.size(F.filter(cut_list, lambda c: (c.key < F.col("key")) | ((c.key == F.col("key")) & (c.tie <= F.col("tie")))))
+    block = _place(F.from_json(F.lit(_json(points)), cut_type), len(points))
 
     nodes = rules.select(F.col("rule_key").alias("key")).distinct()
     parents = nodes.select(F.expr("regexp_replace(key, '[^.]*[.]$', '')").alias("key"), F.col("key").alias("node"))
@@ -110,9 +116,9 @@ def filter_urls(
     swept = (
         opens.unionByName(closes)
         .unionByName(starts)
-        .select("*", none.cast("long").alias("id"), none.cast("string").alias("host"), none.cast("string").alias("path"))
+        .select("*", none.cast(urls.schema["id"].dataType).alias("id"), none.cast("string").alias("host"), none.cast("string").alias("path"))
         .unionByName(
-            urls.select("key", F.lit(3).alias("kind"), "tie", none.cast(f"array<{_RULE}>").alias("stack"), F.col("id").cast("long"), "host", "path")
+            urls.select("key", F.lit(3).alias("kind"), "tie", none.cast(f"array<{_RULE}>").alias("stack"), "id", "host", "path")
         )
         .withColumn("block", block)
     )
@@ -127,6 +133,20 @@ def filter_urls(
     )
 
 
+def _place(cuts: Column, n: int) -> Column:
+    """How many of the `n` sorted cuts are at or before a row's (key, tie): a binary search, a step for each power of two."""
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    if not steps:
+        return F.lit(0)
+
+    def step(lo: Column, width: Column) -> Column:
+        cut = F.get(cuts, lo + width - 1)
+        reached = (cut.key < F.col("key")) | ((cut.key == F.col("key")) & (cut.tie <= F.col("tie")))
+        return lo + F.when(reached, width).otherwise(0)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
 def _json(points) -> str:
     import json
 
