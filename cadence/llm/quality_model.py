@@ -124,7 +124,8 @@ def fit(
 ) -> Trees:
     """Fit on a hashed sample of about `sample_rows` labelled ids (all, if fewer), which is what the driver gathers.
 
-    Null labels and ids are ignored; an id with several labels takes their rounded mean.
+    Null labels and ids are ignored; an id with several labels takes their rounded mean. Documents that share an id
+    all count, but never more than twice `sample_rows` rows, those of the smallest hashes.
     """
     labels = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("y")).where("label_id IS NOT NULL AND y IS NOT NULL")
     labels = labels.groupBy("label_id").agg(F.round(F.avg("y")).alias("y"))
@@ -140,7 +141,7 @@ def fit(
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([lists, batch.column(1), batch.column(2)], ["x", "y", "h"])
 
-    table = rows.select("text", "y", F.xxhash64("id", "text").alias("h")).mapInArrow(measure, "x array<double>, y double, h long").orderBy("h").toArrow()
+    table = rows.select("text", "y", F.xxhash64("id", "text").alias("h")).mapInArrow(measure, "x array<double>, y double, h long").orderBy("h").limit(2 * sample_rows).toArrow()
     x = np.array(table.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return grow(x, table.column("y").to_numpy().clip(0, 1))
 

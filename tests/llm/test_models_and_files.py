@@ -220,6 +220,82 @@ def test_trees_walk_like_rules():
     assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.97
 
 
+def plain_statistics(text):
+    """FEATURES one by one, by counting."""
+    data = (text or "").encode()
+    words = [w for w in data.split() if w]
+    if not words:
+        return [0.0] * len(quality_model.FEATURES)
+    share = lambda chars: sum(bytes([b]) in chars for b in data) / len(data)
+    one = lambda chars: share({c.encode() for c in chars})
+    lines = [x for x in data.split(b"\n") if x.split()]
+    return [
+        np.log(1 + len(data)), np.log(1 + len(words)), np.log(1 + len(lines)), sum(len(w) for w in words) / len(words),
+        one("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), one("abcdefghijklmnopqrstuvwxyz"), one("0123456789"), one(" \t"), one("\n"), share({bytes([b]) for b in range(128, 256)}),
+        one(","), one("."), one("!"), one("?"), one(":;"), one("|"), one("#*$%&<>@^~=+_\\"), one("()[]{}"), one("\"'"),
+        len(set(words)) / len(words), len(set(lines)) / len(lines), max(words.count(w) for w in words) / len(words),
+        sum(65 <= w[0] <= 90 for w in words) / len(words), len(words) / len(lines), len({(a, b) for a, b in zip(words, words[1:])}) / max(1, len(words) - 1),
+    ]
+
+
+def plain_walk(model, x):
+    """One row through all trees, node by node."""
+    raw = model.base
+    for f, t, leaves in zip(model.features, model.thresholds, model.leaves, strict=True):
+        node = 0
+        while node < len(f):
+            node = 2 * node + (2 if x[f[node]] > t[node] else 1)
+        raw += leaves[node - len(f)]
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_quality_query_against_plain_python(spark):
+    """op3's rows: scores by counting and by walking trees row by row."""
+    from cadence.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.fit(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1))
+    want = {r.doc_id: (zlib.crc32(str(r.doc_id).encode()) % 3 == 1, plain_walk(model, plain_statistics(r.text))) for r in docs.collect()}
+    got = queries.op3_quality_model(spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got:
+        held_out, score = want[r.doc_id]
+        assert r.held_out == held_out and r.score == pytest.approx(score, abs=1e-9) and r.predicted == (r.score >= 0.5)
+
+
+def test_splits_against_plain_search():
+    """The first tree's root and leaves, by trying every cut of every statistic on the rows themselves."""
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, 9, 400), rng.integers(0, 5, 400), rng.normal(size=400)], axis=1).astype(float)
+    y = ((x[:, 0] > 4) ^ (rng.random(400) < 0.1)).astype(float)
+    model = quality_model.grow(x, y, trees=1, depth=1, bins=64, rate=0.5)
+    p = y.mean()
+    g, h = y - p, np.full(400, p * (1 - p))
+
+    def gain(left):
+        parts = [(g[s].sum(), h[s].sum()) for s in (left, ~left, np.ones(400, bool))]
+        values = [a * a / (b + 1) for a, b in parts]
+        return values[0] + values[1] - values[2] if min(parts[0][1], parts[1][1]) >= 1 else -1
+
+    best = max(gain(x[:, j] <= c) for j in range(3) for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])))
+    left = x[:, model.features[0, 0]] <= model.thresholds[0, 0]
+    assert gain(left) == pytest.approx(best)
+    assert model.leaves[0] == pytest.approx([0.5 * g[s].sum() / (h[s].sum() + 1) for s in (left, ~left)])
+
+
+def test_masks_for_items_of_4_to_30_tokens():
+    """Every allowed set of replaced tokens leaves a seed of the item whole at some place."""
+    from itertools import combinations
+
+    for n in range(decontaminate.LEAST_TOKENS, 31):
+        masks = [*decontaminate.MASKS, *([tuple(range(n))] if n < decontaminate.SPAN else decontaminate.SHORT_MASKS.get(n, ()))]
+        width, allowed = min(n, 13), 0 if n < 8 else n // 5 if n < 13 else 2
+        for first in range(n - width + 1):  # a document may hold just these tokens of the item
+            places = [{s + o for o in m} for m in masks for s in range(first, first + width - m[-1])]
+            assert all(any(not p & set(c) for p in places) for c in combinations(range(first, first + width), allowed))
+
+
 def windows_of(doc, item, width=13, most=2):
     """Whether some 13 tokens of the item lie in the document with at most 2 replaced, by trying all places."""
     w = min(width, len(item))

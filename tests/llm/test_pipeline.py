@@ -1,6 +1,6 @@
 import public_tokenizers
 from pyspark.sql import functions as F
-from test_models_and_files import windows_of
+from test_models_and_files import plain_statistics, plain_walk, windows_of
 from test_near_dup import brute_force
 
 import corpus_pipeline
@@ -23,7 +23,7 @@ def test_stages_on_their_own_inputs(spark):
 
     before, after = seen["quality"]
     model = quality_model.fit(before, spark.read.parquet(f"{SF}/labels.parquet"))
-    x = [(r.doc_id, model.score(__import__("numpy").array([quality_model.statistics(r.text)]))[0]) for r in before.collect()]
+    x = [(r.doc_id, plain_walk(model, plain_statistics(r.text))) for r in before.collect()]
     assert sorted(r.doc_id for r in after.collect()) == sorted(i for i, s in x if s >= 0.5)
 
     before, after = seen["near_dedup"]
