@@ -48,12 +48,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, as the cluster names it.
 
-    Only where the setting is absent (single-machine tests) a temporary folder is made and set.
+    Only where the setting is absent and the master is local (tests on one machine) a temporary folder is made and set;
+    on a cluster its absence is an error.
     """
     jsc = spark.sparkContext._jsc.sc()
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (
         jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
     )
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named:
         named = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="cadence-"))
         spark.sparkContext.setCheckpointDir(named)
