@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Upper bounds (exclusive) of star ratings and their labels.
 DIFFICULTY_LABELS = [(2.5, "Easy"), (3.5, "Normal"), (4.5, "Hard"), (5.5, "Insane")]
 
 
-def slug(text: Column, longest: int = 180) -> Column:
-    """Trimmed, without characters that file systems forbid, white space squeezed, cut to `longest` characters.
+_GAP = r"[\s\x1c-\x1f]"
+
+
+@F.pandas_udf(T.StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKC")
 
-    Text is taken to be in composed form already.
-    """
-    kept = F.regexp_replace(F.trim(text), r'[<>:"/\\|?*\x00-\x1f]', "")
-    return F.substring(F.regexp_replace(kept, r"\s{2,}", " "), 1, longest)
+
+def slug(text: Column, longest: int = 180) -> Column:
+    """Trimmed, in compatibility-composed form (NFKC, which only Python has), without characters that file systems
+    forbid, white space squeezed, cut to `longest` characters."""
+    kept = F.regexp_replace(_composed(F.regexp_replace(text, f"(?U)^{_GAP}+|{_GAP}+$", "")), r'[<>:"/\\|?*\x00-\x19]', "")
+    return F.substring(F.regexp_replace(kept, f"(?U){_GAP}{{2,}}", " "), 1, longest)
 
 
 def file_name(artist: Column, title: Column, creator: Column, label: Column, extension: str) -> Column:
@@ -251,9 +259,14 @@ def circle_candidates(x: Column, y: Column, far: Column, samples: int, width: fl
     return F.when(F.size(inside) > 0, inside).otherwise(F.array(corner))
 
 
+def hashed(seed: int, *keys) -> Column:
+    """Hexadecimal md5 of a seed and keys: a pseudo-random order that any engine can repeat."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys)).cast("binary"))
+
+
 def uniform(seed: int, *keys) -> Column:
-    """A number in [0, 1) by hash of keys: the same for the same keys, whatever the partitions."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(2**53))
+    """A number in [0, 1) by hash of keys, 52 bits of it: the same for the same keys, whatever the partitions."""
+    return F.conv(F.substring(hashed(seed, *keys), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
 
 
 def padded_tokens(tokens: Column, length: int, fill: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadence.functions.scalars import hashed
 from cadence.session import written
 
 #: Queries that are broadcast at a time, or about so many.
@@ -98,7 +99,7 @@ def containing(points: DataFrame, spans: DataFrame, key: str, time: str, start:
 def sibling(df: DataFrame, set_col: str, id_col: str, seed: int) -> DataFrame:
     """(id, sibling): for each row another one of its set, by hash: the next in the set's hashed circle; none if alone."""
     order = Window.partitionBy(set_col).orderBy("_h", id_col)
-    rows = df.select(set_col, id_col).withColumn("_h", F.xxhash64(F.lit(seed), id_col))
+    rows = df.select(set_col, id_col).withColumn("_h", hashed(seed, id_col))
     following = F.coalesce(F.lead(id_col).over(order), F.first(id_col).over(order))
     return rows.withColumn("sibling", following).where(F.col("sibling") != F.col(id_col)).select(id_col, "sibling")
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadence.functions import tokens
 from cadence.operators import assembly
+from cadence.operators.aggregates import latest
+from cadence.operators.ranking import with_position
 from cadence.plans.joins import E, events
 from cadence.plans.registry import query, table
-from cadence.session import work_path
+from cadence.session import work_path, written
 from cadence.sources import catalogue, charts, sinks
 
 
@@ -49,3 +52,160 @@ def datapoints(spark, d):
     rows = events(spark, d).select(F.col("user_id").alias("chart"), F.col("event_id").alias("seq"), F.col("ms").alias("time_ms"), F.col("value").alias("x"), (F.col("value") * 2 - 100).alias("y"), F.col("event_type").alias("kind"))
     v = assembly.datapoints(rows, ["click", "view"])
     return v.select("seq", *(F.col("features")[i].alias(n) for i, n in ((0, "x"), (1, "y"), (3, "click"), (4, "view"))))
+
+
+_CATALOGUE = """SELECT o_custkey AS BeatmapSetId, o_orderkey AS Id, (o_orderkey % 100000)::INT AS BeatmapIdx, 'set ' || o_custkey AS BeatmapSetFolder, (o_orderkey % 4)::INT AS ModeInt,
+o_orderdate AS RankedDate, o_totalprice / 60000 AS DifficultyRating, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS OmdbTags FROM orders"""
+
+
+def _catalogue(spark, d):
+    """Orders as a chart catalogue; tags are missing for every third."""
+    rows = table(spark, d, "orders")
+    price = F.col("o_totalprice") / 60000
+    return rows.select(
+        F.col("o_custkey").alias("BeatmapSetId"), F.col("o_orderkey").alias("Id"), (F.col("o_orderkey") % 100_000).cast("int").alias("BeatmapIdx"),
+        F.concat(F.lit("set "), "o_custkey").alias("BeatmapSetFolder"), F.lit("a.mp3").alias("AudioFile"), F.lit("b.osu").alias("BeatmapFile"),
+        (F.col("o_orderkey") % 4).cast("int").alias("ModeInt"), F.col("o_orderdate").alias("RankedDate"), F.col("o_orderdate").alias("SubmittedDate"),
+        price.alias("DifficultyRating"), F.array(price, price * 2).alias("StarRating"), F.col("o_custkey").alias("UserId"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.array("o_orderpriority")).alias("OmdbTags"),
+    )
+
+
+@query(_CATALOGUE)
+def chart_catalogue(spark, d):
+    path = work_path(spark, "catalogue")
+    _catalogue(spark, d).write.parquet(path)
+    rows = catalogue.charts(spark, path)
+    return rows.select("BeatmapSetId", "Id", "BeatmapIdx", "BeatmapSetFolder", "ModeInt", "RankedDate", "DifficultyRating", F.col("OmdbTags")[0].alias("OmdbTags"))
+
+
+@query(f"SELECT BeatmapSetId, Id, DifficultyRating FROM ({_CATALOGUE}) WHERE ModeInt = 0 AND DifficultyRating > 2 AND OmdbTags IS NOT NULL")
+def catalogue_pruned(spark, d):
+    """The catalogue read through filters and columns that reach the scan."""
+    path = work_path(spark, "catalogue")
+    _catalogue(spark, d).write.parquet(path)
+    return catalogue.charts(spark, path).where("ModeInt = 0 AND DifficultyRating > 2 AND OmdbTags IS NOT NULL").select("BeatmapSetId", "Id", "DifficultyRating")
+
+
+def _tracks(spark, d):
+    """Regions as tracks, one JSON file each, with their nations as charts."""
+    c = F.col
+    chart = F.struct(
+        c("n_nationkey").alias("BeatmapId"), c("n_nationkey").alias("Index"), F.lit(4.0).alias("CircleSize"),
+        F.create_map(F.lit("0"), c("n_nationkey") / 4, F.lit("64"), c("n_nationkey") / 2).alias("StandardStarRating"),
+    )
+    rows = table(spark, d, "region").join(table(spark, d, "nation"), c("r_regionkey") == c("n_regionkey"))
+    one = rows.groupBy("r_regionkey", "r_name").agg(F.map_from_entries(F.collect_list(F.struct("n_name", chart))).alias("Beatmaps"))
+    text = F.to_json(F.struct(c("r_regionkey").alias("BeatmapSetId"), c("r_name").alias("Artist"), F.concat("r_name", F.lit(" title")).alias("Title"), "Beatmaps"), {"pretty": "true"})
+    path = work_path(spark, "tracks")
+    one.select("r_regionkey", text.alias("value")).write.partitionBy("r_regionkey").text(path)
+    return catalogue.tracks(spark, f"{path}/*/*.txt")
+
+
+@query("SELECT r_regionkey::BIGINT AS BeatmapSetId, r_name AS Artist, r_name || ' title' AS Title, count(*)::INT AS charts FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def track_json(spark, d):
+    return _tracks(spark, d).select("BeatmapSetId", "Artist", "Title", F.size("Beatmaps").alias("charts"))
+
+
+@query("SELECT n_regionkey::BIGINT AS BeatmapSetId, n_name AS Version, n_nationkey::BIGINT AS BeatmapId, 4.0::DOUBLE AS CircleSize, n_nationkey / 4 AS Stars, n_nationkey / 2 AS StarsFast FROM nation")
+def flat_charts(spark, d):
+    return catalogue.flat_charts(_tracks(spark, d)).select("BeatmapSetId", "Version", "BeatmapId", "CircleSize", "Stars", "StarsFast")
+
+
+@query("SELECT p_partkey AS beatmap_id, p_type AS descriptor FROM part")
+def descriptors_csv(spark, d):
+    path = work_path(spark, "descriptors")
+    table(spark, d, "part").select("p_partkey", "p_type").write.csv(path)
+    return catalogue.descriptors(spark, path)
+
+
+@query("SELECT s_suppkey AS id, s_suppkey * 10 AS user_id, s_name || ',' || 'old ' || s_name AS names FROM supplier")
+def mappers_json(spark, d):
+    """Files that each hold a JSON list, one per nation."""
+    one = F.struct(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 10).alias("user_id"), F.array("s_name", F.concat(F.lit("old "), "s_name")).alias("username"))
+    rows = table(spark, d, "supplier").groupBy("s_nationkey", (F.col("s_suppkey") % 16).alias("file")).agg(F.to_json(F.collect_list(one)).alias("value"))
+    path = work_path(spark, "mappers")
+    rows.write.partitionBy("s_nationkey", "file").text(path)
+    return catalogue.mappers(spark, f"{path}/*/*/*.txt").select("id", "user_id", F.array_join("username", ",").alias("names"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 > 0")
+def id_list(spark, d):
+    """A list of ids as lines, with blank and other lines in between."""
+    path = work_path(spark, "ids")
+    line = F.when(F.col("o_orderkey") % 5 > 0, F.format_string(" %d ", "o_orderkey")).when(F.col("o_orderkey") % 10 > 0, F.lit("")).otherwise(F.lit("none"))
+    table(spark, d, "orders").select(line.alias("value")).write.text(path)
+    return catalogue.ids(spark, path)
+
+
+@query("SELECT n_nationkey AS track FROM nation WHERE n_nationkey BETWEEN 5 AND 14")
+def numbered_files(spark, d):
+    path = work_path(spark, "numbered")
+    rows = table(spark, d, "nation").select(F.format_string("Track%05d", "n_nationkey").alias("folder"), F.col("n_name").alias("value"))
+    rows.write.partitionBy("folder").text(path)
+    return catalogue.numbered_files(spark, f"{path}/*/*.txt", 5, 15).select("track")
+
+
+@query("""WITH m AS (SELECT user_id, event_id, value, CASE event_type WHEN 'click' THEN 'FID' WHEN 'view' THEN 'Active F1' END AS metric FROM events)
+SELECT user_id, arg_max(round(value, 2), event_id) FILTER (metric = 'FID') AS "FID", arg_max(round(value, 2), event_id) FILTER (metric = 'Active F1') AS "Active F1" FROM m WHERE metric IS NOT NULL GROUP BY 1""")
+def metric_logs(spark, d):
+    """Logs of runs (users) with lines of metrics and of noise, and the last value of each metric."""
+    name = F.when(F.col("event_type") == "click", "FID").when(F.col("event_type") == "view", "Active F1").otherwise("noise")
+    line = F.format_string("%s: %.2f", name, F.round("value", 2))
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", line.alias("text")))).alias("lines"))
+    path = work_path(spark, "logs")
+    rows.select("user_id", F.array_join("lines.text", "\n").alias("value")).write.partitionBy("user_id").text(path)
+    names = ["FID", "Active F1"]
+    found = catalogue.metric_log(spark, f"{path}/*/*.txt", names).withColumn("user_id", F.regexp_extract("file", r"user_id=(\d+)", 1).cast("long"))
+    return latest(found, "user_id", "metric", "value", "line", names).where(F.col("FID").isNotNull() | F.col("Active F1").isNotNull())
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
+def replaced_parquet(spark, d):
+    """A table filtered and written over itself."""
+    path = work_path(spark, "replaced")
+    table(spark, d, "orders").select("o_orderkey", "o_totalprice").write.parquet(path)
+    sinks.replace_parquet(spark.read.parquet(path).where("o_totalprice > 100000"), path)
+    return sinks.read_back(spark, path)
+
+
+@query("""SELECT '<tr><td>' || o_orderkey || '</td><td>' || replace(replace(o_orderpriority || ' <' || o_orderstatus || '&>', '&', '&amp;'), '<', '&lt;') || '</td></tr>' AS value FROM orders""")
+def html_report(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(" <"), "o_orderstatus", F.lit("&>")).alias("note"))
+    path = work_path(spark, "html")
+    sinks.html_rows(rows, ["o_orderkey", "note"]).write.text(path)
+    return spark.read.text(path)
+
+
+@query("""WITH c AS (SELECT event_type AS type, min(trunc(value)::INT) AS lo, max(trunc(value)::INT) AS hi FROM events GROUP BY 1)
+SELECT type, lo, hi, (3 + sum(hi - lo + 1) OVER w - (hi - lo + 1))::BIGINT AS tok_start, (3 + sum(hi - lo + 1) OVER w)::BIGINT AS tok_end FROM c WINDOW w AS (ORDER BY type)""")
+def saved_vocabulary(spark, d):
+    """A vocabulary of the events' own types and value ranges, saved and loaded."""
+    whole = F.col("value").cast("int")
+    ranges = table(spark, d, "events").groupBy(F.col("event_type").alias("type")).agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"))
+    path = work_path(spark, "vocabulary")
+    sinks.vocabulary(tokens.layout(with_position(ranges, ["type"], "seq"), 3), path)
+    return sinks.read_back(spark, path)
+
+
+@query("""WITH n AS (SELECT o_orderkey, o_orderpriority || '.txt' AS f, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) - 1 AS k, o_custkey FROM orders)
+SELECT o_orderkey, o_custkey || '/' || CASE WHEN k = 0 THEN f ELSE replace(f, '.txt', ' (' || k || ').txt') END AS name FROM n""")
+def unique_names(spark, d):
+    name = F.concat(F.col("o_custkey"), F.lit("/"), F.col("o_orderpriority"), F.lit(".txt"))
+    return sinks.unique_names(table(spark, d, "orders").select("o_orderkey", name.alias("name")), "name", "o_orderkey")
+
+
+@query("SELECT event_type, least(floor(value / 50)::INT, 19) AS bin, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE value >= 0 GROUP BY ALL")
+def binned_metrics(spark, d):
+    """Metrics per bin, written in folders by bin and read again."""
+    rows = table(spark, d, "events").where("value >= 0").withColumn("bin", F.least(F.floor(F.col("value") / 50).cast("int"), F.lit(19)))
+    path = work_path(spark, "metrics")
+    sinks.metrics(rows.groupBy("event_type", "bin").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")), path, "bin")
+    return sinks.read_back(spark, path)
+
+
+@query("SELECT c_custkey, c_mktsegment, round(c_acctbal, 2) AS balance FROM customer WHERE c_acctbal > 0")
+def saved_table(spark, d):
+    """A result kept as a table in the shared folder, which later steps read instead of computing it again."""
+    kept = written(table(spark, d, "customer").where("c_acctbal > 0"), "customers")
+    return kept.select("c_custkey", "c_mktsegment", F.round("c_acctbal", 2).alias("balance"))

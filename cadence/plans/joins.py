@@ -46,7 +46,8 @@ def anti_removed(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(removed, "doc_id", "left_anti")
 
 
-@query()
+@query("""WITH h AS (SELECT o_custkey, o_orderkey, md5('7:' || o_orderkey) AS h FROM orders),
+s AS (SELECT o_orderkey, coalesce(lead(o_orderkey) OVER w, first_value(o_orderkey) OVER w) AS sibling FROM h WINDOW w AS (PARTITION BY o_custkey ORDER BY h, o_orderkey)) SELECT * FROM s WHERE sibling <> o_orderkey""")
 def random_sibling(spark, d):
     return joins.sibling(table(spark, d, "orders"), "o_custkey", "o_orderkey", seed=7)
 

@@ -15,6 +15,10 @@ _R = "r(seq, type, lo, hi) AS (VALUES (0, 'click', 0, 99), (1, 'error', -10, 9),
 _V = f"{_R}, v AS (SELECT type, lo, hi, 3 + sum(hi - lo + 1) OVER (ORDER BY seq) - (hi - lo + 1) AS tok_start, 3 + sum(hi - lo + 1) OVER (ORDER BY seq) AS tok_end FROM r)"
 
 
+#: scalars.uniform in SQL, of a seed and a key.
+_UNIFORM = "(('0x' || substr(md5('{}:' || {}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
 def vocabulary(spark):
     return tokens.layout(spark.createDataFrame(RANGES, "seq int, type string, lo int, hi int"), offset=3)
 
@@ -212,7 +216,8 @@ def sample_fields(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "f.*")
 
 
-@query()
+@query(f"""WITH m AS (SELECT event_id, value + round(({_UNIFORM.format(1, 'event_id')} - 0.5) * 4, 3) AS moved FROM events)
+SELECT event_id, CASE WHEN {_UNIFORM.format(2, 'event_id')} < 0.5 THEN 512 - moved ELSE moved END AS x FROM m""")
 def jitter_and_flip(spark, d):
     rows = table(spark, d, "events").select("event_id", "value")
     moved = F.col("value") + F.round((s.uniform(1, "event_id") - 0.5) * 4, 3)

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from cadence.functions import curves
 from cadence.operators import sequential as seq
-from cadence.plans.joins import events
+from cadence.plans.joins import E, events
 from cadence.plans.registry import query, table
 
 
@@ -80,7 +80,8 @@ def curve_lengths(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(total, 6).alias("length"), F.round(near, 6).alias("progress"))
 
 
-@query()
+@query(f"""WITH {E}, r AS (SELECT user_id, ms, event_type, lag(ms) OVER w AS start, lag(event_type) OVER w AS before FROM e WHERE event_type IN ('signup', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id))
+SELECT user_id, start, ms AS "end" FROM r WHERE event_type = 'error' AND before = 'signup'""")
 def paired_spans(spark, d):
     """Spinners and holds: each end with the last start before it that no other end has taken."""
     w = Window.partitionBy("user_id").orderBy("ms", "event_id").rowsBetween(Window.unboundedPreceding, -1)

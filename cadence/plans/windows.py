@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadence.functions.scalars import sped, uniform
+from cadence.functions.scalars import hashed, sped, uniform
 from cadence.operators import windows as win
+from cadence.operators.ranking import with_position
 from cadence.plans.joins import E, events
 from cadence.plans.registry import query, table
 
@@ -208,25 +209,32 @@ def speed_events(spark, d):
     return stream(spark, d).select("event_id", sped(F.col("ms"), F.lit(1.5)).alias("ms"))
 
 
-@query()
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY md5('11:' || o_orderkey), o_orderkey) - 1 AS place FROM orders")
 def hashed_shuffle(spark, d):
-    return table(spark, d, "orders").select("o_orderkey").orderBy(F.xxhash64(F.lit(11), "o_orderkey"), "o_orderkey")
+    rows = table(spark, d, "orders").select("o_orderkey", hashed(11, "o_orderkey").alias("h"))
+    return with_position(rows, ["h", "o_orderkey"], "place").drop("h")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('3:' || o_orderkey), o_orderkey LIMIT 100")
 def seeded_sample(spark, d):
-    return table(spark, d, "orders").select("o_orderkey").orderBy(F.xxhash64(F.lit(3), "o_orderkey"), "o_orderkey").limit(100)
+    return table(spark, d, "orders").select("o_orderkey").orderBy(hashed(3, "o_orderkey"), "o_orderkey").limit(100)
 
 
-@query()
+@query("""WITH c AS (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
+  sum(l_quantity) OVER (PARTITION BY l_orderkey) * ('0x' || substr(md5('5:' || l_orderkey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS point FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey FROM c WHERE point >= hi - l_quantity AND point < hi""")
 def weighted_choice(spark, d):
-    """One line per order with probability by quantity: the line that holds a hashed point of the cumulative weight."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    """One line per order with probability by quantity: the line that holds a hashed point of the cumulative weight.
+
+    Line numbers repeat within an order, so further columns make the order total.
+    """
+    tie = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    w = Window.partitionBy("l_orderkey").orderBy(*tie)
+    rows = table(spark, d, "lineitem").select("l_orderkey", *tie)
     rows = rows.withColumn("hi", F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("l_quantity"))
     rows = rows.withColumn("total", F.sum("l_quantity").over(Window.partitionBy("l_orderkey")))
-    point = uniform(5, "l_orderkey") * F.col("total")
-    return rows.where((point >= F.col("lo")) & (point < F.col("hi"))).select("l_orderkey", "l_linenumber")
+    point = F.col("total") * uniform(5, "l_orderkey")
+    return rows.where((point >= F.col("lo")) & (point < F.col("hi"))).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
