@@ -8,13 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadence.operators.ranking import with_position
+
+#: Rows of partial moments that reach the driver at most.
+MERGED = 64
+
 
 def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, upper_median): the element at floor(n / 2) of each key's sorted non-null values."""
-    rows = df.where(F.col(value).isNotNull()).select(key, value)
-    w = Window.partitionBy(key)
-    placed = rows.withColumn("_k", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return placed.where(F.col("_k") == F.floor(F.col("_n") / 2)).select(key, F.col(value).alias("upper_median"))
+    """(key, upper_median): the element at floor(n / 2) of each key's sorted non-null values; null keys are one key.
+
+    All rows are sorted once over ranges of (key, value), so a key with many rows is spread over tasks; a key's median
+    then stands at a known place of that order.
+    """
+    placed = with_position(df.where(F.col(value).isNotNull()).select(key, value), [key, value], "_at")
+    middle = placed.groupBy(F.col(key).alias("_key")).agg((F.min("_at") + F.floor(F.count("*") / 2)).alias("_middle")).select("_middle")
+    return placed.join(middle, F.col("_at") == F.col("_middle")).select(key, F.col(value).alias("upper_median"))
 
 
 def most_frequent(df: DataFrame, key: str) -> DataFrame:
@@ -57,35 +65,50 @@ def exactly(contexts: Column, wanted: list[str], of: list[str]) -> Column:
 def moments(df: DataFrame, vector: str, dims: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean and sample covariance of arrays of `dims` numbers; null arrays don't count.
 
-    Two passes over Arrow batches. Each partition sends one row of sums, or of products of deviations, so what the
-    driver gathers is dims x dims numbers per partition and nothing per row.
+    One pass over Arrow batches: each partition sends its count, mean and products of deviations, which are merged in
+    tasks to MERGED rows at most; only those, a fixed number, reach the driver.
     """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
-
-    def matrix(batch) -> np.ndarray:
-        return batch.column(0).flatten().to_numpy().reshape(-1, dims)
-
-    def sums(batches):
-        total, n = np.zeros(dims), 0
-        for b in batches:
-            x = matrix(b)
-            total, n = total + x.sum(axis=0), n + len(x)
-        yield pa.RecordBatch.from_pydict({"n": [n], "s": [total.tolist()]})
-
-    parts = rows.mapInArrow(sums, "n long, s array<double>").where("n > 0").collect()
-    n = sum(p.n for p in parts)
-    mean = np.sum([p.s for p in parts], axis=0) / n if n else np.full(dims, np.nan)
-
-    def products(batches):
-        total = np.zeros((dims, dims))
-        for b in batches:
-            x = matrix(b) - mean
-            total += x.T @ x
-        yield pa.RecordBatch.from_pydict({"s": [total.ravel().tolist()]})
-
-    parts = rows.mapInArrow(products, "s array<double>").collect() if n > 1 else []
-    cov = np.sum([p.s for p in parts], axis=0).reshape(dims, dims) / (n - 1) if n > 1 else np.full((dims, dims), np.nan)
-    return n, mean, cov
+    schema = "part long, n long, mean array<double>, dev array<double>"
+
+    def merge(a, b):
+        """Two (n, mean, products of deviations) as one."""
+        n = a[0] + b[0]
+        if not b[0]:
+            return a
+        d = b[1] - a[1]
+        return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+    nothing = 0, np.zeros(dims), np.zeros((dims, dims))
+
+    def as_row(part: int, m) -> dict:
+        return {"part": [part], "n": [m[0]], "mean": [m[1].tolist()], "dev": [m[2].ravel().tolist()]}
+
+    def of(n, mean, dev):
+        return n, np.array(mean, float), np.array(dev, float).reshape(dims, dims)
+
+    def measure(batches):
+        from pyspark import TaskContext
+
+        total = nothing
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, dims)
+            if len(x):
+                mean = x.mean(axis=0)
+                total = merge(total, (len(x), mean, (x - mean).T @ (x - mean)))
+        yield pa.RecordBatch.from_pydict(as_row(TaskContext.get().partitionId(), total))
+
+    def merged(rows: pa.Table) -> pa.Table:
+        total = nothing
+        for n, mean, dev in zip(rows["n"].to_pylist(), rows["mean"], rows["dev"], strict=True):
+            total = merge(total, of(n, mean.as_py(), dev.as_py()))
+        return pa.table(as_row(0, total))
+
+    parts = rows.mapInArrow(measure, schema).where("n > 0").groupBy(F.pmod("part", F.lit(MERGED))).applyInArrow(merged, schema).collect()
+    n, mean, dev = nothing
+    for p in sorted(parts, key=lambda p: (p.n, p.mean)):
+        n, mean, dev = merge((n, mean, dev), of(p.n, p.mean, p.dev))
+    return n, mean if n else np.full(dims, np.nan), dev / (n - 1) if n > 1 else np.full((dims, dims), np.nan)
 
 
 def frechet(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], eps: float = 1e-6) -> float:

@@ -19,15 +19,15 @@ def with_position(df: DataFrame, order: list[str], name: str = "position") -> Da
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # the upper bits of this id are the partition, the lower 33 the row's number in it
-    ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")
-    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
-    bases = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = bases.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    ranged = written(ranged.withColumn("_row", F.monotonically_increasing_id()), "ranged")
+    ranged = ranged.withColumn("_range", F.shiftright("_row", 33))
+    bases = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = bases.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return (
-        ranged.join(F.broadcast(bases), "_part")  # one row a partition
-        .withColumn(name, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_base"))
-        .drop("_part", "_base", "_at")
+        ranged.join(F.broadcast(bases), "_range")  # one row a partition
+        .withColumn(name, F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_base"))
+        .drop("_range", "_base", "_row")
     )
 
 

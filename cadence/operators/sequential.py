@@ -26,44 +26,50 @@ def timing_edits(points: DataFrame, changes: DataFrame, all_after: bool = False,
     set_volume, set_kiai. It edits the points within `fuzz_ms` of its offset. A red change without a red point there
     makes one; a green change makes one if nothing is there, or if it sets the value and no green point is there. A new
     point copies the last one at or before it; it is kept if it is red or differs from that one. With `all_after`,
-    samples, volume and kiai spread to all later points. The result is sorted, red before green.
+    samples, volume and kiai spread to all later points. The result is sorted, red before green. A track's points and
+    changes are held by one task; a change costs a search and shifts of plain arrays.
     """
 
-    def near_value(p: dict, c: dict) -> None:
-        if c["set_value"] and c["is_red"] == p["is_red"]:
-            p["value"] = c["value"]
-        if c["set_meter"] and c["is_red"] and p["is_red"]:
-            p["meter"] = c["meter"]
-        spread(p, c)
-
-    def spread(p: dict, c: dict) -> None:
-        p.update({f: c[f] for f in POINT_FIELDS if c[f"set_{f}"]})
-
-    def edit(own: list[dict], c: dict) -> list[dict]:
-        here = [p for p in own if abs(p["offset_ms"] - c["offset_ms"]) <= fuzz_ms]
-        earlier = [p for p in own if p["offset_ms"] < c["offset_ms"]]
-        last = here[-1] if here else max(earlier, key=lambda p: p["offset_ms"], default=None)
-        wanted = not any(p["is_red"] for p in here) if c["is_red"] else not here or (c["set_value"] and all(p["is_red"] for p in here))
-        if wanted:
-            new = {k: (last or c)[k] for k in ("value", "meter", *POINT_FIELDS)} | {"track": c["track"], "offset_ms": c["offset_ms"], "is_red": c["is_red"]}
-            if last is not None and last["is_red"] and not c["is_red"]:
-                new["value"] = -100.0  # a green point's neutral speed
-            here.append(new)
-        for p in here:
-            near_value(p, c)
-        if wanted and (c["is_red"] or last is None or any(new[k] != last[k] for k in ("value", "meter", "is_red", *POINT_FIELDS))):
-            own.append(new)
-        if all_after:
-            for p in own:
-                if p["offset_ms"] > c["offset_ms"]:
-                    spread(p, c)
-        return sorted(own, key=lambda p: (p["offset_ms"], not p["is_red"]))
+    names = ["value", "meter", *POINT_FIELDS]
 
     def fold(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = sorted(left.to_pylist(), key=lambda p: (p["offset_ms"], not p["is_red"]))
+        at = np.array(left["offset_ms"].to_pylist(), "i8")
+        red = np.array(left["is_red"].to_pylist(), bool)
+        order = np.lexsort((~red, at))
+        at, red = at[order], red[order]
+        own = {f: np.array(left[f].to_pylist(), object)[order] for f in names}
+        track = (left["track"] if len(left) else right["track"])[0].as_py()
         for c in sorted(right.to_pylist(), key=lambda c: (c["offset_ms"], c["seq"])):
-            own = edit(own, c)
-        return pa.Table.from_pylist(own, POINT_SCHEMA)
+            t = c["offset_ms"]
+            lo, hi = np.searchsorted(at, t - fuzz_ms, "left"), np.searchsorted(at, t + fuzz_ms, "right")
+            # the last point here, else the last one before: of points at one time a green one, as they are sorted
+            last = hi - 1 if hi > lo else np.searchsorted(at, t, "left") - 1
+            here = slice(lo, hi)
+            wanted = not red[here].any() if c["is_red"] else hi == lo or (c["set_value"] and red[here].all())
+            new = {f: own[f][last] if last >= 0 else c[f] for f in names}
+            if last >= 0 and red[last] and not c["is_red"]:
+                new["value"] = -100.0  # a green point's neutral speed
+            alike = red[here] == c["is_red"]
+            sets = {f: c[f] for f in POINT_FIELDS if c[f"set_{f}"]}
+            if c["set_value"]:
+                own["value"][here][alike] = c["value"]
+                new["value"] = c["value"]
+            if c["set_meter"] and c["is_red"]:
+                own["meter"][here][alike] = c["meter"]
+                new["meter"] = c["meter"]
+            for f, v in sets.items():
+                own[f][here] = v
+            new |= sets
+            if all_after:
+                for f, v in sets.items():
+                    own[f][np.searchsorted(at, t, "right") :] = v
+            if wanted and (c["is_red"] or last < 0 or red[last] or any(new[f] != own[f][last] for f in names)):
+                k = np.searchsorted(at, t, "left" if c["is_red"] else "right")
+                k += int(red[k : np.searchsorted(at, t, "right")].sum()) if c["is_red"] else 0
+                at, red = np.insert(at, k, t), np.insert(red, k, c["is_red"])
+                own = {f: np.insert(x, k, new[f]) for f, x in own.items()}
+        columns = {"track": [track] * len(at), "offset_ms": at, **{f: x.tolist() for f, x in own.items()}, "is_red": red}
+        return pa.table({f.name: pa.array(columns[f.name], f.type) for f in POINT_SCHEMA}, POINT_SCHEMA)
 
     return points.groupBy("track").cogroup(changes.groupBy("track")).applyInArrow(fold, POINTS)
 

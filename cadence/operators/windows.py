@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from cadence.operators.joins import asof
+
 
 def ordered(part: str | list[str], *order) -> WindowSpec:
     return Window.partitionBy(part).orderBy(*order)
@@ -86,15 +88,63 @@ def path_length(distance: Column, w: WindowSpec) -> Column:
     return F.sum(distance).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def smoothed(counts: DataFrame, part: str, at: str, value: str, sigma: float) -> DataFrame:
-    """Sparse counts spread by a normalized Gaussian cut at 4 sigma, at every place they reach (no reflection at ends)."""
+def smoothed(counts: DataFrame, part: str, at: str, value: str, sigma: float, size: str | None = None) -> DataFrame:
+    """Sparse counts spread by a normalized Gaussian cut at 4 sigma, at every place they reach.
+
+    With `size`, a column with the number of places of a part, what would fall outside [0, size) is reflected at the
+    ends, as if the signal went on mirrored with its end places repeated; without it places have no ends.
+    """
     reach = int(4 * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     kernel = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x / sum(raw)).alias("w")) for k, x in zip(range(-reach, reach + 1), raw, strict=True)))
-    spread = counts.withColumn("_k", F.explode(kernel)).withColumn(at, F.col(at) + F.col("_k.k"))
+    place = F.col(at) + F.col("_k.k")
+    if size:
+        turn = F.pmod(place, 2 * F.col(size))
+        place = F.least(turn, 2 * F.col(size) - 1 - turn)
+    spread = counts.withColumn("_k", F.explode(kernel)).withColumn(at, place)
     return spread.groupBy(part, at).agg(F.sum(F.col(value) * F.col("_k.w")).alias(value))
 
 
+def timed_events(events: DataFrame, part: str, seq: str, kind: str, value: str, points: list[str], timed: list[str], end: Column, types_first: bool = False) -> DataFrame:
+    """`events` with time_ms, the time of every event of a stream that only its `time_shift` events state.
+
+    A time shift's value holds from it on (with `types_first`, from the type event right before it on); before any, the
+    time is 0. Control points, the kinds in `points`, lie between the times around them, and other events go with the
+    control point before them, as a walk from each part's end to its start meets them (`types_first`: from its start to
+    its end). A run of control points ends at a kind in `timed` or a time shift. With c control points from here to the
+    walk's next time shift, a point is moved from the time reached so far to c / (c + 1) of the way from that shift's,
+    cut to whole milliseconds. Where the walk meets no shift the time is `end` after the last event and 0 before the
+    first.
+    """
+    w = ordered(part, seq)
+    so_far, to_go = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    is_shift, is_point = F.col(kind) == "time_shift", F.col(kind).isin(*points)
+    shift = F.when(is_shift, F.col(value).cast("long"))
+    rows = events.withColumn("_shift", F.lead(shift).over(w) if types_first else shift)
+    rows = rows.withColumn("_own", F.coalesce(F.last("_shift", ignorenulls=True).over(so_far), F.lit(0).cast("long")))
+    # a walk comes from `back` and goes `ahead`
+    back, ahead, near = (so_far, to_go, F.last) if types_first else (to_go, so_far, F.first)
+    after = F.first if types_first else F.last
+    onward, backward = (F.col(seq).asc(), F.col(seq).desc()) if types_first else (F.col(seq).desc(), F.col(seq).asc())
+    mark = F.when(is_shift | F.col(kind).isin(*timed), F.lit(False)).when(is_point, F.lit(True))
+    rows = rows.withColumn("_open", F.coalesce(near(mark, ignorenulls=True).over(back), F.lit(False)))
+    start = F.first("_own").over(so_far) if types_first else end.cast("long")
+    rows = rows.withColumn("_from", F.coalesce(near(F.when(~F.col("_open"), F.col("_own")), ignorenulls=True).over(back), start))
+    rows = rows.withColumn("_to", F.coalesce(after(F.when(is_shift, F.col("_own")), ignorenulls=True).over(ahead), end.cast("long") if types_first else F.lit(0).cast("long")))
+    rows = rows.withColumn("_run", F.count(F.when(~mark, 1)).over(back)).withColumn("_zone", F.count(F.when(is_shift, 1)).over(ahead))
+    count = lambda group, order: F.count(F.when(is_point, 1)).over(Window.partitionBy(part, group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_i", count("_run", onward)).withColumn("_c", count("_zone", backward))
+
+    def moved(now: Column, k: Column) -> Column:
+        c = F.col("_c") + F.col("_i") - k
+        return ((now - F.col("_to")) / (c + 1) * c + F.col("_to")).cast("long").cast("double")
+
+    own = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_i")), F.col("_from").cast("double"), moved).cast("long")
+    rows = rows.withColumn("_x", F.when(is_point, own))
+    last = near("_x", ignorenulls=True).over(back)
+    return rows.withColumn("time_ms", F.when(F.col("_open"), last).otherwise(F.col("_own"))).drop("_shift", "_own", "_open", "_from", "_to", "_run", "_zone", "_i", "_c", "_x")
+
+
 def gap_filled(df: DataFrame, part: str, time: str, seq: str) -> DataFrame:
     """Null times placed evenly between the timed rows around them, cut to whole milliseconds.
 
@@ -128,12 +178,41 @@ def boundary_groups(events: DataFrame, part: str, seq: str, is_head: Column, hea
 
 
 def beats_between(points: DataFrame, part: str, time: str, period: str, spans: DataFrame, start: str, end: str) -> DataFrame:
-    """`spans` with beats: the integral of 1 / period over [start, end], each point's period holding until the next."""
-    p = points.withColumn("_stop", F.lead(time).over(ordered(part, time))).withColumnRenamed(time, "_from").withColumnRenamed(part, "_part")
-    rows = spans.withColumn("_id", F.xxhash64(*spans.columns))
-    joined = rows.join(p, (F.col(part) == F.col("_part")) & (F.col("_from") < F.col(end)) & (F.col("_stop").isNull() | (F.col("_stop") > F.col(start))), "left")
-    held = F.least(F.col(end), F.coalesce("_stop", F.col(end))) - F.greatest(F.col(start), F.col("_from"))
-    return joined.groupBy(*spans.columns).agg(F.coalesce(F.sum(F.greatest(held, F.lit(0)) / F.col(period)), F.lit(0.0)).alias("beats"))
+    """`spans` with beats: the integral of 1 / period over [start, end], each point's period holding until the next.
+
+    Before a part's first point there are no beats; of points at one time the longest period holds. The integral up to
+    each point is a running sum, looked up as of a span's ends, so no span meets more than two points.
+    """
+    one = points.groupBy(part, F.col(time).alias("_t")).agg(F.max(period).alias("_period"))
+    w = ordered(part, "_t")
+    before = F.lag(F.struct("_t", "_period")).over(w)
+    one = one.withColumn("_step", F.coalesce((F.col("_t") - before["_t"]) / before["_period"], F.lit(0.0)))
+    one = one.select(part, "_t", F.struct(F.col("_t").alias("at"), "_period", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("sum")).alias("_p"))
+
+    def up_to(rows: DataFrame, at: str, name: str) -> DataFrame:
+        found = asof(rows.withColumn("_t", F.col(at)), one, part, "_t", ["_p"])
+        return found.withColumn(name, F.coalesce(F.col("_p.sum") + (F.col("_t") - F.col("_p.at")) / F.col("_p._period"), F.lit(0.0))).drop("_t", "_p")
+
+    rows = up_to(up_to(spans, start, "_lo"), end, "_hi")
+    return rows.withColumn("beats", F.when(F.col(end) > F.col(start), F.col("_hi") - F.col("_lo")).otherwise(F.lit(0.0))).drop("_lo", "_hi")
+
+
+def counts_between(spans: DataFrame, rows: DataFrame, part: str, time: str, start: str, end: str, bin_col: str, bins: int) -> DataFrame:
+    """`spans` with counts: for each bin in [0, bins) how many `rows` of the part lie at start <= time <= end.
+
+    Running counts of each bin are read off at both ends of a span, so no pair of span and row is made. `spans` must
+    have columns that tell its rows apart; rows with other bins don't count.
+    """
+    ends = F.array(F.struct(F.col(start).alias("_t"), F.lit(0).alias("_side"), F.lit(-1).alias("_sign")), F.struct(F.col(end).alias("_t"), F.lit(2).alias("_side"), F.lit(1).alias("_sign")))
+    marks = spans.select(part, F.struct(*spans.columns).alias("_span"), F.inline(ends)).withColumn("_bin", F.lit(None).cast("int"))
+    own = rows.select(
+        part, F.lit(None).cast(marks.schema["_span"].dataType).alias("_span"), F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(0).alias("_sign"), F.col(bin_col).cast("int").alias("_bin")
+    )
+    w = ordered(part, "_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    swept = marks.unionByName(own)
+    swept = swept.select("_span", "_sign", *(F.count(F.when(F.col("_bin") == k, 1)).over(w).alias(f"_c{k}") for k in range(bins))).where("_span IS NOT NULL")
+    found = swept.groupBy("_span").agg(*(F.sum(F.col("_sign") * F.col(f"_c{k}")).alias(f"_c{k}") for k in range(bins)))
+    return found.select("_span.*", F.array(*(F.col(f"_c{k}") for k in range(bins))).alias("counts"))
 
 
 def delta_step(time: Column, w: WindowSpec, low: int, per_ms: float, most: int) -> Column:

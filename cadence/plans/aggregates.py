@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cadence.operators import aggregates as agg
 from cadence.operators import ranking
+from cadence.operators import windows as win
 from cadence.plans.joins import E, events
 from cadence.plans.registry import query, table
 
@@ -78,15 +79,13 @@ h AS (SELECT event_id, least(floor(value / 50)::INT, 9) AS bin, count(*) AS n FR
 m AS (SELECT event_id, max(n) AS top, sum(n) AS total, min(CASE WHEN n = t THEN bin END) AS bin FROM (SELECT *, max(n) OVER (PARTITION BY event_id) AS t FROM h) GROUP BY 1)
 SELECT event_id, coalesce(CASE WHEN top > 0.4 * total THEN bin END, -1) AS mode FROM p LEFT JOIN m USING (event_id)""")
 def windowed_mode(spark, d):
-    from cadence.operators.joins import containing
-
     rows = events(spark, d).select("event_id", "user_id", "ms", "event_type", "value")
     peaks = rows.where("event_type = 'purchase'").select("event_id", "user_id", (F.col("ms") - 86_399_999).alias("lo"), (F.col("ms") + 86_399_999).alias("hi"))
-    views = rows.where("event_type = 'view'").select("user_id", "ms", agg.closed_bin(F.col("value"), 0, 500, 10).alias("bin")).where("bin IS NOT NULL")
-    near = containing(views, peaks, "user_id", "ms", "lo", "hi", 172_800_000).groupBy("event_id", "bin").agg(F.count("*").alias("n"))
-    top = near.groupBy("event_id").agg(F.max(F.struct("n", (-F.col("bin")).alias("b"))).alias("t"), F.sum("n").alias("total"))
-    mode = F.when(F.col("t.n") > F.lit(0.4) * F.col("total"), -F.col("t.b"))
-    return peaks.select("event_id").join(top, "event_id", "left").select("event_id", F.coalesce(mode, F.lit(-1)).alias("mode"))
+    views = rows.where("event_type = 'view'").select("user_id", "ms", agg.closed_bin(F.col("value"), 0, 500, 10).alias("bin"))
+    near = win.counts_between(peaks, views, "user_id", "ms", "lo", "hi", "bin", 10)
+    top, total = F.array_max("counts"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    mode = F.when(top > F.lit(0.4) * total, (F.array_position("counts", top) - 1).cast("int"))
+    return near.select("event_id", F.coalesce(mode, F.lit(-1)).alias("mode"))
 
 
 @query("WITH w AS (SELECT l_orderkey, l_linenumber, least(greatest(l_discount, 0.02), 0.08) AS w FROM lineitem) SELECT l_orderkey, l_linenumber, round(w / (SELECT avg(w) FROM w), 6) AS weight FROM w")

@@ -110,6 +110,38 @@ def gaussian_smoothing(spark, d):
     return win.smoothed(counts, "user_id", "hour", "density", 2.0).withColumn("density", F.round("density", 6))
 
 
+@query(f"""WITH {E}, c AS (SELECT user_id, (ms // 3600000)::INT AS h, count(*)::DOUBLE AS n FROM e WHERE event_type = 'click' GROUP BY ALL), k AS (SELECT i::INT AS i, exp(-0.5 * (i / 2.0) ^ 2) AS w FROM unnest(range(-8, 9)) AS r(i)),
+g AS (SELECT i, w / (SELECT sum(w) FROM k) AS w FROM k), p AS (SELECT user_id, n * w AS x, CASE WHEN h + i < 0 THEN -1 - (h + i) WHEN h + i >= 720 THEN 1439 - (h + i) ELSE h + i END AS hour FROM c, g)
+SELECT user_id, hour, round(sum(x), 6) AS density FROM p GROUP BY ALL""")
+def gaussian_reflected(spark, d):
+    """Smoothing of a month of 720 hours, mirrored at both ends."""
+    hour = F.expr("ms div 3600000").cast("int").alias("hour")
+    counts = stream(spark, d).where("event_type = 'click'").groupBy("user_id", hour).agg(F.count("*").cast("double").alias("density")).withColumn("size", F.lit(720))
+    return win.smoothed(counts, "user_id", "hour", "density", 2.0, size="size").withColumn("density", F.round("density", 6))
+
+
+@query(f"""WITH {_N}, m AS (SELECT user_id, seq, event_type, value, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 0 WHEN 'click' THEN 1 END AS mark FROM n),
+o AS (SELECT *, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN trunc(value * 100)::BIGINT END IGNORE NULLS) OVER p, 0) AS own, coalesce(first_value(mark IGNORE NULLS) OVER f, 0) AS open, count(*) FILTER (mark = 0) OVER f AS run, count(*) FILTER (event_type = 'purchase') OVER p AS zone
+  FROM m WINDOW p AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+r AS (SELECT *, coalesce(first_value(CASE WHEN open = 0 THEN own END IGNORE NULLS) OVER f, 100000) AS origin, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN own END IGNORE NULLS) OVER p, 0) AS goal,
+  count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id, run ORDER BY seq DESC) AS i, count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id, zone ORDER BY seq) AS c
+  FROM o WINDOW p AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+x AS (SELECT *, CASE WHEN event_type = 'click' THEN list_reduce(list_prepend(origin::DOUBLE, range(1, i + 1)::DOUBLE[]), lambda now, k: trunc((now - goal) / (c + i - k + 1) * (c + i - k) + goal))::BIGINT END AS moved FROM r)
+SELECT user_id, seq, CASE WHEN open = 1 THEN first_value(moved IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) ELSE own END AS time_ms FROM x""")
+def timed_events(spark, d):
+    """Times of all events: purchases as time shifts, signups as timed kinds, clicks as control points."""
+    kind = F.when(F.col("event_type") == "purchase", "time_shift").otherwise(F.col("event_type"))
+    rows = numbered(spark, d).select("user_id", "seq", kind.alias("kind"), F.floor(F.col("value") * 100).alias("value"))
+    return win.timed_events(rows, "user_id", "seq", "kind", "value", ["click"], ["signup"], F.lit(100_000)).select("user_id", "seq", "time_ms")
+
+
+@query(f"""WITH {E}, c AS (SELECT event_id, floor(value / 50)::INT AS x, floor(value / 50)::INT IS DISTINCT FROM lag(floor(value / 50)::INT) OVER {_W} AS kept FROM e) SELECT event_id, x FROM c WHERE kept""")
+def without_repeats(spark, d):
+    """A path's points without those that repeat the one before."""
+    rows = stream(spark, d).withColumn("x", F.floor(F.col("value") / 50).cast("int"))
+    return win.changes(rows, "x", order()).select("event_id", "x")
+
+
 @query(f"""WITH {_N}, t AS (SELECT user_id, seq, CASE WHEN event_type IN ('click', 'view') THEN ms END AS t FROM n),
 b AS (SELECT *, coalesce(last_value(t IGNORE NULLS) OVER p, 0) AS lo, first_value(t IGNORE NULLS) OVER f AS hi, count(t) OVER p AS g FROM t
   WINDOW p AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
@@ -140,12 +172,12 @@ def boundary_groups_heads_first(spark, d):
 
 @query(f"""WITH {E}, p AS (SELECT user_id, ms AS a, coalesce(lead(ms) OVER (PARTITION BY user_id ORDER BY ms), 9000000000) AS b, 1000.0 + event_id % 9 * 100 AS period FROM e WHERE event_type = 'purchase'),
 s AS (SELECT event_id, user_id, ms AS x, ms + 90000000 AS y FROM e WHERE event_type = 'signup')
-SELECT event_id, round(coalesce(sum(greatest(least(y, b) - greatest(x, a), 0) / period), 0), 4) AS beats FROM s LEFT JOIN p ON s.user_id = p.user_id AND a < y AND b > x GROUP BY 1""")
+SELECT event_id, round(coalesce(sum(greatest(least(y, b) - greatest(x, a), 0) / period), 0), 6) AS beats FROM s LEFT JOIN p ON s.user_id = p.user_id AND a < y AND b > x GROUP BY 1""")
 def beats_between(spark, d):
     rows = stream(spark, d)
     points = rows.where("event_type = 'purchase'").select("user_id", "ms", (1000.0 + F.col("event_id") % 9 * 100).alias("period"))
     spans = rows.where("event_type = 'signup'").select("event_id", "user_id", F.col("ms").alias("x"), (F.col("ms") + 90_000_000).alias("y"))
-    return win.beats_between(points, "user_id", "ms", "period", spans, "x", "y").select("event_id", F.round("beats", 4).alias("beats"))
+    return win.beats_between(points, "user_id", "ms", "period", spans, "x", "y").select("event_id", F.round("beats", 6).alias("beats"))
 
 
 @query(f"WITH {E} SELECT event_id, coalesce(least(greatest(round_even((ms - lag(ms) OVER {_W} - 1000) * 0.00001, 0)::BIGINT, 0), 500), -1)::INT AS step FROM e")

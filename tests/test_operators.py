@@ -132,6 +132,148 @@ def test_timing_edits(spark):
     assert values(sequential.timing_edits(points, red), "offset_ms", "value") == [(0, 400.0)]
 
 
+def edited(points, changes, all_after, fuzz=2):
+    """timing_edits by plain rules: one dict per point, every point looked at for every change."""
+    fields = ["sample_type", "sample_set", "volume", "kiai"]
+    own = sorted(({k: p[k] for k in ("offset_ms", "value", "meter", *fields, "is_red")} for p in points), key=lambda p: (p["offset_ms"], not p["is_red"]))
+    for c in sorted(changes, key=lambda c: (c["offset_ms"], c["seq"])):
+        here = [p for p in own if abs(p["offset_ms"] - c["offset_ms"]) <= fuzz]
+        last = None
+        for p in own:
+            if p["offset_ms"] < c["offset_ms"] and (last is None or p["offset_ms"] >= last["offset_ms"]):
+                last = p
+        last = here[-1] if here else last
+        new = None
+        if (c["is_red"] and not any(p["is_red"] for p in here)) or (not c["is_red"] and (not here or (c["set_value"] and all(p["is_red"] for p in here)))):
+            new = {k: (last or c)[k] for k in ("value", "meter", *fields)} | {"offset_ms": c["offset_ms"], "is_red": c["is_red"]}
+            if last and last["is_red"] and not c["is_red"]:
+                new["value"] = -100.0
+        for p in [*here, *([new] if new else [])]:
+            if c["set_value"] and p["is_red"] == c["is_red"]:
+                p["value"] = c["value"]
+            if c["set_meter"] and p["is_red"] and c["is_red"]:
+                p["meter"] = c["meter"]
+            p |= {f: c[f] for f in fields if c[f"set_{f}"]}
+        if new and (c["is_red"] or last is None or {**new, "offset_ms": 0} != {**last, "offset_ms": 0}):
+            own.append(new)
+        if all_after:
+            for p in own:
+                if p["offset_ms"] > c["offset_ms"]:
+                    p |= {f: c[f] for f in fields if c[f"set_{f}"]}
+        own.sort(key=lambda p: (p["offset_ms"], not p["is_red"]))
+    return own
+
+
+@pytest.mark.parametrize("all_after", [False, True])
+def test_timing_edits_against_plain_rules(spark, all_after):
+    rng = np.random.default_rng(9)
+    pick = lambda *xs: xs[rng.integers(len(xs))]
+
+    def point(track, red):
+        return {"track": track, "offset_ms": int(rng.integers(0, 40)), "value": float(pick(300, 400) if red else pick(-50, -100)), "meter": int(pick(3, 4)), "sample_type": 1,
+                "sample_set": int(pick(0, 1)), "volume": int(pick(40, 60)), "kiai": bool(pick(True, False)), "is_red": red}
+
+    flags = [f"set_{f}" for f in ("value", "meter", "sample_type", "sample_set", "volume", "kiai")]
+    points = [point(t, bool(rng.random() < 0.4)) for t in range(8) for _ in range(t)]
+    changes = [point(t, bool(rng.random() < 0.4)) | {"seq": k} | {f: bool(rng.random() < 0.4) for f in flags} for t in range(8) for k in range(12)]
+    schema = sequential.POINTS + ", seq long, " + ", ".join(f"{k} boolean" for k in flags)
+    got = sequential.timing_edits(spark.createDataFrame(points, sequential.POINTS), spark.createDataFrame(changes, schema), all_after=all_after).collect()
+    key = ("offset_ms", "value", "meter", "sample_type", "sample_set", "volume", "kiai", "is_red")
+    for t in range(8):
+        want = edited([p for p in points if p["track"] == t], [c for c in changes if c["track"] == t], all_after)
+        assert [tuple(r[k] for k in key) for r in got if r.track == t] == [tuple(p[k] for k in key) for p in want]
+
+
+def test_green_change_after_red_and_green_at_one_time(spark):
+    red = {"track": 1, "offset_ms": 0, "value": 300.0, "meter": 4, "sample_type": 2, "sample_set": 0, "volume": 100, "kiai": False, "is_red": True}
+    points = spark.createDataFrame([red, red | {"value": -50.0, "is_red": False}], sequential.POINTS)
+    flags = {f"set_{f}": f == "volume" for f in ("value", "meter", "sample_type", "sample_set", "volume", "kiai")}
+    change = red | flags | {"offset_ms": 1000, "volume": 40, "is_red": False, "seq": 0}
+    changes = spark.createDataFrame([change], sequential.POINTS + ", seq long, " + ", ".join(f"{k} boolean" for k in flags))
+    assert values(sequential.timing_edits(points, changes), "offset_ms", "value", "volume")[-1] == (1000, -50.0, 40)
+
+
+def walked_times(events, end, types_first):
+    """Times of (kind, value) events by walking back (or on) and looking ahead for the next time shift each time."""
+    times, now = [], 0
+    for i, (kind, value) in enumerate(events):
+        if types_first:
+            now = events[i + 1][1] if i + 1 < len(events) and events[i + 1][0] == "time_shift" else now
+        elif kind == "time_shift":
+            now = value
+        times.append(now)
+    if not events:
+        return times
+    own, step, now, inside = list(times), 1 if types_first else -1, times[0] if types_first else end, False
+    for i in range(len(events))[::step]:
+        kind = events[i][0]
+        inside = kind == "point" or (inside and kind not in ("timed", "time_shift"))
+        if not inside:
+            now = own[i]
+        elif kind == "point":
+            j, count = i, 0
+            while 0 <= j < len(events) and events[j][0] != "time_shift":
+                count += events[j][0] == "point"
+                j += step
+            goal = own[j] if 0 <= j < len(events) else end if j >= 0 else 0
+            now = int((now - goal) / (count + 1) * count + goal)
+        times[i] = now
+    return times
+
+
+@pytest.mark.parametrize("types_first", [False, True])
+def test_timed_events_against_a_walk(spark, types_first):
+    rng = np.random.default_rng(4)
+    streams = [[(str(rng.choice(["point", "point", "other", "timed", "time_shift"])), int(rng.integers(0, 5000))) for _ in range(rng.integers(0, 40))] for _ in range(20)]
+    rows = [(k, i, kind, value) for k, s in enumerate(streams) for i, (kind, value) in enumerate(s)]
+    df = spark.createDataFrame(rows, "k long, seq long, kind string, value long")
+    got = windows.timed_events(df, "k", "seq", "kind", "value", ["point"], ["timed"], F.lit(7000), types_first).orderBy("k", "seq").collect()
+    want = [t for s in streams for t in walked_times(s, 7000, types_first)]
+    assert [r.time_ms for r in got] == want
+
+
+def test_slider_anchor_times(spark):
+    """T-D-Start-D-CP-D-CP-T-D-LCP-T-D-End at 1, 7 and 9: control points at 3 and 5."""
+    kinds = "T D Start D CP D CP T D LCP T D End".split()
+    at = iter([1, 7, 9])
+    rows = [(1, i, "time_shift" if k == "T" else k, next(at) if k == "T" else None) for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "k long, seq long, kind string, value long")
+    got = windows.timed_events(df, "k", "seq", "kind", "value", ["CP"], ["Start", "LCP", "End"], F.lit(10)).orderBy("seq").collect()
+    assert [r.time_ms for r in got] == [1, 1, 1, 3, 3, 5, 5, 7, 7, 7, 9, 9, 9]
+
+
+def test_smoothing_reflects_at_ends(spark):
+    """As convolving the signal with its mirror images at both ends."""
+    rng = np.random.default_rng(2)
+    signal = rng.integers(0, 5, 30).astype(float)
+    kernel = np.exp(-0.5 * (np.arange(-12, 13) / 3.0) ** 2)
+    want = np.convolve(np.concatenate([signal[::-1], signal, signal[::-1]]), kernel / kernel.sum(), "same")[30:60]
+    df = spark.createDataFrame([(1, i, float(x), 30) for i, x in enumerate(signal)], "k long, at long, v double, size long")
+    got = [r.v for r in windows.smoothed(df, "k", "at", "v", 3.0, "size").orderBy("at").collect()]
+    assert np.allclose(got, want)
+
+
+def test_counts_between_and_beats_between(spark):
+    rows = spark.createDataFrame([(1, 0, 0), (1, 5, 1), (1, 5, 0), (1, 9, 5), (2, 5, 0)], "k long, t long, b int")
+    spans = spark.createDataFrame([(1, 1, 0, 5), (2, 1, 6, 9), (3, 3, 0, 9)], "id long, k long, lo long, hi long")
+    assert values(windows.counts_between(spans, rows, "k", "t", "lo", "hi", "b", 2), "id", "counts") == [(1, [2, 1]), (2, [0, 0]), (3, [0, 0])]
+    points = spark.createDataFrame([(1, 100, 10.0), (1, 200, 20.0)], "k long, t long, p double")
+    spans = spark.createDataFrame([(1, 1, 0, 150), (2, 1, 150, 260), (3, 1, 50, 40), (4, 9, 0, 10)], "id long, k long, x long, y long")
+    assert values(windows.beats_between(points, "k", "t", "p", spans, "x", "y"), "id", "beats") == [(1, 5.0), (2, 8.0), (3, 0.0), (4, 0.0)]
+
+
+def test_upper_median_of_a_frequent_key(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), float(v)) for k, v in zip(np.where(rng.random(500) < 0.7, 0, rng.integers(1, 9, 500)), rng.integers(0, 50, 500), strict=True)] + [(99, None)]
+    want = sorted((k, sorted(v for j, v in rows if j == k)[sum(j == k for j, _ in rows) // 2]) for k in {k for k, v in rows if v is not None})
+    assert values(aggregates.upper_median(spark.createDataFrame(rows, "k long, v double"), "k", "v"), "k", "upper_median") == want
+
+
+def test_file_names_are_composed(spark):
+    df = spark.createDataFrame([("  \uff21\ufb01 e\u0301: a\u3000\u3000b ",), (None,)], "t string")
+    assert [r[0] for r in df.select(scalars.slug(F.col("t"))).collect()] == ["Afi \xe9 a b", None]
+
+
 def test_snapped_overlaps(spark):
     rows = [(1, 1, 0, 100.0, 100.0), (1, 2, 500, 102.0, 100.0), (1, 3, 1200, 105.0, 100.0), (1, 4, 1300, None, None)]
     got = values(sequential.snapped_overlaps(spark.createDataFrame(rows, "chart long, seq long, time_ms long, x double, y double")), "seq", "x")
