@@ -11,13 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def bezier(points: np.ndarray, steps: int) -> np.ndarray:
-    t = np.linspace(0, 1, steps + 1)[:, None]
+#: A flattened curve is nowhere farther from the curve than this.
+TOLERANCE = 0.1
+#: Points of each part of a Catmull-Rom curve.
+CATMULL_STEPS = 50
+
+
+def bezier(points: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """Points of a Bezier curve at even steps: as many as given, else as its second differences ask for TOLERANCE."""
     n = len(points) - 1
-    return sum(comb(n, k) * (1 - t) ** (n - k) * t**k * points[k] for k in range(n + 1))
+    if steps is None:
+        bend = np.hypot(*np.diff(points, 2, axis=0).T).max() if n > 1 else 0.0
+        steps = max(1, int(np.ceil(np.sqrt(n * (n - 1) / 8 * bend / TOLERANCE))))
+    t = np.linspace(0, 1, steps + 1)[:, None]
+    q = np.repeat(points[None, :, :], steps + 1, axis=0)
+    while q.shape[1] > 1:  # halves all the way down keep many points stable, where powers would not
+        q = q[:, :-1] * (1 - t[:, None]) + q[:, 1:] * t[:, None]
+    return q[:, 0]
 
 
-def catmull(points: np.ndarray, steps: int) -> np.ndarray:
+def catmull(points: np.ndarray, steps: int = CATMULL_STEPS) -> np.ndarray:
     p = np.vstack([points[:1], points, 2 * points[-1:] - points[-2:-1]])
     t = np.linspace(0, 1, steps + 1)[:-1, None]
     parts = [
@@ -27,30 +40,53 @@ def catmull(points: np.ndarray, steps: int) -> np.ndarray:
     return np.vstack([*parts, points[-1:]])
 
 
-def arc(points: np.ndarray, steps: int) -> np.ndarray:
-    """The circle's arc from the first to the last of three points through the middle one; a line if they lie on one."""
+def arc(points: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """The circle's arc from the first to the last of three points through the middle one; a Bezier curve if they lie on
+    a line."""
     a, b, c = points
     m = 2 * np.array([b - a, c - a])
     if abs(np.linalg.det(m)) < 1e-6:
-        return np.vstack([a, b, c])
+        return bezier(points, steps)
     centre = np.linalg.solve(m, [b @ b - a @ a, c @ c - a @ a])
     start, via, end = (np.arctan2(*(p - centre)[::-1]) for p in points)
     turn = (end - start) % (2 * np.pi)
     turn = turn if (via - start) % (2 * np.pi) <= turn else turn - 2 * np.pi
+    radius = np.linalg.norm(a - centre)
+    if steps is None:
+        steps = max(2, int(np.ceil(abs(turn) / (2 * np.arccos(1 - min(TOLERANCE / radius, 1))))))
     t = start + turn * np.linspace(0, 1, steps + 1)
-    return centre + np.linalg.norm(a - centre) * np.column_stack([np.cos(t), np.sin(t)])
+    return centre + radius * np.column_stack([np.cos(t), np.sin(t)])
+
+
+def flatten(kind: str, points: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """A path's points within TOLERANCE of the curve (or at `steps` even steps of each part), without repeated ones.
+
+    A control point that comes twice ends one part and starts the next, in curves of any kind.
+    """
+    if len(points) < 2:
+        return points
+    cuts = [0, *(i for i in range(1, len(points)) if (points[i] == points[i - 1]).all()), len(points)]
+    parts = [_part(kind, points[a:b], len(points), steps) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+    path = np.vstack(parts)
+    return path[np.r_[True, (np.diff(path, axis=0) != 0).any(axis=1)]]
 
 
-def flatten(kind: str, points: np.ndarray, steps: int = 50) -> np.ndarray:
+def _part(kind: str, points: np.ndarray, whole: int, steps: int | None) -> np.ndarray:
     if len(points) < 2 or kind == "L":
         return points
-    if kind == "P" and len(points) == 3:
+    if kind == "P" and len(points) == whole == 3:
         return arc(points, steps)
-    if kind == "C":
-        return catmull(points, steps)
-    cuts = [0, *(i for i in range(1, len(points)) if (points[i] == points[i - 1]).all()), len(points)]
-    parts = [bezier(points[a:b], steps) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-    return np.vstack(parts)
+    return catmull(points, steps or CATMULL_STEPS) if kind == "C" else bezier(points, steps)
+
+
+def at_length(path: np.ndarray, length: float) -> np.ndarray:
+    """The point at a length along a path; 0 or less: its end; beyond the end: on along the last step."""
+    steps = np.hypot(*np.diff(path, axis=0).T) if len(path) > 1 else np.zeros(0)
+    along = np.concatenate([[0.0], steps.cumsum()])
+    if length <= 0 or not along[-1]:
+        return path[-1]
+    k = min(max(int(np.searchsorted(along, length)), 1), len(path) - 1)
+    return path[k - 1] + (path[k] - path[k - 1]) * ((length - along[k - 1]) / steps[k - 1])
 
 
 def _points(x, y) -> np.ndarray:
@@ -67,7 +103,7 @@ def _length(kind: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
 def _progress(kind: pd.Series, x: pd.Series, y: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
     out = []
     for k, a, b, u, v in zip(kind, x, y, px, py, strict=True):
-        path = flatten(k, _points(a, b), 200)
+        path = flatten(k, _points(a, b))
         far = np.hypot(*(path - [u, v]).T)
         along = np.concatenate([[0.0], np.hypot(*np.diff(path, axis=0).T).cumsum()]) if len(path) > 1 else np.zeros(1)
         out.append(along[len(far) - 1 - far[::-1].argmin()] / along[-1] if along[-1] else 0.0)
@@ -75,10 +111,25 @@ def _progress(kind: pd.Series, x: pd.Series, y: pd.Series, px: pd.Series, py: pd
 
 
 def cumulative_length(kind: Column, x: Column, y: Column) -> Column:
-    """Path length at each point of a flattened curve; kind is B (Bezier, repeated points split), C, P (arc) or L."""
+    """Path length at each point of a curve flattened within TOLERANCE; kind is B (Bezier, repeated points split), C, P (arc) or L."""
     return _length(kind, x, y)
 
 
 def progress_of(kind: Column, x: Column, y: Column, px: Column, py: Column) -> Column:
     """The share of the curve's length at the flattened point nearest to (px, py), the last of equally near ones."""
     return _progress(kind, x, y, px, py)
+
+
+@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+def _point_at(kind: pd.Series, x: pd.Series, y: pd.Series, length: pd.Series) -> pd.DataFrame:
+    out = []
+    for k, a, b, far in zip(kind, x, y, length, strict=True):
+        spots = None if a is None or b is None else _points(a, b)
+        bad = spots is None or not len(spots) or not np.isfinite(spots).all()
+        out.append((None, None) if bad else tuple(at_length(flatten(k or "B", spots), 0.0 if far is None or far != far else far)))
+    return pd.DataFrame(out, columns=["x", "y"])
+
+
+def point_at(kind: Column, x: Column, y: Column, length: Column) -> Column:
+    """struct(x, y): where a curve is at a length along it (see at_length); nulls for curves with missing points."""
+    return _point_at(kind, x, y, length)

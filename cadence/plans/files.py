@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadence.functions import tokens
-from cadence.operators import assembly
+from cadence.operators import assembly, chart_events
 from cadence.operators.aggregates import latest
 from cadence.operators.ranking import with_position
 from cadence.plans.joins import E, events
@@ -209,3 +209,35 @@ def saved_table(spark, d):
     """A result kept as a table in the shared folder, which later steps read instead of computing it again."""
     kept = written(table(spark, d, "customer").where("c_acctbal > 0"), "customers")
     return kept.select("c_custkey", "c_mktsegment", F.round("c_acctbal", 2).alias("balance"))
+
+
+@query(f"""WITH {E}, o AS (SELECT user_id, event_type, ms // 1000 AS t, (event_id % 512)::DOUBLE AS x, (event_id % 384)::DOUBLE AS y, event_id % 5 = 0 AS combo, (event_id % 8)::INT AS sound,
+  row_number() OVER (PARTITION BY user_id ORDER BY ms // 1000, event_id) AS k FROM e WHERE event_type IN ('click', 'signup')),
+p AS (SELECT *, lag(CASE WHEN event_type = 'click' THEN x ELSE 256 END, 1, 256.0) OVER w AS px, lag(CASE WHEN event_type = 'click' THEN y ELSE 192 END, 1, 192.0) OVER w AS py FROM o WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+g AS (SELECT user_id, t, k, 0 AS g, CASE event_type WHEN 'click' THEN 'circle' ELSE 'spinner' END AS kind, x, y, px, py, combo, CASE event_type WHEN 'click' THEN sound END AS sound FROM p
+  UNION ALL SELECT user_id, t + 50, k, 1, 'spinner_end', NULL, NULL, NULL, NULL, false, sound FROM p WHERE event_type = 'signup'),
+d AS (SELECT t, min(i) AS i FROM (SELECT DISTINCT t FROM g), unnest(range(1, 17)) AS r(i) WHERE abs(t / 500.0 - round_even(t / 500.0 * i, 0) / i) * 500 < 2 GROUP BY 1),
+v AS (SELECT user_id, t AS time_ms, k, g, 1 AS part, 'time_shift' AS type, t AS value FROM g
+  UNION ALL SELECT user_id, g.t, k, g, 2, 'snapping', coalesce(i, 0) FROM g LEFT JOIN d ON g.t = d.t
+  UNION ALL SELECT user_id, t, k, g, 3, 'distance', trunc(least(sqrt((x - px) ^ 2 + (y - py) ^ 2), 640))::BIGINT FROM g WHERE kind = 'circle'
+  UNION ALL SELECT user_id, t, k, g, 4, 'pos_x', x::BIGINT FROM g WHERE kind = 'circle'
+  UNION ALL SELECT user_id, t, k, g, 5, 'pos_y', y::BIGINT FROM g WHERE kind = 'circle'
+  UNION ALL SELECT user_id, t, k, g, 6, 'new_combo', 0 FROM g WHERE kind = 'circle' AND combo
+  UNION ALL SELECT user_id, t, k, g, 8, 'hitsound', (sound & 14) // 2 + 32 FROM g WHERE sound IS NOT NULL
+  UNION ALL SELECT user_id, t, k, g, 9, 'volume', CASE WHEN t + 5 >= 1000000 THEN 40 ELSE 60 END FROM g WHERE sound IS NOT NULL
+  UNION ALL SELECT user_id, t, k, g, 10, kind, 0 FROM g)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY time_ms, k, g, part) - 1 AS place, time_ms, type, value FROM v""")
+def chart_to_events(spark, d):
+    """Charts of clicks as circles and signups as spinners, at 500 ms a beat and with two volumes, as event streams."""
+    rows = events(spark, d).where("event_type IN ('click', 'signup')")
+    click, at = F.col("event_type") == "click", F.expr("ms div 1000")
+    objects = rows.select(
+        F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("seq"), (F.col("event_id") % 512).cast("double").alias("x"), (F.col("event_id") % 384).cast("double").alias("y"),
+        at.alias("time_ms"), F.when(click, "circle").otherwise("spinner").alias("kind"), (click & (F.col("event_id") % 5 == 0)).alias("new_combo"),
+        (F.col("event_id") % 8).cast("int").alias("hitsound"), F.when(click, F.array(F.lit("0:0:0:0:"))).otherwise(F.array((at + 50).cast("string"), F.lit("0:0:0:0:"))).alias("params"),
+    )
+    first = F.struct(*(F.lit(v).alias(n) for n, v in (("seq", 0), ("offset_ms", 0), ("value", 500.0), ("meter", 4), ("sample_type", 2), ("sample_set", 0), ("volume", 60), ("is_red", True), ("kiai", False))))
+    second = F.struct(*(F.lit(v).alias(n) for n, v in (("seq", 1), ("offset_ms", 1_000_000), ("value", -50.0), ("meter", 4), ("sample_type", 2), ("sample_set", 0), ("volume", 40), ("is_red", False), ("kiai", True))))
+    points = objects.select("file").distinct().select("file", F.inline(F.array(first, second)))
+    found = chart_events.events(objects, points)
+    return found.select(F.col("file").cast("long").alias("user_id"), "place", "time_ms", "type", "value")

@@ -57,48 +57,3 @@ def hit_objects(rows: DataFrame) -> DataFrame:
         "file", F.col("line").alias("seq"), number(0).alias("x"), number(1).alias("y"), number(2).cast("long").alias("time_ms"), kind.alias("kind"),
         (kind_bits.bitwiseAND(NEW_COMBO) > 0).alias("new_combo"), number(4).cast("int").alias("hitsound"), F.slice(parts, 6, F.greatest(F.size(parts), F.lit(1))).alias("params"),
     )
-
-
-def events(objects: DataFrame, points: DataFrame) -> DataFrame:
-    """(file, time_ms, seq, step, type, value): each hit object as a run of events, in reading order.
-
-    Every object gives a time, its distance from the last one's position (cut to whole pixels; the first from the
-    field's middle), new_combo if it has it, and its kind; a spinner or hold also gives a time and an end at its end. A
-    slider gives anchors, each place of its curve once, and the end after all repeats, at the beat and slider speed in
-    force; its multiplier is a column `slider_multiplier` of `objects` (1.4 if absent).
-    """
-    from cadence.operators.joins import asof
-    from cadence.operators.windows import ordered, step_distance
-
-    reds = points.where("is_red").select("file", F.col("offset_ms").alias("time_ms"), "seq", F.col("value").alias("beat_ms"))
-    own = F.when(F.col("is_red"), F.lit(1.0)).otherwise(F.least(F.greatest(F.lit(-100.0) / F.col("value"), F.lit(0.01)), F.lit(10.0)))
-    speeds = points.select("file", F.col("offset_ms").alias("time_ms"), ((F.col("seq") * 2) + (~F.col("is_red")).cast("int")).alias("seq"), own.alias("speed"))
-    rows = objects if "slider_multiplier" in objects.columns else objects.withColumn("slider_multiplier", F.lit(1.4))
-    rows = rows.withColumnRenamed("seq", "at").withColumn("far", step_distance(F.col("x"), F.col("y"), ordered("file", "time_ms", "at")))
-    rows = asof(rows, reds, "file", "time_ms", ["beat_ms"], seq="seq", or_first=True)
-    rows = asof(rows, speeds, "file", "time_ms", ["speed"], seq="seq")
-    repeats = F.coalesce(F.get("params", F.lit(1)).cast("int"), F.lit(1))
-    length = F.coalesce(F.get("params", F.lit(2)).cast("double"), F.lit(0.0))
-    span = length / (F.lit(100.0) * F.col("slider_multiplier") * F.coalesce("speed", F.lit(1.0))) * F.col("beat_ms")
-    stop = (
-        F.when(F.col("kind") == "slider", (F.col("time_ms") + span * repeats).cast("long"))
-        .when(F.col("kind") == "spinner", F.get("params", F.lit(0)).cast("long"))
-        .when(F.col("kind") == "hold", F.split(F.get("params", F.lit(0)), ":")[0].cast("long"))
-    )
-    rows = rows.withColumn("stop", stop)
-    event = lambda kind, value, at: F.struct(F.lit(kind).alias("type"), value.cast("long").alias("value"), at.alias("time_ms"))
-    t, one = F.col("time_ms"), F.lit(1)
-    curve = F.split(F.get("params", F.lit(0)), r"\|")
-    anchors = F.transform(
-        F.slice(curve, 2, F.greatest(F.size(curve), F.lit(1))), lambda a: F.struct(F.lit("anchor").alias("type"), F.split(a, ":")[0].cast("long").alias("value"), t.alias("time_ms"))
-    )
-    run = F.array_compact(
-        F.array(
-            event("time", t, t), event("distance", F.col("far"), t), F.when(F.col("new_combo"), event("new_combo", one, t)),
-            event("hitsound", F.col("hitsound"), t), F.struct(F.col("kind").alias("type"), F.lit(0).cast("long").alias("value"), t.alias("time_ms")),
-        )
-    )
-    run = F.when(F.col("kind") == "slider", F.concat(run, anchors)).otherwise(run)
-    tail = F.array(event("time", F.col("stop"), F.col("stop")), F.struct(F.concat("kind", F.lit("_end")).alias("type"), F.lit(0).cast("long").alias("value"), F.col("stop").alias("time_ms")))
-    run = F.when(F.col("stop").isNotNull(), F.concat(run, tail)).otherwise(run)
-    return rows.select("file", F.col("at").alias("seq"), F.posexplode(run).alias("step", "e")).select("file", "e.time_ms", "seq", "step", "e.type", "e.value")

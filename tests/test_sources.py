@@ -1,7 +1,11 @@
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from cadence.functions import curves
+from cadence.operators import chart_events
 from cadence.sources import catalogue, charts, sinks
 
 CHART = """file format v14
@@ -43,14 +47,74 @@ def test_chart_sections(spark, chart):
     assert [(o.kind, o.time_ms, o.new_combo) for o in objects] == [("circle", 0, True), ("slider", 1000, False), ("spinner", 3000, True), ("hold", 4000, False)]
 
 
-def test_chart_events(spark, chart):
+def of_chart(spark, chart, options=chart_events.Options(), **more):
     rows = charts.lines(spark, chart)
-    found = charts.events(charts.hit_objects(rows), charts.timing_points(rows)).orderBy("seq", "step").collect()
-    first = [(e.type, e.value) for e in found if e.time_ms == 0]
-    assert first == [("time", 0), ("distance", 100), ("new_combo", 1), ("hitsound", 0), ("circle", 0)]
-    # 140 long at twice the speed: 140 / (100 * 1.4 * 2) * 500 = 250 ms a span, two spans
-    assert ("slider_end", 1500) in [(e.type, e.time_ms) for e in found]
-    assert ("spinner_end", 3500) in [(e.type, e.time_ms) for e in found] and ("hold_end", 4400) in [(e.type, e.time_ms) for e in found]
+    objects = charts.hit_objects(rows)
+    for name, value in more.items():
+        objects = objects.withColumn(name, F.lit(value))
+    return [(e.type, e.value, e.time_ms) for e in chart_events.events(objects, charts.timing_points(rows), options).orderBy("place").collect()]
+
+
+def test_chart_events(spark, chart):
+    """Worked by hand: 500 ms a beat from 0, from 1000 at twice the speed with volume 40 and kiai on."""
+    found = of_chart(spark, chart)
+    assert found == [
+        # divisor 1 on the beat; (256, 92) is 100 from the middle; soft is 1 from sample type 2 -> 8 * 1 + 24 * 1
+        ("time_shift", 0, 0), ("snapping", 1, 0), ("distance", 100, 0), ("pos_x", 256, 0), ("pos_y", 92, 0), ("new_combo", 0, 0), ("hitsound", 32, 0), ("volume", 60, 0), ("circle", 0, 0),
+        ("time_shift", 1000, 1000), ("snapping", 1, 1000), ("distance", 156, 1000), ("pos_x", 100, 1000), ("pos_y", 100, 1000), ("hitsound", 32, 1000), ("volume", 40, 1000), ("slider_head", 0, 1000),
+        # 140 long at twice the speed: 140 / (100 * 1.4 * 2) * 500 = 250 ms a span, two spans; the body has a whistle
+        ("time_shift", 1250, 1250), ("snapping", 2, 1250), ("distance", 100, 1250), ("pos_x", 200, 1250), ("pos_y", 100, 1250),
+        ("hitsound", 33, 1250), ("volume", 40, 1250), ("hitsound", 32, 1250), ("volume", 40, 1250), ("last_anchor", 0, 1250),
+        # the line goes on to 240, 40 from its last control point
+        ("time_shift", 1500, 1500), ("snapping", 1, 1500), ("distance", 40, 1500), ("pos_x", 240, 1500), ("pos_y", 100, 1500), ("hitsound", 32, 1500), ("volume", 40, 1500), ("slider_end", 0, 1500),
+        ("time_shift", 3000, 3000), ("snapping", 1, 3000), ("spinner", 0, 3000),
+        ("time_shift", 3500, 3500), ("snapping", 1, 3500), ("hitsound", 32, 3500), ("volume", 40, 3500), ("spinner_end", 0, 3500),
+        ("time_shift", 4000, 4000), ("snapping", 1, 4000), ("distance", 192, 4000), ("pos_x", 64, 4000), ("pos_y", 192, 4000), ("hitsound", 32, 4000), ("volume", 40, 4000), ("hold_note", 0, 4000),
+        ("time_shift", 4400, 4400), ("snapping", 5, 4400), ("distance", 0, 4400), ("pos_x", 64, 4400), ("pos_y", 192, 4400), ("hold_note_end", 0, 4400),
+    ]
+
+
+def test_chart_events_with_beats_and_kiai(spark, chart):
+    plain = chart_events.Options(types_first=True, snapping=False, distances=False, positions=False, hitsounds=False, kiai=True, timing=True, timing_points=True, speed=2.0)
+    found = of_chart(spark, chart, plain)
+    assert found[:8] == [("timing_point", 0, 0), ("time_shift", 0, 0), ("circle", 0, 0), ("time_shift", 0, 0), ("new_combo", 0, 0), ("beat", 0, 250), ("time_shift", 250, 250), ("beat", 0, 500)]
+    assert found[8:13] == [("time_shift", 500, 500), ("kiai", 1, 500), ("time_shift", 500, 500), ("slider_head", 0, 500), ("time_shift", 500, 500)]
+    assert [e for e in found if e[0] == "measure"] == [("measure", 0, 1000), ("measure", 0, 2000)]
+
+
+def test_chart_events_of_drums_and_columns(spark, chart):
+    drums = of_chart(spark, chart, mode=1)
+    assert [e[0] for e in drums if e[0].startswith(("drum", "den"))] == ["drumroll", "drumroll_end", "denden", "denden_end"]
+    assert [e[1:] for e in drums if e[0] == "scroll_speed"] == [(100, 0), (200, 1000), (200, 3000)] and not any(e[0] in ("distance", "pos_x", "new_combo") for e in drums)
+    columns = of_chart(spark, chart, chart_events.Options(scroll_speeds=True, normalized=False), mode=3, columns=4)
+    assert [e[1:] for e in columns if e[0] == "mania_column"][:2] == [(2, 0), (0, 1000)]
+    assert [e[1:] for e in columns if e[0] == "scroll_speed"] == [(100, 0), (200, 1000)]
+
+
+def test_slider_anchors(spark):
+    """Control points over one span of 100 ms; a point that comes twice is one red anchor."""
+    lines = [("f", 1, "TimingPoints", "0,500,4,1,0,50,1,0"), ("f", 2, "HitObjects", "0,0,0,2,4,B|10:0|10:0|20:0|40:0,1,28,2|0,1:0|0:2"), ("f", 3, "HitObjects", "9,9,900,2,0,P|5:5|1:9,1,10")]
+    rows = spark.createDataFrame(lines, "file string, line long, section string, text string")
+    objects, points = charts.hit_objects(rows), charts.timing_points(rows)
+    found = [(e.type, e.value, e.time_ms) for e in chart_events.events(objects, points, chart_events.Options(snapping=False, distances=False)).orderBy("place").collect()]
+    assert [(k, t) for k, _, t in found if k.endswith("anchor")] == [("red_anchor", 25), ("bezier_anchor", 75), ("last_anchor", 100), ("perfect_anchor", 917), ("last_anchor", 935)]
+    # head: whistle (2) of the normal set; end: additions of the soft set
+    assert [v for k, v, t in found if k == "hitsound" and t in (0, 100)] == [1, 2, 24]
+    second = chart_events.events(objects, points, chart_events.Options(snapping=False, distances=False, hitsounds=False, anchor_times=False)).orderBy("place").collect()
+    assert [e.time_ms for e in second if e.type.endswith("anchor")] == [0, 0, 0, 100, 900, 900, 935]
+
+
+def test_ends_of_curves():
+    line = np.array([[0.0, 0], [10, 0]])
+    assert [curves.at_length(line, x).tolist() for x in (0, 4, 10, 15)] == [[10, 0], [4, 0], [10, 0], [15, 0]]
+    half = curves.flatten("P", np.array([[-100.0, 0], [0, 100], [100, 0]]))
+    assert curves.at_length(half, 50 * np.pi) == pytest.approx([0, 100], abs=0.3)
+    bow = np.array([[0.0, 0], [50, 200], [100, -200], [150, 0]])
+    fine, coarse = curves.bezier(bow, 20_000), curves.flatten("B", bow)
+    nearest = np.hypot(*(fine[:, None, :] - coarse[None, :, :]).transpose(2, 0, 1)).min(axis=0)
+    assert nearest.max() < 0.02 and 10 < len(coarse) < 60
+    middle = (coarse[1:] + coarse[:-1]) / 2
+    assert np.hypot(*(fine[:, None, :] - middle[None, :, :]).transpose(2, 0, 1)).min(axis=0).max() < curves.TOLERANCE
 
 
 def test_header_field(spark, chart):
@@ -134,5 +198,6 @@ def test_slider_keeps_all_anchors(spark):
     curve = "|".join(["B", *(f"{i}:0" for i in range(1500))])
     lines = [("f", 1, "TimingPoints", "0,500,4,1,0,50,1,0"), ("f", 2, "HitObjects", f"100,100,0,2,0,{curve},1,140")]
     rows = spark.createDataFrame(lines, "file string, line long, section string, text string")
-    found = charts.events(charts.hit_objects(rows), charts.timing_points(rows)).where("type = 'anchor'").orderBy("step").collect()
-    assert [e.value for e in found] == list(range(1500))
+    found = chart_events.events(charts.hit_objects(rows), charts.timing_points(rows), chart_events.Options(most_points=None))
+    assert [e.value for e in found.where("type = 'pos_x' AND time_ms < 250").orderBy("place").collect()] == [100, *range(768), *[768] * 731]
+    assert chart_events.events(charts.hit_objects(rows), charts.timing_points(rows)).count() == 0
