@@ -6,6 +6,8 @@ fold; selection, joining and ordering stay in Spark.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -187,31 +189,38 @@ def beat_walk(peaks_: DataFrame, near: float = 60.0, doubtful: float = 300.0, ma
 def measure_votes(beats: DataFrame, meter: int) -> DataFrame:
     """(track, seq, measure): which beats start a measure. Rows are (track, seq, score, is_red), seq from 0.
 
-    From a beat, each of the next `meter` phases gets the mean score of the beats up to three measures around it (those
-    beyond a red beat don't count); the best phase starts the next measure, and measures then come every `meter` beats
-    until the next vote. Red beats start measures of their own.
+    A vote gives each of the next `meter` phases the mean score of up to seven beats, the phase's own and those one to
+    three measures around it, as far as there are such beats. Beats j measures on, j > 1, don't count if one of the
+    track's beats 1 to j - 1 is red, nor those j measures back if one of its last j - 1 is. The winner, which may be the
+    beat at hand, starts a measure, and the next `meter` - 1 beats are passed over; if it is red, the beat after it
+    votes. Red beats are no measures and don't vote.
     """
 
     def vote(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq").reset_index(drop=True)
         score, red = rows["score"].to_numpy(float), rows["is_red"].to_numpy(bool)
-        n, out, i = len(rows), np.zeros(len(rows), bool), 0
-        section = np.cumsum(red)
+        n = len(rows)
+        hidden = {j: red[1:j].any() if j > 0 else red[max(0, n + j + 1) :].any() for j in range(-3, 4) if abs(j) > 1}
+        total, count = np.zeros((n, meter)), np.zeros((n, meter))
+        for j in range(-3, 4):
+            for k in range(meter):
+                at = np.arange(n) + j * meter + k
+                inside = (at >= 0) & (at < n) & (not hidden.get(j, False))
+                total[inside, k] += score[at[inside]]
+                count[inside, k] += 1
+        best = np.divide(total, count, out=np.zeros_like(total), where=count > 0).argmax(axis=1)
+        out, i = np.zeros(n, bool), 0
         while i < n:
             if red[i]:
                 i += 1
                 continue
-            means = []
-            for k in range(meter):
-                at = i + k + meter * np.arange(-3, 4)
-                at = at[(at >= 0) & (at < n)]
-                at = at[section[at] == section[i]]
-                means.append(score[at].mean() if len(at) else 0.0)
-            best = int(np.argmax(means))
-            if i + best < n and not red[i + 1 : i + best + 1].any():
-                out[i + best] = True
-            i += best + meter if best == 0 else best + 1
-        return pd.DataFrame({"track": rows["track"], "seq": rows["seq"], "measure": out | red})
+            i += int(best[i])
+            if i < n and not red[i]:
+                out[i] = True
+                i += meter
+            else:
+                i += 1
+        return pd.DataFrame({"track": rows["track"], "seq": rows["seq"], "measure": out})
 
     return beats.groupBy("track").applyInPandas(vote, "track long, seq long, measure boolean")
 
@@ -261,3 +270,174 @@ def tempo_sections(markers: DataFrame, leniency_ms: float = 20.0) -> DataFrame:
         return pa.Table.from_pylist(out, pa.schema([("track", pa.int64()), ("offset_ms", pa.int64()), ("ms_per_beat", pa.float64()), ("beats", pa.int64())]))
 
     return markers.select("track", "time_ms", "is_red").groupBy("track").applyInArrow(infer, "track long, offset_ms long, ms_per_beat double, beats long")
+
+
+class _Fits:
+    """The periods for which all beats so far, counted from a red point, lie within the leniency of their times."""
+
+    def __init__(self, offset: float, leniency: float):
+        self.offset, self.leniency, self.low, self.high, self.beats = offset, leniency, 0.0, np.inf, 0.0
+
+    def add(self, time: float, beats: float) -> None:
+        self.beats += beats
+        gap = time - self.offset
+        if self.beats:
+            self.low, self.high = max(self.low, (gap - self.leniency) / self.beats), min(self.high, (gap + self.leniency) / self.beats)
+        elif abs(gap) > self.leniency:
+            self.high = -np.inf
+
+    def __call__(self, period: float) -> bool:
+        return self.low - 1e-9 <= period <= self.high + 1e-9
+
+
+def _exact_period(elapsed: float, beats: float, leniency: float) -> float:
+    return round_period(elapsed, beats, lambda p: abs(elapsed - p * beats) <= leniency)
+
+
+class _Reds:
+    """The red points of a track in order: offsets, periods, meters."""
+
+    def __init__(self, fuzz: int = 2):
+        self.at: list[int] = []
+        self.period: list[float] = []
+        self.meter: list[int] = []
+        self.fuzz = fuzz
+
+    def before(self, time: float) -> int:
+        """The place of the last point at or before a time; the first one if there is none."""
+        return max(0, bisect_right(self.at, time) - 1)
+
+    def put(self, time: int, period: float | None = None, meter: int | None = None) -> None:
+        """A point at a time, as the one before it but for what is given; points within the fuzz are changed instead."""
+        lo, hi = bisect_left(self.at, time - self.fuzz), bisect_right(self.at, time + self.fuzz)
+        if lo == hi:
+            k = lo - 1
+            self.at.insert(lo, time)
+            self.period.insert(lo, self.period[k] if k >= 0 else period or 1000.0)
+            self.meter.insert(lo, self.meter[k] if k >= 0 else meter or 4)
+            hi = lo + 1
+        for k in range(lo, hi):
+            self.period[k] = self.period[k] if period is None else period
+            self.meter[k] = self.meter[k] if meter is None else meter
+
+
+def _best_cut(times: np.ndarray, beats: np.ndarray, allowed: np.ndarray, offset: float) -> int | None:
+    """Where to cut markers in two so that the mean squared distances from even beats, from `offset` in the first part
+    and from its last marker in the second, add up to least: the size of the first part, the smallest of equal ones.
+
+    Running sums of times, beats and their products give every cut's loss at once.
+    """
+    t, b = times - offset, np.cumsum(beats)
+    tt, tb, bb, st, sb = (np.concatenate([[0.0], np.cumsum(x)]) for x in (t * t, t * b, b * b, t, b))
+    n, best, least = len(t), None, np.inf
+    for i in np.flatnonzero(allowed).tolist():
+        p = _exact_period(t[i - 1], b[i - 1], 0)
+        first = (tt[i] - 2 * p * tb[i] + p * p * bb[i]) / i
+        start, before, m = t[i - 1], b[i - 1], n - i
+        q = _exact_period(t[-1] - start, b[-1] - before, 0)
+        # (t - start - q (b - before))^2, summed
+        shift = q * before - start
+        second = (tt[n] - tt[i] - 2 * q * (tb[n] - tb[i]) + q * q * (bb[n] - bb[i]) + 2 * shift * (st[n] - st[i]) - 2 * q * shift * (sb[n] - sb[i])) / m + shift * shift
+        if first + second < least - 1e-9:
+            best, least = i, first + second
+    return best
+
+
+def red_points(markers: DataFrame, leniency_ms: float = 20.0) -> DataFrame:
+    """(track, offset_ms, ms_per_beat, meter): red points for markers (track, time_ms, kind) of beats.
+
+    Kinds are beat, measure and timing_point. Each timing point makes a red point; without any, the first marker does.
+    Then measures that don't come where the meter says get a red point, or its meter, that makes them come there. Then
+    each marker must lie within `leniency_ms` of its beat, counted from the red point before it: the roundest period for
+    which this holds for all of them since is taken; where there is none, a new red point cuts them in two at the
+    measure (or last marker) that leaves least squared error. A red point right after another gets the beat count, whole
+    or a half to a sixteenth, that the tempo before suggests. Measures out of step with the meter get a red point.
+
+    A track's markers are held by one task. The periods that fit are kept as an interval, so a marker costs one step.
+    """
+
+    def infer(rows: pa.Table) -> pa.Table:
+        order = np.argsort(np.array(rows["time_ms"].to_pylist(), "i8"), kind="stable")
+        time = np.array(rows["time_ms"].to_pylist(), "i8")[order]
+        kind = np.array(rows["kind"].to_pylist(), object)[order]
+        red, measure = kind == "timing_point", kind == "measure"
+        beats, reds = np.where(red, 0.0, 1.0), _Reds()
+        for t in time[red].tolist():
+            reds.put(t)
+        if not reds.at:
+            reds.put(int(time[0]))
+        count, last_measure = 0, int(time[0])
+        for t, is_red, is_measure in zip(time.tolist(), red, measure, strict=True):
+            k = reds.before(t - 1)
+            if is_red:
+                count, last_measure = 0, t
+            elif reds.at[k] != t:
+                count += 1
+                if is_measure:
+                    if reds.meter[k] != count and last_measure <= reds.at[k]:
+                        reds.meter[k] = count
+                    elif reds.meter[k] != count:
+                        reds.put(last_measure, meter=count)
+                    count, last_measure = 0, t
+        _fit(time, beats, measure, reds, leniency_ms)
+        track = rows["track"][0].as_py()
+        return pa.table({"track": [track] * len(reds.at), "offset_ms": reds.at, "ms_per_beat": reds.period, "meter": reds.meter}, pa.schema([("track", pa.int64()), ("offset_ms", pa.int64()), ("ms_per_beat", pa.float64()), ("meter", pa.int32())]))
+
+    kept = markers.select("track", "time_ms", "kind").where("time_ms IS NOT NULL AND kind IN ('beat', 'measure', 'timing_point')")
+    return kept.groupBy("track").applyInArrow(infer, "track long, offset_ms long, ms_per_beat double, meter int")
+
+
+def _fit(time: np.ndarray, beats: np.ndarray, measure: np.ndarray, reds: _Reds, leniency: float) -> None:
+    """Periods for red points, and further red points, so that markers lie on beats."""
+    count, last_period = 0, 1000.0
+    fits, fitted = None, -1  # for the red point at `fitted`, of the markers up to the last one
+    for i, t in enumerate(time.tolist()):
+        k = reds.before(t - 1)
+        offset = reds.at[k]
+        if offset == t:
+            count = 0
+            continue
+        # markers of equal time before this one don't count, nor do those on the red point
+        first, stop = np.searchsorted(time, offset, "right"), np.searchsorted(time, t, "left")
+        own = [*range(first, stop), i]
+        if not beats[i]:
+            if len(own) != 1:
+                count = 0
+                continue
+            guess = (t - offset) / last_period
+            beats[i] = min((round(guess), 1, 1 / 2, 1 / 4, 1 / 8, 1 / 16), key=lambda x: abs(x - guess))
+        if fits is None or fitted != offset or seen != stop:
+            fits, fitted = _Fits(offset, leniency), offset
+            for j in own[:-1]:
+                fits.add(time[j], beats[j])
+        fits.add(t, beats[i])
+        seen = stop + 1
+        period = _exact_period(t - offset, fits.beats, 0)
+        if fits(period):
+            period = round_period(60_000.0, 60_000.0 / period, fits) if 0 < period <= 60_000 else period
+            reds.period[k] = period
+        elif len(own) > 1:
+            times, own_beats = time[own].astype(float), beats[own]
+            allowed = np.concatenate([[False], measure[own[:-1]]])
+            allowed[-1] = True
+            cut = _best_cut(times, own_beats, allowed, offset) or len(own) - 1
+            if cut < len(own) - 1:
+                head = _Fits(offset, leniency)
+                for j in own[:cut]:
+                    head.add(time[j], beats[j])
+                shorter = _exact_period(times[cut - 1] - offset, head.beats, 0)
+                reds.period[k] = round_period(60_000.0, 60_000.0 / shorter, head) if 0 < shorter <= 60_000 else shorter
+            period = _exact_period(t - times[cut - 1], own_beats[cut:].sum(), leniency)
+            reds.put(int(times[cut - 1]), period=period)
+            since = measure[own[cut:-1]][::-1]
+            count = int(since.argmax()) if since.any() else len(since)
+            fits = None
+        last_period = period
+        count += 1
+        k = reds.before(t)
+        if reds.at[k] == t:
+            count = 0
+        if measure[i]:
+            if count % reds.meter[k]:
+                reds.put(t, period=reds.period[k])
+            count = 0

@@ -269,3 +269,42 @@ def packed_batches(requests: DataFrame, group: str, seq: str, work: str, capacit
     rows = rows.withColumn("batch", F.explode(F.sequence(first, last)))
     units = F.least(F.col("_end"), (F.col("batch") + 1) * capacity) - F.greatest(F.col("_start"), F.col("batch") * capacity)
     return rows.select(group, "batch", seq, units.alias("units"))
+
+
+def trimmed_windows(tokens: DataFrame, track: str, step_ms: int, stride_ms: int, window_ms: int, lookback: float, lookahead: float, types_first: bool = False) -> DataFrame:
+    """Events kept of tokens that were generated window by window: (track, window, seq, kind, value, time_ms).
+
+    `tokens` are rows (track, window, seq, kind, value); windows overlap by stride. Of a window what comes from its first
+    `eos` on goes. In all but a track's last window, a time shift in the lookahead (a share of the window at its end)
+    as the last token goes, as does, with `types_first` and in all but the first window, one in the lookback; with
+    `types_first` the type before it goes along. A time shift counts steps from its window's start and is turned into a
+    time, which holds for what follows, over windows too (with `types_first`, from the type right before it). Last,
+    what lies after the start of the lookahead goes from the end of all but the last window, up to the first event
+    that doesn't. Windows depend on one another only by the time that is carried on, so tracks are swept once.
+    """
+    in_window = Window.partitionBy(track, "window")
+    rows = tokens.withColumn("_last", F.col("window") == F.max("window").over(Window.partitionBy(track)))
+    is_eos, is_shift = F.col("kind") == "eos", F.col("kind") == "time_shift"
+    final = F.max(F.when(~is_eos, F.struct("seq", "kind", "value"))).over(in_window)
+    rows = rows.withColumn("_final", final).withColumn("_eos", F.min(F.when(is_eos, F.col("seq"))).over(in_window))
+    ahead = (1 - lookahead) * window_ms
+    late = ~F.col("_last") & (F.col("_final.value") >= int(ahead / step_ms))
+    early = (F.col("window") > 0) & (F.col("_final.value") < int(lookback * window_ms / step_ms)) & F.lit(types_first and lookback > 0)
+    cut = (F.col("_final.kind") == "time_shift") & (late | early)
+    rows = rows.withColumn("_place", F.row_number().over(in_window.orderBy(F.desc("seq")))).withColumn("_cut", F.coalesce(cut, F.lit(False)))
+    # places from the end, of what is left once the last token's own place is known
+    end = F.max(F.when(F.col("seq") == F.col("_final.seq"), F.col("_place"))).over(in_window)
+    rows = rows.withColumn("_from_end", F.col("_place") - end)
+    rows = rows.where(~F.col("_cut") | (F.col("_from_end") >= (2 if types_first else 1)))
+    rows = rows.where(F.col("_eos").isNull() | (F.col("seq") < F.col("_eos"))).where(~is_eos)
+    start = F.col("window") * stride_ms
+    rows = rows.withColumn("value", F.when(is_shift, start + F.col("value") * step_ms).otherwise(F.col("value")))
+    inner = in_window.orderBy("seq")
+    shift = F.when(is_shift, F.col("value"))
+    own = F.lead(shift).over(inner) if types_first else shift
+    rows = rows.withColumn("_shift", own).withColumn("_t", F.last("_shift", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    in_time = F.col("_t").isNull() | (F.col("_t") <= start + ahead)
+    rows = rows.withColumn("_kept", F.max(F.when(in_time, F.col("seq"))).over(in_window))
+    rows = rows.where(F.col("_last") | (F.col("seq") <= F.col("_kept")))
+    carried_on = F.last("_t", ignorenulls=True).over(ordered(track, "window", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(track, "window", "seq", "kind", "value", F.coalesce(carried_on, F.lit(0)).cast("long").alias("time_ms"))

@@ -16,6 +16,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a function under its name; `sql` is what DuckDB runs on the same tables."""
 
     def register(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

@@ -71,6 +71,21 @@ def tempo_sections(spark, d):
     return seq.tempo_sections(rows).withColumn("ms_per_beat", F.round("ms_per_beat", 6))
 
 
+@query()
+def inferred_red_points(spark, d):
+    """Red points of users' events as beat markers: purchases as measures, signups as timing points."""
+    kind = F.when(F.col("event_type") == "purchase", "measure").when(F.col("event_type") == "signup", "timing_point").otherwise("beat")
+    rows = events(spark, d).select(F.col("user_id").alias("track"), F.expr("ms div 10000").alias("time_ms"), kind.alias("kind"))
+    return seq.red_points(rows).withColumn("ms_per_beat", F.round("ms_per_beat", 6))
+
+
+@query(f"WITH {E} SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM e WHERE event_type = 'purchase'")
+def peaks_by_prominence(spark, d):
+    """Each track's peaks (purchases) in the order in which walks start from them: most prominent first."""
+    rows = events(spark, d).where("event_type = 'purchase'")
+    return rows.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("place"))
+
+
 @query()
 def curve_lengths(spark, d):
     x, y = F.slice("embedding", 1, 4).cast("array<double>"), F.slice("embedding", 5, 4).cast("array<double>")

@@ -309,3 +309,20 @@ def set_difference(spark, d):
         F.collect_set("o_orderpriority").alias("all"), F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("done")
     )
     return rows.select("o_custkey", F.array_join(F.sort_array(F.array_except("all", "done")), ",").alias("left_over"))
+
+
+@query(f"""WITH {E}, t AS (SELECT user_id, ms // 86400000 AS win, row_number() OVER (PARTITION BY user_id, ms // 86400000 ORDER BY ms, event_id) AS seq, CASE WHEN event_type = 'purchase' THEN 'time_shift' WHEN event_type = 'error' AND event_id % 11 = 0 THEN 'eos' ELSE event_type END AS kind,
+  CASE WHEN event_type = 'purchase' THEN ms % 86400000 // 10000 ELSE event_id % 50 END AS value, ms // 86400000 = max(ms // 86400000) OVER (PARTITION BY user_id) AS final FROM e),
+f AS (SELECT user_id, win, max(seq) FILTER (kind <> 'eos') AS seq, arg_max(kind, seq) FILTER (kind <> 'eos') AS kind, arg_max(value, seq) FILTER (kind <> 'eos') AS value, min(seq) FILTER (kind = 'eos') AS eos FROM t GROUP BY ALL),
+k AS (SELECT t.* FROM t JOIN f USING (user_id, win) WHERE t.kind <> 'eos' AND t.seq < coalesce(eos, 1e9) AND NOT (t.seq = f.seq AND NOT final AND f.kind = 'time_shift' AND f.value >= 6048)),
+v AS (SELECT user_id, win, seq, kind, final, CASE WHEN kind = 'time_shift' THEN win * 60000 + value * 10 ELSE value END AS value FROM k),
+x AS (SELECT *, last_value(CASE WHEN kind = 'time_shift' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id, win ORDER BY seq) AS tt FROM v),
+y AS (SELECT *, max(CASE WHEN tt IS NULL OR tt <= win * 60000 + 60480 THEN seq END) OVER (PARTITION BY user_id, win) AS kept FROM x)
+SELECT user_id, win AS "window", seq, kind, value, coalesce(last_value(tt IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY win, seq), 0) AS time_ms FROM y WHERE final OR seq <= kept""")
+def trimmed_windows(spark, d):
+    """Users' days as generated windows of 86.4 s, 60 s apart: purchases are time shifts, some errors end a window."""
+    kind = F.when(F.col("event_type") == "purchase", "time_shift").when((F.col("event_type") == "error") & (F.col("event_id") % 11 == 0), "eos").otherwise(F.col("event_type"))
+    value = F.when(F.col("event_type") == "purchase", F.expr("ms % 86400000 div 10000")).otherwise(F.col("event_id") % 50)
+    rows = stream(spark, d).withColumn("window", F.expr("ms div 86400000"))
+    rows = rows.select("user_id", "window", F.row_number().over(Window.partitionBy("user_id", "window").orderBy("ms", "event_id")).alias("seq"), kind.alias("kind"), value.alias("value"))
+    return win.trimmed_windows(rows, "user_id", 10, 60_000, 86_400, lookback=0.1, lookahead=0.3)

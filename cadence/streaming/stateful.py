@@ -44,8 +44,8 @@ def monotonic_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(keep, "key string, seq long, time_ms long", "high long", "append", GroupStateTimeout.NoTimeout)
 
 
-def idle_keys(events: DataFrame, idle: str) -> DataFrame:
-    """(key, last_ms) of keys of a stream (key, time_ms) once nothing came for them for `idle` of processing time."""
+def idle_keys(events: DataFrame, idle_ms: int) -> DataFrame:
+    """(key, last_ms) of keys of a stream (key, time_ms) once nothing came for them for `idle_ms` of processing time."""
 
     def watch(key, parts, state: GroupState):
         if state.hasTimedOut:
@@ -57,6 +57,6 @@ def idle_keys(events: DataFrame, idle: str) -> DataFrame:
         for rows in parts:
             last = max(last, int(rows["time_ms"].max()))
         state.update((last,))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
 
     return events.groupBy("key").applyInPandasWithState(watch, "key string, last_ms long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)

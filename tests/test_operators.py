@@ -297,6 +297,108 @@ def test_tempo_sections(spark):
     assert got == [(0, 500.0, 3), (1500, 400.0, 3)]
 
 
+def reds(spark, markers):
+    found = sequential.red_points(spark.createDataFrame([(1, t, k) for t, k in markers], "track long, time_ms long, kind string"))
+    return [(r.offset_ms, round(r.ms_per_beat, 6), r.meter) for r in found.orderBy("offset_ms").collect()]
+
+
+def bars(start, period, n, meter=4, first="measure"):
+    """n beats from `start`, measures every `meter`."""
+    return [(round(start + k * period), first if k == 0 else "measure" if k % meter == 0 else "beat") for k in range(n)]
+
+
+def test_red_points(spark):
+    """Steady beats; uneven ones within the leniency; three to a measure; another tempo, marked and unmarked; a cut measure."""
+    assert reds(spark, bars(100, 500, 17, first="timing_point")) == [(100, 500.0, 4)]
+    assert reds(spark, [(t + 7 * (i % 2), k) for i, (t, k) in enumerate(bars(0, 400, 30))]) == [(0, 400.0, 4)]
+    assert reds(spark, bars(0, 500, 13, meter=3)) == [(0, 500.0, 3)]
+    assert reds(spark, bars(0, 500, 9, first="timing_point") + bars(4500, 400, 9, first="timing_point")) == [(0, 500.0, 4), (4500, 400.0, 4)]
+    assert reds(spark, bars(0, 500, 9) + bars(4000, 300, 17)[1:]) == [(0, 500.0, 4), (4000, 300.0, 4)]
+    # two beats after the second measure another one comes: a point with meter 2 there, then 4 again
+    cut = bars(0, 500, 5) + [(2500, "beat")] + bars(3000, 500, 9)
+    assert reds(spark, cut) == [(0, 500.0, 4), (2000, 500.0, 2), (3000, 500.0, 4)]
+    # red points alone, an eighth apart at the tempo before
+    close = bars(0, 500, 5, first="timing_point") + [(2062, "timing_point")] + bars(2500, 500, 4)
+    assert reds(spark, [(0, "timing_point")]) == [(0, 1000.0, 4)] and len(reds(spark, close)) >= 2
+
+
+def test_best_cut_against_trying_all():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        n = int(rng.integers(3, 30))
+        times, beats = np.sort(rng.integers(100, 9000, n)).astype(float), rng.choice([1.0, 1.0, 0.5], n)
+        allowed = np.concatenate([[False], rng.random(n - 1) < 0.7])
+        allowed[-1] = True
+
+        def loss(t, b, start):
+            total = np.cumsum(b)
+            p = sequential._exact_period(t[-1] - start, total[-1], 0)
+            return ((t - start - p * total) ** 2).mean()
+
+        losses = {i: loss(times[:i], beats[:i], 50.0) + loss(times[i:], beats[i:], times[i - 1]) for i in range(1, n) if allowed[i]}
+        got = sequential._best_cut(times, beats, allowed, 50.0)
+        assert losses[got] <= min(losses.values()) * (1 + 1e-6) + 1e-3
+
+
+def test_measure_votes_against_voting_one_by_one(spark):
+    """The same votes as a countdown over single beats."""
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+    for track in range(12):
+        n, meter = int(rng.integers(1, 60)), 4
+        score, red = rng.integers(0, 9, n) + 5 * (np.arange(n) % meter == 1), rng.random(n) < 0.05
+        rows += [(track, i, float(score[i]), bool(red[i])) for i in range(n)]
+        wait, out = 0, [False] * n
+        for i in range(n):
+            if wait > 0:
+                wait -= 1
+            elif wait < 0:
+                wait += 1
+                if wait == 0 and not red[i]:
+                    out[i], wait = True, meter - 1
+            elif not red[i]:
+                means = []
+                for k in range(meter):
+                    seen = [j for j in range(-3, 4) if 0 <= i + j * meter + k < n and not any(red[m if j > 0 else -m] for m in range(1, abs(j)))]
+                    means.append(sum(score[i + j * meter + k] for j in seen) / len(seen) if seen else 0)
+                k = int(np.argmax(means))
+                out[i], wait = k == 0, meter - 1 if k == 0 else -k
+        want += [(track, i, out[i]) for i in range(n)]
+    got = sequential.measure_votes(spark.createDataFrame(rows, "track long, seq long, score double, is_red boolean"), 4)
+    assert values(got, "track", "seq", "measure") == want
+
+
+@pytest.mark.parametrize("types_first", [False, True])
+def test_trimmed_windows_against_a_loop(spark, types_first):
+    rng = np.random.default_rng(3)
+    kinds = ["time_shift", "time_shift", "circle", "end", "eos"]
+    rows = [(1, w, i, str(rng.choice(kinds, p=[0.3, 0.2, 0.25, 0.2, 0.05])), int(rng.integers(0, 100))) for w in range(12) for i in range(int(rng.integers(0, 9)))]
+    step, stride, size, back, ahead = 10, 400, 1000, 0.3, 0.4
+    want, now, last = [], 0, max(w for _, w, *_ in rows)
+    for w in range(last + 1):
+        own = [r for r in rows if r[1] == w]
+        while own and own[-1][3] == "eos":
+            own.pop()
+        if own and own[-1][3] == "time_shift" and ((w < last and own[-1][4] >= 60) or (types_first and w > 0 and own[-1][4] < 30)):
+            own = own[: -2 if types_first else -1]
+        own = own[: next((i for i, r in enumerate(own) if r[3] == "eos"), len(own))]
+        timed, here = [], now
+        for i, (_, _, seq, kind, value) in enumerate(own):
+            value = w * stride + value * step if kind == "time_shift" else value
+            if kind == "time_shift" and not types_first:
+                here = value
+            elif types_first and i + 1 < len(own) and own[i + 1][3] == "time_shift":
+                here = w * stride + own[i + 1][4] * step
+            timed.append((w, seq, kind, value, here))
+        while w < last and timed and timed[-1][4] > w * stride + (1 - ahead) * size:
+            timed.pop()
+        now = timed[-1][4] if timed else now
+        want += timed
+    df = spark.createDataFrame(rows, "k long, window long, seq long, kind string, value long")
+    got = windows.trimmed_windows(df, "k", step, stride, size, back, ahead, types_first)
+    assert values(got, "window", "seq", "kind", "value", "time_ms") == want
+
+
 def test_curves():
     line = np.array([[0.0, 0.0], [10.0, 0.0]])
     assert np.allclose(curves.flatten("B", line, 4)[:, 0], [0, 2.5, 5, 7.5, 10])

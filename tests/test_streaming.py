@@ -19,3 +19,20 @@ def test_times_do_not_go_back(spark, tmp_path):
     rows = [("a", 1, 10), ("a", 2, 5), ("a", 3, 10), ("b", 1, 1)]
     found = run(spark, tmp_path, rows, "key string, seq long, time_ms long", stateful.monotonic_stream, "monotonic")
     assert sorted((r.key, r.seq) for r in found) == [("a", 1), ("a", 3), ("b", 1)]
+
+
+def test_idle_keys_are_told_once(spark, tmp_path):
+    import time
+
+    schema = "key string, time_ms long"
+    spark.createDataFrame([("a", 1), ("a", 7), ("b", 3)], schema).write.parquet(f"{tmp_path}/in")
+    stream = stateful.idle_keys(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 1000)
+    query = stream.writeStream.format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.table("idle").count() < 2:
+            time.sleep(0.5)
+        time.sleep(2)
+        assert sorted(map(tuple, spark.table("idle").collect())) == [("a", 7), ("b", 3)]
+    finally:
+        query.stop()
