@@ -362,8 +362,9 @@ def _hubs(grouped: DataFrame, classes: DataFrame) -> DataFrame:
     )
     best = Window.partitionBy("root", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy(F.desc("agree"), "node")
     some = agree.withColumn("k", F.row_number().over(best)).where(F.col("k") <= HUBS).drop("k")
-    final = Window.partitionBy("root").orderBy(F.desc("agree"), "node")
-    return some.withColumn("place", F.row_number().over(final)).where(F.col("place") <= HUBS).select("root", "place", F.col("node").alias("hub"))
+    # lists are merged before they are dealt by root, so a root's task reads a row a bucket at most
+    ranked = some.groupBy("root").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("agree")).alias("order"), "node"))), 1, HUBS).alias("h"))
+    return ranked.select("root", F.posexplode("h").alias("k", "h")).select("root", (F.col("k") + 1).alias("place"), F.col("h.node").alias("hub"))
 
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
