@@ -108,8 +108,9 @@ def filter_urls(
         )
     )
     cut_rows = spark.createDataFrame([(k, t) for k, t in points], "key string, tie long")
+    # at most MOST_CUTS keys, so their stacks may be broadcast; many cuts may lie in one host
     starts = (
-        cut_rows.join(_stacks(cut_rows.select("key").distinct(), rules), "key", "left")
+        cut_rows.join(F.broadcast(_stacks(cut_rows.select("key").distinct(), rules)), "key", "left")
         .select("key", F.lit(2).alias("kind"), "tie", F.coalesce("stack", empty).alias("stack"))
     )
     none = F.lit(None)
