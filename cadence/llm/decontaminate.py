@@ -9,8 +9,9 @@ The two masks were chosen by trying all pairs: in every 13 tokens with any 2 of
 without meeting a replaced token, so a window that the check would accept is never missed by the seeds. Items of 8 to 12
 tokens have masks of their own, chosen in the same way.
 
-Everything is DataFrame work. The benchmark's hashes are broadcast while their counted number is under a bound and
-joined by shuffle beyond it; so are the few documents with hits, whose texts are read again for the check.
+Everything is DataFrame work. The benchmark's hashes are counted and broadcast in parts of a bounded size, each over
+all documents, so that positions of documents are never shuffled, whatever the size of the benchmark. The documents with
+hits, whose texts are read again for the check, are broadcast if they are few and else joined by shuffle.
 """
 
 from __future__ import annotations
@@ -91,12 +92,14 @@ def contamination(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     hashes = F.transform(tokens_of(F.col("text")), lambda t: F.xxhash64(t))
     exploded = rows.select("id", "key", hashes.alias("hashes")).select("id", "key", F.inline(_seeds(F.col("hashes"), masks)))
-    hits = (
-        exploded.join(_small(seeds, n_seeds), "seed")
-        .select("id", "key", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-        .distinct()
-    )
-    hits = written(hits, "hits")
+    # every position meets every part of the seeds, so the documents' own positions are never shuffled
+    parts, hits = max(1, -(-n_seeds // BROADCAST_ROWS)), None
+    for n in range(parts):
+        part = seeds if parts == 1 else seeds.where(F.pmod(F.xxhash64("seed", "item", "item_at"), F.lit(parts)) == n)
+        met = exploded.join(F.broadcast(part), "seed").select("id", "key", "item", (F.col("at") - F.col("item_at")).alias("shift"))
+        met = written(met.distinct(), "hits")
+        hits = met if hits is None else hits.unionByName(met)
+    hits = hits if parts == 1 else written(hits.distinct(), "hits")
     found = hits.select(F.col("id").alias("hit_id"), F.col("key").alias("hit_key")).distinct()
     again = rows.join(_small(found, found.count()), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left_semi")
     again = again.dropDuplicates(["id", "key"]).select(F.col("id").alias("doc"), F.col("key").alias("doc_key"), tokens_of(F.col("text")).alias("tokens"))

@@ -305,7 +305,9 @@ def windows_of(doc, item, width=13, most=2):
     )
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("most", [1_000_000, 60])
+def test_decontamination_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
     rng = random.Random(8)
     vocabulary = [f"v{i}" for i in range(300)]
     items = [[rng.choice(vocabulary) for _ in range(n)] for n in (13, 20, 40, 5, 25)]
