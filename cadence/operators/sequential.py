@@ -241,7 +241,8 @@ def tempo_sections(markers: DataFrame, leniency_ms: float = 20.0) -> DataFrame:
     """(track, offset_ms, ms_per_beat, beats): red points for beat markers (track, time_ms, is_red).
 
     A section starts at the first marker, at red markers, and at the last marker that fits when the next one doesn't: a
-    period fits if every marker of the section lies within `leniency_ms` of its beat.
+    period fits if every marker of the section lies within `leniency_ms` of its beat. The periods that fit are an
+    interval, so a marker costs one step.
     """
 
     def infer(rows: pa.Table) -> pa.Table:
@@ -252,11 +253,10 @@ def tempo_sections(markers: DataFrame, leniency_ms: float = 20.0) -> DataFrame:
         red, t = [seen[x] for x in times], np.array(times, float)
         out, start = [], 0
         while start < len(t):
-            end, period = start + 1, 1000.0
+            end, period, fits = start + 1, 1000.0, _Fits(t[start], leniency_ms)
             while end < len(t):
-                beats, gaps = np.arange(1, end - start + 1), t[start + 1 : end + 1] - t[start]
-                fits = lambda p, b=beats, g=gaps: bool((np.abs(g - p * b) <= leniency_ms).all())
-                candidate = round_period(gaps[-1], len(beats), fits)
+                fits.add(t[end], 1.0)
+                candidate = round_period(t[end] - t[start], end - start, fits)
                 if end > start + 1 and not fits(candidate):
                     break
                 period = candidate

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cadence.functions import tokens
 from cadence.operators import assembly, chart_events
@@ -241,3 +242,58 @@ def chart_to_events(spark, d):
     points = objects.select("file").distinct().select("file", F.inline(F.array(first, second)))
     found = chart_events.events(objects, points)
     return found.select(F.col("file").cast("long").alias("user_id"), "place", "time_ms", "type", "value")
+
+
+def _rendered(spark, d, kinds: list[tuple[str, int]], where: str):
+    """Lines of hit objects whose groups are `kinds` (type, milliseconds after the start) at places by event id."""
+    rows = events(spark, d).where(where)
+    at = F.expr("ms div 1000")
+    one = lambda k, kind, after: F.struct(
+        F.lit(kind).alias("type"), (at + after).alias("time"), (F.col("event_id") * 16 + k).alias("seq"), ((F.col("event_id") * (k + 3)) % 512).cast("double").alias("x"),
+        ((F.col("event_id") * (k + 5)) % 384).cast("double").alias("y"),
+    )
+    groups = rows.select(
+        F.col("user_id").alias("chart"), F.inline(F.array(*(one(k, kind, after) for k, (kind, after) in enumerate(kinds)))), (F.col("event_id") % 2 == 0).alias("new_combo"),
+        (F.col("event_id") % 8 * 2).cast("int").alias("hitsound"), (F.col("event_id") % 4).cast("int").alias("sample_set"), F.lit(1).alias("addition"),
+    )
+    return assembly.hit_object_lines(groups).select(F.col("chart").alias("user_id"), F.floor(F.col("seq") / 16).alias("event_id"), "text")
+
+
+_SPOT = "((event_id * {0}) % 512) || ':' || ((event_id * {1}) % 384)"
+
+
+@query(f"""WITH {E}, r AS (SELECT *, ms // 1000 AS t FROM e WHERE event_type = 'view')
+SELECT user_id, event_id, ((event_id * 3) % 512) || ',' || ((event_id * 5) % 384) || ',' || t || ',' || CASE WHEN event_id % 2 = 0 THEN 6 ELSE 2 END || ',' || (event_id % 8 * 2) || ',B|' || {_SPOT.format(4, 6)} || '|' || {_SPOT.format(5, 7)} || '|' || {_SPOT.format(5, 7)} || '|' || {_SPOT.format(6, 8)}
+  || ',3,100,' || (event_id % 4) || ':1:0:0:' AS text FROM r""")
+def slider_lines(spark, d):
+    """Views as sliders: a curved and a corner anchor, three spans of 100 ms."""
+    kinds = [("slider_head", 0), ("bezier_anchor", 0), ("red_anchor", 0), ("last_anchor", 100), ("slider_end", 300)]
+    return _rendered(spark, d, kinds, "event_type = 'view'")
+
+
+@query(f"""WITH {E}, r AS (SELECT *, ms // 1000 AS t FROM e WHERE event_type = 'error')
+SELECT user_id, event_id, ((event_id * 3) % 512) || ',192,' || t || ',128,' || (event_id % 8 * 2) || ',' || (t + 70) || ':' || (event_id % 4) || ':1:0:0:' AS text FROM r""")
+def hold_lines(spark, d):
+    """Errors as held notes of 70 ms."""
+    return _rendered(spark, d, [("hold", 0), ("hold_end", 70)], "event_type = 'error'")
+
+
+@query(f"""WITH {E}, r AS (SELECT *, ms // 1000 AS t, (event_id % 512)::DOUBLE AS x, (event_id % 384)::DOUBLE AS y, 40 + event_id % 100 AS len FROM e WHERE event_type = 'view'),
+s AS (SELECT user_id, event_id, t, x, y, len, len / 280.0 * 500 AS span FROM r)
+SELECT user_id, event_id, k AS step, CASE k WHEN 0 THEN t WHEN 1 THEN trunc(t + span)::BIGINT ELSE trunc(t + 2 * span)::BIGINT END AS time_ms, trunc(CASE k WHEN 0 THEN x WHEN 1 THEN x + 30 ELSE x + len END)::BIGINT AS pos_x FROM s, range(3) AS g(k)""")
+def slider_events(spark, d):
+    """Straight sliders of two spans at twice the speed: times and places of head, last control point and end."""
+    rows = events(spark, d).where("event_type = 'view'")
+    x, y = (F.col("event_id") % 512).cast("double"), (F.col("event_id") % 384).cast("double")
+    curve = F.concat(F.lit("L|"), (x + 30).cast("string"), F.lit(":"), y.cast("string"))
+    objects = rows.select(
+        F.concat_ws("/", "user_id", "event_id").alias("file"), F.col("event_id").alias("seq"), x.alias("x"), y.alias("y"), F.expr("ms div 1000").alias("time_ms"), F.lit("slider").alias("kind"),
+        F.lit(False).alias("new_combo"), F.lit(0).alias("hitsound"), F.array(curve, F.lit("2"), (40 + F.col("event_id") % 100).cast("string")).alias("params"),
+    )
+    point = lambda seq, value, red: F.struct(*(F.lit(v).alias(n) for n, v in (("seq", seq), ("offset_ms", 0), ("value", value), ("meter", 4), ("sample_type", 2), ("sample_set", 0), ("volume", 60), ("is_red", red), ("kiai", False))))
+    points = objects.select("file", F.inline(F.array(point(0, 500.0, True), point(1, -50.0, False))))
+    found = chart_events.events(objects, points, chart_events.Options(snapping=False, distances=False, hitsounds=False))
+    parts = F.split("file", "/")
+    places = found.where("type IN ('pos_x', 'time_shift')").groupBy("file", "time_ms").agg(F.max(F.when(F.col("type") == "pos_x", F.col("value"))).alias("pos_x"), F.min("place").alias("place"))
+    step = F.row_number().over(Window.partitionBy("file").orderBy("place")) - 1
+    return places.select(parts[0].cast("long").alias("user_id"), parts[1].cast("long").alias("event_id"), step.cast("long").alias("step"), "time_ms", "pos_x")

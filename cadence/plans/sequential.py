@@ -86,6 +86,17 @@ def peaks_by_prominence(spark, d):
     return rows.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("place"))
 
 
+@query("""WITH p AS (SELECT vec_id, k, sqrt((embedding[k + 1]::DOUBLE - embedding[k]::DOUBLE) ^ 2 + (embedding[k + 9]::DOUBLE - embedding[k + 8]::DOUBLE) ^ 2) AS step FROM embeddings, range(1, 8) AS r(k)),
+c AS (SELECT vec_id, k, sum(step) OVER (PARTITION BY vec_id ORDER BY k) AS along FROM p)
+SELECT vec_id, round(max(along), 6) AS length, round(max(along) FILTER (k = 3), 6) AS middle FROM c GROUP BY 1""")
+def line_lengths(spark, d):
+    """Lengths along paths of eight points: of the whole and up to the fourth point."""
+    x, y = F.slice("embedding", 1, 8).cast("array<double>"), F.slice("embedding", 9, 8).cast("array<double>")
+    along = curves.cumulative_length(F.lit("L"), x, y)
+    rows = table(spark, d, "embeddings").select("vec_id", along.alias("a"))
+    return rows.select("vec_id", F.round(F.element_at("a", -1), 6).alias("length"), F.round(F.get("a", F.lit(3)), 6).alias("middle"))
+
+
 @query()
 def curve_lengths(spark, d):
     x, y = F.slice("embedding", 1, 4).cast("array<double>"), F.slice("embedding", 5, 4).cast("array<double>")
