@@ -51,12 +51,17 @@ def asof(
     shift: int = 0,
     seq: str | None = None,
     or_first: bool = False,
+    bucket: int | None = None,
 ) -> DataFrame:
     """`left` with the `values` of the nearest right row of its key at or before (backward) or after (forward) its time.
 
     `strict` leaves out equal times; `shift` is added to the left time for the search. Of right rows at one time the
     one with the greatest `seq` counts (backward) or the smallest (forward); without `seq`, by their values.
     `or_first` takes the key's first right row where none qualifies. Both sides are united and swept by one window.
+
+    With `bucket`, a length of time, a key's rows are dealt out by bucket too, so a frequent key is spread over tasks:
+    what the buckets before (after) leave off with is worked out on a row per key and bucket, and each bucket's sweep
+    starts with that.
     """
     back = direction == "backward"
     tie = [seq] if seq else []
@@ -70,15 +75,36 @@ def asof(
         key, (F.col(time) + shift).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(rights.schema["_right"].dataType).alias("_right"),
         F.struct(*left.columns).alias("_left"),
     )
-    order = Window.partitionBy(key).orderBy("_t", "_side")
+    swept = rights.unionByName(lefts)
+    group = [key]
+    if bucket:
+        swept = swept.withColumn("_bucket", F.floor(F.col("_t") / F.lit(bucket)))
+        swept = swept.unionByName(_carries(swept, key, bucket, back, or_first))
+        group, or_first = [key, "_bucket"], False
+    order = Window.partitionBy(*group).orderBy("_t", "_side")
     frame = order.rowsBetween(Window.unboundedPreceding, 0) if back else order.rowsBetween(0, Window.unboundedFollowing)
     found = (F.last if back else F.first)("_right", ignorenulls=True).over(frame)
     if or_first:
         found = F.coalesce(found, F.first("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    swept = rights.unionByName(lefts).withColumn("_found", F.when(F.col("_t").isNotNull(), found)).where("_left IS NOT NULL")
+    swept = swept.withColumn("_found", F.when(F.col("_t").isNotNull(), found)).where("_left IS NOT NULL")
     return swept.select("_left.*", *(F.col("_found")[v].alias(v) for v in values))
 
 
+def _carries(swept: DataFrame, key: str, bucket: int, back: bool, or_first: bool) -> DataFrame:
+    """Rows like `swept` that stand at the start (the end, if not `back`) of each bucket of a key with the right value
+    that the buckets before (after) it leave off with; with `or_first`, where there is none, the key's first."""
+    at = F.when(F.col("_right").isNotNull(), F.col("_t"))
+    ends = swept.where("_t IS NOT NULL").groupBy(key, "_bucket").agg((F.max_by if back else F.min_by)("_right", at).alias("_end"), F.min_by("_right", at).alias("_first"))
+    order = Window.partitionBy(key).orderBy("_bucket")
+    frame = order.rowsBetween(Window.unboundedPreceding, -1) if back else order.rowsBetween(1, Window.unboundedFollowing)
+    carried = (F.last if back else F.first)("_end", ignorenulls=True).over(frame)
+    if or_first:
+        carried = F.coalesce(carried, F.first("_first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = ends.withColumn("_right", carried).where("_right IS NOT NULL")
+    t = F.col("_bucket") * bucket if back else (F.col("_bucket") + 1) * bucket
+    return rows.select(key, t.cast(swept.schema["_t"].dataType).alias("_t"), F.lit(-1 if back else 3).alias("_side"), "_right", F.lit(None).cast(swept.schema["_left"].dataType).alias("_left"), "_bucket")
+
+
 def _struct(df: DataFrame) -> str:
     return "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema.fields) + ">"
 

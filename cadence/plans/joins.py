@@ -11,6 +11,10 @@ MS = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 100
 E = "e AS (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000 AS ms FROM events)"
 
 
+#: Milliseconds by which a user's events are dealt out in as-of joins.
+DAY = 86_400_000
+
+
 def events(spark, d):
     return table(spark, d, "events").withColumn("ms", F.expr(MS))
 
@@ -96,25 +100,25 @@ _SIDES = f"WITH {E}, l AS (SELECT event_id, user_id, ms FROM e WHERE event_type
 @query(f"{_SIDES}, f AS (SELECT user_id, arg_min(found, ms) AS first FROM r GROUP BY 1), a AS (SELECT l.event_id, l.user_id, r.found FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ms >= r.ms) SELECT event_id, coalesce(found, first) AS found FROM a LEFT JOIN f USING (user_id)")
 def asof_back_incl(spark, d):
     left, right = _sides(spark, d)
-    return joins.asof(left, right, "user_id", "ms", ["found"], seq="seq", or_first=True).select("event_id", "found")
+    return joins.asof(left, right, "user_id", "ms", ["found"], seq="seq", or_first=True, bucket=DAY).select("event_id", "found")
 
 
 @query(f"{_SIDES} SELECT event_id, coalesce(found, 0) AS found FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ms > r.ms")
 def asof_back_strict(spark, d):
     left, right = _sides(spark, d)
-    return joins.asof(left, right, "user_id", "ms", ["found"], strict=True, seq="seq").select("event_id", F.coalesce("found", F.lit(0.0)).alias("found"))
+    return joins.asof(left, right, "user_id", "ms", ["found"], strict=True, seq="seq", bucket=DAY).select("event_id", F.coalesce("found", F.lit(0.0)).alias("found"))
 
 
 @query(f"{_SIDES} SELECT event_id, found FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ms < r.ms")
 def asof_fwd_strict(spark, d):
     left, right = _sides(spark, d)
-    return joins.asof(left, right, "user_id", "ms", ["found"], direction="forward", strict=True, seq="seq").select("event_id", "found")
+    return joins.asof(left, right, "user_id", "ms", ["found"], direction="forward", strict=True, seq="seq", bucket=DAY).select("event_id", "found")
 
 
 @query(f"{_SIDES} SELECT event_id, found FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ms + 3600000 >= r.ms")
 def asof_shifted(spark, d):
     left, right = _sides(spark, d)
-    return joins.asof(left, right, "user_id", "ms", ["found"], seq="seq", shift=3_600_000).select("event_id", "found")
+    return joins.asof(left, right, "user_id", "ms", ["found"], seq="seq", shift=3_600_000, bucket=DAY).select("event_id", "found")
 
 
 @query(f"""WITH {E}, p AS (SELECT event_id, user_id, ms, event_type = 'purchase' AS red, value FROM e WHERE event_type IN ('purchase', 'signup')),
@@ -124,7 +128,7 @@ SELECT event_id, round(CASE WHEN red OR red IS NULL THEN 1.0 ELSE least(greatest
 def scroll_speed_at(spark, d):
     rows = events(spark, d).select("event_id", "user_id", "ms", "event_type", "value")
     points = rows.where("event_type IN ('purchase', 'signup')").select("user_id", "ms", F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("red"), "value")
-    found = joins.asof(rows.where("event_type = 'view'").select("event_id", "user_id", "ms"), points, "user_id", "ms", ["red", "value"], seq="seq")
+    found = joins.asof(rows.where("event_type = 'view'").select("event_id", "user_id", "ms"), points, "user_id", "ms", ["red", "value"], seq="seq", bucket=DAY)
     speed = F.when(F.coalesce("red", F.lit(True)), F.lit(1.0)).otherwise(F.least(F.greatest(F.col("value") / 100, F.lit(0.01)), F.lit(10.0)))
     return found.select("event_id", F.round(speed, 6).alias("speed"))
 

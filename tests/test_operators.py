@@ -43,6 +43,24 @@ def test_asof_falls_back_to_first(spark):
     assert values(joins.asof(left, right, "k", "t", ["v"], or_first=True), "k", "v") == [(1, 2), (2, None)]
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("or_first", [False, True])
+def test_asof_by_buckets_is_the_same(spark, direction, strict, or_first):
+    rng = np.random.default_rng(12)
+    right = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 4, 60), rng.integers(-300, 300, 60), strict=True))] + [(5, None, 99)]
+    left = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 6, 200), rng.integers(-400, 400, 200), strict=True))] + [(1, None, 999), (None, 5, 998)]
+    a, b = spark.createDataFrame(left, "k long, t long, id long"), spark.createDataFrame(right, "k long, t long, v long")
+    plain, spread = (values(joins.asof(a, b, "k", "t", ["v"], direction, strict, or_first=or_first, bucket=w), "id", "v") for w in (None, 50))
+    assert plain == spread and len(plain) == 202
+    for i, v in plain:
+        k, t, _ = next(x for x in left if x[2] == i)
+        own = [(u, w) for j, u, w in right if j == k and u is not None] if k is not None and t is not None else []
+        fits = [(u, w) for u, w in own if (u < t if strict else u <= t)] if direction == "backward" else [(u, w) for u, w in own if (u > t if strict else u >= t)]
+        best = (max if direction == "backward" else min)(fits, default=min(own, default=(0, None)) if or_first else (0, None))
+        assert v == best[1]
+
+
 def test_positions_and_order_statistics(spark):
     df = spark.range(100).select((F.col("id") * 7 % 100).alias("x"))
     assert all(r.x == r.position for r in ranking.with_position(df, ["x"]).collect())
