@@ -187,6 +187,16 @@ def frechet(spark, d):
     return spark.createDataFrame([(round(agg.frechet(*sides), 6),)], "distance double")
 
 
+@query("""WITH v AS (SELECT label < 5 AS low, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+s AS (SELECT low, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM v GROUP BY 1)
+SELECT round((p.mx - q.mx) ^ 2 + (p.my - q.my) ^ 2 + p.a + p.c + q.a + q.c - 2 * sqrt(p.a * q.a + 2 * p.b * q.b + p.c * q.c + 2 * sqrt((p.a * p.c - p.b ^ 2) * (q.a * q.c - q.b ^ 2))), 6) AS distance FROM s p JOIN s q ON p.low AND NOT q.low""")
+def frechet_plane(spark, d):
+    """Of the first two numbers of the vectors, where the root's trace has a closed form."""
+    rows = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 2).alias("v"))
+    sides = [agg.moments(rows.where(c), "v", 2)[1:] for c in ("label < 5", "label >= 5")]
+    return spark.createDataFrame([(round(agg.frechet(*sides), 6),)], "distance double")
+
+
 @query("SELECT round(avg((l_extendedprice - l_quantity * 900) ^ 2), 2) AS mse, round(avg(abs(l_extendedprice - l_quantity * 900)), 4) AS mae FROM lineitem")
 def mse_mae(spark, d):
     off = F.col("l_extendedprice") - F.col("l_quantity") * 900

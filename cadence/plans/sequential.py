@@ -33,7 +33,12 @@ def timing_edits(spark, d):
     return seq.timing_edits(_points(spark, d), changes)
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, n AS (SELECT user_id AS chart, event_id AS seq, ms // 36000 AS t, round(value, 0) AS x, (event_id % 7)::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ms // 36000, event_id) AS k FROM e),
+r(chart, k, ts, xs, ys) AS (
+  SELECT chart, k, [t], [x], [y] FROM n WHERE k = 1
+  UNION ALL SELECT chart, k, list_append(ts, t), list_append(xs, CASE WHEN j IS NULL THEN x ELSE xs[j] END), list_append(ys, CASE WHEN j IS NULL THEN y ELSE ys[j] END)
+  FROM (SELECT n.*, ts, xs, ys, list_filter(range(1, len(ts) + 1), lambda i: ts[i] >= n.t - 1000 AND sqrt((xs[i] - n.x) ^ 2 + (ys[i] - n.y) ^ 2) < 3.8)[1] AS j FROM r JOIN n ON n.chart = r.chart AND n.k = r.k + 1))
+SELECT r.chart, n.seq, n.t AS time_ms, xs[-1] AS x, ys[-1] AS y FROM r JOIN n ON n.chart = r.chart AND n.k = r.k""")
 def proximity_snap(spark, d):
     rows = events(spark, d).select(
         F.col("user_id").alias("chart"), F.col("event_id").alias("seq"), F.expr("ms div 36000").alias("time_ms"), F.round("value", 0).alias("x"), (F.col("event_id") % 7).cast("double").alias("y")
@@ -46,7 +51,15 @@ def _signal(spark, d):
     return rows.agg(F.sum("value").alias("value"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, h AS (SELECT user_id AS track, ms // 3600000 AS place, sum(value) AS v FROM e WHERE event_type IN ('click', 'view') GROUP BY ALL),
+d AS (SELECT track, place, coalesce(v, 0) AS v FROM (SELECT track, unnest(range(0, max(place) + 2)) AS place FROM h GROUP BY track) LEFT JOIN h USING (track, place)),
+c AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY v DESC, place) AS k FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM d WINDOW w AS (PARTITION BY track ORDER BY place)) WHERE v > a AND v >= b),
+g(track, k, kept) AS (SELECT track, k, [place] FROM c WHERE k = 1
+  UNION ALL SELECT c.track, c.k, CASE WHEN len(list_filter(kept, lambda q: abs(q - c.place) < 3)) = 0 THEN list_append(kept, c.place) ELSE kept END FROM g JOIN c ON c.track = g.track AND c.k = g.k + 1),
+p AS (SELECT c.track, c.place, c.v FROM c JOIN (SELECT track, arg_max(kept, k) AS kept FROM g GROUP BY 1) AS f ON f.track = c.track AND list_contains(kept, c.place)),
+s AS (SELECT p.track, p.place, p.v, max(d.place) FILTER (d.v > p.v AND d.place < p.place) AS lo, min(d.place) FILTER (d.v > p.v AND d.place > p.place) AS hi FROM p JOIN d ON d.track = p.track AND d.place BETWEEN p.place - 12 AND p.place + 12 GROUP BY ALL),
+m AS (SELECT s.track, s.place, s.v, min(d.v) FILTER (d.place < s.place) AS a, min(d.v) FILTER (d.place > s.place) AS b FROM s JOIN d ON d.track = s.track AND d.place BETWEEN s.place - 12 AND s.place + 12 AND d.place > coalesce(lo, -1) AND d.place < coalesce(hi, 1e9) GROUP BY ALL)
+SELECT track, place, round(v - greatest(a, b), 6) AS prominence FROM m WHERE v - greatest(a, b) >= 1""")
 def signal_peaks(spark, d):
     return seq.find_peaks(_signal(spark, d), distance=3, prominence=1.0, reach=12).withColumn("prominence", F.round("prominence", 6))
 
@@ -58,7 +71,17 @@ def beat_walk(spark, d):
     return seq.beat_walk(peaks, near=0.05, doubtful=0.2, margin=4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, n AS (SELECT user_id AS track, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1 AS i, value AS score, event_type = 'purchase' AS red, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+h AS (SELECT track, bool_or(red AND i = 1) AS h2, bool_or(red AND i IN (1, 2)) AS h3, bool_or(red AND i = n - 1) AS b2, bool_or(red AND i >= n - 2) AS b3 FROM n GROUP BY 1),
+q AS (SELECT a.track, a.i, k, avg(b.score) FILTER (NOT CASE j WHEN 2 THEN h2 WHEN 3 THEN h3 WHEN -2 THEN b2 WHEN -3 THEN b3 ELSE false END) AS m
+  FROM n a JOIN h USING (track), range(4) AS x(k), range(-3, 4) AS y(j) LEFT JOIN n b ON b.track = a.track AND b.i = a.i + 4 * j + k GROUP BY ALL),
+o AS (SELECT track, i, k AS best FROM q QUALIFY row_number() OVER (PARTITION BY track, i ORDER BY coalesce(m, 0) DESC, k) = 1),
+v AS (SELECT * FROM n JOIN o USING (track, i)),
+f(track, i, wait, hit) AS (
+  SELECT track, i, CASE WHEN red THEN 0 WHEN best = 0 THEN 3 ELSE -best END::INT, NOT red AND best = 0 FROM v WHERE i = 0
+  UNION ALL SELECT v.track, v.i, CASE WHEN f.wait > 0 THEN f.wait - 1 WHEN f.wait = -1 THEN CASE WHEN red THEN 0 ELSE 3 END WHEN f.wait < -1 THEN f.wait + 1 WHEN red THEN 0 WHEN best = 0 THEN 3 ELSE -best END::INT,
+    CASE WHEN f.wait > 0 THEN false WHEN f.wait < 0 THEN f.wait = -1 AND NOT red ELSE NOT red AND best = 0 END FROM f JOIN v ON v.track = f.track AND v.i = f.i + 1)
+SELECT track, i AS seq, hit AS measure FROM f""")
 def measure_votes(spark, d):
     w = Window.partitionBy("user_id").orderBy("ms", "event_id")
     rows = events(spark, d).select(F.col("user_id").alias("track"), (F.row_number().over(w) - 1).cast("long").alias("seq"), F.col("value").alias("score"), (F.col("event_type") == "purchase").alias("is_red"))
@@ -97,7 +120,19 @@ def line_lengths(spark, d):
     return rows.select("vec_id", F.round(F.element_at("a", -1), 6).alias("length"), F.round(F.get("a", F.lit(3)), 6).alias("middle"))
 
 
-@query()
+@query("""WITH q AS (SELECT vec_id, vec_id % 3 AS kind, list_transform(range(4), lambda k: {'x': embedding[k + 1]::DOUBLE, 'y': embedding[k + 5]::DOUBLE}) AS p FROM embeddings),
+b AS (SELECT *, greatest(1, ceil(sqrt(0.75::DOUBLE * greatest(sqrt((p[1].x - 2 * p[2].x + p[3].x) ^ 2 + (p[1].y - 2 * p[2].y + p[3].y) ^ 2), sqrt((p[2].x - 2 * p[3].x + p[4].x) ^ 2 + (p[2].y - 2 * p[3].y + p[4].y) ^ 2)) / 0.1::DOUBLE)))::INT AS steps FROM q WHERE kind = 0),
+c AS (SELECT vec_id, s, p[greatest(s, 1)] AS a, p[s + 1] AS b, p[s + 2] AS c, CASE WHEN s < 2 THEN p[s + 3] ELSE {'x': 2 * p[4].x - p[3].x, 'y': 2 * p[4].y - p[3].y} END AS d FROM q, range(3) AS r(s) WHERE kind = 1),
+w AS (
+  SELECT vec_id, i, (1 - i / steps) ^ 3 * p[1].x + 3 * (1 - i / steps) ^ 2 * (i / steps) * p[2].x + 3 * (1 - i / steps) * (i / steps) ^ 2 * p[3].x + (i / steps) ^ 3 * p[4].x AS x,
+    (1 - i / steps) ^ 3 * p[1].y + 3 * (1 - i / steps) ^ 2 * (i / steps) * p[2].y + 3 * (1 - i / steps) * (i / steps) ^ 2 * p[3].y + (i / steps) ^ 3 * p[4].y AS y FROM b, unnest(range(0, steps + 1)) AS r(i)
+  UNION ALL SELECT vec_id, s * 50 + i, 0.5::DOUBLE * (2 * b.x + (c.x - a.x) * (i / 50) + (2 * a.x - 5 * b.x + 4 * c.x - d.x) * (i / 50) ^ 2 + (3 * b.x - a.x - 3 * c.x + d.x) * (i / 50) ^ 3),
+    0.5::DOUBLE * (2 * b.y + (c.y - a.y) * (i / 50) + (2 * a.y - 5 * b.y + 4 * c.y - d.y) * (i / 50) ^ 2 + (3 * b.y - a.y - 3 * c.y + d.y) * (i / 50) ^ 3) FROM c, range(50) AS r(i)
+  UNION ALL SELECT vec_id, 150, p[4].x, p[4].y FROM q WHERE kind = 1
+  UNION ALL SELECT vec_id, k, p[k + 1].x, p[k + 1].y FROM q, range(4) AS r(k) WHERE kind = 2),
+l AS (SELECT *, coalesce(sqrt((x - lag(x) OVER o) ^ 2 + (y - lag(y) OVER o) ^ 2), 0) AS step, sqrt(x ^ 2 + y ^ 2) AS far FROM w WINDOW o AS (PARTITION BY vec_id ORDER BY i)),
+t AS (SELECT *, sum(step) OVER (PARTITION BY vec_id ORDER BY i) AS along, min(far) OVER (PARTITION BY vec_id) AS least FROM l)
+SELECT vec_id, round(max(along), 6) AS length, round(arg_max(along, i) FILTER (far = least) / max(along), 6) AS progress FROM t GROUP BY 1""")
 def curve_lengths(spark, d):
     x, y = F.slice("embedding", 1, 4).cast("array<double>"), F.slice("embedding", 5, 4).cast("array<double>")
     kind = F.element_at(F.array(*map(F.lit, "BCL")), (F.col("vec_id") % 3 + 1).cast("int"))
