@@ -17,17 +17,43 @@ TOLERANCE = 0.1
 CATMULL_STEPS = 50
 
 
+#: Up to this degree a bound from second differences gives the number of steps.
+LOW_DEGREE = 32
+
+
+def _on_bezier(points: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Points of a Bezier curve at `t`."""
+    n = len(points) - 1
+    if n <= LOW_DEGREE:
+        q = np.repeat(points[None, :, :], len(t), axis=0)
+        while q.shape[1] > 1:
+            q = q[:, :-1] * (1 - t[:, None, None]) + q[:, 1:] * t[:, None, None]
+        return q[:, 0]
+    # weights by logarithms, as binomial coefficients of a high degree pass all bounds
+    k = np.arange(n + 1)
+    steps = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    inside = np.clip(t, 1e-300, 1 - 1e-16)[:, None]
+    weights = np.exp(steps[n] - steps[k] - steps[n - k] + k * np.log(inside) + (n - k) * np.log1p(-inside))
+    out = weights @ points
+    out[t <= 0], out[t >= 1] = points[0], points[-1]
+    return out
+
+
 def bezier(points: np.ndarray, steps: int | None = None) -> np.ndarray:
-    """Points of a Bezier curve at even steps: as many as given, else as its second differences ask for TOLERANCE."""
+    """Points of a Bezier curve at even steps: as many as given, else as many as TOLERANCE asks for, by the curve's second
+    differences, or, for a high degree, by doubling until the points between the steps are near enough."""
     n = len(points) - 1
+    if steps is None and n > LOW_DEGREE:
+        steps = 64
+        while True:
+            path, middle = _on_bezier(points, np.linspace(0, 1, steps + 1)), _on_bezier(points, (np.arange(steps) + 0.5) / steps)
+            if np.hypot(*(middle - (path[1:] + path[:-1]) / 2).T).max() <= TOLERANCE:
+                return path
+            steps *= 2
     if steps is None:
         bend = np.hypot(*np.diff(points, 2, axis=0).T).max() if n > 1 else 0.0
         steps = max(1, int(np.ceil(np.sqrt(n * (n - 1) / 8 * bend / TOLERANCE))))
-    t = np.linspace(0, 1, steps + 1)[:, None]
-    q = np.repeat(points[None, :, :], steps + 1, axis=0)
-    while q.shape[1] > 1:  # halves all the way down keep many points stable, where powers would not
-        q = q[:, :-1] * (1 - t[:, None]) + q[:, 1:] * t[:, None]
-    return q[:, 0]
+    return _on_bezier(points, np.linspace(0, 1, steps + 1))
 
 
 def catmull(points: np.ndarray, steps: int = CATMULL_STEPS) -> np.ndarray:

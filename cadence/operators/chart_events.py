@@ -88,10 +88,7 @@ def groups(objects: DataFrame, points: DataFrame, options: Options = Options())
         rows = rows if name in rows.columns else rows.withColumn(name, F.lit(default))
     order = F.row_number().over(ordered("file", "time_ms", "seq"))
     rows = rows.withColumn("at", order).withColumn("t", F.col("time_ms").cast("double"))
-    rows = _as_of(rows, points, F.col("t"), ["beat", "own_speed"])
-    rows = rows.withColumn("repeats", F.greatest(_number(F.col("params"), 1, 1).cast("int"), F.lit(1)))
-    length = _number(F.col("params"), 2, 0)
-    rows = rows.withColumn("span", length / (F.lit(100.0) * F.col("slider_multiplier") * F.coalesce("own_speed", F.lit(1.0))) * F.coalesce("beat.beat_ms", F.lit(1000.0)))
+    # the curve is worked out below the window of the look-up, so that uses of it read what is there
     spot = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     parts = F.split(F.get("params", F.lit(0)), r"\|")
     place = lambda a: spot(F.split(a, ":")[0].try_cast("double"), F.get(F.split(a, ":"), F.lit(1)).try_cast("double"))
@@ -102,6 +99,10 @@ def groups(objects: DataFrame, points: DataFrame, options: Options = Options())
     bend = (c(1)["x"] - c(0)["x"]) * (c(2)["y"] - c(0)["y"]) - (c(1)["y"] - c(0)["y"]) * (c(2)["x"] - c(0)["x"])
     letter = F.when((letter == "P") & ((F.col("n") != 3) | (bend == 0)), "B").otherwise(letter)
     rows = rows.withColumn("letter", letter)
+    rows = _as_of(rows, points, F.col("t"), ["beat", "own_speed"])
+    rows = rows.withColumn("repeats", F.greatest(_number(F.col("params"), 1, 1).cast("int"), F.lit(1)))
+    length = _number(F.col("params"), 2, 0)
+    rows = rows.withColumn("span", length / (F.lit(100.0) * F.col("slider_multiplier") * F.coalesce("own_speed", F.lit(1.0))) * F.coalesce("beat.beat_ms", F.lit(1000.0)))
     slider = F.col("kind") == "slider"
     tip = curves.point_at(F.col("letter"), F.transform("curve", lambda p: p.x), F.transform("curve", lambda p: p.y), length)
     rows = rows.withColumn("tip", F.when(slider, tip))
