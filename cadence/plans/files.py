@@ -65,7 +65,7 @@ def _catalogue(spark, d):
     price = F.col("o_totalprice") / 60000
     return rows.select(
         F.col("o_custkey").alias("BeatmapSetId"), F.col("o_orderkey").alias("Id"), (F.col("o_orderkey") % 100_000).cast("int").alias("BeatmapIdx"),
-        F.concat(F.lit("set "), "o_custkey").alias("BeatmapSetFolder"), F.lit("a.mp3").alias("AudioFile"), F.lit("b.osu").alias("BeatmapFile"),
+        F.concat(F.lit("set "), "o_custkey").alias("BeatmapSetFolder"), F.lit("a.mp3").alias("AudioFile"), F.lit("b.txt").alias("BeatmapFile"),
         (F.col("o_orderkey") % 4).cast("int").alias("ModeInt"), F.col("o_orderdate").alias("RankedDate"), F.col("o_orderdate").alias("SubmittedDate"),
         price.alias("DifficultyRating"), F.array(price, price * 2).alias("StarRating"), F.col("o_custkey").alias("UserId"),
         F.when(F.col("o_orderkey") % 3 > 0, F.array("o_orderpriority")).alias("OmdbTags"),
