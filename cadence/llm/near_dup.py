@@ -166,7 +166,8 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     crowded = members.where(F.col("size") > SMALL).select("node").distinct()
     large = _tree_rows(classes.join(crowded, "node", "left_semi"), deep=True).join(regions.where(F.col("size") > SMALL), "key")
     large = written(large.select(F.col("key").alias("region"), "tree", "node", "deep"), "crowded")
-    return written(all_pairs.unionByName(_next_to(large)).distinct(), "pairs"), large
+    pairs = all_pairs if large.isEmpty() else all_pairs.unionByName(_next_to(large))
+    return written(pairs.distinct(), "pairs"), large
 
 
 def _next_to(large: DataFrame) -> DataFrame:
@@ -415,27 +416,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(rows.mapInArrow(check, "a long, b long").distinct(), "confirmed")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, row_keys: bool = False) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept; with `row_keys` also row_key and first.
-
-    Words are runs of anything but ASCII white space, A-Z in lower case; shingles are 5 words (all words, if fewer).
-    Two documents are linked if 100 * |common shingles| >= percent * |all their shingles|. component_id is the smallest
-    id that links reach; kept says whether that is the document's own.
-
-    row_key is xxhash64 of the id and the text. first is true for the component's smallest (id, row_key), so of a
-    component one row is first, but for rows that are alike in id and text, which all are.
-
-    Null texts and texts without words have no shingles and no links. Rows with a null id are linked with nothing, have
-    a null component_id and are kept. Rows that share an id are each judged by their text. An empty table gives an
-    empty result. Further columns are not read. Sets are compared by 64-bit hashes of shingles.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    signed = written(_sign(docs), "signed")
-    usable = signed.where("print IS NOT NULL AND doc_id IS NOT NULL")
-    classes = usable.groupBy("print").agg(F.min(F.struct("doc_id", "key")).alias("head"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    # written once, so a class keeps its number
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    pairs, crowded = _candidates(classes)
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of classes that hold their components together, from candidate pairs and members of larger regions."""
     groups = components(pairs)
     sets = _sets(docs, classes, groups)
     found, open_pairs, left = None, pairs, groups
@@ -465,9 +447,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where(F.coalesce("na", "a") != F.coalesce("nb", "b"))
         .select("a", "b")
     )
-    strays = _stray_links(_strays(crowded, names), names, classes, sets, percent)
-    rest = _confirmed(written(named, "open"), sets, percent).unionByName(strays)
-    linked_nodes = components(found.unionByName(rest))
+    found = found.unionByName(_confirmed(written(named, "open"), sets, percent))
+    return found if crowded.isEmpty() else found.unionByName(_stray_links(_strays(crowded, names), names, classes, sets, percent))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, row_keys: bool = False) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept; with `row_keys` also row_key and first.
+
+    Words are runs of anything but ASCII white space, A-Z in lower case; shingles are 5 words (all words, if fewer).
+    Two documents are linked if 100 * |common shingles| >= percent * |all their shingles|. component_id is the smallest
+    id that links reach; kept says whether that is the document's own.
+
+    row_key is xxhash64 of the id and the text. first is true for the component's smallest (id, row_key), so of a
+    component one row is first, but for rows that are alike in id and text, which all are.
+
+    Null texts and texts without words have no shingles and no links. Rows with a null id are linked with nothing, have
+    a null component_id and are kept. Rows that share an id are each judged by their text. An empty table gives an
+    empty result. Further columns are not read. Sets are compared by 64-bit hashes of shingles.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    signed = written(_sign(docs), "signed")
+    usable = signed.where("print IS NOT NULL AND doc_id IS NOT NULL")
+    classes = usable.groupBy("print").agg(F.min(F.struct("doc_id", "key")).alias("head"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    # written once, so a class keeps its number
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    pairs, crowded = _candidates(classes)
+    if pairs.isEmpty():
+        linked_nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
+        linked_nodes = components(_links(docs, classes, pairs, crowded, percent))
     member = classes.select("print", "head", "node", "copies").join(linked_nodes, "node", "left").where("copies > 1 OR root IS NOT NULL")
     member = written(member.select("print", "head", F.coalesce("root", "node").alias("root")), "member")
     smallest = member.groupBy("root").agg(F.min("head").alias("component"))
