@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat, decontaminate, language_id, mixing, near_dup, quality_model, quality_rules, token_files, url_filters, warc
+from cadence.llm import (
+    chat, decontaminate, language_id, line_dedup, merkle, mixing, near_dup, prefix_trie, quality_model, quality_rules, token_files, url_filters, warc,
+)
 from cadence.llm.common import crc_mod, table
 from cadence.session import work_path
 
@@ -74,6 +76,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tampered copies have no line feeds; those of documents whose number has an even crc32."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(merkle.leaves_of(docs, crc_mod(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.apply(docs, line_dedup.bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_url_filters": op2_url_filters,
@@ -85,6 +103,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle": op12_merkle,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 _URLS = r"""
@@ -94,6 +115,13 @@ _URLS = r"""
   FROM pages
 """
 
+#: crc32 in SQL: its table, and the register after the decimal digits of a number.
+_CRC_TABLE = """k(n, v) AS (SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)), lambda a, j: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) FROM range(256) AS r(n)
+), tab AS (SELECT list(v ORDER BY n) AS tab FROM k
+)"""
+_CRC_OF = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255)::INT + 1]))"""
+
 ORACLES = {
     "op1_near_dup": r"""
 WITH RECURSIVE w AS (
@@ -183,5 +211,55 @@ m AS (SELECT doc_id, item_id, least(13, len(iw)) AS width, CASE WHEN len(iw) < 8
 h AS (SELECT DISTINCT doc_id, item_id FROM m WHERE len(list_filter(range(1, len(x) - width + 2), lambda s: list_sum(x[s:s + width - 1]) <= allowed)) > 0),
 g AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM h GROUP BY 1)
 SELECT doc_id, n IS NULL AS kept, coalesce(n, 0)::INT AS n_items, coalesce(ids, '') AS item_ids FROM d LEFT JOIN g USING (doc_id)
+""",
+    "op11_prefix_trie": rf"""
+WITH t AS (
+  SELECT conv_id AS c, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), l AS (SELECT c, list(x ORDER BY pos) AS xs FROM t GROUP BY c
+), {_CRC_TABLE}, h AS (SELECT c, xor({_CRC_OF.format("c")}, 4294967295) % 6 AS h FROM l, tab
+), s AS (SELECT l.c, coalesce(b.xs[1:h], []) || l.xs[h + 1:] AS xs FROM l JOIN h USING (c) LEFT JOIN l b ON b.c = l.c - l.c % 100
+), p AS (SELECT c, d AS depth, len(xs) AS n, xs[1:d] AS p FROM s, unnest(range(0, len(xs) + 1)) AS u(d)
+), n AS (
+  SELECT p, depth, min(c) AS conv_id, count(*) AS n_convs, bool_and(n = depth) AS childless, (count(*) - 1) * CASE WHEN depth > 0 THEN length(p[-1].t) ELSE 0 END AS own,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256 FROM p GROUP BY p, depth
+), up AS (SELECT p[1:d] AS a, sum(own)::BIGINT AS saved_tokens, sum(childless::INT)::BIGINT AS n_leaves FROM n, unnest(range(0, depth + 1)) AS u(d) GROUP BY 1
+), ch AS (SELECT p[1:depth - 1] AS a, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN up ON up.a = n.p LEFT JOIN ch ON ch.a = n.p LEFT JOIN n q ON q.p = n.p[1:n.depth - 1] AND n.depth > 0
+""",
+    "op12_merkle": rf"""
+WITH RECURSIVE {_CRC_TABLE}, f AS (
+  SELECT *, array_to_string(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')), '') AS head, replace(text, chr(10), '') AS other FROM documents
+), d AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor({_CRC_OF.format("doc_id")}, 4294967295) % 2 = 0 THEN sha256(head || coalesce(octet_length(encode(other)) || ':' || other, '-')) END AS changed FROM f, tab
+), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d
+), up(source, lvl, hs) AS (
+  SELECT source, 0, list(leaf ORDER BY i) FROM o GROUP BY source
+  UNION ALL SELECT source, lvl + 1, list_transform(range((len(hs) + 2) // 3), lambda j: sha256(array_to_string(hs[j * 3 + 1:j * 3 + 3], ''))) FROM up WHERE len(hs) > 1
+), sub AS (SELECT source, hs[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS j FROM up WHERE len(hs) = 1
+), high(lvl, hs) AS (
+  SELECT 0, list(subroot ORDER BY j) FROM sub
+  UNION ALL SELECT lvl + 1, list_transform(range((len(hs) + 2) // 3), lambda j: sha256(array_to_string(hs[j * 3 + 1:j * 3 + 3], ''))) FROM high WHERE len(hs) > 1
+), s AS (
+  SELECT o.doc_id, o.source, o.i, lvl AS step, hs, i // (3 ** lvl)::BIGINT AS place FROM o JOIN up ON o.source IS NOT DISTINCT FROM up.source WHERE len(hs) > 1
+  UNION ALL SELECT o.doc_id, o.source, o.i, 100 + lvl, hs, j // (3 ** lvl)::BIGINT FROM o JOIN sub ON o.source IS NOT DISTINCT FROM sub.source, high WHERE len(hs) > 1
+), path AS (
+  SELECT source, i, list(struct_pack(l := array_to_string(hs[place // 3 * 3 + 1:place], ''), r := array_to_string(hs[place + 2:place // 3 * 3 + 3], '')) ORDER BY step) AS p FROM s GROUP BY source, i
+), g AS (
+  SELECT o.*, subroot, (SELECT hs[1] FROM high WHERE len(hs) = 1) AS root, coalesce(p, []) AS p FROM o JOIN sub ON o.source IS NOT DISTINCT FROM sub.source
+  LEFT JOIN path ON o.i = path.i AND o.source IS NOT DISTINCT FROM path.source
+), r AS (SELECT *, list_reduce(list_prepend(struct_pack(l := coalesce(changed, leaf), r := ''), p), lambda a, x: struct_pack(l := sha256(x.l || a.l || x.r), r := '')).l AS folded_root FROM g)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(p, lambda x: x.l || x.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM r
+""",
+    "op13_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line, translate(regexp_replace(regexp_replace(ls[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM d, unnest(range(1, len(ls) + 1)) AS r(i)),
+s AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id <> last) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last IS NULL OR doc_id = last), '')) AS kept_sha256
+FROM l LEFT JOIN s USING (k) GROUP BY doc_id
 """,
 }
