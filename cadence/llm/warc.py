@@ -30,6 +30,8 @@ BROADCAST_ROWS = 1_000_000
 _RECORD = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, complete boolean, payload binary"
 _PIECE = f"origin string, number long, total long, headers string, block binary, alone struct<{_RECORD.replace(' ', ':').replace(',:', ',')}>"
 _BATCH_BYTES = 8_000_000
+#: First bytes of a gzip member; bytes decompressed at a time, and searched at a time after damage.
+_MAGIC, _FEED, _WINDOW = b"\x1f\x8b\x08", 8192, 1 << 20
 
 
 def payload_digest(payload: bytes) -> str:
@@ -144,29 +146,134 @@ def write_warc(
     return sorted(r.path for r in rows.mapInArrow(write, "path string").collect())
 
 
+class _Window:
+    """Ranges of a file, read from its store a window at a time."""
+
+    def __init__(self, file):
+        self.file, self.size, self.start, self.data = file, file.size(), 0, b""
+
+    def read_at(self, n: int, at: int) -> bytes:
+        if not self.start <= at <= at + n <= self.start + len(self.data):
+            self.start, self.data = at, self.file.read_at(max(n, _WINDOW), at) if at < self.size else b""
+        return self.data[at - self.start : at - self.start + n]
+
+
+class _Member:
+    """One gzip member from `start` on, as bytes to take from the front and to push back.
+
+    Damage ends it early, after all that could still be decompressed; `end` is where the next member starts, None if
+    that can't be told.
+    """
+
+    def __init__(self, file, start: int):
+        self.file, self.start, self.at, self.end = file, start, start, None
+        self.inflate, self.data, self.done = zlib.decompressobj(31), bytearray(), False
+
+    def _fill(self) -> bool:
+        """More bytes, if there are any."""
+        while not self.done:
+            part = self.file.read_at(_FEED, self.at)
+            try:
+                out = self.inflate.decompress(part)
+            except zlib.error:
+                self.data += self._last(part)
+                self.done = True
+                return True
+            self.at += len(part)
+            if self.inflate.eof:
+                self.done, self.end = True, self.at - len(self.inflate.unused_data)
+            elif not part:
+                self.done = True
+            self.data += out
+            if out:
+                return True
+        return False
+
+    def _last(self, part: bytes) -> bytes:
+        """What a part that can't be decompressed as a whole still gives, byte by byte."""
+        again, at = zlib.decompressobj(31), self.start
+        while at < self.at:
+            before = self.file.read_at(min(_FEED, self.at - at), at)
+            again.decompress(before)
+            at += len(before)
+        out = bytearray()
+        try:
+            for i in range(len(part)):
+                out += again.decompress(part[i : i + 1])
+        except zlib.error:
+            pass
+        return bytes(out)
+
+    def line(self) -> bytes:
+        """Up to a line feed, itself included; at most _FEED bytes and a part; empty at the end."""
+        while (k := self.data.find(b"\n")) < 0 and len(self.data) < _FEED and self._fill():
+            pass
+        return self.take(k + 1 if k >= 0 else len(self.data))
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, fewer at the end."""
+        while len(self.data) < n and self._fill():
+            pass
+        out = bytes(self.data[:n])
+        del self.data[:n]
+        return out
+
+    def push(self, data: bytes) -> None:
+        self.data[:0] = data
+
+
+def _records(member: _Member):
+    """(headers, block) of a member's records. A block that is cut short, has no length or a wrong one is None, and what
+    follows is searched for the next record's first line."""
+    found = False
+    while line := member.line():
+        if not re.match(rb"WARC/\d+\.\d+\r?\n", line):
+            continue
+        found, headers = True, {}
+        while (line := member.line().rstrip(b"\r\n")) != b"":
+            key, _, value = line.partition(b":")
+            headers[key.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        size = headers.get("content-length", "")
+        block = member.take(int(size)) if size.isdigit() else b""
+        after = member.take(4)
+        good = size.isdigit() and len(block) == int(size) and after in (b"\r\n\r\n", b"")
+        if not good:
+            member.push(block + after)
+        yield headers, block if good else None
+    if member.end is None and not found:
+        yield {}, None
+
+
 def _stream(path: str):
-    """(headers, block) of each record of an archive; the block is None if the record is damaged.
+    """(headers, block) of each record of an archive of gzip members; the block is None if the record is damaged.
 
-    What follows a damaged gzip member can't be read and is passed over.
+    After a damaged member reading goes on with the next one that holds a record; a member without a readable record
+    gives one without headers.
     """
     store, name = open_store(path)
-    with store.open_input_stream(name, compression=None, buffer_size=1 << 20) as raw, gzip.GzipFile(fileobj=raw) as f:
-        headers: dict[str, str] | None = None
-        try:
-            while line := f.readline():
-                if not line.startswith(b"WARC/"):
-                    continue
-                headers = {}
-                while (line := f.readline().rstrip(b"\r\n")) != b"":
-                    key, _, value = line.partition(b":")
-                    headers[key.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
-                size = headers.get("content-length", "")
-                block = f.read(int(size)) if size.isdigit() else None
-                yield headers, block if block is None or len(block) == int(size) else None
-                headers = None
-        except (EOFError, OSError, zlib.error):
-            if headers:
-                yield headers, None
+    with store.open_input_file(name) as opened:
+        file, start = _Window(opened), 0
+        size = file.size
+        while start < size:
+            member = _Member(file, start)
+            yield from _records(member)
+            start = member.end if member.end is not None else _next_member(file, start + 1, size)
+
+
+def _next_member(file, start: int, size: int) -> int:
+    """Where, from `start` on, a gzip member begins that decompresses to a record; the archive's size if none does."""
+    while start < size:
+        window = file.read_at(_WINDOW + len(_MAGIC) - 1, start)
+        at = window.find(_MAGIC)
+        while at >= 0:
+            try:
+                if zlib.decompressobj(31).decompress(file.read_at(_FEED, start + at), 5) == b"WARC/":
+                    return start + at
+            except zlib.error:
+                pass
+            at = window.find(_MAGIC, at + 1)
+        start += _WINDOW
+    return size
 
 
 def _page(uri: str | None) -> int | None:
@@ -211,9 +318,10 @@ def read_warc(spark: SparkSession, paths: list[str], with_payload: bool = False)
     """Pages of archives: page_id, record_type, refers_to, payload_digest, payload_bytes, complete (and payload).
 
     complete is false if segments are missing or repeated, don't add up to the total length, if the payload doesn't fit
-    its digest or length, or if a record has no length, is cut short or has broken framing; its digest and length are
-    null where they can't be told. Revisits have the digest and length that their headers give, and no payload.
-    Segments whose first one is missing name no page and give no row. Each archive is read once.
+    its digest or length, or if a record has no length or a wrong one, is cut short or has broken framing; its digest
+    and length are null where they can't be told. Reading goes on after damage; a damaged record that doesn't tell its
+    page and type any more has nulls for them (neighbours without a readable start are one row). Revisits have the digest and length that their headers give, and no
+    payload. Segments whose first one is missing name no page and give no row. Each archive is read once.
     """
     import json
 
@@ -233,7 +341,8 @@ def read_warc(spark: SparkSession, paths: list[str], with_payload: bool = False)
         record = h.get("warc-record-id", place)
         n = number(h, "warc-segment-number")
         if n is None:
-            return {"origin": place, "alone": slim(_decoded(h, block, True))} if h.get("warc-type") in ("response", "revisit") else None
+            kept = h.get("warc-type", "response" if block is None else None) in ("response", "revisit")
+            return {"origin": place, "alone": slim(_decoded(h, block, True))} if kept else None
         first = "warc-segment-origin-id" not in h
         return {"origin": record if first else h["warc-segment-origin-id"], "number": n, "total": number(h, "warc-segment-total-length"),
                 "headers": json.dumps(h) if first else None, "block": block}

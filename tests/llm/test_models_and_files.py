@@ -353,3 +353,53 @@ def test_short_items_with_every_substitution(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     got = {r.doc_id: list(r.item_ids) for r in decontaminate.decontaminate(df, bench).collect()}
     assert got == {i: [n for n, item in items.items() if windows_of(w, item)] for i, w in enumerate(docs)}
+
+
+def damaged_in_the_middle(member):
+    return member[: len(member) // 2] + bytes(x ^ 0x5A for x in member[len(member) // 2 : len(member) // 2 + 40]) + member[len(member) // 2 + 40 :]
+
+
+def test_warc_reads_on_after_damage(spark):
+    """49 pages in one archive, one of them damaged at any of its places: 48 whole rows and one that isn't."""
+    rng = random.Random(3)
+    payloads = [" ".join(str(rng.random()) for _ in range(60)).encode() for _ in range(49)]
+    members = [list(warc.page_records(i, "u", p, digest(p.decode()), None, "0", "2024-01-01T00:00:00Z", 1 << 20, 1 << 20))[0] for i, p in enumerate(payloads)]
+    middle, head, none, cut = (list(members) for _ in range(4))
+    middle[1] = damaged_in_the_middle(members[1])
+    head[1] = members[1][:10] + b"\xff" * 60 + members[1][70:]
+    none[1] = b"\x00" * 500
+    cut[1] = members[1][:-200]
+    for damaged in (middle, head, none, cut):
+        rows = warc.read_warc(spark, [archive_of(spark, *damaged)]).collect()
+        whole = {r.page_id for r in rows if r.complete}
+        assert whole == set(range(49)) - {1} and len(rows) == 49, sorted((r.page_id or -1, r.complete) for r in rows)
+    both = warc.read_warc(spark, [archive_of(spark, *head[:2], *middle[1:2], *members[2:40], members[40][:-200])]).collect()
+    assert {r.page_id for r in both if r.complete} == {0, *range(2, 40)} and len([r for r in both if not r.complete]) == 3
+
+
+def test_warc_records_of_one_member_after_a_wrong_length(spark):
+    import gzip
+
+    members = [gzip.decompress(list(warc.page_records(i, "u", b"x%d" % i * 50, digest(("x%d" % i) * 50), None, "0", "2024-01-01T00:00:00Z", 1 << 20, 1 << 20))[0]) for i in range(5)]
+    for wrong in (b"7", b"300", b"9999999", b"no", b""):
+        at = members[1].index(b"\r\nContent-Length: ") + len(b"\r\nContent-Length: ")
+        bad = members[1][:at] + wrong + members[1][members[1].index(b"\r\n", at) :]
+        rows = warc.read_warc(spark, [archive_of(spark, gzip.compress(b"".join([members[0], bad, *members[2:]])))]).collect()
+        assert {r.page_id: r.complete for r in rows} == {0: True, 1: False, 2: True, 3: True, 4: True} and len(rows) == 5
+
+
+def test_samples_far_under_a_millionth_of_the_rows(spark):
+    """About as many rows as asked for are learned from, out of 40 million, and the models work."""
+    from cadence.llm.common import hashed_share
+
+    assert 5 <= spark.range(40_000_000).where(hashed_share(F.col("id"), 20 / 40_000_000)).count() <= 60
+    text = F.when(F.col("id") % 2 == 0, F.lit("the cat sat on the mat and looked at us")).otherwise(F.lit("der Hund lief über die große Straße nach Haus"))
+    docs = spark.range(40_000_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    model = language_id.fit(docs, sample_rows=20)
+    assert model.languages == ["de", "en"]
+    few = spark.createDataFrame([(1, "the mat and the cat"), (2, "die große Straße")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(few, model).collect()} == {1: "en", 2: "de"}
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    trees = quality_model.fit(docs, labels, sample_rows=200)
+    scored = {r.doc_id: r.predicted for r in quality_model.score(docs.where("doc_id < 2"), trees).collect()}
+    assert scored == {0: 0, 1: 1}
