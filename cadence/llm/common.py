@@ -33,6 +33,11 @@ def crc_mod(id_col: Column, divisor: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % divisor
 
 
+def hashed_share(key: Column, share: float) -> Column:
+    """Whether the 64-bit hash of a key is among the smallest `share` (0 to 1) of all hashes, however small the share."""
+    return F.lit(True) if share >= 1 else F.xxhash64(key) < F.lit(int(share * 2.0**64) - 2**63)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadence.llm.common import crc_mod, hashed_share
+
 #: First and last code points of scripts; 0 is any other.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -84,11 +86,16 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 8000, id_col: str = "doc_id") -> Model:
-    """Learn from rows with text and language, a hashed sample of about `sample_rows` of them (all, if fewer)."""
+    """Learn from rows with text and language, a hashed sample of about `sample_rows` of them (all, if fewer).
+
+    Rows with a null text or language are not learned from; null ids are ids like others. Rows are sampled by id and
+    text, and rows alike in id, text and language count once, so no id and no repeated row fills the sample. Without
+    any row the model knows no language.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     n = rows.select("id", "lang").count()
     share = min(1.0, sample_rows / max(1, n))
-    rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "lang")
+    rows = rows.where(hashed_share(F.struct("id", "text"), share)).dropDuplicates(["id", "text", "lang"]).select("text", "lang")
 
     def count(batches):
         for batch in batches:
@@ -269,6 +276,4 @@ def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
 
 def held_out(id_col: Column, divisor: int = 5, rest: int = 0) -> Column:
     """Whether crc32 of the id as text leaves `rest`; false for a null id."""
-    from cadence.llm.common import crc_mod
-
     return F.coalesce(crc_mod(id_col, divisor) == rest, F.lit(False))

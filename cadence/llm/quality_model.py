@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadence.llm.common import hashed_share
+
 FEATURES = (
     "log_bytes", "log_words", "log_lines", "word_length", "upper", "lower", "digits", "spaces", "line_feeds", "high_bytes", "commas", "full_stops",
     "exclamations", "questions", "colons", "pipes", "symbols", "brackets", "quotes", "distinct_words", "distinct_lines", "most_frequent_word",
@@ -130,7 +132,7 @@ def fit(
     labels = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("y")).where("label_id IS NOT NULL AND y IS NOT NULL")
     labels = labels.groupBy("label_id").agg(F.round(F.avg("y")).alias("y"))
     share = min(1.0, sample_rows / max(1, labels.count()))
-    sample = labels.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = labels.where(hashed_share(F.col("label_id"), share))
     # the sample is bounded by sample_rows, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("label_id"))
 
