@@ -22,8 +22,8 @@ from cadence.llm.common import partitions
 from cadence.operators.ranking import with_position
 from cadence.session import written
 
-#: Children of a node; levels between two shuffles (a block has FANOUT ** LEVELS leaves, 243).
-FANOUT, LEVELS = 3, 5
+#: Children of a node; levels between two shuffles (a block has FANOUT ** LEVELS leaves, 27).
+FANOUT, LEVELS = 3, 3
 #: Sources up to which their table (a row a source) is broadcast to the leaves.
 MOST_BROADCAST = 1_000_000
 _PATH = "array<struct<left:string,right:string>>"
