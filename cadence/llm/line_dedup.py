@@ -23,7 +23,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Slices of the hashes with a sketch each, hashes that a sketch tracks and those it gives back: at most SLICES * TOP keys are broadcast.
 SLICES, TRACKED, TOP = 64, 2048, 500
 #: A key is frequent from this many lines on, and from this part of what a task holds on average.
-FREQUENT_LINES, FREQUENT_PART = 10_000, 4
+FREQUENT_LINES, FREQUENT_PART = 1000, 4
 
 
 def key_of(line: Column) -> Column:
