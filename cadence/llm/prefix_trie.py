@@ -154,8 +154,7 @@ def _with_parents(nodes: DataFrame, children: DataFrame) -> DataFrame:
     """`nodes` with parent_conv_id. Parents of very many children (less than MANY of them) are broadcast, others joined by shuffle."""
     parent = [F.col("pa") == F.col("qa"), F.col("pb") == F.col("qb"), F.col("depth") == F.col("child_depth")]
     names = nodes.select(F.col("ka").alias("qa"), F.col("kb").alias("qb"), (F.col("depth") + 1).alias("child_depth"), F.col("conv_id").alias("parent_conv_id"), *KEY)
-    bound = nodes.agg((F.count("*") / MANY).alias("bound"))
-    many = children.join(F.broadcast(bound), F.col("n_children") > F.col("bound")).select(*KEY)
+    many = children.where(F.col("n_children") > nodes.count() // MANY).select(*KEY)
     many = written(names.join(F.broadcast(many), KEY).drop(*KEY), "many-children")
     names = names.drop(*KEY)
     common = nodes.join(F.broadcast(many), parent)
