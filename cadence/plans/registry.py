@@ -30,5 +30,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("catalogue", "joins", "aggregates", "windows", "scalars", "sequential", "files"):
+for _module in ("catalogue", "joins", "aggregates", "windows", "scalars", "sequential", "files", "streams"):
     import_module(f"cadence.plans.{_module}")
