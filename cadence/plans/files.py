@@ -12,7 +12,7 @@ from cadence.operators.ranking import with_position
 from cadence.plans.joins import E, events
 from cadence.plans.registry import query, table
 from cadence.session import work_path, written
-from cadence.sources import catalogue, charts, sinks
+from cadence.sources import catalogue, chart_source, charts, sinks
 
 
 @query(f"""WITH {E} SELECT user_id, ms // 1000 AS time_ms, (event_id % 512)::DOUBLE AS x, (event_id % 384)::DOUBLE AS y, 'circle' AS kind, false AS new_combo FROM e WHERE event_type = 'click'
@@ -297,3 +297,22 @@ def slider_events(spark, d):
     places = found.where("type IN ('pos_x', 'time_shift')").groupBy("file", "time_ms").agg(F.max(F.when(F.col("type") == "pos_x", F.col("value"))).alias("pos_x"), F.min("place").alias("place"))
     step = F.row_number().over(Window.partitionBy("file").orderBy("place")) - 1
     return places.select(parts[0].cast("long").alias("user_id"), parts[1].cast("long").alias("event_id"), step.cast("long").alias("step"), "time_ms", "pos_x")
+
+
+@query(f"""WITH {E}, u AS (SELECT user_id, count(*) AS n, max(event_id) AS last FROM e GROUP BY 1)
+SELECT user_id, 'Metadata' AS section, 'Title' AS key, 'user ' || user_id AS value FROM u UNION ALL SELECT user_id, 'Metadata', 'Version', 'v' || n FROM u
+UNION ALL SELECT user_id, 'Difficulty', 'CircleSize', (last % 7)::VARCHAR FROM u""")
+def chart_settings(spark, d):
+    """A chart file for each user with all their events; settings read again without timing points and objects."""
+    rows = events(spark, d).select("user_id", "event_id", (F.col("event_id") % 512).alias("x"), F.expr("ms div 1000").alias("t"))
+    text = F.concat_ws(",", "x", F.lit(192), "t", F.lit(1), F.lit(0), F.lit("0:0:0:0:"))
+    users = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    settings = F.concat(
+        F.lit("format v14\n\n[General]\nMode: 0\n\n[Metadata]\nTitle:user "), "user_id", F.lit("\nVersion:v"), "n", F.lit("\n// a comment\n\n[Difficulty]\nCircleSize:"), F.col("last") % 7, F.lit("\n")
+    )
+    header = users.select("user_id", settings.alias("header"))
+    points = users.select("user_id", F.lit(0).alias("seq"), F.lit("0,500,4,2,0,60,1,0").alias("text"))
+    folder = work_path(spark, "charts")
+    chart_source.write_charts(sinks.chart_text(header, points, rows.select("user_id", F.col("event_id").alias("seq"), text.alias("text")), "user_id"), folder, "user_id")
+    lines = chart_source.read_charts(spark, folder).where("section IN ('Metadata', 'Difficulty')")
+    return charts.settings(lines).select(F.regexp_extract("file", r"/(\d+)\.txt$", 1).cast("long").alias("user_id"), "section", "key", "value")

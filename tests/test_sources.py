@@ -214,3 +214,82 @@ def test_slider_keeps_all_anchors(spark):
     found = chart_events.events(charts.hit_objects(rows), charts.timing_points(rows), chart_events.Options(most_points=None))
     assert [e.value for e in found.where("type = 'pos_x'").orderBy("place").collect()][:1500] == [100, *(min(i, 768) for i in range(1499))]
     assert chart_events.events(charts.hit_objects(rows), charts.timing_points(rows)).count() == 0
+
+
+def chart_folder(tmp_path):
+    body = "﻿format v14\r\n\r\n[General]\r\nMode: 3\r\n// no\r\n[Metadata]\r\nTitle:é%d\r\n\r\n[HitObjects]\r\n" + "1,2,3,1,0\r\n" * 50_000
+    for i in range(12):
+        (tmp_path / f"set{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"set{i % 3}" / f"{i}.txt").write_bytes((body % i).encode())
+    (tmp_path / "set0" / "empty.txt").write_bytes(b"")
+    (tmp_path / "set0" / ".hidden.txt").write_bytes(b"[Metadata]\nx:y\n")
+    (tmp_path / "set0" / "other.bin").write_bytes(b"[Metadata]\nx:y\n")
+    (tmp_path / "set0" / "twice.txt").write_bytes(b"lead\n[Metadata]\na:1\n[General]\nb:2\n[Metadata]\na:2\nbad \xff\n[Last]\nend")
+    return f"file://{tmp_path}"
+
+
+def test_chart_source_pushes_sections_and_files(spark, tmp_path):
+    from cadence.sources.chart_source import read_charts
+
+    lines = read_charts(spark, chart_folder(tmp_path), partitionBytes="1200000")
+    titles = lines.where("section = 'Metadata'")
+    assert sorted(r.text for r in titles.collect()) == sorted(["a:1", *(f"Title:é{i}" for i in range(12))])
+    plan = titles._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(section" in plan and "(section#" not in plan.replace("isnotnull(section", "")  # equality is left to the reader
+    some = lines.where("section IN ('General', 'Last') AND file LIKE '%/set0/%'").collect()
+    assert sorted((r.text, r.line) for r in some) == sorted([("b:2", 4), ("end", 9), *[("Mode: 3", 3)] * 4])
+    assert lines.where("section IS NULL").collect()[0].text in ("lead", "format v14")
+    assert lines.where("file LIKE '%twice.txt' AND section = 'Last' AND section = 'General'").count() == 0
+    assert lines.where("section = 'HitObjects'").count() == 600_000
+    assert lines.rdd.getNumPartitions() == 6
+
+
+def test_chart_source_reads_no_more_than_it_must(tmp_path):
+    """Bytes taken from files with and without a filter, and files opened."""
+    from pyspark.sql.datasource import EqualTo, In, StringEndsWith
+
+    from cadence.sources import chart_source
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.bytes = file, 0
+
+        def read(self, n):
+            data = self.file.read(n)
+            self.bytes += len(data)
+            return data
+
+    chart_folder(tmp_path)
+    path = tmp_path / "set1" / "1.txt"
+
+    def taken(*filters):
+        reader = chart_source.ChartReader({"path": str(tmp_path)})
+        left = list(reader.pushFilters(list(filters)))
+        with path.open("rb") as file:
+            counted = Counted(file)
+            return len(list(reader.lines(counted))), counted.bytes, left, sum(len(p.names) for p in reader.partitions())
+
+    assert taken() == (50_003, path.stat().st_size, [], 14)
+    assert taken(EqualTo(("section",), "Metadata")) == (1, chart_source.PART, [], 14)
+    assert taken(In(("section",), ("General", "Metadata")), StringEndsWith(("file",), "/1.txt")) == (2, chart_source.PART, [], 1)
+    other = EqualTo(("text",), "x")
+    assert taken(other)[2] == [other]
+
+
+def test_chart_files_are_packed_by_bytes():
+    from cadence.sources.chart_source import packed
+
+    assert packed([("a", 5), ("b", 5), ("c", 1), ("d", 50), ("e", 1)], 12, 1) == [["a", "b"], ["c"], ["d"], ["e"]]
+    groups = packed(((str(i), 100) for i in range(10_000)), 10_000, 100)
+    assert [len(g) for g in groups] == [50] * 200 and packed([], 1, 1) == []
+
+
+def test_charts_are_written_whole_and_read_back(spark, tmp_path):
+    from cadence.sources.chart_source import read_charts, write_charts
+
+    rows = [(i, f"[Metadata]\nTitle:{i}\n" + "x\n" * (i % 5)) for i in range(200)] + [(200, None)]
+    written = write_charts(spark.createDataFrame(rows, "chart long, value string").repartition(3), f"file://{tmp_path}/charts", "chart")
+    assert {r.key for r in written.collect()} == set(range(201)) and len(list((tmp_path / "charts").iterdir())) <= 4
+    lines = read_charts(spark, f"file://{tmp_path}/charts").where("section = 'Metadata'").collect()
+    assert sorted(r.text for r in lines if r.text.startswith("Title")) == sorted(f"Title:{i}" for i in range(200)) and len(lines) == 200 + 400
+    assert not [p for p in (tmp_path / "charts").rglob(".*") if not p.name.endswith(".crc")]
