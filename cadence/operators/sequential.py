@@ -6,12 +6,18 @@ fold; selection, joining and ordering stay in Spark.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from collections import deque
+from math import hypot
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from cadence.operators.clusters import clusters
 
 POINT_FIELDS = ["sample_type", "sample_set", "volume", "kiai"]
 POINT_SCHEMA = pa.schema([
@@ -28,13 +34,34 @@ def timing_edits(points: DataFrame, changes: DataFrame, all_after: bool = False,
     set_volume, set_kiai. It edits the points within `fuzz_ms` of its offset. A red change without a red point there
     makes one; a green change makes one if nothing is there, or if it sets the value and no green point is there. A new
     point copies the last one at or before it; it is kept if it is red or differs from that one. With `all_after`,
-    samples, volume and kiai spread to all later points. The result is sorted, red before green. A track's points and
-    changes are held by one task; a change costs a search and shifts of plain arrays.
+    samples, volume and kiai spread to all later points. A track's result is sorted, red before green, in each part;
+    points alike in both are in order of their values.
+
+    Tracks are cut before points that no earlier change reaches, so that neither edits nor the copied point of a new
+    one come from another part; what spreads to all later points is found by windows over parts and set first. Points
+    of parts without changes never leave the JVM.
     """
 
     names = ["value", "meter", *POINT_FIELDS]
-
-    def fold(left: pa.Table, right: pa.Table) -> pa.Table:
+    fields = [f.name for f in POINT_SCHEMA]
+    both = points.select(*fields, F.lit(True).alias("_point")).unionByName(changes.withColumn("_point", F.lit(False)), allowMissingColumns=True)
+    firsts = [F.min(F.when(F.col("_point") == k, F.col("offset_ms"))) for k in (True, False)]
+    may_start = firsts[0].isNotNull() & (firsts[1].isNull() | (firsts[0] <= firsts[1] + fuzz_ms))
+    both = clusters(both, "track", "offset_ms", 2 * fuzz_ms + 1, may_start=may_start)
+    order = F.struct("offset_ms", "seq")
+    last = [F.max_by(f, F.when(F.col(f"set_{f}") & ~F.col("_point"), order)).alias(f"_{f}") for f in POINT_FIELDS]
+    parts = both.groupBy(F.col("track").alias("_of"), F.col("_cluster").alias("_part")).agg(F.bool_or(~F.col("_point")).alias("_edited"), *last)
+    before = Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    from_before = [(F.last(f"_{f}", ignorenulls=True).over(before) if all_after else F.lit(None)).alias(f"_{f}") for f in POINT_FIELDS]
+    parts = parts.select("_of", "_part", "_edited", *from_before)
+    both = both.join(parts, F.col("track").eqNullSafe(F.col("_of")) & F.col("_cluster").eqNullSafe(F.col("_part"))).drop("_of", "_part")
+    for f in POINT_FIELDS:
+        both = both.withColumn(f, F.when(F.col("_point"), F.coalesce(f"_{f}", f)).otherwise(F.col(f)))
+    both = both.drop(*(f"_{f}" for f in POINT_FIELDS))
+
+    def fold(rows: pa.Table) -> pa.Table:
+        left, right = rows.filter(pc.field("_point")), rows.filter(~pc.field("_point"))
+        left = left.sort_by([(f, "ascending") for f in names if f != "kiai"])
         at = np.array(left["offset_ms"].to_pylist(), "i8")
         red = np.array(left["is_red"].to_pylist(), bool)
         order = np.lexsort((~red, at))
@@ -73,117 +100,45 @@ def timing_edits(points: DataFrame, changes: DataFrame, all_after: bool = False,
         columns = {"track": [track] * len(at), "offset_ms": at, **{f: x.tolist() for f, x in own.items()}, "is_red": red}
         return pa.table({f.name: pa.array(columns[f.name], f.type) for f in POINT_SCHEMA}, POINT_SCHEMA)
 
-    return points.groupBy("track").cogroup(changes.groupBy("track")).applyInArrow(fold, POINTS)
-
-
-def nearest_by_loss(queries: DataFrame, peaks_: DataFrame) -> DataFrame:
-    """(track, id, place): for each query (track, id, time_ms) the peak (track, place, prominence) with the least distance
-    over prominence, the earliest of equal ones. Queries are held against their track's peaks in blocks; no pair leaves
-    the task. Queries of tracks without peaks go."""
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        at, height = right["place"].to_numpy(), right["prominence"].to_numpy()
-        order = np.argsort(at, kind="stable")
-        at, height, t = at[order], height[order], left["time_ms"].to_numpy()
-        best = [at[(np.abs(at[None, :] - t[i : i + 256, None]) / height).argmin(axis=1)] for i in range(0, len(t) if len(at) else 0, 256)]
-        left = left if len(at) else left.slice(0, 0)
-        return pa.table({"track": left["track"], "id": left["id"], "place": pa.array(np.concatenate(best) if best else [], pa.int64())})
-
-    return queries.select("track", "id", "time_ms").groupBy("track").cogroup(peaks_.select("track", "place", "prominence").groupBy("track")).applyInArrow(search, "track long, id long, place long")
+    edited = both.where("_edited").drop("_edited").groupBy("track", "_cluster").applyInArrow(fold, POINTS)
+    return both.where("NOT _edited").select(*fields).unionByName(edited)
 
 
 def snapped_overlaps(objects: DataFrame, within_px: float = 3.8, within_ms: int = 1000) -> DataFrame:
     """(chart, seq, time_ms, x, y): each point moved onto the first earlier one nearer than `within_px` and not over
-    `within_ms` before it, in order of (time_ms, seq); later points see moved positions. Null positions stay."""
+    `within_ms` before it, in order of (time_ms, seq); later points see moved positions. Null positions stay; rows without
+    a time come as they are.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time_ms", "seq"]).reset_index(drop=True)
-        t, xy = rows["time_ms"].to_numpy(), rows[["x", "y"]].to_numpy(float)
-        placed = ~np.isnan(xy).any(axis=1)
-        for i in np.flatnonzero(placed):
-            lo = np.searchsorted(t, t[i] - within_ms)
-            close = lo + np.flatnonzero(placed[lo:i] & (np.hypot(*(xy[lo:i] - xy[i]).T) < within_px))
-            if len(close):
-                xy[i] = xy[close[0]]
-        return rows.assign(x=xy[:, 0], y=xy[:, 1])
-
-    return objects.select("chart", "seq", "time_ms", "x", "y").groupBy("chart").applyInPandas(fold, "chart long, seq long, time_ms long, x double, y double")
-
-
-def peaks(signal: np.ndarray, distance: int, prominence: float, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and prominences of local maxima: at least `distance` apart (higher ones first) and `prominence` above the
-    higher of the lowest points on both sides, up to a higher point or `reach` away."""
-    rises = np.flatnonzero((signal[1:-1] > signal[:-2]) & (signal[1:-1] >= signal[2:])) + 1
-    kept: list[int] = []
-    for p in sorted(rises, key=lambda i: (-signal[i], i)):
-        if all(abs(p - q) >= distance for q in kept):
-            kept.append(p)
-    found = []
-    for p in sorted(kept):
-        sides = []
-        for part in (signal[max(0, p - reach) : p][::-1], signal[p + 1 : p + 1 + reach]):
-            higher = np.flatnonzero(part > signal[p])
-            part = part[: higher[0]] if len(higher) else part
-            sides.append(part.min() if len(part) else signal[p])
-        found.append((p, signal[p] - max(sides)))
-    found = [x for x in found if x[1] >= prominence]
-    return np.array([x[0] for x in found], int), np.array([x[1] for x in found])
-
-
-def find_peaks(signals: DataFrame, distance: int = 50, prominence: float = 0.1, reach: int = 25) -> DataFrame:
-    """(track, place, prominence) from rows (track, place, value); places without a row are zero."""
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        dense = np.zeros(int(rows["place"].max()) + 2)
-        dense[rows["place"].to_numpy(int)] = rows["value"]
-        at, height = peaks(dense, distance, prominence, reach)
-        return pd.DataFrame({"track": rows["track"].iloc[0], "place": at, "prominence": height})
-
-    return signals.groupBy("track").applyInPandas(scan, "track long, place long, prominence double")
-
-
-def beat_walk(peaks_: DataFrame, near: float = 60.0, doubtful: float = 300.0, margin: int = 200) -> DataFrame:
-    """(track, beat_ms): beats walked from the most prominent peaks, both ways, at the peaks' periods.
-
-    Rows are (track, place, prominence, period_ms, sure, length_ms). A step goes to the peak with the least distance
-    over prominence; within `near` the walk takes its place and period, beyond it makes a beat where it stands, unless
-    the peak is within `doubtful` and sure, which ends the walk. Regions once walked, with a margin, are not entered
-    again, and their peaks don't start walks.
+    Charts are cut where nothing happens for longer than that. Points wait in the cells of a grid, as wide as the
+    distance, so a point looks at nine cells, each in order of time.
     """
+    rows = clusters(objects.select("chart", "seq", "time_ms", "x", "y"), "chart", "time_ms", within_ms + 1)
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        p, height, period = (rows[c].to_numpy(float) for c in ("place", "prominence", "period_ms"))
-        sure, length = rows["sure"].to_numpy(bool), float(rows["length_ms"].iloc[0])
-        regions: list[tuple[float, float]] = []
-        beats: list[int] = []
-        inside = lambda t: any(a <= t <= b for a, b in regions)
-        for start in np.lexsort((p, -height)):
-            if inside(p[start]):
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["time_ms", "seq"])
+        times, x, y = (rows[c].tolist() for c in ("time_ms", "x", "y"))
+        cells: dict[tuple[int, int], deque[int]] = {}
+        for i, (t, u, v) in enumerate(zip(times, x, y, strict=True)):
+            if u is None or v is None or u != u or v != v or t is None or t != t:
                 continue
-            beats.append(int(p[start]))
-            ends = []
-            for way in (1, -1):
-                t, step = p[start], period[start]
-                while True:
-                    before = t
-                    t += way * step
-                    if not 0 <= t < length:
-                        break
-                    loss = np.abs(p - t) / height
-                    k = int(loss.argmin())
-                    if loss[k] < near:
-                        t, step = p[k], period[k]
-                    elif loss[k] < doubtful and sure[k]:
-                        t = before
+            at, first = (int(u // within_px), int(v // within_px)), None
+            for cell in ((at[0] + dx, at[1] + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)):
+                waiting = cells.get(cell)
+                while waiting and times[waiting[0]] < t - within_ms:
+                    waiting.popleft()
+                for j in waiting or ():
+                    if first is not None and j > first:
                         break
-                    if inside(t) or (t - before) * way <= 0:
+                    if hypot(x[j] - u, y[j] - v) < within_px:
+                        first = j
                         break
-                    beats.append(int(t))
-                ends.append(t)
-            regions += [(p[start] - margin, ends[0] + margin), (ends[1] - margin, p[start] + margin)]
-        return pd.DataFrame({"track": rows["track"].iloc[0], "beat_ms": sorted(set(beats))})
+            if first is not None:
+                x[i], y[i] = x[first], y[first]
+                at = int(x[i] // within_px), int(y[i] // within_px)
+            cells.setdefault(at, deque()).append(i)
+        return rows[["chart", "seq", "time_ms"]].assign(x=x, y=y)
 
-    return peaks_.groupBy("track").applyInPandas(walk, "track long, beat_ms long")
+    return rows.groupBy("chart", "_cluster").applyInPandas(fold, "chart long, seq long, time_ms long, x double, y double")
 
 
 def measure_votes(beats: DataFrame, meter: int) -> DataFrame:

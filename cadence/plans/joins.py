@@ -200,7 +200,7 @@ def interval_containment(spark, d):
 @query(f"""WITH {E}, q AS (SELECT event_id, user_id, ms FROM e WHERE event_type = 'error'), p AS (SELECT user_id, ms, value FROM e WHERE event_type = 'purchase' AND value > 0)
 SELECT q.event_id, arg_min(p.ms, abs(p.ms - q.ms) / p.value) AS nearest FROM q JOIN p ON q.user_id = p.user_id GROUP BY 1""")
 def nearest_weighted(spark, d):
-    from cadence.operators.sequential import nearest_by_loss
+    from cadence.operators.beats import nearest_by_loss
 
     rows = events(spark, d).select("event_id", F.col("user_id").alias("track"), "ms", "event_type", "value")
     peaks = rows.where("event_type = 'purchase' AND value > 0").select("track", F.col("ms").alias("place"), F.col("value").alias("prominence"))

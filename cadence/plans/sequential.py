@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadence.functions import curves
+from cadence.operators import beats as beat
 from cadence.operators import sequential as seq
 from cadence.plans.joins import E, events
 from cadence.plans.registry import query, table
@@ -51,7 +52,7 @@ def _signal(spark, d):
     return rows.agg(F.sum("value").alias("value"))
 
 
-@query(f"""WITH RECURSIVE {E}, h AS (SELECT user_id AS track, ms // 3600000 AS place, sum(value) AS v FROM e WHERE event_type IN ('click', 'view') GROUP BY ALL),
+_PEAKS = f"""WITH RECURSIVE {E}, h AS (SELECT user_id AS track, ms // 3600000 AS place, sum(value) AS v FROM e WHERE event_type IN ('click', 'view') GROUP BY ALL),
 d AS (SELECT track, place, coalesce(v, 0) AS v FROM (SELECT track, unnest(range(0, max(place) + 2)) AS place FROM h GROUP BY track) LEFT JOIN h USING (track, place)),
 c AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY v DESC, place) AS k FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM d WINDOW w AS (PARTITION BY track ORDER BY place)) WHERE v > a AND v >= b),
 g(track, k, kept) AS (SELECT track, k, [place] FROM c WHERE k = 1
@@ -59,16 +60,32 @@ g(track, k, kept) AS (SELECT track, k, [place] FROM c WHERE k = 1
 p AS (SELECT c.track, c.place, c.v FROM c JOIN (SELECT track, arg_max(kept, k) AS kept FROM g GROUP BY 1) AS f ON f.track = c.track AND list_contains(kept, c.place)),
 s AS (SELECT p.track, p.place, p.v, max(d.place) FILTER (d.v > p.v AND d.place < p.place) AS lo, min(d.place) FILTER (d.v > p.v AND d.place > p.place) AS hi FROM p JOIN d ON d.track = p.track AND d.place BETWEEN p.place - 12 AND p.place + 12 GROUP BY ALL),
 m AS (SELECT s.track, s.place, s.v, min(d.v) FILTER (d.place < s.place) AS a, min(d.v) FILTER (d.place > s.place) AS b FROM s JOIN d ON d.track = s.track AND d.place BETWEEN s.place - 12 AND s.place + 12 AND d.place > coalesce(lo, -1) AND d.place < coalesce(hi, 1e9) GROUP BY ALL)
-SELECT track, place, round(v - greatest(a, b), 6) AS prominence FROM m WHERE v - greatest(a, b) >= 1""")
+"""
+
+
+@query(f"{_PEAKS} SELECT track, place, round(v - greatest(a, b), 6) AS prominence FROM m WHERE v - greatest(a, b) >= 1")
 def signal_peaks(spark, d):
-    return seq.find_peaks(_signal(spark, d), distance=3, prominence=1.0, reach=12).withColumn("prominence", F.round("prominence", 6))
+    return beat.find_peaks(_signal(spark, d), distance=3, prominence=1.0, reach=12).select("track", "place", F.round("prominence", 6).alias("prominence"))
+
+
+@query(f"""{_PEAKS}, x AS (
+  SELECT m.track, m.place, m.v, greatest(a, b) AS h, max(d.place) FILTER (d.place < m.place AND d.v <= greatest(a, b)) AS l, min(d.place) FILTER (d.place > m.place AND d.v <= greatest(a, b)) AS r
+  FROM m JOIN d ON d.track = m.track AND d.place BETWEEN m.place - 12 AND m.place + 12 GROUP BY ALL
+), y AS (
+  SELECT x.*, r - (h - r0.v) / (r1.v - r0.v) - l - (h - l0.v) / (l1.v - l0.v) AS width FROM x JOIN d l0 ON l0.track = x.track AND l0.place = l JOIN d l1 ON l1.track = x.track AND l1.place = l + 1
+  JOIN d r0 ON r0.track = x.track AND r0.place = r JOIN d r1 ON r1.track = x.track AND r1.place = r - 1
+) SELECT track, place, round(v - h, 6) AS prominence, round(width, 6) AS width FROM y WHERE v - h >= 1 AND width >= 3""")
+def wide_peaks(spark, d):
+    """Peaks of users' hourly activity at least three hours wide at their base."""
+    found = beat.find_peaks(_signal(spark, d), distance=3, prominence=1.0, reach=12, width=3.0)
+    return found.select("track", "place", F.round("prominence", 6).alias("prominence"), F.round("width", 6).alias("width"))
 
 
 @query()
 def beat_walk(spark, d):
-    peaks = seq.find_peaks(_signal(spark, d), distance=3, prominence=1.0, reach=12)
+    peaks = beat.find_peaks(_signal(spark, d), distance=3, prominence=1.0, reach=12)
     peaks = peaks.select("track", "place", "prominence", F.lit(12.0).alias("period_ms"), F.lit(True).alias("sure"), F.lit(720.0).alias("length_ms"))
-    return seq.beat_walk(peaks, near=0.05, doubtful=0.2, margin=4)
+    return beat.beat_walk(peaks, near=0.05, doubtful=0.2, margin=4)
 
 
 @query(f"""WITH RECURSIVE {E}, n AS (SELECT user_id AS track, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1 AS i, value AS score, event_type = 'purchase' AS red, count(*) OVER (PARTITION BY user_id) AS n FROM e),

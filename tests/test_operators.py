@@ -202,6 +202,30 @@ def test_timing_edits_against_plain_rules(spark, all_after):
         assert [tuple(r[k] for k in key) for r in got if r.track == t] == [tuple(p[k] for k in key) for p in want]
 
 
+@pytest.mark.parametrize("all_after", [False, True])
+def test_timing_edits_of_a_long_track_in_parts(spark, all_after, monkeypatch):
+    """A track of some hundred points and changes, cut into parts, is as by plain rules over all of it."""
+    from cadence.operators import clusters
+
+    monkeypatch.setattr(clusters, "ROWS", 40)
+    rng = np.random.default_rng(5)
+    pick = lambda *xs: xs[rng.integers(len(xs))]
+    flags = [f"set_{f}" for f in ("value", "meter", "sample_type", "sample_set", "volume", "kiai")]
+
+    def row(red):
+        return {"track": 7, "offset_ms": int(rng.integers(0, 4000)), "value": float(pick(300, 400) if red else pick(-50, -100)), "meter": int(pick(3, 4)), "sample_type": 1, "sample_set": int(pick(0, 1)),
+                "volume": int(pick(40, 60, 80)), "kiai": bool(pick(True, False)), "is_red": red}
+
+    points = list({(p["offset_ms"], p["is_red"]): p for p in (row(bool(rng.random() < 0.3)) for _ in range(260))}.values())
+    changes = [row(bool(rng.random() < 0.3)) | {"seq": k} | {f: bool(rng.random() < 0.4) for f in flags} for k in range(180)]
+    schema = sequential.POINTS + ", seq long, " + ", ".join(f"{k} boolean" for k in flags)
+    found = sequential.timing_edits(spark.createDataFrame(points, sequential.POINTS), spark.createDataFrame(changes, schema), all_after=all_after)
+    key = ("offset_ms", "is_red", "value", "meter", "sample_type", "sample_set", "volume", "kiai")
+    assert sorted(tuple(r[k] for k in key) for r in found.collect()) == sorted(tuple(p[k] for k in key) for p in edited(points, changes, all_after))
+    parts = clusters.clusters(spark.createDataFrame(points, sequential.POINTS), "track", "offset_ms", 5)
+    assert parts.select("_cluster").distinct().count() >= 5
+
+
 def test_green_change_after_red_and_green_at_one_time(spark):
     red = {"track": 1, "offset_ms": 0, "value": 300.0, "meter": 4, "sample_type": 2, "sample_set": 0, "volume": 100, "kiai": False, "is_red": True}
     points = spark.createDataFrame([red, red | {"value": -50.0, "is_red": False}], sequential.POINTS)
@@ -298,16 +322,6 @@ def test_snapped_overlaps(spark):
     assert got[:3] == [(1, 100.0), (2, 100.0), (3, 105.0)] and (got[3][1] is None or math.isnan(got[3][1]))
 
 
-def test_peaks_and_walk(spark):
-    signal = np.zeros(400)
-    signal[[50, 150, 250, 350]] = [1, 0.5, 0.75, 0.05]
-    at, height = sequential.peaks(signal, 50, 0.1, 25)
-    assert at.tolist() == [50, 150, 250] and height.tolist() == [1, 0.5, 0.75]
-    rows = [(1, int(p), float(h), 100.0, False, 400.0) for p, h in zip(at, height, strict=True)]
-    beats = sequential.beat_walk(spark.createDataFrame(rows, "track long, place long, prominence double, period_ms double, sure boolean, length_ms double"))
-    assert values(beats, "beat_ms") == [(50,), (150,), (250,), (350,)]
-
-
 def test_tempo_sections(spark):
     times = [0, 500, 1000, 1500, 1900, 2300, 2700]
     rows = spark.createDataFrame([(1, t, t == 0) for t in times], "track long, time_ms long, is_red boolean")
