@@ -249,33 +249,6 @@ def _exact_period(elapsed: float, beats: float, leniency: float) -> float:
     return round_period(elapsed, beats, lambda p: abs(elapsed - p * beats) <= leniency)
 
 
-class _Reds:
-    """The red points of a track in order: offsets, periods, meters."""
-
-    def __init__(self, fuzz: int = 2):
-        self.at: list[int] = []
-        self.period: list[float] = []
-        self.meter: list[int] = []
-        self.fuzz = fuzz
-
-    def before(self, time: float) -> int:
-        """The place of the last point at or before a time; the first one if there is none."""
-        return max(0, bisect_right(self.at, time) - 1)
-
-    def put(self, time: int, period: float | None = None, meter: int | None = None) -> None:
-        """A point at a time, as the one before it but for what is given; points within the fuzz are changed instead."""
-        lo, hi = bisect_left(self.at, time - self.fuzz), bisect_right(self.at, time + self.fuzz)
-        if lo == hi:
-            k = lo - 1
-            self.at.insert(lo, time)
-            self.period.insert(lo, self.period[k] if k >= 0 else period or 1000.0)
-            self.meter.insert(lo, self.meter[k] if k >= 0 else meter or 4)
-            hi = lo + 1
-        for k in range(lo, hi):
-            self.period[k] = self.period[k] if period is None else period
-            self.meter[k] = self.meter[k] if meter is None else meter
-
-
 def _best_cut(times: np.ndarray, beats: np.ndarray, allowed: np.ndarray, offset: float) -> int | None:
     """Where to cut markers in two so that the mean squared distances from even beats, from `offset` in the first part
     and from its last marker in the second, add up to least: the size of the first part, the smallest of equal ones.
@@ -302,97 +275,117 @@ def red_points(markers: DataFrame, leniency_ms: float = 20.0) -> DataFrame:
     """(track, offset_ms, ms_per_beat, meter): red points for markers (track, time_ms, kind) of beats.
 
     Kinds are beat, measure and timing_point. Each timing point makes a red point; without any, the first marker does.
-    Then measures that don't come where the meter says get a red point, or its meter, that makes them come there. Then
-    each marker must lie within `leniency_ms` of its beat, counted from the red point before it: the roundest period for
-    which this holds for all of them since is taken; where there is none, a new red point cuts them in two at the
-    measure (or last marker) that leaves least squared error. A red point right after another gets the beat count, whole
-    or a half to a sixteenth, that the tempo before suggests. Measures out of step with the meter get a red point.
-
-    A track's markers are held by one task. The periods that fit are kept as an interval, so a marker costs one step.
+    The markers between measures are counted: where their number changes a red point with that meter begins. Then each
+    marker must lie within `leniency_ms` of its beat, counted from the red point before it: the roundest period for
+    which this holds for all of them is taken; where there is none, a new red point cuts them in two at the measure (or
+    last marker) that leaves least squared error. A red point right after another gets the beat count, whole or a half
+    to a sixteenth, that the tempo before suggests. A measure out of step with the meter begins a red point as well, also
+    before the first one, whose meter the last measure before it tells.
+
+    A track's markers are held by one task; a section, from red point to red point, is judged by running bounds of the
+    periods that fit, as arrays. Other kinds and rows without a time don't count.
     """
 
     def infer(rows: pa.Table) -> pa.Table:
         order = np.argsort(np.array(rows["time_ms"].to_pylist(), "i8"), kind="stable")
         time = np.array(rows["time_ms"].to_pylist(), "i8")[order]
         kind = np.array(rows["kind"].to_pylist(), object)[order]
-        red, measure = kind == "timing_point", kind == "measure"
-        beats, reds = np.where(red, 0.0, 1.0), _Reds()
-        for t in time[red].tolist():
-            reds.put(t)
-        if not reds.at:
-            reds.put(int(time[0]))
-        count, last_measure = 0, int(time[0])
-        for t, is_red, is_measure in zip(time.tolist(), red, measure, strict=True):
-            k = reds.before(t - 1)
-            if is_red:
-                count, last_measure = 0, t
-            elif reds.at[k] != t:
-                count += 1
-                if is_measure:
-                    if reds.meter[k] != count and last_measure <= reds.at[k]:
-                        reds.meter[k] = count
-                    elif reds.meter[k] != count:
-                        reds.put(last_measure, meter=count)
-                    count, last_measure = 0, t
-        _fit(time, beats, measure, reds, leniency_ms)
-        track = rows["track"][0].as_py()
-        return pa.table({"track": [track] * len(reds.at), "offset_ms": reds.at, "ms_per_beat": reds.period, "meter": reds.meter}, pa.schema([("track", pa.int64()), ("offset_ms", pa.int64()), ("ms_per_beat", pa.float64()), ("meter", pa.int32())]))
+        points = _metered(time, kind == "timing_point", kind == "measure")
+        _fitted(points, time, np.where(kind == "timing_point", 0.0, 1.0), kind == "measure", leniency_ms)
+        columns = {"track": [rows["track"][0].as_py()] * len(points), **dict(zip(("offset_ms", "ms_per_beat", "meter"), map(list, zip(*points, strict=True)), strict=True))}
+        return pa.table(columns, pa.schema([("track", pa.int64()), ("offset_ms", pa.int64()), ("ms_per_beat", pa.float64()), ("meter", pa.int32())]))
 
     kept = markers.select("track", "time_ms", "kind").where("time_ms IS NOT NULL AND kind IN ('beat', 'measure', 'timing_point')")
     return kept.groupBy("track").applyInArrow(infer, "track long, offset_ms long, ms_per_beat double, meter int")
 
 
-def _fit(time: np.ndarray, beats: np.ndarray, measure: np.ndarray, reds: _Reds, leniency: float) -> None:
-    """Periods for red points, and further red points, so that markers lie on beats."""
-    count, last_period = 0, 1000.0
-    fits, fitted = None, -1  # for the red point at `fitted`, of the markers up to the last one
-    for i, t in enumerate(time.tolist()):
-        k = reds.before(t - 1)
-        offset = reds.at[k]
-        if offset == t:
-            count = 0
+#: Red points nearer than this are one; meter and period of those that nothing tells.
+FUZZ_MS, METER, PERIOD = 2, 4, 1000.0
+
+
+def _metered(time: np.ndarray, red: np.ndarray, measure: np.ndarray) -> list[list]:
+    """[offset, period, meter] of red points, from timing points and from the number of markers between measures."""
+    first = np.unique(time[red]) if red.any() else time[:1]
+    first = first[np.r_[True, np.diff(first) > FUZZ_MS]]
+    section = np.searchsorted(first, time, "left") - 1  # what stands on a red point belongs to the section before
+    inside = ~red & (time != first[0])
+    nth = np.cumsum(inside) - np.searchsorted(section[inside], section, "left")  # place in its section, from 1
+    at = np.flatnonzero(inside & measure)
+    fresh = np.r_[True, np.diff(section[at]) > 0] if len(at) else np.zeros(0, bool)
+    count = nth[at] - np.where(fresh, 0, np.r_[0, nth[at][:-1]] if len(at) else 0)
+    meters = {int(t): METER for t in first}
+    early = section[at] < 0  # before the first point the last measure tells its meter
+    meters[int(first[0])] = int(count[early][-1]) if early.any() else METER
+    at, fresh, count = at[~early], fresh[~early], count[~early]
+    for k in np.flatnonzero(fresh | np.r_[True, np.diff(count) != 0] if len(at) else fresh).tolist():
+        start = first[section[at[k]]] if fresh[k] else time[at[k - 1]]
+        near = next((t for t in range(int(start) - FUZZ_MS, int(start) + FUZZ_MS + 1) if t in meters), int(start))
+        meters[near] = int(count[k])
+    return [[t, PERIOD, meters[t]] for t in sorted(meters)]
+
+
+def _fitted(points: list[list], time: np.ndarray, beats: np.ndarray, measure: np.ndarray, leniency: float) -> None:
+    """Periods for red points, and further red points, section by section; `judged` is the last marker known to fit."""
+
+    def begin(k: int, t: int, period: float) -> int:
+        """Which point stands at t: k or the next one, if near, which then gets the period, else a new one."""
+        for n in (k, k + 1):
+            if n < len(points) and abs(points[n][0] - t) <= FUZZ_MS:
+                points[n][1] = period
+                return n
+        points.insert(k + 1, [t, period, points[k][2]])
+        return k + 1
+
+    early = np.flatnonzero(time < points[0][0])
+    bars = np.flatnonzero(measure[early])
+    astray = bars[np.diff(np.r_[-1, bars]) % points[0][2] != 0]
+    if len(astray):  # a measure before the first point is out of step with it
+        points.insert(0, [int(time[early[astray[0]]]), PERIOD, METER])
+
+    k, judged, stepped, tempo = 0, -1, -1, PERIOD
+    while k < len(points):
+        offset, _, meter = points[k]
+        end = points[k + 1][0] if k + 1 < len(points) else np.inf
+        a, b = np.searchsorted(time, offset, "right"), np.searchsorted(time, end, "right")
+        if b - a == 1 and not beats[a]:
+            guess = (time[a] - offset) / tempo
+            beats[a] = min((round(guess), *(0.5**n for n in range(5))), key=lambda x: abs(x - guess))
+        own = a + np.flatnonzero(beats[a:b] > 0)
+        if not len(own):
+            if b - a == 1:  # no beat to the next point
+                tempo = PERIOD
+                points[k][1] = PERIOD if time[a] - offset <= leniency else points[k][1]
+            k += 1
             continue
-        # markers of equal time before this one don't count, nor do those on the red point
-        first, stop = np.searchsorted(time, offset, "right"), np.searchsorted(time, t, "left")
-        own = [*range(first, stop), i]
-        if not beats[i]:
-            if len(own) != 1:
-                count = 0
+        gap, count = (time[own] - offset).astype(float), np.cumsum(beats[own])
+        low, high = np.maximum.accumulate((gap - leniency) / count), np.minimum.accumulate((gap + leniency) / count)
+        exact = np.where(60_000 * count < gap, PERIOD, gap / count)
+        off = (own > judged) & ((exact < low - 1e-9) | (exact > high + 1e-9))
+        bars = np.flatnonzero(measure[own])
+        astray = bars[(np.diff(np.r_[-1, bars]) % meter != 0) & (own[bars] >= judged) & (own[bars] > stepped) & (time[own[bars]] < end)]
+        stop = min([*np.flatnonzero(off)[:1].tolist(), *astray[:1].tolist(), len(own) - 1])
+
+        def roundest(i: int) -> float:
+            """The roundest period for the section's markers up to i."""
+            p = float(exact[i])
+            return round_period(60_000.0, 60_000.0 / p, lambda q: low[i] - 1e-9 <= q <= high[i] + 1e-9) if 0 < p <= 60_000 else p
+
+        if off[stop]:
+            before, judged = judged, int(own[stop])
+            if stop == 0:
+                tempo = float(exact[0])
                 continue
-            guess = (t - offset) / last_period
-            beats[i] = min((round(guess), 1, 1 / 2, 1 / 4, 1 / 8, 1 / 16), key=lambda x: abs(x - guess))
-        if fits is None or fitted != offset or seen != stop:
-            fits, fitted = _Fits(offset, leniency), offset
-            for j in own[:-1]:
-                fits.add(time[j], beats[j])
-        fits.add(t, beats[i])
-        seen = stop + 1
-        period = _exact_period(t - offset, fits.beats, 0)
-        if fits(period):
-            period = round_period(60_000.0, 60_000.0 / period, fits) if 0 < period <= 60_000 else period
-            reds.period[k] = period
-        elif len(own) > 1:
-            times, own_beats = time[own].astype(float), beats[own]
-            allowed = np.concatenate([[False], measure[own[:-1]]])
+            allowed = np.r_[False, measure[own[:stop]]]
             allowed[-1] = True
-            cut = _best_cut(times, own_beats, allowed, offset) or len(own) - 1
-            if cut < len(own) - 1:
-                head = _Fits(offset, leniency)
-                for j in own[:cut]:
-                    head.add(time[j], beats[j])
-                shorter = _exact_period(times[cut - 1] - offset, head.beats, 0)
-                reds.period[k] = round_period(60_000.0, 60_000.0 / shorter, head) if 0 < shorter <= 60_000 else shorter
-            period = _exact_period(t - times[cut - 1], own_beats[cut:].sum(), leniency)
-            reds.put(int(times[cut - 1]), period=period)
-            since = measure[own[cut:-1]][::-1]
-            count = int(since.argmax()) if since.any() else len(since)
-            fits = None
-        last_period = period
-        count += 1
-        k = reds.before(t)
-        if reds.at[k] == t:
-            count = 0
-        if measure[i]:
-            if count % reds.meter[k]:
-                reds.put(t, period=reds.period[k])
-            count = 0
+            cut = _best_cut(time[own[: stop + 1]].astype(float), beats[own[: stop + 1]], allowed, offset) or stop
+            if cut < stop or own[cut - 1] > before:
+                points[k][1] = roundest(cut - 1)
+            start = int(time[own[cut - 1]])
+            tempo = _exact_period(float(time[own[stop]] - start), float(beats[own[cut : stop + 1]].sum()), leniency)
+            k = begin(k, start, tempo)
+            continue
+        if own[stop] > judged:
+            points[k][1] = tempo = roundest(stop)
+            judged = int(own[stop])
+        stepped = int(own[stop])
+        k = begin(k, int(time[own[stop]]), points[k][1]) if stop in astray else k + 1
