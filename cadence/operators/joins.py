@@ -5,11 +5,14 @@ Times are whole numbers (milliseconds). Null times and null keys match nothing.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadence.functions.scalars import hashed
+from cadence.operators.ranking import with_count_before
 from cadence.session import written
 
 #: Queries that are broadcast at a time, or about so many.
@@ -114,12 +117,32 @@ def merged(left: DataFrame, right: DataFrame, time: str, seq: str) -> DataFrame:
     return left.withColumn("src", F.lit(0)).unionByName(right.withColumn("src", F.lit(1)))
 
 
-def containing(points: DataFrame, spans: DataFrame, key: str, time: str, start: str, end: str, width: int) -> DataFrame:
-    """Pairs of points and spans of one key with start <= time <= end: an equi-join on buckets of `width`."""
-    wide = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / F.lit(width)), F.floor(F.col(end) / F.lit(width)))))
-    wide = wide.withColumnRenamed(key, "_key")
-    rows = points.withColumn("_pb", F.floor(F.col(time) / F.lit(width))).join(wide, (F.col(key) == F.col("_key")) & (F.col("_pb") == F.col("_b")))
-    return rows.where(F.col(time).between(F.col(start), F.col(end))).drop("_b", "_pb", "_key")
+#: Points of a block of interval containment.
+POINTS = 4096
+
+
+def containing(points: DataFrame, spans: DataFrame, key: str, time: str, start: str, end: str, block: int = POINTS) -> DataFrame:
+    """Pairs of points and spans of one key with start <= time <= end.
+
+    Points and ends of spans are swept in one order, and what a span contains is the points between two places of it. A
+    span goes to each block of `block` points that it reaches into, so it costs a row and one more for each `block`
+    pairs, however long it is. Rows with a null key or time and spans that end before they start have no pairs.
+    """
+    spans = spans.where(" AND ".join(f"{c} IS NOT NULL" for c in (key, start, end)) + f" AND {start} <= {end}")
+    spans = written(spans.withColumn("_span", F.monotonically_increasing_id()), "spans")
+    none = lambda t: F.lit(None).cast(t)
+    at = lambda c, kind: (F.col(key).alias("_key"), F.col(c).alias("_t"), F.lit(kind).alias("_kind"))
+    row = F.struct(*points.columns)
+    swept = points.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(*at(time, 1), row.alias("_point"), none("long").alias("_span"))
+    for c, kind in ((start, 0), (end, 2)):
+        swept = swept.unionByName(spans.select(*at(c, kind), none(swept.schema["_point"].dataType).alias("_point"), "_span"))
+    swept = written(with_count_before(swept.withColumn("_is", F.col("_kind") == 1), ["_key", "_t", "_kind"], "_is", "_at"), "swept")
+
+    place = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_at")))
+    reach = swept.where("_kind <> 1").groupBy("_span").agg(place(0).alias("_lo"), place(2).alias("_hi")).where("_lo < _hi")
+    reach = reach.join(spans.drop(key), "_span").withColumn("_block", F.explode(F.sequence(F.expr(f"_lo div {block}"), F.expr(f"(_hi - 1) div {block}"))))
+    held = swept.where("_kind = 1").select("_at", F.expr(f"_at div {block}").alias("_block"), "_point.*")
+    return held.join(reach, "_block").where("_at >= _lo AND _at < _hi").drop("_block", "_span", "_lo", "_hi", "_at")
 
 
 def sibling(df: DataFrame, set_col: str, id_col: str, seed: int) -> DataFrame:
@@ -130,36 +153,98 @@ def sibling(df: DataFrame, set_col: str, id_col: str, seed: int) -> DataFrame:
     return rows.withColumn("sibling", following).where(F.col("sibling") != F.col(id_col)).select(id_col, "sibling")
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two arrays of numbers."""
-    d = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x))
+#: Rows held against all queries at a time, and rows of a first pass that bounds the distances.
+ROWS, FIRST = 2048, 20_000
+
+
+class _Best:
+    """The k best (distance, id) of each query so far; a distance counts negative if the farthest are wanted."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, sign: int, bound: np.ndarray | None = None):
+        self.ids, self.vectors, self.k, self.sign = ids, vectors, k, sign
+        self.squares = (vectors**2).sum(axis=1)
+        self.bound = np.full(len(ids), np.inf) if bound is None else bound
+        self.key = np.full((len(ids), k), np.inf)
+        self.id = np.full((len(ids), k), -1, "i8")
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Hold rows against all queries: by a product of matrices first, which is right but for rounding, and those
+        that may be among the best once more, one by one."""
+        squares = (vectors**2).sum(axis=1)
+        rough = self.squares[:, None] + squares[None, :] - 2 * (self.vectors @ vectors.T)
+        slack = 1e-9 * (self.squares[:, None] + squares[None, :])
+        limit = np.minimum(self.key[:, -1], self.bound)
+        edge = np.where(np.isinf(limit), np.inf, self.sign * limit**2)[:, None]
+        q, r = np.nonzero((self.sign * rough <= edge + slack) & (self.ids[:, None] != ids[None, :]))
+        if not len(q):
+            return
+        exact = self.sign * np.sqrt(((self.vectors[q] - vectors[r]) ** 2).sum(axis=1))
+        asked = np.unique(q)
+        q = np.concatenate([np.repeat(asked, self.k), q])
+        key, id_ = np.concatenate([self.key[asked].ravel(), exact]), np.concatenate([self.id[asked].ravel(), ids[r]])
+        order = np.lexsort((id_, key, q))
+        q, key, id_ = q[order], key[order], id_[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        kept = place < self.k
+        self.key[q[kept], place[kept]], self.id[q[kept], place[kept]] = key[kept], id_[kept]
+
+
+def _vectors(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors of a column have `size` numbers, and these as a matrix."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    good = np.array([v is not None and len(v) == size and None not in v for v in lists.to_pylist()], bool) if lists.null_count or lists.flatten().null_count or len(lists.flatten()) != len(lists) * size else np.ones(len(lists), bool)
+    flat = lists.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(float)
+    return good, flat.reshape(-1, size)
 
 
 def neighbours(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, nearest: bool = True) -> DataFrame:
-    """(query, id, distance): the k nearest (or farthest) rows of each query, ties by id, itself left out.
+    """(query, id, distance, place): the k nearest (or farthest) rows of each query, ties by id, itself left out.
 
-    Queries are held against all rows in blocks, and each block of rows keeps its own k best per query, so what is
-    shuffled is k rows per query and block. More than QUERY_BLOCK queries go by hash, about so many at a time, and each
-    time's result is written.
+    Queries, about QUERY_BLOCK at a time by hash, are broadcast as a matrix. Each task holds its rows against them as
+    blocks of matrices and keeps k best for each query, so no pair is sorted or leaves a task but those. The k best
+    of FIRST rows bound what any task still has to keep. Ids are whole numbers, not null; vectors that are null, hold
+    nulls or have another length than the queries' are no neighbours.
     """
     count = queries.count()
-    if count <= QUERY_BLOCK:
-        return _neighbours(queries, rows, id_col, vector, k, nearest)
-    blocks, out = -(-count // QUERY_BLOCK), None
+    blocks, out = max(1, -(-count // QUERY_BLOCK)), None
     for n in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == n)
-        found = written(_neighbours(some, rows, id_col, vector, k, nearest), "neighbours")
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == n)
+        found = _neighbours(some, rows, id_col, vector, k, 1 if nearest else -1)
+        found = found if blocks == 1 else written(found, "neighbours")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _neighbours(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, nearest: bool) -> DataFrame:
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("_q"))
-    pairs = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), F.spark_partition_id().alias("_block")).join(F.broadcast(q), F.col("query") != F.col("id"))
-    pairs = pairs.select("query", "id", "_block", distance(F.col("_q"), F.col("_v")).alias("distance"))
-    by = F.col("distance").asc() if nearest else F.col("distance").desc()
-    first = F.row_number().over(Window.partitionBy("query", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(by, "id"))
-    some = pairs.drop("_block").withColumn("_k", first).where(F.col("_k") <= k).drop("_k")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(by, "id"))
-    return some.withColumn("place", place).where(F.col("place") <= k).select("query", "id", "distance", "place")
+def _neighbours(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int, sign: int) -> DataFrame:
+    spark = queries.sparkSession
+    asked = queries.select(F.col(id_col).cast("long").alias("query"), vector).where(F.col("query").isNotNull() & F.col(vector).isNotNull()).toArrow()
+    size = len(asked.column(1)[0]) if len(asked) else 0
+    good, matrix = _vectors(asked.column(1), size) if len(asked) else (np.zeros(0, bool), np.zeros((0, 0)))
+    if not good.all():
+        raise ValueError("query vectors hold nulls or differ in length")
+    shared = spark.sparkContext.broadcast((asked.column(0).to_numpy(), matrix))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), vector).where(F.col("id").isNotNull())
+
+    def best(bound):
+        def run(batches):
+            found = _Best(*shared.value, k, sign, bound and bound.value)
+            for batch in batches:
+                for start in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(start, ROWS)
+                    kept, vectors = _vectors(part.column(1), size)
+                    if len(vectors):
+                        found.add(part.column(0).to_numpy(zero_copy_only=False)[kept], vectors)
+            q, place = np.nonzero(np.isfinite(found.key))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found.ids[q], found.id[q, place], sign * found.key[q, place])], ["query", "id", "distance"])
+
+        return run
+
+    schema = "query long, id long, distance double"
+    if not len(asked):
+        return spark.createDataFrame([], f"{schema}, place int")
+    order = Window.partitionBy("query").orderBy(F.col("distance") * sign, "id")
+    top = lambda df: df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    first = top(rows.limit(FIRST).mapInArrow(best(None), schema)).where(F.col("place") == k).select("query", "distance").toPandas()
+    bounds = dict(zip(first["query"], first["distance"], strict=True))
+    bound = spark.sparkContext.broadcast(np.array([sign * bounds[q] if q in bounds else np.inf for q in shared.value[0].tolist()]))
+    return top(rows.mapInArrow(best(bound), schema))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadence.operators.selection import selected
 from cadence.session import written
 
 
@@ -39,9 +40,25 @@ def dictionary(df: DataFrame, key: str, order: str, code: str = "code") -> DataF
 
 def order_statistics(df: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
     """(q, value): the value at place floor(n * q) of the sorted values (the last, for q = 1); nulls don't count."""
-    rows = with_position(df.where(F.col(value).isNotNull()).select(value), [value])
-    n = rows.agg(F.count("*").alias("n"))
-    wanted = n.select("n", F.explode(F.array(*map(F.lit, quantiles))).alias("q")).select(
-        "q", F.least(F.floor(F.col("n") * F.col("q")), F.col("n") - 1).alias("place")
-    )
-    return rows.join(F.broadcast(wanted), F.col("position") == F.col("place")).select("q", value)
+    rows = df.where(F.col(value).isNotNull()).select(F.lit(0).alias("key"), F.col(value).alias("value"))
+    n = rows.count()
+    places = [(0, float(q), min(int(n * q), n - 1)) for q in quantiles]
+    wanted = df.sparkSession.createDataFrame(places, "key int, q double, place long")
+    return selected(rows, wanted).select("q", F.col("value").alias(value))
+
+
+def with_count_before(df: DataFrame, order: list[str], flag: str, name: str) -> DataFrame:
+    """`df` with the number of rows before, in the order of `order`, that have `flag`.
+
+    Rows are range-partitioned, sorted and written; each range is counted through on its own and gets the counts of all
+    ranges before, a row a range.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = written(ranged.withColumn("_row", F.monotonically_increasing_id()), "ranged").withColumn("_range", F.shiftright("_row", 33))
+    one = F.col(flag).cast("long")
+    bases = ranged.groupBy("_range").agg(F.sum(one).alias("_n"))
+    bases = bases.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    before = F.coalesce(F.sum(one).over(Window.partitionBy("_range").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = ranged.withColumn("_before", before).join(F.broadcast(bases), "_range")  # one row a partition
+    return counted.withColumn(name, F.col("_before") + F.col("_base")).drop("_before", "_base", "_range", "_row")

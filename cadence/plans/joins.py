@@ -194,7 +194,7 @@ def interval_containment(spark, d):
     rows = events(spark, d).select("event_id", "user_id", "ms", "event_type")
     spans = rows.where("event_type = 'signup'").select(F.col("event_id").alias("span_id"), "user_id", F.col("ms").alias("start"), (F.col("ms") + 7_200_000).alias("stop"))
     points = rows.where("event_type = 'click'").select("event_id", "user_id", "ms")
-    return joins.containing(points, spans, "user_id", "ms", "start", "stop", 7_200_000).select("event_id", "span_id")
+    return joins.containing(points, spans, "user_id", "ms", "start", "stop").select("event_id", "span_id")
 
 
 @query(f"""WITH {E}, q AS (SELECT event_id, user_id, ms FROM e WHERE event_type = 'error'), p AS (SELECT user_id, ms, value FROM e WHERE event_type = 'purchase' AND value > 0)
