@@ -37,17 +37,13 @@ def events_of(conversations: DataFrame, delta_chars: int = 1024) -> DataFrame:
     """
     nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("nth", nth)
-    n = F.ceil(F.length(F.coalesce("text", F.lit(""))) / F.lit(delta_chars)).cast("int")
+    parts = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0))
     none = F.lit(None).cast("string")
     start = F.struct(F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), F.col("role").alias("role"), none.alias("text"))
     deltas = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(
-            i.cast("long").alias("seq"), F.lit("delta").alias("kind"), none.alias("role"),
-            F.substring(F.col("text"), (i - 1) * delta_chars + 1, F.lit(delta_chars)).alias("text"),
-        ),
-    )
-    events = F.when(n > 0, F.concat(F.array(start), deltas)).otherwise(F.array(start))
+        parts, lambda part, i: F.struct((i + 1).cast("long").alias("seq"), F.lit("delta").alias("kind"), none.alias("role"), part.alias("text"))
+    )
+    events = F.concat(F.array(start), deltas)
     return rows.select("conv_id", "turn", "nth", F.inline(events))
 
 

@@ -173,3 +173,16 @@ def test_mixing_odd_rows(odd_docs, no_docs):
     got = mixing.curriculum(odd_docs).where("copy = 0")
     assert got.count() == odd_docs.count() and got.where("size = 0 AND taken <> 0").count() == 0
     assert mixing.curriculum(no_docs).count() == 0
+
+
+def test_chat_deltas_of_very_long_texts(spark):
+    """Deltas put together are the text, cut at code points; four million characters are no trouble."""
+    texts = ["", "\U0001f600" * 5, "abc\n\r\n" * 3, "x" * 1024, "é\n" * 1025]
+    df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)] + [(1, 9, "user", None)], "conv_id long, turn long, role string, text string")
+    for size in (1, 3, 1024):
+        events = chat.events_of(df, size).where("kind = 'delta'")
+        assert events.agg(F.max(F.length("text"))).first()[0] == min(size, 2050)
+        got = {r.turn: r.text for r in chat.fold(chat.events_of(df, size)).collect()}
+        assert got == {**dict(enumerate(texts)), 9: ""}
+    long = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("ab<|cé\n"), 600_000).alias("text"))
+    assert chat.digests(chat.render(chat.fold(chat.events_of(long)))).first().loss_chars == 4_200_000
