@@ -125,14 +125,24 @@ def _length(kind: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([[0.0, *np.hypot(*np.diff(p, axis=0).T).cumsum()] if len(p) > 1 else [0.0] for p in paths])
 
 
+def nearest_progress(path: np.ndarray, spot: np.ndarray) -> float:
+    """The share of a path's length at its point nearest to a spot, anywhere on its steps; the last of equally near ones."""
+    if len(path) < 2:
+        return 0.0
+    step = np.diff(path, axis=0)
+    squares = (step**2).sum(axis=1)
+    share = np.clip(((spot - path[:-1]) * step).sum(axis=1) / squares, 0.0, 1.0)
+    far = np.hypot(*(path[:-1] + share[:, None] * step - spot).T)
+    k = len(far) - 1 - int((far[::-1] <= far.min() + 1e-9).argmax())
+    along = np.concatenate([[0.0], np.sqrt(squares).cumsum()])
+    return float((along[k] + share[k] * (along[k + 1] - along[k])) / along[-1])
+
+
 @F.pandas_udf(T.DoubleType())
 def _progress(kind: pd.Series, x: pd.Series, y: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
     out = []
     for k, a, b, u, v in zip(kind, x, y, px, py, strict=True):
-        path = flatten(k, _points(a, b))
-        far = np.hypot(*(path - [u, v]).T)
-        along = np.concatenate([[0.0], np.hypot(*np.diff(path, axis=0).T).cumsum()]) if len(path) > 1 else np.zeros(1)
-        out.append(along[len(far) - 1 - far[::-1].argmin()] / along[-1] if along[-1] else 0.0)
+        out.append(nearest_progress(flatten(k, _points(a, b)), np.array([u, v], float)))
     return pd.Series(out)
 
 
@@ -142,7 +152,7 @@ def cumulative_length(kind: Column, x: Column, y: Column) -> Column:
 
 
 def progress_of(kind: Column, x: Column, y: Column, px: Column, py: Column) -> Column:
-    """The share of the curve's length at the flattened point nearest to (px, py), the last of equally near ones."""
+    """The share of the curve's length at its point nearest to (px, py), the last of equally near ones; see nearest_progress()."""
     return _progress(kind, x, y, px, py)
 
 

@@ -226,23 +226,32 @@ def multi_hot(codes: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_contains(codes, i).cast("int"))
 
 
-def section_steps(steps: int, counts: list[int]) -> Column:
-    """Evenly spaced steps of nearly equal sections: counts[i] of them from section i."""
-    size, extra = divmod(steps, len(counts))
-    parts, start = [], 0
-    for i, n in enumerate(counts):
-        own = size + (i < extra)
-        if own < n:
-            raise ValueError(f"a section of {own} steps can't give {n}")
-        stride = (own - 1) / (n - 1) if n > 1 else 1.0
-        if n:
-            parts.append(_strided(start, n, stride))
-        start += own
-    return F.concat(*parts)
-
-
-def _strided(start: int, n: int, stride: float) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (F.lit(start) + F.bround(k * F.lit(stride), 0)).cast("int"))
+def section_steps(steps: Column, counts: list[int]) -> Column:
+    """Array of evenly spaced steps of nearly equal sections of `steps` steps: counts[i] of them from section i, the
+    first ones being longer by one where they can't be equal. Null where a section has fewer steps than it should give."""
+    n = len(counts)
+    size, extra = F.floor(steps / F.lit(n)), steps % n
+    parts, enough = [], F.lit(True)
+    for i, count in enumerate(counts):
+        own = (size + (extra > i).cast("int")).cast("int")
+        enough = enough & (own >= count)
+        start = size * i + F.least(extra, F.lit(i))
+        if count:
+            stride = (own - 1) / F.lit(count - 1) if count > 1 else F.lit(1.0)
+            parts.append(_strided(start, count, stride))
+    return F.when(enough, F.concat(*parts))
+
+
+def _strided(start: Column, n: int, stride: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (start + F.bround(k * stride, 0)).cast("int"))
+
+
+def strided_steps(steps: Column, count: int) -> Column:
+    """Array of `count` steps of 0, ..., steps - 1 at one whole stride from 0 on, the smallest that gives so many; null if
+    none does."""
+    stride = F.ceil(steps / F.lit(count))
+    return F.when((steps >= count) & (F.ceil(F.try_divide(steps, stride)) == count) & (stride < steps), F.sequence(F.lit(0).cast("long"), steps.cast("long") - 1, stride))
+
 
 
 def circle_candidates(x: Column, y: Column, far: Column, samples: int, width: float = 512, height: float = 384) -> Column:

@@ -194,10 +194,27 @@ def after_marker(spark, d):
     return table(spark, d, "documents").where(at > 0).select("doc_id", at.alias("found_at"), F.substring(F.col("text"), at + 2, F.lit(5)).alias("tail"))
 
 
-@query("""WITH s(size, start, n) AS (VALUES (34, 0, 5), (33, 34, 10), (33, 67, 1)), k AS (SELECT *, unnest(range(n)) AS k FROM s)
-SELECT (start + round_even(k * CASE WHEN n > 1 THEN (size - 1) / (n - 1)::DOUBLE ELSE 1 END, 0))::INT AS step FROM k""")
+@query("""WITH p AS (SELECT p_partkey, 20 + p_size AS steps FROM part), c(i, n) AS (VALUES (0, 5), (1, 10), (2, 1)),
+s AS (SELECT p_partkey, steps, i, n, steps // 3 + (i < steps % 3)::INT AS size, i * (steps // 3) + least(i, steps % 3) AS start FROM p, c),
+k AS (SELECT p_partkey, start + round_even(k * CASE WHEN n > 1 THEN (size - 1) / (n - 1)::DOUBLE ELSE 1 END, 0) AS step FROM s, unnest(range(n)) AS r(k) WHERE NOT p_partkey IN (SELECT p_partkey FROM s WHERE size < n))
+SELECT p_partkey, 'sections' AS kind, step::BIGINT AS step FROM k
+UNION ALL SELECT p_partkey, 'strided', unnest(range(0, steps, ceil(steps / 8.0)::BIGINT)) FROM p WHERE ceil(steps / ceil(steps / 8.0)) = 8""")
 def section_steps(spark, d):
-    return spark.range(1).select(F.explode(s.section_steps(100, [5, 10, 1])).alias("step"))
+    """Steps of schedules as long as each part's size says: 5, 10 and 1 of three sections, and 8 at one stride."""
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") + 20).alias("steps"))
+    both = (("sections", s.section_steps(F.col("steps"), [5, 10, 1])), ("strided", s.strided_steps(F.col("steps"), 8)))
+    parts = [rows.select("p_partkey", F.lit(kind).alias("kind"), F.explode(steps.cast("array<bigint>")).alias("step")) for kind, steps in both]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_max(list_transform(embedding::DOUBLE[], lambda v: abs(v))) AS m FROM embeddings)
+SELECT vec_id, i - 1 AS pos, round(CASE WHEN m > 0 THEN x[i] / m ELSE x[i] END, 6) AS sample FROM m, unnest(range(1, len(x) + 1)) AS r(i)""")
+def normalized_samples(spark, d):
+    """All samples, divided by the greatest absolute one of their row."""
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, d, "embeddings").select("vec_id", x.alias("x"), F.array_max(F.transform(x, lambda v: F.abs(v))).alias("m"))
+    rows = rows.select("vec_id", F.posexplode(F.transform("x", lambda v: F.when(F.col("m") > 0, v / F.col("m")).otherwise(v))).alias("pos", "sample"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("sample", 6).alias("sample"))
 
 
 @query("""WITH c AS (SELECT event_id, unnest(range(24)) AS i, value AS x, (event_id % 384)::DOUBLE AS y FROM events), p AS (SELECT event_id, x + 90 * cos(2 * pi() * i / 23) AS px, y + 90 * sin(2 * pi() * i / 23) AS py FROM c)

@@ -147,9 +147,11 @@ w AS (
     0.5::DOUBLE * (2 * b.y + (c.y - a.y) * (i / 50) + (2 * a.y - 5 * b.y + 4 * c.y - d.y) * (i / 50) ^ 2 + (3 * b.y - a.y - 3 * c.y + d.y) * (i / 50) ^ 3) FROM c, range(50) AS r(i)
   UNION ALL SELECT vec_id, 150, p[4].x, p[4].y FROM q WHERE kind = 1
   UNION ALL SELECT vec_id, k, p[k + 1].x, p[k + 1].y FROM q, range(4) AS r(k) WHERE kind = 2),
-l AS (SELECT *, coalesce(sqrt((x - lag(x) OVER o) ^ 2 + (y - lag(y) OVER o) ^ 2), 0) AS step, sqrt(x ^ 2 + y ^ 2) AS far FROM w WINDOW o AS (PARTITION BY vec_id ORDER BY i)),
-t AS (SELECT *, sum(step) OVER (PARTITION BY vec_id ORDER BY i) AS along, min(far) OVER (PARTITION BY vec_id) AS least FROM l)
-SELECT vec_id, round(max(along), 6) AS length, round(arg_max(along, i) FILTER (far = least) / max(along), 6) AS progress FROM t GROUP BY 1""")
+l AS (SELECT *, lag(x) OVER o AS ax, lag(y) OVER o AS ay FROM w WINDOW o AS (PARTITION BY vec_id ORDER BY i)),
+g AS (SELECT *, sqrt((x - ax) ^ 2 + (y - ay) ^ 2) AS step, least(greatest(-(ax * (x - ax) + ay * (y - ay)) / ((x - ax) ^ 2 + (y - ay) ^ 2), 0), 1) AS u FROM l WHERE ax <> x OR ay <> y),
+t AS (SELECT *, sum(step) OVER (PARTITION BY vec_id ORDER BY i) AS along, sqrt((ax + u * (x - ax)) ^ 2 + (ay + u * (y - ay)) ^ 2) AS far FROM g),
+m AS (SELECT *, min(far) OVER (PARTITION BY vec_id) AS least FROM t)
+SELECT vec_id, round(max(along), 6) AS length, round(arg_max(along - step + u * step, i) FILTER (far <= least + 1e-9) / max(along), 6) AS progress FROM m GROUP BY 1""")
 def curve_lengths(spark, d):
     x, y = F.slice("embedding", 1, 4).cast("array<double>"), F.slice("embedding", 5, 4).cast("array<double>")
     kind = F.element_at(F.array(*map(F.lit, "BCL")), (F.col("vec_id") % 3 + 1).cast("int"))

@@ -193,3 +193,39 @@ def test_clusters_are_apart_and_of_a_size(spark):
     assert 10 <= len({r._cluster for r in cut}) <= 20
     halves = clusters.clusters(df, "k", "t", 10, rows=100, may_start=F.max("i") > 1000).groupBy("_cluster").count().collect()
     assert max(r["count"] for r in halves) > 900
+
+
+def test_progress_is_that_of_the_nearest_point_of_the_path():
+    """Between flattened points too: it moves evenly along a line, and is nearest among very many points of curves."""
+    from cadence.functions import curves
+
+    line = np.array([[0.0, 0.0], [100.0, 0.0]])
+    assert [curves.nearest_progress(line, np.array([t, 7.0])) for t in (-5, 0, 12.5, 99, 140)] == [0, 0, 0.125, 0.99, 1]
+    there_and_back = np.array([[0.0, 0.0], [100.0, 0.0], [0.0, 0.0]])
+    assert curves.nearest_progress(there_and_back, np.array([50.0, 3.0])) == 0.75  # the last of two
+    assert curves.nearest_progress(line[:1], np.array([1.0, 1.0])) == 0
+    rng = np.random.default_rng(3)
+    for kind in "BCLP":
+        for _ in range(10):
+            path = curves.flatten(kind, rng.uniform(0, 400, (3 if kind == "P" else 5, 2)))
+            spot, along = rng.uniform(0, 400, 2), np.concatenate([[0.0], np.hypot(*np.diff(path, axis=0).T).cumsum()])
+            at = np.linspace(0, along[-1], 200_001)
+            far = np.hypot(np.interp(at, along, path[:, 0]) - spot[0], np.interp(at, along, path[:, 1]) - spot[1])
+            p = curves.nearest_progress(path, spot) * along[-1]
+            assert abs(np.hypot(np.interp(p, along, path[:, 0]) - spot[0], np.interp(p, along, path[:, 1]) - spot[1]) - far.min()) < 1e-3
+
+
+def test_steps_of_sections(spark):
+    from cadence.functions import scalars
+
+    rows = spark.createDataFrame([(s,) for s in (100, 33, 16, 27, 30, 3, 0, None)], "steps int")
+    got = {r.steps: (r.a, r.b) for r in rows.select("steps", scalars.section_steps(F.col("steps"), [5, 10, 1]).alias("a"), scalars.strided_steps(F.col("steps"), 8).alias("b")).collect()}
+    for steps in (100, 33, 16, 27, 30, 3):
+        want, start = [], 0
+        for i, n in enumerate([5, 10, 1]):
+            size = steps // 3 + (i < steps % 3)
+            want = None if want is None or size < n else want + [start + round(k * ((size - 1) / (n - 1) if n > 1 else 1)) for k in range(n)]
+            start += size
+        strides = [list(range(0, steps, i)) for i in range(1, steps) if len(range(0, steps, i)) == 8]
+        assert got[steps] == (want, strides[0] if strides else None)
+    assert got[0] == got[None] == (None, None)
