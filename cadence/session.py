@@ -16,7 +16,8 @@ _SHIPPED: set[str] = set()
 
 
 def build_session(name: str = "cadence", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings that the operators assume (UTC, AQE); `conf` overrides them."""
+    """A session with the settings that the operators assume (UTC, AQE), and with this package sent to its executors; `conf`
+    overrides the settings."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
@@ -28,7 +29,9 @@ def build_session(name: str = "cadence", master: str | None = None, **conf: str)
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
