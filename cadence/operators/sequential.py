@@ -100,7 +100,9 @@ def timing_edits(points: DataFrame, changes: DataFrame, all_after: bool = False,
         columns = {"track": [track] * len(at), "offset_ms": at, **{f: x.tolist() for f, x in own.items()}, "is_red": red}
         return pa.table({f.name: pa.array(columns[f.name], f.type) for f in POINT_SCHEMA}, POINT_SCHEMA)
 
-    edited = both.where("_edited").drop("_edited").groupBy("track", "_cluster").applyInArrow(fold, POINTS)
+    # as many tasks as the session says: small tables would be put together into one
+    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edited = both.where("_edited").drop("_edited").repartition(tasks, "track", "_cluster").groupBy("track", "_cluster").applyInArrow(fold, POINTS)
     return both.where("NOT _edited").select(*fields).unionByName(edited)
 
 
