@@ -9,6 +9,10 @@ The two masks were chosen by trying all pairs: in every 13 tokens with any 2 of
 without meeting a replaced token, so a window that the check would accept is never missed by the seeds. Items of 8 to 12
 tokens have masks of their own, chosen in the same way.
 
+A place of a text whose surroundings repeat those a few tokens before (a run of one token, a few tokens in turn) says
+nothing new: a window accepted there is accepted at the place before too. Such places have no seeds, on either side, so
+a run costs its ends and not its length, and two runs don't meet at every pair of places.
+
 Everything is DataFrame work. The benchmark's hashes are counted and broadcast in parts of a bounded size, each over
 all documents, so that positions of documents are never shuffled, whatever the size of the benchmark. The documents with
 hits, whose texts are read again for the check, are broadcast if they are few and else joined by shuffle.
@@ -16,6 +20,8 @@ hits, whose texts are read again for the check, are broadcast if they are few an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +37,10 @@ SHORT_MASKS = {
 }
 #: Rows of a join's side up to which it is broadcast (24 bytes or so each).
 BROADCAST_ROWS = 1_000_000
-#: Items with fewer tokens are not looked for.
+#: Items with fewer tokens are not looked for; too_short() lists them.
 LEAST_TOKENS = 4
+#: Runs of up to so many tokens in turn are told by their first places.
+PERIODS = 4
 
 
 def tokens_of(text: Column) -> Column:
@@ -40,12 +48,34 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _seeds(hashes: Column, masks: list[tuple[int, ...]]) -> Column:
-    """Array of (at, hash) of each mask at each position of an array of token hashes."""
+def _places(hashes: Column, window: int) -> Column:
+    """Array of the positions of an array of token hashes but those where all that a window around them could hold lies
+    a period before as well; null if that are all positions.
+
+    Such a position has repeats on window - 1 positions to both sides, so a block of `window` positions from a multiple
+    of `window` on repeats as a whole. Only texts with such a block are looked through.
+    """
+    n = F.size(hashes)
+
+    def repeats(period: int):
+        return lambda k: F.coalesce(F.get(hashes, k) == F.get(hashes, k - period), F.lit(False))
+
+    def told(i: Column, first: Column, last: Column) -> Column:
+        each = [repeats(period)(i) & F.forall(F.sequence(first, last), repeats(period)) for period in range(1, PERIODS + 1)]
+        return reduce(Column.__or__, each)
+
+    block = F.exists(F.sequence(F.lit(0), n, F.lit(window)), lambda k: told(k, k, k + (window - 1)))
+    new = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~told(i, i - (window - 1), i + (window - 1)))
+    return F.when((n >= window) & block, new)
+
+
+def _seeds(hashes: Column, places: Column, masks: list[tuple[int, ...]]) -> Column:
+    """Array of (at, hash) of each mask at each of `places` (null: all) of an array of token hashes."""
     parts = []
     for mask in masks:
         last = F.size(hashes) - (mask[-1] + 1)
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        every = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        at = F.when(places.isNull(), every).otherwise(F.filter(places, lambda i: i <= last))  # noqa: B023
         parts.append(F.transform(at, _seed(hashes, mask)))
     return F.concat(*parts)
 
@@ -59,6 +89,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def too_short(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, n_tokens) of the items that contamination() does not look for; null and empty texts have 0 tokens."""
+    rows = benchmark.select(F.col(item_col).alias("item"), F.size(tokens_of(F.col(text_col))).cast("long").alias("n_tokens"))
+    return rows.where(F.col("n_tokens") < LEAST_TOKENS)
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -73,7 +109,7 @@ def contamination(
 
     Tokens are runs of letters and digits in lower case. Items shorter than `window` must lie in the document whole,
     with at most a fifth of their tokens replaced (rounded down); items under 8 tokens are matched without any, and
-    items under 4 are not looked for. Null or empty texts and items match nothing. Documents with null or repeated
+    items under 4 are not looked for (see too_short()). Null or empty texts and items match nothing. Documents with null or repeated
     ids are told apart by their texts. Further columns are not read.
     """
     items = benchmark.select(F.col(item_col).alias("item"), tokens_of(F.col(item_text_col)).alias("item_tokens")).where(F.size("item_tokens") >= LEAST_TOKENS)
@@ -82,16 +118,18 @@ def contamination(
     masks = [*MASKS, *(tuple(range(n)) for n in lengths if n < SPAN)]
     own = {n: SHORT_MASKS[n] for n in sorted(lengths) if n in SHORT_MASKS}
     hashed = items.withColumn("hashes", F.transform("item_tokens", lambda t: F.xxhash64(t)))
-    seeds = hashed.select("item", F.size("hashes").alias("n"), F.inline(_seeds(F.col("hashes"), masks)))
+    hashed = hashed.withColumn("places", _places(F.col("hashes"), window))
+    seeds = hashed.select("item", F.inline(_seeds(F.col("hashes"), F.col("places"), masks)))
     for n, more in own.items():
-        seeds = seeds.unionByName(hashed.where(F.size("hashes") == n).select("item", F.size("hashes").alias("n"), F.inline(_seeds(F.col("hashes"), list(more)))))
+        seeds = seeds.unionByName(hashed.where(F.size("hashes") == n).select("item", F.inline(_seeds(F.col("hashes"), F.col("places"), list(more)))))
     masks = list(dict.fromkeys([*masks, *(m for more in own.values() for m in more)]))
     seeds = written(seeds.select("item", F.col("at").alias("item_at"), "seed").distinct(), "seeds")
     n_seeds = seeds.count()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     hashes = F.transform(tokens_of(F.col("text")), lambda t: F.xxhash64(t))
-    exploded = rows.select("id", "key", hashes.alias("hashes")).select("id", "key", F.inline(_seeds(F.col("hashes"), masks)))
+    hashed = rows.select("id", "key", hashes.alias("hashes")).withColumn("places", _places(F.col("hashes"), window))
+    exploded = hashed.select("id", "key", F.inline(_seeds(F.col("hashes"), F.col("places"), masks)))
     # every position meets every part of the seeds, so the documents' own positions are never shuffled
     parts, hits = max(1, -(-n_seeds // BROADCAST_ROWS)), None
     for n in range(parts):

@@ -328,6 +328,41 @@ def test_decontamination_against_brute_force(spark, monkeypatch, most):
     assert any(got.values()) and not all(got.values())
 
 
+def test_decontamination_of_runs_against_brute_force(spark):
+    """Texts of runs of one to six tokens in turn, with single tokens replaced."""
+    rng = random.Random(21)
+
+    def text(most):
+        out = []
+        while len(out) < most:
+            turn = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))]
+            out += (turn * 60)[: rng.randint(1, 50)]
+            if rng.random() < 0.4:
+                out[rng.randrange(len(out))] = rng.choice("xyz")
+        return out
+
+    items = [["a"] * 40, ["a", "b"] * 25, ["a"] * 6, *(text(n) for n in (13, 20, 30, 60, 90, 8, 10, 5))]
+    docs = [["a"] * 7, ["a"] * 13, ["x", *["a"] * 300, "y"], ["b", "a"] * 100, *(text(rng.randint(0, 160)) for _ in range(150))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: list(r.item_ids) for r in decontaminate.decontaminate(df, bench).collect()}
+    assert got == {i: [k for k, item in enumerate(items) if windows_of(w, item)] for i, w in enumerate(docs)}
+    assert any(got.values()) and not all(got.values())
+
+
+def test_seeds_of_a_run_do_not_grow_with_it(spark):
+    """A run has seeds at its ends only, whatever its period up to PERIODS."""
+    texts = [" ".join(["a b c d".split()[k % period] for k in range(n)]) for period in (1, 2, 3, 4) for n in (1_000, 4_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(F.transform(decontaminate.tokens_of(F.col("text")), lambda t: F.xxhash64(t)).alias("h"))
+    sizes = [r.n for r in df.select(F.size(decontaminate._places(F.col("h"), 13)).alias("n")).collect()]
+    assert sizes[0::2] == sizes[1::2] and max(sizes) <= 2 * 13 + decontaminate.PERIODS
+
+
+def test_items_that_are_too_short_are_listed(spark):
+    bench = spark.createDataFrame([(1, "one two three"), (2, None), (3, "one two three four"), (None, "!")], "item_id long, text string")
+    assert {(r.item, r.n_tokens) for r in decontaminate.too_short(bench).collect()} == {(1, 3), (2, 0), (None, 0)}
+
+
 def test_masks_meet_every_pair_of_substitutions():
     from itertools import combinations
 
