@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from cadence.operators.joins import asof
+from cadence.operators.ranking import with_running_total
 
 
 def ordered(part: str | list[str], *order) -> WindowSpec:
@@ -251,8 +252,9 @@ def part_schedule(count: Column, length: int, buffer: int) -> Column:
 
 
 def interleaved(splits: DataFrame, split: str, order: str) -> DataFrame:
-    """`splits` with round: the place in its split; the order (round, split) takes one of each split in turn."""
-    return splits.withColumn("round", F.row_number().over(ordered(split, order)))
+    """`splits` with round: the place in its split; the order (round, split) takes one of each split in turn. A split of any
+    size is numbered by ranges."""
+    return with_running_total(splits, split, [order], F.lit(1), "round")
 
 
 def monotonic(df: DataFrame, part: str, seq: str, time: str) -> DataFrame:
@@ -262,9 +264,9 @@ def monotonic(df: DataFrame, part: str, seq: str, time: str) -> DataFrame:
 
 
 def packed_batches(requests: DataFrame, group: str, seq: str, work: str, capacity: int) -> DataFrame:
-    """(group, batch, seq, units): requests of a group in order fill batches of `capacity`; a request may be split."""
-    end = F.sum(work).over(ordered(group, seq).rowsBetween(Window.unboundedPreceding, 0))
-    rows = requests.where(F.col(work) > 0).withColumn("_end", end).withColumn("_start", F.col("_end") - F.col(work))
+    """(group, batch, seq, units): requests of a group in order fill batches of `capacity`; a request may be split. A group
+    of any size is summed through by ranges."""
+    rows = with_running_total(requests.where(F.col(work) > 0), group, [seq], F.col(work), "_end").withColumn("_start", F.col("_end") - F.col(work))
     first, last = F.floor(F.col("_start") / F.lit(capacity)), F.floor((F.col("_end") - 1) / F.lit(capacity))
     rows = rows.withColumn("batch", F.explode(F.sequence(first, last)))
     units = F.least(F.col("_end"), (F.col("batch") + 1) * capacity) - F.greatest(F.col("_start"), F.col("batch") * capacity)

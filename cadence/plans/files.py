@@ -170,6 +170,16 @@ def replaced_parquet(spark, d):
     return sinks.read_back(spark, path)
 
 
+@query("SELECT o_orderkey, round(o_totalprice * 2, 2) AS doubled FROM orders WHERE o_totalprice > 100000")
+def committed_versions(spark, d):
+    """A table of versions: written, then twice replaced by what is read from itself."""
+    path = work_path(spark, "versions")
+    sinks.commit(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), path)
+    sinks.commit(sinks.committed(spark, path).where("o_totalprice > 100000"), path)
+    sinks.commit(sinks.committed(spark, path).select("o_orderkey", F.round(F.col("o_totalprice") * 2, 2).alias("doubled")), path)
+    return sinks.committed(spark, path)
+
+
 @query("""SELECT '<tr><td>' || o_orderkey || '</td><td>' || replace(replace(o_orderpriority || ' <' || o_orderstatus || '&>', '&', '&amp;'), '<', '&lt;') || '</td></tr>' AS value FROM orders""")
 def html_report(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(" <"), "o_orderstatus", F.lit("&>")).alias("note"))

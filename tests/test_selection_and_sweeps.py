@@ -108,3 +108,29 @@ def test_neighbours_against_all_pairs(spark, monkeypatch, nearest):
     assert "Join" not in plan and "MapInArrow" in plan
     assert joins.neighbours(queries.limit(0), df, "id", "v", 4, nearest).count() == 0
     assert joins.neighbours(queries, df.limit(0), "id", "v", 4, nearest).count() == 0
+
+
+@pytest.mark.parametrize("partitions", ["3", "16"])
+def test_running_totals_of_groups_across_ranges(spark, partitions):
+    """A hot group over most ranges, small and null groups, groups that end within a range; null values count nothing."""
+    r = random.Random(5)
+    rows = [("hot", i, r.randrange(9)) for i in range(3000)] + [(f"g{i % 40:02d}", i, None if i % 7 == 0 else i) for i in range(400)] + [(None, i, 1) for i in range(50)]
+    r.shuffle(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame(rows, "g string, seq long, v long").withColumn("extra", F.lit("x")).repartition(7)
+        got = ranking.with_running_total(df, "g", ["seq"], F.col("v"), "total").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    wanted, sums = {}, {}
+    for g, seq, v in sorted(rows, key=lambda x: (x[0] or "", x[1])):
+        sums[g] = sums.get(g, 0) + (v or 0)
+        wanted[g, seq] = sums[g]
+    assert {(x.g, x.seq): x.total for x in got} == wanted and len(got) == len(rows)
+    assert got[0].__fields__ == ["g", "seq", "v", "extra", "total"]
+
+
+def test_running_totals_of_no_rows(spark):
+    df = spark.createDataFrame([], "g string, seq long, v long")
+    assert ranking.with_running_total(df, "g", ["seq"], F.col("v"), "total").count() == 0

@@ -170,6 +170,35 @@ def test_replace_path_being_read(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_commits_replace_a_table_that_is_being_read(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        sinks.committed(spark, path)
+    sinks.commit(spark.range(5), path)
+    old = sinks.committed(spark, path)
+    sinks.commit(old.where("id < 2"), path)
+    assert sinks.committed(spark, path).count() == 2
+    assert old.count() == 5  # whoever began with the version before can still read it
+    sinks.commit(spark.range(0), path)
+    assert sinks.committed(spark, path).count() == 0
+    assert len(list(tmp_path.glob("t/v-*"))) == 2
+
+
+def test_a_writer_lost_before_its_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    sinks.commit(spark.range(5), path)
+    spark.range(9).write.parquet(f"{path}/v-lost")  # written whole, but never named
+    assert sinks.committed(spark, path).count() == 5
+    failing = spark.range(3).select(F.raise_error(F.lit("lost")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.commit(failing, path)
+    assert sinks.committed(spark, path).count() == 5
+    before = sinks.committed(spark, path)
+    sinks.commit(spark.range(7), path)
+    assert sinks.committed(spark, path).count() == 7 and before.count() == 5
+    assert not (tmp_path / "t" / "v-lost").exists()
+
+
 def test_render_and_names(spark):
     header = spark.createDataFrame([(1, "[General]\nMode: 0")], "k long, header string")
     lines = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "k long, seq long, text string")
