@@ -254,14 +254,17 @@ def strided_steps(steps: Column, count: int) -> Column:
 
 
 
-def circle_candidates(x: Column, y: Column, far: Column, samples: int, width: float = 512, height: float = 384) -> Column:
-    """Points at a distance from (x, y), at `samples` even angles, that lie inside the field; else its farther corner."""
+def circle_candidates(x: Column, y: Column, far: Column, samples: int, width: float = 512, height: float = 384, or_corner: bool = True) -> Column:
+    """Points at a distance from (x, y), at `samples` even angles, that lie inside the field; if none does, with `or_corner`
+    its farther corner."""
     angle = lambda i: F.lit(2.0) * F.pi() * i / (samples - 1)
     points = F.transform(
         F.sequence(F.lit(0), F.lit(samples - 1)),
         lambda i: F.struct((x + far * F.cos(angle(i))).alias("x"), (y + far * F.sin(angle(i))).alias("y")),
     )
     inside = F.filter(points, lambda p: p["x"].between(0, width) & p["y"].between(0, height))
+    if not or_corner:
+        return inside
     corner = F.when(x + y > (width + height) / 2, F.struct(F.lit(float(width)).alias("x"), F.lit(float(height)).alias("y"))).otherwise(
         F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     )
