@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,9 +218,11 @@ def counts_between(spans: DataFrame, rows: DataFrame, part: str, time: str, star
 
 
 def delta_step(time: Column, w: WindowSpec, low: int, per_ms: float, most: int) -> Column:
-    """Time since the previous row in steps, halves to even, within 0 and `most`; null for the first row."""
-    step = F.bround((time - F.lag(time).over(w) - low) * F.lit(per_ms), 0).cast("int")
-    return F.least(F.greatest(step, F.lit(0)), F.lit(most))
+    """Time since the previous row in steps, halves to even, within 0 and `most`; 0 for the first row.
+
+    Whole times are multiplied by `per_ms` as it is written, in decimals, as halves are no halves any more in binary."""
+    step = F.bround((time - F.lag(time).over(w) - low) * F.lit(Decimal(str(per_ms))), 0)
+    return F.least(F.greatest(step, F.lit(0)), F.lit(most)).cast("int")
 
 
 def filled_forward_back(value: Column, w: WindowSpec, typical: Column) -> Column:

@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadence.functions import scalars
+from cadence.operators import windows
 
 
 def test_no_candidate_on_a_circle_that_misses_the_field(spark):
     rows = spark.createDataFrame([(1, 700.0), (2, 100.0)], "id long, x double").select("id", F.size(scalars.circle_candidates(F.col("x"), F.lit(100.0), F.lit(90.0), 24, or_corner=False)).alias("n"))
     assert {r.id: r.n for r in rows.collect()} == {1: 0, 2: 24}
     assert spark.sql("SELECT 700D AS x").select(scalars.circle_candidates(F.col("x"), F.lit(100.0), F.lit(90.0), 24).alias("c")).first()["c"] == [(512.0, 384.0)]
+
+
+def test_halves_of_steps_go_to_even(spark):
+    """650,000 * 0.00001 is above 6.5 in binary."""
+    halves = [50_000 + 100_000 * k for k in range(40)]
+    times = [(0, 0), *((i + 1, sum(x + 1000 for x in halves[: i + 1])) for i in range(len(halves)))]
+    rows = spark.createDataFrame([(1, *t) for t in times], "k long, i long, t long")
+    got = rows.select("i", windows.delta_step(F.col("t"), windows.ordered("k", "t"), 1000, 0.00001, 500).alias("step")).orderBy("i").collect()
+    assert [r.step for r in got] == [0, *(k + k % 2 for k in range(40))]
