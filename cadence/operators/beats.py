@@ -116,10 +116,13 @@ def peaks(place: np.ndarray, value: np.ndarray, distance: int, prominence: float
             lo = max(lo, bisect_left(runs.last, at - reach))
             hi = min(hi, bisect_right(runs.first, at + reach) - 1)
         v = runs.value[run]
-        over = v - max(runs.lowest(lo, run), runs.lowest(run, hi))
+        foot = max(runs.lowest(lo, run), runs.lowest(run, hi))
+        over = v - foot
         if over < prominence or over <= 0:
             continue
-        wide = runs.crossing(run, v - share * over, 1) - runs.crossing(run, v - share * over, -1)
+        # the foot itself, not v - over: that can be a bit below the lowest sample, where nothing comes down to it
+        height = foot if share == 1 else max(foot, v - share * over)
+        wide = runs.crossing(run, height, 1) - runs.crossing(run, height, -1)
         if wide >= width:
             found.append((at, over, wide))
     return pd.DataFrame(found, columns=["place", "prominence", "width"]).astype({"place": "int64", "prominence": float, "width": float})

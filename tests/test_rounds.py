@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cadence.functions import scalars
-from cadence.operators import sequential, windows
+from cadence.operators import beats, sequential, windows
 
 
 def test_no_candidate_on_a_circle_that_misses_the_field(spark):
@@ -30,3 +31,9 @@ def test_votes_between_equal_means_go_as_in_sql(spark):
     rows = spark.createDataFrame([(1, i, x, i in red) for i, x in enumerate(score)], "track long, seq long, score double, is_red boolean")
     got = {r.seq: r.measure for r in sequential.measure_votes(rows, 4).collect()}
     assert got[5] and not got[7]
+
+
+def test_peak_beside_the_first_sample_of_a_track():
+    """73.08 - (73.08 - 13.44) is below 13.44: at such a height nothing was found on the left."""
+    found = beats.peaks(np.array([0, 1]), np.array([13.44, 73.08]), 3, 1.0, 12)
+    assert found["place"].tolist() == [1] and found["width"].tolist() == [2 - 13.44 / 73.08]
