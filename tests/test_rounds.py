@@ -37,3 +37,8 @@ def test_peak_beside_the_first_sample_of_a_track():
     """73.08 - (73.08 - 13.44) is below 13.44: at such a height nothing was found on the left."""
     found = beats.peaks(np.array([0, 1]), np.array([13.44, 73.08]), 3, 1.0, 12)
     assert found["place"].tolist() == [1] and found["width"].tolist() == [2 - 13.44 / 73.08]
+
+
+def test_width_at_a_foot_above_zero():
+    found = beats.peaks(np.array([4, 5, 6, 7, 8]), np.array([90.0, 13.44, 73.08, 13.44, 5.0]), 2, 1.0, 12)
+    assert found.set_index("place").loc[6, "width"] == 2.0
