@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from cadence.functions import scalars
+from cadence.functions import curves, scalars
 from cadence.operators import beats, sequential, windows
 
 
@@ -42,3 +42,8 @@ def test_peak_beside_the_first_sample_of_a_track():
 def test_width_at_a_foot_above_zero():
     found = beats.peaks(np.array([4, 5, 6, 7, 8]), np.array([90.0, 13.44, 73.08, 13.44, 5.0]), 2, 1.0, 12)
     assert found.set_index("place").loc[6, "width"] == 2.0
+
+
+def test_points_along_an_axis_are_whole():
+    for length in range(31, 140):
+        assert curves.at_length(np.array([[22.0, 7.0], [52.0, 7.0]]), float(length)).tolist() == [22 + length, 7]
