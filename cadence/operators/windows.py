@@ -292,9 +292,10 @@ def trimmed_windows(tokens: DataFrame, track: str, step_ms: int, stride_ms: int,
     is_eos, is_shift = F.col("kind") == "eos", F.col("kind") == "time_shift"
     final = F.max(F.when(~is_eos, F.struct("seq", "kind", "value"))).over(in_window)
     rows = rows.withColumn("_final", final).withColumn("_eos", F.min(F.when(is_eos, F.col("seq"))).over(in_window))
-    ahead = (1 - lookahead) * window_ms
+    # shares as they are written: in binary (1 - 0.3) * 86400 is below 60480
+    ahead, back = float((1 - Decimal(str(lookahead))) * window_ms), float(Decimal(str(lookback)) * window_ms)
     late = ~F.col("_last") & (F.col("_final.value") >= int(ahead / step_ms))
-    early = (F.col("window") > 0) & (F.col("_final.value") < int(lookback * window_ms / step_ms)) & F.lit(types_first and lookback > 0)
+    early = (F.col("window") > 0) & (F.col("_final.value") < int(back / step_ms)) & F.lit(types_first and lookback > 0)
     cut = (F.col("_final.kind") == "time_shift") & (late | early)
     rows = rows.withColumn("_place", F.row_number().over(in_window.orderBy(F.desc("seq")))).withColumn("_cut", F.coalesce(cut, F.lit(False)))
     # places from the end, of what is left once the last token's own place is known

@@ -47,3 +47,10 @@ def test_width_at_a_foot_above_zero():
 def test_points_along_an_axis_are_whole():
     for length in range(31, 140):
         assert curves.at_length(np.array([[22.0, 7.0], [52.0, 7.0]]), float(length)).tolist() == [22 + length, 7]
+
+
+def test_the_lookahead_begins_where_its_share_says(spark):
+    """(1 - 0.3) * 86400 is below 60480 in binary; a time shift to 60,470 ms is before the lookahead, one to 60,480 at its start."""
+    rows = spark.createDataFrame([(1, 0, 1, "circle", 1), (1, 0, 2, "time_shift", 6047), (1, 1, 1, "circle", 1), (1, 1, 2, "time_shift", 6048), (1, 1, 3, "circle", 2), (1, 2, 1, "circle", 3)], "k long, window long, seq long, kind string, value long")
+    got = windows.trimmed_windows(rows, "k", 10, 60_000, 86_400, 0.1, 0.3)
+    assert sorted((r.window, r.seq) for r in got.collect()) == [(0, 1), (0, 2), (1, 1), (1, 2), (1, 3), (2, 1)]
