@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import tracemalloc
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cadence.functions import curves, scalars
-from cadence.operators import beats, sequential, windows
+from cadence.operators import beats, joins, sequential, windows
 
 
 def test_no_candidate_on_a_circle_that_misses_the_field(spark):
@@ -54,3 +58,33 @@ def test_the_lookahead_begins_where_its_share_says(spark):
     rows = spark.createDataFrame([(1, 0, 1, "circle", 1), (1, 0, 2, "time_shift", 6047), (1, 1, 1, "circle", 1), (1, 1, 2, "time_shift", 6048), (1, 1, 3, "circle", 2), (1, 2, 1, "circle", 3)], "k long, window long, seq long, kind string, value long")
     got = windows.trimmed_windows(rows, "k", 10, 60_000, 86_400, 0.1, 0.3)
     assert sorted((r.window, r.seq) for r in got.collect()) == [(0, 1), (0, 2), (1, 1), (1, 2), (1, 3), (2, 1)]
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_neighbours_of_many_queries_take_bounded_memory(sign):
+    """Before anything is known, 300 queries and 2,048 rows were 600,000 pairs of vectors at once, about 900 MB."""
+    rng = np.random.default_rng(4)
+    queries, rows = rng.normal(size=(300, 64)), rng.normal(size=(2048, 64))
+    found = joins._Best(np.arange(300), queries, 3, sign, None)
+    tracemalloc.start()
+    found.add(np.arange(2048) + 150, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    for q in (0, 149, 150, 299):
+        far = [(sign * math.dist(queries[q], rows[r]), r + 150) for r in range(2048) if r + 150 != q]
+        assert found.id[q].tolist() == [i for _, i in sorted(far)[:3]]
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_neighbours_among_copies_in_small_blocks(sign, monkeypatch):
+    monkeypatch.setattr(joins, "PAIRS", 50)
+    monkeypatch.setattr(joins, "NUMBERS", 14)
+    rng = np.random.default_rng(5)
+    queries, rows = rng.integers(0, 3, (9, 2)).astype(float), rng.integers(0, 3, (60, 2)).astype(float)
+    found = joins._Best(np.arange(9), queries, 4, sign, None)
+    for start in range(0, 60, 20):
+        found.add(np.arange(start, start + 20), rows[start : start + 20])
+    for q in range(9):
+        far = [(sign * math.dist(queries[q], rows[r]), r) for r in range(60) if r != q]
+        assert found.id[q].tolist() == [i for _, i in sorted(far)[:4]]
