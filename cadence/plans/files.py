@@ -35,9 +35,9 @@ def chart_round_trip(spark, d):
     lines = assembly.hit_object_lines(groups.where("type = 'circle'")).unionByName(assembly.hit_object_lines(groups.where("type <> 'circle'")))
     header = lines.select("chart").distinct().withColumn("header", F.lit("format v14\n\n[General]\nMode: 0\n"))
     path = work_path(spark, "charts")
-    sinks.chart_text(header, lines.limit(0), lines, "chart").write.partitionBy("chart").text(path)
-    objects = charts.hit_objects(charts.lines(spark, f"{path}/*/*.txt"))
-    user = F.regexp_extract("file", r"chart=(\d+)", 1).cast("long")
+    chart_source.write_charts(sinks.chart_text(header, lines.limit(0), lines, "chart"), path, "chart")
+    objects = charts.hit_objects(chart_source.read_charts(spark, path).where("section = 'HitObjects'"))
+    user = F.regexp_extract("file", r"/(\d+)\.txt$", 1).cast("long")
     return objects.select(user.alias("user_id"), "time_ms", "x", "y", "kind", "new_combo")
 
 

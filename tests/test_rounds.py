@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+import os
 import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+from cadence import session
 from cadence.functions import curves, scalars
 from cadence.operators import beats, joins, sequential, windows
+from compare import SF
 
 
 def test_no_candidate_on_a_circle_that_misses_the_field(spark):
@@ -88,3 +92,16 @@ def test_neighbours_among_copies_in_small_blocks(sign, monkeypatch):
     for q in range(9):
         far = [(sign * math.dist(queries[q], rows[r]), r) for r in range(60) if r != q]
         assert found.id[q].tolist() == [i for _, i in sorted(far)[:4]]
+
+
+def _folders(spark, query, name):
+    """How many folders and files a query leaves in working folders of a name."""
+    seen = len(session._MADE)
+    queries()[query](spark, SF).count()
+    path = next(p for p in session._MADE[seen:] if f"/{name}-" in p).removeprefix("file://")
+    return sum(len(d) for _, d, _ in os.walk(path)), sum(len(f) for _, _, f in os.walk(path))
+
+
+def test_charts_of_a_partition_share_a_folder(spark):
+    folders, files = _folders(spark, "chart_round_trip", "charts")
+    assert folders < files / 2
