@@ -60,6 +60,11 @@ def numbered_files(spark: SparkSession, pattern: str, start: int, end: int) -> D
 def metric_log(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """(file, line, metric, value): lines `name: number` of log files, in file order."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    return metric_lines(lines, names)
+
+
+def metric_lines(lines: DataFrame, names: list[str]) -> DataFrame:
+    """metric_log() of lines (file, line, text) that were read in another way."""
     pattern = "^\\s*(" + "|".join(names) + r"):\s*(-?\d+(?:\.\d+)?)"
     found = lines.where(F.col("text").rlike(pattern))
     return found.select("file", "line", F.regexp_extract("text", pattern, 1).alias("metric"), F.regexp_extract("text", pattern, 2).cast("double").alias("value"))

@@ -70,6 +70,7 @@ class ChartReader(DataSourceReader):
         self.suffix = options.get("suffix", ".txt")
         self.bytes = int(options.get("partitionbytes", PARTITION))
         self.open = int(options.get("openbytes", OPEN))
+        self.plain = options.get("plain", "false").lower() == "true"
         self.files: list[Callable] = []
         self.sections: list[Callable] = []
         self.wanted: set[str] | None = None
@@ -109,6 +110,9 @@ class ChartReader(DataSourceReader):
     def lines(self, file) -> Iterator[tuple[str | None, int, str]]:
         """(section, line, text) of the lines asked for, without empty ones and comments; reading ends after the last section."""
         section, seen, kept = None, set(), self._asked(None)
+        if self.plain:
+            yield from ((None, number, text) for number, text in enumerate(_lines(file)) if kept)
+            return
         for number, text in enumerate(_lines(file)):
             if head := re.match(r"\[(\w+)\]\s*$", text):
                 section = head[1]
@@ -139,7 +143,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class ChartSource(DataSource):
-    """Lines of chart files below a folder; options path, suffix (.txt), partitionBytes, openBytes.
+    """Lines of chart files below a folder; options path, suffix (.txt), partitionBytes, openBytes, plain.
+
+    With `plain` (true) files are no charts: all lines come, without sections.
 
     Of a section whose head comes twice in a file only the first counts. Lines before any section have none. Files
     whose names start with a dot or an underscore are passed over.

@@ -14,6 +14,7 @@ from __spark_entry__ import queries
 from cadence import session
 from cadence.functions import curves, scalars
 from cadence.operators import beats, joins, sequential, windows
+from cadence.sources import catalogue, chart_source
 from compare import SF
 
 
@@ -105,3 +106,16 @@ def _folders(spark, query, name):
 def test_charts_of_a_partition_share_a_folder(spark):
     folders, files = _folders(spark, "chart_round_trip", "charts")
     assert folders < files / 2
+
+
+def test_logs_of_a_partition_share_a_folder(spark):
+    folders, files = _folders(spark, "metric_logs", "logs")
+    assert folders < files / 2
+
+
+def test_plain_lines_know_no_sections(spark, tmp_path):
+    (tmp_path / "1.log").write_text("[a]\nFID: 1\n[a]\n\n// FID: 2\nFID: 3")
+    lines = chart_source.read_charts(spark, str(tmp_path), suffix=".log", plain="true")
+    assert [(r.section, r.line, r.text) for r in lines.orderBy("line").collect()] == [(None, 0, "[a]"), (None, 1, "FID: 1"), (None, 2, "[a]"), (None, 3, ""), (None, 4, "// FID: 2"), (None, 5, "FID: 3")]
+    found = catalogue.metric_lines(lines, ["FID"]).orderBy("line")
+    assert [(r.line, r.value) for r in found.collect()] == [(1, 1.0), (5, 3.0)]
