@@ -10,6 +10,8 @@ from cadence.operators.windows import ordered
 
 #: Type bits of hit objects, curve letters of anchors.
 TYPE_BITS = {"circle": 1, "slider": 2, "spinner": 12, "hold": 128}
+#: Groups of a task, on average; charts are not split.
+GROUPS = 200_000
 CURVES = {"bezier_anchor": "B", "perfect_anchor": "P", "catmull_anchor": "C", "red_anchor": "B", "last_anchor": "B"}
 
 
@@ -31,7 +33,10 @@ def hit_object_lines(groups: DataFrame) -> DataFrame:
     Types are circle, hold and hold_end, spinner and spinner_end, slider_head, anchors (CURVES) and slider_end. Missing
     positions take those of the group before. A slider needs a last anchor, whose first one gives the place and whose
     last one gives the time of one span, and positive durations; its repeats are whole spans. Incomplete ones go.
+    Charts are dealt to tasks by the number of groups: the sorts of a task are open at once, and a number of partitions
+    that goes by compressed bytes lets them grow with the input.
     """
+    groups = groups.repartition(max(1, -(-groups.count() // GROUPS)), "chart")
     carry = lambda c, d: F.coalesce(F.last(c, ignorenulls=True).over(ordered("chart", "seq").rowsBetween(Window.unboundedPreceding, 0)), F.lit(d))
     rows = groups.withColumn("x", carry("x", 256.0)).withColumn("y", carry("y", 192.0))
     for c in ("hitsound", "sample_set", "addition"):

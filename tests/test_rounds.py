@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tracemalloc
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from cadence import session
 from cadence.functions import curves, scalars
-from cadence.operators import beats, joins, sequential, windows
+from cadence.operators import assembly, beats, joins, sequential, windows
 from cadence.sources import catalogue, chart_source
 from compare import SF
 
@@ -119,3 +120,11 @@ def test_plain_lines_know_no_sections(spark, tmp_path):
     assert [(r.section, r.line, r.text) for r in lines.orderBy("line").collect()] == [(None, 0, "[a]"), (None, 1, "FID: 1"), (None, 2, "[a]"), (None, 3, ""), (None, 4, "// FID: 2"), (None, 5, "FID: 3")]
     found = catalogue.metric_lines(lines, ["FID"]).orderBy("line")
     assert [(r.line, r.value) for r in found.collect()] == [(1, 1.0), (5, 3.0)]
+
+
+def test_tasks_of_hit_objects_go_by_groups(spark, monkeypatch):
+    monkeypatch.setattr(assembly, "GROUPS", 10)
+    rows = [(i % 9, i, "circle", i * 10, 1.0, 2.0, False, 0, 0, 0) for i in range(95)]
+    lines = assembly.hit_object_lines(spark.createDataFrame(rows, "chart long, seq long, type string, time long, x double, y double, new_combo boolean, hitsound int, sample_set int, addition int"))
+    assert re.search(r"hashpartitioning\(chart#\d+L?, 10\), REPARTITION_BY_NUM", lines._jdf.queryExecution().executedPlan().toString())
+    assert lines.count() == 95
