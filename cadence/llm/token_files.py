@@ -135,7 +135,7 @@ class PieceEncoder:
         return out
 
 
-def _in_parts(texts, most_chars: int = 4_000_000):
+def _in_parts(texts, most_chars: int = 500_000):
     """Slices of texts with a bounded number of characters (one text at least)."""
     part, n = [], 0
     for t in texts:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from cadence import session
 from cadence.functions import curves, scalars
+from cadence.llm import token_files
 from cadence.operators import assembly, beats, joins, sequential, windows
 from cadence.sources import catalogue, chart_source
 from compare import SF
@@ -128,3 +129,8 @@ def test_tasks_of_hit_objects_go_by_groups(spark, monkeypatch):
     lines = assembly.hit_object_lines(spark.createDataFrame(rows, "chart long, seq long, type string, time long, x double, y double, new_combo boolean, hitsound int, sample_set int, addition int"))
     assert re.search(r"hashpartitioning\(chart#\d+L?, 10\), REPARTITION_BY_NUM", lines._jdf.queryExecution().executedPlan().toString())
     assert lines.count() == 95
+
+
+def test_texts_are_encoded_in_small_parts():
+    parts = list(token_files._in_parts(["x" * 100_000] * 20))
+    assert max(sum(map(len, p)) for p in parts) <= 500_000 and sum(parts, []) == ["x" * 100_000] * 20
