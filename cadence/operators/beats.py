@@ -65,13 +65,13 @@ class Runs:
         v = self.value
         return np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
 
-    def crossing(self, run: int, height: float, way: int) -> float:
-        """Where the signal, from a run on, first comes down to a height, between two samples in proportion."""
+    def crossing(self, run: int, height: float, way: int) -> tuple[float, float]:
+        """Where the signal, from a run on, first comes down to a height: the sample there and the share of the way back."""
         k = run + way
         while self.value[k] > height:
             k += way
         at, inner = (self.last[k], self.value[k + 1]) if way < 0 else (self.first[k], self.value[k - 1])
-        return float(at) - way * (height - self.value[k]) / (inner - self.value[k])
+        return float(at), (height - self.value[k]) / (inner - self.value[k])
 
 
 def apart(place: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
@@ -122,7 +122,8 @@ def peaks(place: np.ndarray, value: np.ndarray, distance: int, prominence: float
             continue
         # the foot itself, not v - over: that can be a bit below the lowest sample, where nothing comes down to it
         height = foot if share == 1 else max(foot, v - share * over)
-        wide = runs.crossing(run, height, 1) - runs.crossing(run, height, -1)
+        (end, over_end), (start, over_start) = runs.crossing(run, height, 1), runs.crossing(run, height, -1)
+        wide = end - over_end - start - over_start
         if wide >= width:
             found.append((at, over, wide))
     return pd.DataFrame(found, columns=["place", "prominence", "width"]).astype({"place": "int64", "prominence": float, "width": float})

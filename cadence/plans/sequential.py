@@ -48,8 +48,16 @@ def proximity_snap(spark, d):
 
 
 def _signal(spark, d):
-    rows = events(spark, d).where("event_type IN ('click', 'view')").groupBy(F.col("user_id").alias("track"), F.expr("ms div 3600000").alias("place"))
-    return rows.agg(F.sum("value").alias("value"))
+    """Users' hourly sums, added up in the events' order: equal sums may differ by their last bit, which decides which sample is lower."""
+    rows = events(spark, d).where("event_type IN ('click', 'view')")
+    rows = rows.select(F.col("user_id").alias("track"), F.expr("ms div 3600000").alias("place"), "event_id", "value")
+    so_far = F.sum("value").over(Window.partitionBy("track", "place").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("value", so_far).groupBy("track", "place").agg(F.max_by("value", "event_id").alias("value"))
+
+
+def _rounded(name):
+    """To six places as in SQL, from the product: just below a half in binary counts as the half."""
+    return (F.round(F.col(name) * 1e6) / 1e6).alias(name)
 
 
 _PEAKS = f"""WITH RECURSIVE {E}, h AS (SELECT user_id AS track, ms // 3600000 AS place, sum(value) AS v FROM e WHERE event_type IN ('click', 'view') GROUP BY ALL),
@@ -65,7 +73,7 @@ m AS (SELECT s.track, s.place, s.v, min(d.v) FILTER (d.place < s.place) AS a, mi
 
 @query(f"{_PEAKS} SELECT track, place, round(v - greatest(a, b), 6) AS prominence FROM m WHERE v - greatest(a, b) >= 1")
 def signal_peaks(spark, d):
-    return beat.find_peaks(_signal(spark, d), distance=3, prominence=1.0, reach=12).select("track", "place", F.round("prominence", 6).alias("prominence"))
+    return beat.find_peaks(_signal(spark, d), distance=3, prominence=1.0, reach=12).select("track", "place", _rounded("prominence"))
 
 
 @query(f"""{_PEAKS}, x AS (
@@ -78,7 +86,7 @@ def signal_peaks(spark, d):
 def wide_peaks(spark, d):
     """Peaks of users' hourly activity at least three hours wide at their base."""
     found = beat.find_peaks(_signal(spark, d), distance=3, prominence=1.0, reach=12, width=3.0)
-    return found.select("track", "place", F.round("prominence", 6).alias("prominence"), F.round("width", 6).alias("width"))
+    return found.select("track", "place", _rounded("prominence"), _rounded("width"))
 
 
 @query()

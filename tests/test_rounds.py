@@ -7,6 +7,7 @@ import os
 import re
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from cadence import session
 from cadence.functions import curves, scalars
 from cadence.llm import token_files
 from cadence.operators import assembly, beats, joins, sequential, windows
+from cadence.plans import sequential as plans
 from cadence.sources import catalogue, chart_source
 from compare import SF
 
@@ -55,6 +57,27 @@ def test_width_at_a_foot_above_zero():
     assert found.set_index("place").loc[6, "width"] == 2.0
 
 
+def _hourly(path, rows):
+    """A folder with events of user 1: (event_id, hour, value)."""
+    values = ", ".join(f"({i}, {hour}, {value}::DOUBLE)" for i, hour, value in rows)
+    duckdb.sql(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_hours(h) AS ts, 1::BIGINT AS user_id, 'view' AS event_type, v AS value FROM (VALUES {values}) AS t(i, h, v)) TO '{path}/events.parquet' (FORMAT parquet)")
+    return str(path)
+
+
+def test_width_halfway_between_two_roundings(spark, tmp_path):
+    """674 - 670 - 20.83 / 32 is 3.3490625, in binary a bit less, and the sixth place was rounded down."""
+    rows = [(669, 252.43), (670, 12.67), (671, 6.44), (671, 38.23), (672, 46.52), (672, 43.81), (673, 51.1), (674, 33.5), (675, 51.61), (676, 67.63), (677, 314.06)]
+    path = _hourly(tmp_path, [(i, *row) for i, row in enumerate(rows)])
+    got = queries()["wide_peaks"](spark, path).toPandas()
+    assert got.loc[got["place"] == 672, "width"].tolist() == [3.349063]
+
+
+def test_hourly_sums_follow_the_order_of_events(spark, tmp_path):
+    path = _hourly(tmp_path, [(1, 5, 0.2), (2, 5, 0.3), (0, 5, 0.1), (3, 6, 7.0)])
+    got = {r.place: r.value for r in plans._signal(spark, path).collect()}
+    assert got == {5: 0.1 + 0.2 + 0.3, 6: 7.0} and got[5] != 0.2 + 0.3 + 0.1
+
+
 def test_points_along_an_axis_are_whole():
     for length in range(31, 140):
         assert curves.at_length(np.array([[22.0, 7.0], [52.0, 7.0]]), float(length)).tolist() == [22 + length, 7]
