@@ -106,6 +106,23 @@ def test_neighbours_of_many_queries_take_bounded_memory(sign):
         assert found.id[q].tolist() == [i for _, i in sorted(far)[:3]]
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_memory_of_neighbours_does_not_grow_with_queries_or_copies(sign):
+    """Rows are copies of three vectors, so all that tie with the best must be worked out."""
+    rng, peaks = np.random.default_rng(6), []
+    rows = rng.normal(size=(3, 64))[np.arange(2048) % 3]
+    for n in (600, 2400):
+        found = joins._Best(np.arange(n) + 10_000, rng.normal(size=(n, 64)), 3, sign, None)
+        tracemalloc.start()
+        found.add(np.arange(2048), rows)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        for q in (0, n - 1):
+            best = min(range(3), key=lambda r: sign * math.dist(found.vectors[q], rows[r]))
+            assert found.id[q].tolist() == [best, best + 3, best + 6]
+    assert peaks[1] < 1.1 * peaks[0] < 150 << 20
+
+
 @pytest.mark.parametrize("sign", [1, -1])
 def test_neighbours_among_copies_in_small_blocks(sign, monkeypatch):
     monkeypatch.setattr(joins, "PAIRS", 50)
